@@ -75,7 +75,7 @@ def norm_role(role: Column) -> Column:
 
 def age_bucket(ts: Column, now: Column) -> Column:
     """Struct (value, unit) of the time since ``ts``; under five seconds is ``now``."""
-    seconds = F.floor((F.unix_micros(now) - F.unix_micros(ts)) / F.lit(1000000))
+    seconds = F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))) / F.lit(1000000))
     amount: Column = seconds.cast("double")
     value = F.when(seconds < 5, F.lit(0).cast("long"))
     unit = F.when(seconds < 5, F.lit("now"))

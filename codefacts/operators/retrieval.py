@@ -87,13 +87,13 @@ def keyword_search(
     scored = found.join(weights, [group, "term"]).groupBy("query_id", group, "id").agg(
         F.round(F.sum(part), SCORE_DIGITS).alias("score")
     )
-    return top_k(scored, k)
+    return top_k(scored.drop(group), k)
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
     """Best ``k`` per question, ties by id. Spark limits each group before the shuffle (WindowGroupLimit)."""
     window = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-    return scored.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(window).cast("long")).filter(F.col("rank") <= k)
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -148,7 +148,8 @@ def knn(
         vectors.join(sizes, group)
         .withColumn("_v", F.pmod(F.xxhash64("id"), F.col("_bv")).cast("int"))
         .withColumn("_q", F.explode(blocks("_bq")))
-        .select(group, "_q", "_v", "id", "vector")
+        # fresh attribute names: questions may come from the searched table itself
+        .select(*[F.col(c).alias(c) for c in (group, "_q", "_v", "id", "vector")])
     )
     on = [group, "_q", "_v"]
     ids = [f"{c} {side.schema[c].dataType.simpleString()}" for c, side in (("query_id", left), ("id", right))]

@@ -316,8 +316,8 @@ def file_with_graphs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("end_lines", """SELECT l_orderkey, l_linenumber, l_partkey AS line_start,
- coalesce(lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1, 999999) AS line_end FROM lineitem""")
+ coalesce(lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1, 999999) AS line_end FROM lineitem""")
 def end_lines(spark: SparkSession, folder: str) -> DataFrame:
     lines = b.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("line_start"))
-    following = neighbour(lines, ["l_orderkey"], ["l_linenumber"], {"_next": F.col("line_start")}, following=True)
+    following = neighbour(lines, ["l_orderkey"], ["l_linenumber", "line_start"], {"_next": F.col("line_start")}, following=True)
     return following.withColumn("line_end", F.coalesce(F.col("_next") - 1, F.lit(999999).cast("long"))).drop("_next")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import components, graph
+from ..operators.ordering import positions
 from . import bindings as b
 from .registry import query
 
@@ -42,9 +43,11 @@ def sequence_edges(spark: SparkSession, folder: str) -> DataFrame:
     return graph.successor_edges(b.accesses(spark, folder).select("scope", "seq"))
 
 
-@query("aligned_positions", """SELECT l_orderkey, l_linenumber AS pos, l_partkey, l_suppkey FROM lineitem""")
+@query("aligned_positions", """SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey
+ ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS pos, l_partkey, l_suppkey FROM lineitem""")
 def aligned_positions(spark: SparkSession, folder: str) -> DataFrame:
-    lines = b.table(spark, folder, "lineitem").withColumnRenamed("l_linenumber", "pos")
+    lines = positions(
+        b.table(spark, folder, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], "pos")
     return graph.zip_positions(
         lines.select("l_orderkey", "pos", "l_partkey"), lines.select("l_orderkey", "pos", "l_suppkey"), ["l_orderkey"])
 

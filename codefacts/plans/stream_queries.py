@@ -19,7 +19,13 @@ from .registry import query
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
-    return arriving.stream_table(spark, f"{folder}/events.parquet")
+    return arriving.stream_table(spark, f"{folder}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def plain_times(df: DataFrame) -> DataFrame:
+    """Event times without zone again, as in the given table."""
+    times = [c for c, kind in df.dtypes if kind == "timestamp"]
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in times})
 
 
 @query("stream_stale_runs", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 3 HOUR THEN 0 ELSE 1 END AS s
@@ -29,18 +35,18 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
  GROUP BY user_id, sid HAVING max(ts) + INTERVAL 3 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 3 HOUR""")
 def stream_stale_runs(spark: SparkSession, folder: str) -> DataFrame:
     beats = events(spark, folder).select(F.col("user_id").alias("run_id"), "ts")
-    return runs.run_stale_sessions(beats, seconds=3 * 3600)
+    return plain_times(runs.run_stale_sessions(beats, seconds=3 * 3600))
 
 
 @query("stream_run_state", FOLD_SQL)
 def stream_run_state(spark: SparkSession, folder: str) -> DataFrame:
-    return runs.run_fold(b.run_events(events(spark, folder)))
+    return plain_times(runs.run_fold(b.run_events(events(spark, folder))))
 
 
 @query("stream_throttled_progress", """SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS bucket, count(*) AS n, max(ts) AS flushed_at
  FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 HOUR, min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def stream_throttled_progress(spark: SparkSession, folder: str) -> DataFrame:
-    return runs.run_throttled(events(spark, folder), "user_id", "1 hour", "1 hour")
+    return plain_times(runs.run_throttled(events(spark, folder), "user_id", "1 hour", "1 hour"))
 
 
 @query("stream_insert_once", "SELECT event_id, user_id, event_type FROM events")
@@ -53,7 +59,7 @@ def stream_insert_once(spark: SparkSession, folder: str) -> DataFrame:
 def stream_first_per_key(spark: SparkSession, folder: str) -> DataFrame:
     twice = events(spark, folder).select("event_id", "ts")
     kept = runs.first_per_key(twice.unionByName(twice), ["event_id"], "ts", "1 hour")
-    return sinks.run_to_table(kept, "first")
+    return plain_times(sinks.run_to_table(kept, "first"))
 
 
 @query("stream_catalog", f"""WITH {b.FILES} SELECT DISTINCT sha256(repo_id || ':' || path) AS file_id, repo_id, path FROM files""")

@@ -116,8 +116,8 @@ def node_labels(spark: SparkSession, folder: str) -> DataFrame:
         F.when(kind == "signup", kind), F.col("event_id")).alias("label"))
 
 
-@query("member_labels", """SELECT p_partkey, p_name || '(): ' || split_part(p_type, ' ', 3) AS method_label,
- p_name || ': ' || split_part(p_type, ' ', 3) AS field_label FROM part""")
+@query("member_labels", """SELECT p_partkey, p_name || '(): ' || regexp_extract(p_type, '[^ ]*$', 0) AS method_label,
+ p_name || ': ' || regexp_extract(p_type, '[^ ]*$', 0) AS field_label FROM part""")
 def member_labels(spark: SparkSession, folder: str) -> DataFrame:
     dotted = F.replace(F.col("p_type"), F.lit(" "), F.lit("."))
     none = F.lit(None).cast("string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators.runs import STALE_SECONDS, fold_runs
 from .sinks import insert_batch, read_batches, run_batches, run_to_table, write_batch
@@ -34,7 +35,8 @@ def run_fold(events: DataFrame) -> DataFrame:
     folded = fold_runs(events)
     path = run_batches(folded, "runs", write_batch, mode="update")
     updates = (
-        events.sparkSession.read.schema(folded.schema.add("batch_id", "int")).option("basePath", path).parquet(path)
+        events.sparkSession.read.schema(StructType([*folded.schema.fields, StructField("batch_id", IntegerType())]))
+        .option("basePath", path).parquet(path)
     )
     rest = [c for c in folded.columns if c != "run_id"]
     return updates.groupBy("run_id").agg(F.max_by(F.struct(*rest), "batch_id").alias("_r")).select("run_id", "_r.*")

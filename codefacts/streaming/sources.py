@@ -13,11 +13,15 @@ BINARY_FILE = "path string, modificationTime timestamp, length long, content bin
 
 
 def stream_table(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A parquet table as a stream of its files, with the table's own schema."""
+    """A parquet table as a stream of its files, with the table's own schema.
+
+    The last letter goes into a glob class, because the file source takes a plain path for a folder only.
+    """
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    bare = path.rstrip("/")
+    return reader.parquet(f"{bare[:-1]}[{bare[-1]}]")
 
 
 def stream_archives(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
