@@ -130,6 +130,7 @@ class CodeFacts:
     def __init__(self, sources: DataFrame, parts: DataFrame | None = None,
                  keep: Callable[[DataFrame, str], DataFrame] = materialize) -> None:
         self.sources = sources
+        self.keep = keep
         self.parts = keep(lexer.parts(sources), "parts") if parts is None else parts
 
     @cached_property
@@ -276,7 +277,7 @@ class CodeFacts:
             F.col("opens").alias("has_body"), F.col("line").alias("line_start"), F.lit(1.0).alias("confidence"),
             F.lit("ast").alias("source"), "total_lines",
         )
-        return line_ends(found, ["owner_ord"], F.col("total_lines")).drop("total_lines")
+        return self.keep(line_ends(found, ["owner_ord"], F.col("total_lines")).drop("total_lines"), "methods")
 
     @cached_property
     def params(self) -> DataFrame:
@@ -288,6 +289,7 @@ class CodeFacts:
     def in_methods(self) -> DataFrame:
         """Parts inside a method that is listed, with the method's key."""
         scopes = self.methods.select("file_id", F.col("ord").alias("method_ord"), F.col("key").alias("method_key"))
+        # the hash on the file id serves every window and join below
         return self.tree.filter(F.col("method_ord").isNotNull()).join(scopes, ["file_id", "method_ord"])
 
     @cached_property
