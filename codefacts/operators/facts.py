@@ -131,7 +131,7 @@ class CodeFacts:
                  keep: Callable[[DataFrame, str], DataFrame] = materialize) -> None:
         self.sources = sources
         self.keep = keep
-        self.parts = keep(lexer.parts(sources), "parts") if parts is None else parts
+        self.parts = lexer.by_file(keep(lexer.parts(sources), "parts") if parts is None else parts)
 
     @cached_property
     def deepest(self) -> int:

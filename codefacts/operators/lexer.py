@@ -61,10 +61,17 @@ def newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
+def by_file(df: DataFrame) -> DataFrame:
+    """Hash by file id into a fixed number of partitions.
+
+    Text grows many times when it is cut into tokens, so the partitions must not be merged by the size of the text.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_id")
+
+
 def tokens(sources: DataFrame) -> DataFrame:
     """Token rows ``(file_id, pos, tok)``; their concatenation is the text."""
-    spread = sources.select("file_id", "content").repartition("file_id")
-    return spread.select("file_id", F.posexplode(F.regexp_extract_all("content", F.lit(TOKEN), F.lit(0))).alias("pos", "tok"))
+    return by_file(sources.select("file_id", "content")).select("file_id", F.posexplode(F.regexp_extract_all("content", F.lit(TOKEN), F.lit(0))).alias("pos", "tok"))
 
 
 def pieces(sources: DataFrame) -> DataFrame:

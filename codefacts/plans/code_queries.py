@@ -92,15 +92,15 @@ def code_import_map(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("code_files", f"""WITH {P} SELECT file_id, path, 'file:' || path AS key, pkg AS package,
- (CASE shape WHEN 0 THEN 34 WHEN 1 THEN 34 ELSE 34 END)::INTEGER AS total_lines FROM p""")
+ 33 AS total_lines FROM p""")
 def code_files(spark: SparkSession, folder: str) -> DataFrame:
     return facts(spark, folder).files.select("file_id", "path", "key", "package", "total_lines")
 
 
-@query("code_types", f"""WITH {P}, v AS (SELECT file_id, name, 'class' AS kind, 8 AS line_start, 34 AS line_end, 'public' AS modifiers,
+@query("code_types", f"""WITH {P}, v AS (SELECT file_id, name, 'class' AS kind, 8 AS line_start, 33 AS line_end, 'public' AS modifiers,
   'Entity(name = "' || nm || ' {{")' AS annotations, 'Base' AS extends, 'Item,Priced' AS implements, NULL AS body, pkg FROM p
- UNION ALL SELECT file_id, 'Item', 'interface', 29, 34, '', '', '', '', NULL, pkg FROM p
- UNION ALL SELECT file_id, 'Color', 'enum', 33, 34, '', '', '', '', 'RED,GREEN,BLUE', pkg FROM p)
+ UNION ALL SELECT file_id, 'Item', 'interface', 28, 33, '', '', '', '', NULL, pkg FROM p
+ UNION ALL SELECT file_id, 'Color', 'enum', 32, 33, '', '', '', '', 'RED,GREEN,BLUE', pkg FROM p)
  SELECT file_id, name, kind, pkg || '.' || name AS fqn, 'type:' || pkg || '.' || name AS key, modifiers, annotations, extends,
  implements, body, line_start, line_end FROM v""")
 def code_types(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,10 +123,10 @@ def code_fields(spark: SparkSession, folder: str) -> DataFrame:
 
 METHODS = f"""{P}, me AS (SELECT file_id, cls AS owner_fqn, 0 AS pos, 'add(int,String)' AS signature_simple,
   'add(int,java.lang.String)' AS signature_resolved, add_key AS key, 'public' AS modifiers, 'IOException' AS throws, 13 AS line_start,
-  25 AS line_end, true AS has_body FROM m
+  24 AS line_end, true AS has_body FROM m
  UNION ALL SELECT file_id, cls, 1, 'find(String)', 'find(java.lang.String)', 'method:' || cls || '#find(java.lang.String):' || pkg || '.Map',
-  'abstract', '', 26, 34, false FROM m
- UNION ALL SELECT file_id, pkg || '.Item', 0, 'show()', 'show()', 'method:' || pkg || '.Item#show():void', 'default', '', 30, 34, true FROM m)"""
+  'abstract', '', 25, 33, false FROM m
+ UNION ALL SELECT file_id, pkg || '.Item', 0, 'show()', 'show()', 'method:' || pkg || '.Item#show():void', 'default', '', 29, 33, true FROM m)"""
 
 
 @query("code_methods", f"WITH {METHODS} SELECT * FROM me")
@@ -151,7 +151,7 @@ STATEMENTS = f"""{METHODS}, sv AS (SELECT * FROM {values('shape, sig, seq, kind,
            [f"{shape}, 'add(int,String)', 4, 'Assignment', 20, 'total += i'", f"{shape}, 'add(int,String)', 5, 'ReturnStatement', 22, 'return price'"],
            [f"{shape}, 'add(int,String)', 4, 'MethodInvocation', 20, 'names.add(name)'", f"{shape}, 'add(int,String)', 5, 'Assignment', 21, 'qty = 0'",
             f"{shape}, 'add(int,String)', 6, 'MethodInvocation', 21, 'max(qty, price)'", f"{shape}, 'add(int,String)', 7, 'ReturnStatement', 22, 'return price'"])[shape]
-        + [f"{shape}, 'show()', 0, 'MethodInvocation', 30, 'print(this)'"])])}),
+        + [f"{shape}, 'show()', 0, 'MethodInvocation', 29, 'print(this)'"])])}),
  st AS (SELECT me.file_id, me.key AS method_key, seq, kind, line, path,
   CASE text WHEN 'log' THEN 'log("it''s ' || nm || '; {{")' ELSE text END AS text
   FROM me JOIN p USING (file_id) JOIN sv ON sv.shape = p.shape AND sig = signature_simple)"""
@@ -214,7 +214,8 @@ def node_rows() -> list[str]:
 @query("code_data_nodes", f"""WITH {METHODS}, nv AS (SELECT * FROM {values('shape, node, variable, var_kind, op', node_rows())})
  SELECT m.file_id, add_key AS scope, node::BIGINT AS node, variable, var_kind, op, CASE var_kind WHEN 'param' THEN 'param:' || add_key || ':' || variable
  WHEN 'field' THEN 'field:' || cls || '#' || variable || ':int' ELSE 'local:' || add_key || ':0:' || variable END AS var_key
- FROM m JOIN nv ON nv.shape = m.shape""")
+ FROM m JOIN nv ON nv.shape = m.shape
+ UNION ALL SELECT file_id, key, 0, 'keys', 'param', 'def', 'param:' || key || ':keys' FROM me WHERE signature_simple = 'find(String)'""")
 def code_data_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return flow(spark, folder).dfg_nodes.select("file_id", "scope", "node", "variable", "var_kind", "op", "var_key")
 
@@ -249,8 +250,8 @@ SYMBOLS = f"""{P}, sy AS (SELECT file_id, v.n, v.type, v.short, v.data_type, v.l
  FROM p, {values('n, type, short, data_type, line, place', [
     "1, 'class', 'Part', NULL, 8, 'pkg'", "2, 'field', 'total', 'int', 10, 'cls'", "3, 'field', 'names', 'List<String>', 11, 'cls'",
     "4, 'field', 'more', 'List<String>', 11, 'cls'", "5, 'method', 'add', 'int', 13, 'cls'", "6, 'parameter', 'qty', 'int', NULL, 'add'",
-    "7, 'parameter', 'name', 'String', NULL, 'add'", "8, 'method', 'find', 'Map', 26, 'cls'", "9, 'parameter', 'keys', 'String', NULL, 'find'",
-    "10, 'interface', 'Item', NULL, 29, 'pkg'", "11, 'method', 'show', 'void', 30, 'item'", "12, 'enum', 'Color', NULL, 33, 'pkg'"])}),
+    "7, 'parameter', 'name', 'String', NULL, 'add'", "8, 'method', 'find', 'Map', 25, 'cls'", "9, 'parameter', 'keys', 'String', NULL, 'find'",
+    "10, 'interface', 'Item', NULL, 28, 'pkg'", "11, 'method', 'show', 'void', 29, 'item'", "12, 'enum', 'Color', NULL, 32, 'pkg'"])}),
  sym AS (SELECT file_id, n, type || '_' || scope || '_' || name || '_' || n AS symbol_id, type, name, scope, kind AS data_type, line FROM sy)"""
 
 
