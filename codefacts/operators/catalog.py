@@ -41,7 +41,7 @@ def insert_outcome(incoming: DataFrame, existing: DataFrame, on: list[str], erro
     One row: succeeded, failed and the distinct error codes in order.
     """
     marked = incoming.withColumn("_error", error)
-    codes = F.array_sort(F.collect_set("_error"))
+    codes = F.sort_array(F.collect_set("_error"))
     return marked.agg(
         F.count_if(F.col("_error").isNull()).alias("succeeded"),
         F.count_if(F.col("_error").isNotNull()).alias("failed"),

@@ -177,7 +177,7 @@ class CodeFacts:
     def files(self) -> DataFrame:
         """Per file: path, key, package, number of lines and the map of its imports."""
         mapped = import_map(self.imports).groupBy("file_id").agg(
-            F.map_from_entries(F.array_sort(F.collect_list(F.struct("simple_name", "path")))).alias("import_map"))
+            F.map_from_entries(F.sort_array(F.collect_list(F.struct("simple_name", "path")))).alias("import_map"))
         rows = self.sources.select(
             "repo_id", "file_id", "path", keys.file_key(F.col("path")).alias("key"),
             (lexer.newlines(F.col("content")) + 1).alias("total_lines"))

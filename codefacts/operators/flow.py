@@ -73,7 +73,7 @@ class Flow:
         )
         before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         numbered = rows.withColumn("node", F.when(F.col("is_node"), EXIT + F.sum(F.col("is_node").cast("long")).over(before)))
-        return self.facts.keep(numbered, "steps")
+        return lexer.by_file(self.facts.keep(numbered, "steps"))
 
     @cached_property
     def cfg_nodes(self) -> DataFrame:
@@ -122,23 +122,26 @@ class Flow:
         rows = rows.withColumn("chain", F.sum((~kind_is(*CONTINUES)).cast("int")).over(
             siblings.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         chain = Window.partitionBy("file_id", "method_ord", "parent_ord", "chain")
-        rows = rows.withColumn("catches", F.array_sort(F.collect_list(F.when(kind_is("catch"), F.col("node"))).over(chain)))
+        rows = rows.withColumn("catches", F.sort_array(F.collect_list(F.when(kind_is("catch"), F.col("node"))).over(chain)))
         rows = rows.withColumn("finally", F.max(F.when(kind_is("finally"), F.col("node"))).over(chain))
         # the first node at or below a part; the tries on the way down lend their catches
         rows = lexer.with_ancestors(rows, self.facts.deepest, F.struct(
             "ord", "level", "kind", "node", "catches", "finally"), "anc")
         order = Window.partitionBy("file_id", "method_ord").orderBy("ord")
-        onward = order.rowsBetween(1, Window.unboundedFollowing)
-        rows = rows.withColumn("below", F.first(F.when(F.col("is_node"), F.struct("node", "anc")), ignorenulls=True).over(onward))
+        rows = rows.withColumn("first", F.row_number().over(order) == 1)
+        # nearest following values are last values in descending order, which one pass finds
+        onward = Window.partitionBy("file_id", "method_ord").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("below", F.last(F.when(F.col("is_node"), F.struct("node", "anc")), ignorenulls=True).over(onward))
         passed = F.filter(F.col("below.anc"), lambda a: a["ord"] >= F.col("ord"))
         lent = F.flatten(F.transform(passed, lambda a: F.when(a["kind"] == "try", a["catches"]).otherwise(no_catches())))
         entry = F.when(F.col("is_node"), target(F.col("node"), F.when(kind_is("try"), F.col("catches")).otherwise(no_catches()))).otherwise(
             target(F.col("below.node"), lent))
         rows = rows.withColumn("entry", entry.cast(TARGET_TYPE)).drop("below")
-        later = siblings.rowsBetween(1, Window.unboundedFollowing)
+        later = Window.partitionBy("file_id", "method_ord", "parent_ord").orderBy(F.desc("ord")).rowsBetween(
+            Window.unboundedPreceding, -1)
         plain = ~kind_is(*CONTINUES, *lexer.CASES)
         return rows.withColumns({
-            "next": F.first(F.when(plain, F.col("entry")), ignorenulls=True).over(later),
+            "next": F.last(F.when(plain, F.col("entry")), ignorenulls=True).over(later),
             "child": F.when(F.col("filled"), F.lead("entry").over(order)),
             "_chain_next": F.lead(F.struct("chain", "kind", "entry", "filled")).over(siblings),
         }).withColumn("follow_up", F.when(F.col("_chain_next.chain") == F.col("chain"), F.col("_chain_next"))).drop(
@@ -153,10 +156,10 @@ class Flow:
         own = F.struct("ord", "kind", "node", "next", "finally")
         rows = lexer.with_ancestors(rows, self.facts.deepest, own, "outer")
         inner = F.filter("outer", lambda a: a["ord"] > F.col("method_ord"))
-        climb = F.concat(F.array(own), F.reverse(inner))
+        rows = rows.withColumn("climb", F.concat(F.array(own), F.reverse(inner)))
 
         def after(part: Column, index: Column) -> Column:
-            parent = F.try_element_at(climb, index + 2)
+            parent = F.try_element_at("climb", index + 2)
             leaves = part["kind"].isin("try", "catch") & part["finally"].isNotNull()
             return (
                 F.when(leaves, self._goal(target(part["finally"]), ""))
@@ -165,10 +168,10 @@ class Flow:
             )
 
         follow = F.coalesce(
-            F.try_element_at(F.filter(F.transform(climb, after), lambda t: t.isNotNull()), F.lit(1)),
+            F.try_element_at(F.filter(F.transform("climb", after), lambda t: t.isNotNull()), F.lit(1)),
             self._goal(target(F.lit(EXIT)), ""))
         rows = rows.withColumn("follow", follow)
-        parent = F.try_element_at(inner, F.lit(-1))
+        parent = F.try_element_at("climb", F.lit(2))
 
         def go(to: Column, label: Column | str) -> Column:
             name = F.lit(label) if isinstance(label, str) else label
@@ -200,17 +203,21 @@ class Flow:
             .when(F.col("is_node"), F.array(plain))
         )
         # a switch with cases is left through them
-        direct = rows.filter(F.col("is_node") & ~(kind_is("switch") & F.col("child").isNotNull())).select(
-            "file_id", "method_ord", F.explode(edges).alias("e")).select("file_id", "method_ord", "e.*")
-        # ENTRY leads to the first statement, or straight to EXIT
-        first = rows.groupBy("file_id", "method_ord").agg(F.min_by("entry", "ord").alias("entry"))
-        start = self.scopes.join(first, ["file_id", "method_ord"], "left").select(
-            "file_id", "method_ord", F.lit(ENTRY).cast("long").alias("src"),
-            F.coalesce(F.col("entry.node"), F.lit(EXIT)).alias("dst"), F.lit("").alias("label"),
-            F.coalesce("entry.catches", no_catches()).alias("catches"))
-        every = direct.unionByName(start)
-        thrown = every.select("file_id", "method_ord", "src", F.explode("catches").alias("dst"), F.lit("exception").alias("label"))
-        return every.drop("catches").unionByName(thrown)
+        own_edges = F.when(F.col("is_node") & ~(kind_is("switch") & F.col("child").isNotNull()), edges)
+        start = F.when(F.col("first"), F.array(F.struct(
+            F.lit(ENTRY).cast("long").alias("src"), F.col("entry.node").alias("dst"), F.lit("").alias("label"),
+            F.col("entry.catches").alias("catches"))))
+        none = F.array().cast("array<struct<src:bigint,dst:bigint,label:string,catches:array<bigint>>>")
+        every = rows.select("file_id", "method_ord", F.explode(F.concat(
+            F.coalesce(start, none), F.coalesce(own_edges, none))).alias("e"))
+        # an edge into a try may also end in each of its catches
+        thrown = F.transform("e.catches", lambda c: F.struct(c.alias("dst"), F.lit("exception").alias("label")))
+        ends = every.select("file_id", "method_ord", "e.src", F.explode(F.concat(
+            F.array(F.struct(F.col("e.dst").alias("dst"), F.col("e.label").alias("label"))), thrown)).alias("t"))
+        empty = self.scopes.join(self.steps.select("file_id", "method_ord").distinct(), ["file_id", "method_ord"], "left_anti")
+        return ends.select("file_id", "method_ord", "src", "t.dst", "t.label").unionByName(empty.select(
+            "file_id", "method_ord", F.lit(ENTRY).cast("long").alias("src"), F.lit(EXIT).cast("long").alias("dst"),
+            F.lit("").alias("label")))
 
     @staticmethod
     def _goal(to: Column, label: str) -> Column:
@@ -289,8 +296,8 @@ class Flow:
             rows.select(F.struct(*scope).alias("scope"), F.col("node").alias("seq"), "var_key", "variable", "op"), points=[])
         by_use = linked.filter("def_seq IS NOT NULL").select(
             "scope.*", F.col("def_seq").alias("src"), F.col("seq").alias("dst"), F.lit("def-use").alias("type"), "var_key")
-        onward = Window.partitionBy(*scope, "ord", "grp").orderBy("node").rowsBetween(1, Window.unboundedFollowing)
-        made = F.first(F.when(F.col("op") != "use", F.struct("node", "op", "var_key")), ignorenulls=True).over(onward)
+        onward = Window.partitionBy(*scope, "ord", "grp").orderBy(F.desc("node")).rowsBetween(Window.unboundedPreceding, -1)
+        made = F.last(F.when(F.col("op") != "use", F.struct("node", "op", "var_key")), ignorenulls=True).over(onward)
         inside = rows.withColumn("made", made).filter("op = 'use' AND made IS NOT NULL").select(
             *scope, F.col("node").alias("src"), F.col("made.node").alias("dst"),
             F.when(F.col("made.op") == "def", "init").otherwise("flow").alias("type"), F.col("made.var_key").alias("var_key"))

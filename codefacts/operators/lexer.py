@@ -99,7 +99,7 @@ def pieces(sources: DataFrame) -> DataFrame:
         .withColumn("clean", clean)
         .withColumn("mask", F.when(literal, blanked).otherwise(F.col("clean")))
     )
-    body = F.array_sort(F.collect_list(F.when(~F.col("ends"), F.struct("pos", "clean", "mask"))))
+    body = F.sort_array(F.collect_list(F.when(~F.col("ends"), F.struct("pos", "clean", "mask"))))
     return rows.groupBy("file_id", "piece").agg(
         body.alias("body"), F.max(F.when(F.col("ends"), tok)).alias("ender")
     ).select(
@@ -129,7 +129,7 @@ def segments(sources: DataFrame) -> DataFrame:
         .withColumn("seg", F.sum((~F.col("joins")).cast("int")).over(order))
     )
     # inside a statement the braces and semicolons are text again
-    listed = F.array_sort(F.collect_list(F.struct("piece", F.concat("text", "ender").alias("text"),
+    listed = F.sort_array(F.collect_list(F.struct("piece", F.concat("text", "ender").alias("text"),
                                                   F.concat("mask", "ender").alias("mask"), "ender")))
     joined = cut.groupBy("file_id", "seg").agg(listed.alias("ps"), F.min("line").alias("line"))
     last = F.element_at("ps", -1)["ender"]

@@ -59,7 +59,7 @@ def split_reasoning(segments: DataFrame) -> DataFrame:
     after = segments.join(last, "message").withColumn(
         "reasoning", F.coalesce(F.col("seq") <= F.col("last_tool"), F.lit(False))
     )
-    texts = F.array_sort(F.collect_list(F.when(
+    texts = F.sort_array(F.collect_list(F.when(
         ~F.col("reasoning") & (F.col("type") == "text"), F.struct("seq", "content"))))
     return after.groupBy("message").agg(
         F.count_if("reasoning").alias("reasoning_segments"),
@@ -82,7 +82,7 @@ def branch_points(lineage: DataFrame) -> DataFrame:
 
 def assemble_messages(tokens: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
     """Join the streamed pieces of each message in order. A group is one message, as long as its own text."""
-    pieces = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(text))))
+    pieces = F.sort_array(F.collect_list(F.struct(F.col(order), F.col(text))))
     return tokens.groupBy(*keys).agg(
         F.array_join(F.transform(pieces, lambda p: p[text]), "").alias("content"),
         F.count("*").alias("pieces"),

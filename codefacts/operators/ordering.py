@@ -119,5 +119,5 @@ def paged_lists(
     """Ordered list of each group in pages of bounded length: no row ever holds a whole hot group."""
     placed = positions(df, keys, order, "_pos", points)
     paged = placed.withColumn("page", F.floor(F.col("_pos") / page_size).cast("long"))
-    items = F.array_sort(F.collect_list(F.struct(F.col("_pos"), value.alias("item"))))
+    items = F.sort_array(F.collect_list(F.struct(F.col("_pos"), value.alias("item"))))
     return paged.groupBy(*keys, "page").agg(F.transform(items, lambda x: x["item"]).alias(out))

@@ -171,7 +171,7 @@ def hybrid(vector_hits: DataFrame, keyword_hits: DataFrame, k: int = TOP_K) -> D
 def render_hits(hits: DataFrame) -> DataFrame:
     """One text per question ``(query_id, rank, path, content)``: sections in rank order; at most k rows a group."""
     section = F.concat(F.lit("### "), F.coalesce("path", F.lit("unknown")), F.lit("\n"), F.col("content"))
-    listed = F.array_sort(F.collect_list(F.struct(F.col("rank"), section.alias("section"))))
+    listed = F.sort_array(F.collect_list(F.struct(F.col("rank"), section.alias("section"))))
     return hits.groupBy("query_id").agg(
         F.array_join(F.transform(listed, lambda s: s["section"]), "\n\n---\n\n").alias("rendered")
     )
