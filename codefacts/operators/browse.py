@@ -65,10 +65,9 @@ def listing_order() -> list[Column]:
 def page(df: DataFrame, order: list[Column | str], offset: int = 0, size: int = 100) -> DataFrame:
     """One page of an ordered listing, with the range shown and the total."""
     start = max(0, offset)
-    total = df.agg(F.count("*").alias("total"))
+    total = df.agg(F.count("*").alias("total")).scalar()
     rows = df.orderBy(*order).offset(start).limit(size)
-    # one row against at most one page
-    return rows.join(F.broadcast(total)).withColumn("first", F.lit(start + 1).cast("long"))
+    return rows.withColumns({"total": total, "first": F.lit(start + 1).cast("long")})
 
 
 def page_label(first: Column, shown: Column, total: Column) -> Column:

@@ -20,13 +20,13 @@ PREFIX = rf"(?s)^(?:(?:{ANNOTATION}|(?:{MODIFIERS})\b(?!\s*:))\s*)*+"
 TYPE = rf"{NAME}(?:\s*\.\s*{NAME})*+(?:\s*{ANGLES})?(?:\s*\.\s*{NAME}(?:\s*{ANGLES})?)*(?:\s*\[\s*\])*"
 METHOD = rf"(?s)^(?:{ANGLES}\s*)?({TYPE})\s+({NAME})\s*({PARENS})\s*((?:\[\s*\]\s*)*)(?:throws\s+([\w.$,\s]+?))?\s*(?:default\b.*)?$"
 FIELD = rf"(?s)^({TYPE})\s+({NAME}\s*(?:[\[=,].*)?)$"
-PARAMETER = rf"(?:[^,<>()]|{ANGLES}|{PARENS})+"
+PARAMETER = rf"(?:[^,<>()]++|{ANGLES}|{PARENS})++"
 PARAMETER_PARTS = rf"(?s)^({TYPE})\s*(\.\.\.)?\s*\b({NAME})\s*((?:\[\s*\]\s*)*)$"
 DECLARATOR = rf"(?:^|,)\s*({NAME})\s*(?:\[\s*\]\s*)*(?==[^=]|,|$)"
 # Words that start a statement and are no type.
 NOT_A_TYPE = "return|throw|new|else|assert|break|continue|case|package|import|goto|yield|instanceof"
 LOCAL = rf"(?s)^(?:(?:final|{ANNOTATION})\s+)*(?!(?:{NOT_A_TYPE})\b)({TYPE})\s+({NAME}\s*(?:\[\s*\]\s*)*(?:[=,].*)?)$"
-TARGET = rf"(?:[\w$.\s]|{PARENS}|\[[^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*\])+?"
+TARGET = rf"(?:[\w$.\s]++|{PARENS}|{lexer.SQUARES})++"
 ASSIGNMENT = rf"(?s)^({TARGET})\s*(?:[-+*/%&|^]|<<|>>>?)?=(?!=)(.*)$"
 # Bodies whose statements are not listed.
 UNLISTED = ("switch", "do", "synchronized")

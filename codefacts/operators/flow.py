@@ -35,7 +35,7 @@ WORDS = (
 CAST = (
     rf"\(\s*(?:(?:byte|short|int|long|float|double|char|boolean)|[A-Z][\w.$]*(?:{lexer.ANGLES})?)\s*(?:\[\s*\])*\s*\)(?=\s*[\w$(])"
 )
-DECLARED = rf"(?:[^,(){{}}<>\[\]]|{lexer.PARENS}|{lexer.ANGLES}|{lexer.BRACES}|\[[^\[\]]*\]|[<>])+"
+DECLARED = rf"(?:[^,(){{}}<>\[\]]++|{lexer.PARENS}|{lexer.ANGLES}|{lexer.BRACES}|{lexer.SQUARES}|[<>])++"
 FOR_EACH = rf"(?s)^((?:final\s+)?[\w$.<>\[\], ?]+?)\s+({NAME})\s*:(?!:)(.*)$"
 STEP = 1 << 20
 VARIABLE = rf"(?<![\w$.@])(?:this\s*\.\s*{NAME}(?![\w$])(?!\s*[(.])|{NAME}(?![\w$])(?!\s*(?:[(.]|::|->)))"
@@ -316,7 +316,7 @@ def variables(mask: Column) -> Column:
     """Names in an expression in order; ``this.x`` keeps its mark until the owner's fields are known."""
     bare = mask
     for pattern in (
-        r'"s*"', lexer.BRACES, r"\[[^\[\]]*\]", rf"\bnew\s+[\w.$]+\s*(?:{lexer.ANGLES})?|\binstanceof\s+[\w.$]+", CAST,
+        r'"s*"', lexer.BRACES, lexer.SQUARES, rf"\bnew\s+[\w.$]+\s*(?:{lexer.ANGLES})?|\binstanceof\s+[\w.$]+", CAST,
         rf"(?:\(\s*(?:{NAME}\s*,?\s*)*\)|\b{NAME})\s*->",
     ):
         bare = F.regexp_replace(bare, pattern, " ")

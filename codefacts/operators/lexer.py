@@ -37,6 +37,7 @@ def nested(left: str, right: str, depth: int = 6) -> str:
 PARENS = nested(r"\(", r"\)")
 ANGLES = nested("<", ">", 4)
 BRACES = nested(r"\{", r"\}")
+SQUARES = nested(r"\[", r"\]")
 NAME = r"[A-Za-z_$][\w$]*"
 
 # What may stand before a brace that belongs to an expression.

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import icontains, truncate_marked
-from .ordering import neighbour, positions, with_group_count
+from .ordering import neighbour, paged_lists, positions, with_group_count
 
 MAX_RESULTS = 50  # fixed value: longest slice
 MAX_CONTENT = 500  # fixed value: characters of a shortened message
@@ -50,20 +50,24 @@ def dedupe_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     )
 
 
-def split_reasoning(segments: DataFrame) -> DataFrame:
+def split_reasoning(
+    segments: DataFrame, page_size: int = 10_000, points: Sequence[float] | None = None
+) -> DataFrame:
     """Final answer of each message ``(message, seq, type, content)``: the texts after its last tool segment.
 
-    Segments up to the last tool count as reasoning. A message without a tool keeps all its texts.
+    Segments up to the last tool count as reasoning. A message without a tool keeps all its texts. An answer of more
+    than ``page_size`` segments continues on further pages, so no task holds one without end.
     """
     last = segments.groupBy("message").agg(F.max(F.when(F.col("type") == "tool", F.col("seq"))).alias("last_tool"))
     after = segments.join(last, "message").withColumn(
         "reasoning", F.coalesce(F.col("seq") <= F.col("last_tool"), F.lit(False))
     )
-    texts = F.sort_array(F.collect_list(F.when(
-        ~F.col("reasoning") & (F.col("type") == "text"), F.struct("seq", "content"))))
-    return after.groupBy("message").agg(
-        F.count_if("reasoning").alias("reasoning_segments"),
-        F.array_join(F.transform(texts, lambda t: t["content"]), "").alias("content"),
+    texts = after.filter(~F.col("reasoning") & (F.col("type") == "text")).select("message", "seq", "content")
+    pages = paged_lists(texts, ["message"], ["seq"], F.col("content"), "texts", page_size, points)
+    counts = after.groupBy("message").agg(F.count_if("reasoning").alias("reasoning_segments"))
+    return counts.join(pages, "message", "left").select(
+        "message", F.coalesce("page", F.lit(0)).alias("page"), "reasoning_segments",
+        F.coalesce(F.array_join("texts", ""), F.lit("")).alias("content"),
     )
 
 
@@ -89,6 +93,14 @@ def assemble_messages(tokens: DataFrame, keys: list[str], order: str, text: str)
     )
 
 
+def tool_calls(events: DataFrame) -> DataFrame:
+    """One row per tool call ``(thread, turn, call_id, seq, tool, status)``: its tool and its latest status."""
+    return events.groupBy("thread", "turn", "call_id").agg(
+        F.min("seq").alias("started_seq"), F.min_by("tool", "seq").alias("tool"),
+        F.max_by("status", F.when(F.col("status").isNotNull(), F.col("seq"))).alias("status"),
+    )
+
+
 def ordered(df: DataFrame, *columns: str | Column) -> DataFrame:
     """A listing in a stable order; the last column breaks ties."""
     return df.orderBy(*columns)

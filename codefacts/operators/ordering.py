@@ -29,12 +29,24 @@ def split_points(df: DataFrame, order_col: str, max_bytes: int = MAX_WINDOW_BYTE
         return []
     pieces = min(MAX_PIECES, max(2, math.ceil(size / max(max_bytes, 1)) * PIECES_PER_LIMIT))
     wanted = [i / pieces for i in range(1, pieces)]
-    values = df.select(F.col(order_col).cast("double").alias("v"))
+    values = df.select(_number(df, order_col).alias("v"))
     return sorted(set(values.approxQuantile("v", wanted, 0.5 / pieces)))
 
 
+def _number(df: DataFrame, order_col: str) -> Column:
+    """A double that never falls where the column rises, so it may cut the order."""
+    kind, value = df.schema[order_col].dataType.simpleString(), F.col(order_col)
+    if kind in ("timestamp_ntz", "date"):
+        return value.cast("timestamp").cast("double")
+    if kind == "string":
+        # the first six bytes as a number: strings sort by bytes
+        head = F.rpad(F.hex(F.substring(F.encode(value, "utf-8"), 1, 6)), 12, "0")
+        return F.conv(head, 16, 10).cast("double")
+    return value.cast("double")
+
+
 def _with_piece(df: DataFrame, order_col: str, points: Sequence[float]) -> DataFrame:
-    value = F.coalesce(F.col(order_col).cast("double"), F.lit(float("-inf")))
+    value = F.coalesce(_number(df, order_col), F.lit(float("-inf")))
     cuts = [float("-inf"), *points, float("inf")]
     cut = Bucketizer(splits=cuts, inputCol="_cut", outputCol="_piece", handleInvalid="keep")
     return cut.transform(df.withColumn("_cut", value)).drop("_cut").withColumn("_piece", F.col("_piece").cast("int"))

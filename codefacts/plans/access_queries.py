@@ -141,7 +141,7 @@ def first_source_per_path(spark: SparkSession, folder: str) -> DataFrame:
 @query("reasoning_and_answer", """WITH s AS (SELECT conv_id AS message, turn AS seq, CASE WHEN role = 'user' THEN 'tool'
  ELSE 'text' END AS type, text AS content FROM conversations),
  l AS (SELECT message, coalesce(max(CASE WHEN type = 'tool' THEN seq END), -1) AS last FROM s GROUP BY message)
- SELECT message, count(*) FILTER (WHERE seq <= last) AS reasoning_segments,
+ SELECT message, 0::BIGINT AS page, count(*) FILTER (WHERE seq <= last) AS reasoning_segments,
  coalesce(string_agg(content, '' ORDER BY seq) FILTER (WHERE seq > last AND type = 'text'), '') AS content
  FROM s JOIN l USING (message) GROUP BY message""")
 def reasoning_and_answer(spark: SparkSession, folder: str) -> DataFrame:
@@ -179,6 +179,16 @@ def assembled_messages(spark: SparkSession, folder: str) -> DataFrame:
     return messages.assemble_messages(stream, ["doc_id"], "n", "token")
 
 
+@query("tool_calls", """SELECT user_id AS thread, CAST(day(ts) AS INTEGER) AS turn, event_type AS call_id, min(event_id) AS started_seq,
+ arg_min('t' || floor(value), event_id) AS tool, arg_max(props, event_id) FILTER (WHERE value > 5) AS status FROM events GROUP BY 1, 2, 3""".replace(
+    "'t' || floor(value)", "'t' || CAST(floor(value) AS BIGINT)"))
+def tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    return messages.tool_calls(b.table(spark, folder, "events").select(
+        F.col("user_id").alias("thread"), F.day("ts").alias("turn"), F.col("event_type").alias("call_id"),
+        F.col("event_id").alias("seq"), F.concat(F.lit("t"), F.floor("value").cast("string")).alias("tool"),
+        F.when(F.col("value") > 5, F.col("props")).alias("status")))
+
+
 @query("latest_run", """SELECT o_custkey AS repo_id, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS run_id,
  max_by(o_orderstatus, (o_orderdate, o_orderkey)) AS status, max(o_orderdate) AS started_at FROM orders GROUP BY o_custkey""")
 def latest_run(spark: SparkSession, folder: str) -> DataFrame:

@@ -91,19 +91,23 @@ def archive_files(spark: SparkSession, folder: str) -> DataFrame:
     return sources.unpack(packed)
 
 
-@query("source_tree_scan", f"""WITH {b.DOCS} SELECT repo_id, CAST(sum(length(content)) AS BIGINT) AS characters, count(*) AS files
+SEPARATOR = "\u0000"
+
+
+@query("source_tree_scan", f"""WITH {b.DOCS} SELECT repo_id, CAST(sum(length(content)) AS BIGINT) AS characters, count(*) AS texts
  FROM docs GROUP BY repo_id""")
 def source_tree_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts written as one file each below a folder per repository, and read back as a source tree."""
+    """Texts written into files below a folder per repository, and read back as a source tree."""
     root = new_table_path(spark, "tree")
     docs = b.documents(spark, folder)
-    # one text per file: the sink starts a new file after every record
+    # a scanned file becomes one row, so no file may grow without end
     docs.select("repo_id", F.col("content").alias("value")).write.partitionBy("repo_id").option(
-        "maxRecordsPerFile", 1).option("lineSep", "\u0000").text(root)
-    read = sources.read_sources(spark, root, "*.txt").withColumn("content", F.rtrim(F.col("content"), F.lit("\u0000")))
+        "maxRecordsPerFile", 200).option("lineSep", SEPARATOR).text(root)
+    read = sources.read_sources(spark, root, "*.txt")
+    bare = F.length(F.replace("content", F.lit(SEPARATOR), F.lit("")))
     repo = F.regexp_extract("path", r"^repo_id=([^/]+)/", 1)
     return read.groupBy(repo.alias("repo_id")).agg(
-        F.sum(F.length("content")).alias("characters"), F.count("*").alias("files"))
+        F.sum(bare).alias("characters"), F.sum(F.length("content") - bare).alias("texts"))
 
 
 @query("graph_tables", f"""WITH {b.DOCS} SELECT repo_id, file_id, lang AS scope FROM docs WHERE lang <> 'en'""")

@@ -15,9 +15,18 @@ SETTINGS = {
     # tables of one file share the hash partitioning on its id, so joins between them need no second shuffle
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # a run with very many heartbeats is merged on the map side
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 
+def apply_settings(spark: SparkSession) -> SparkSession:
+    """Set the library's SQL settings on a given session; all of them can change at run time."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores: int | str = "*", partitions: int = 8, app: str = "codefacts") -> SparkSession:
     """A session on this machine, for tests and the bench."""
     builder = (
