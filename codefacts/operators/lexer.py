@@ -205,16 +205,9 @@ def parts(sources: DataFrame) -> DataFrame:
         (F.col("line") + newlines(lead_blank)).cast("int").alias("line"),
         F.when(kind.isin(*CASES), F.lit(-1)).otherwise(F.size(within)).alias("off"),
         F.when(F.col("sub") > 0, F.element_at("ps", 1)["kind"]).otherwise(kind).alias("first_kind"),
+        ((kind == "if") & ~F.exists(F.slice("ps", F.col("sub") + 2, F.size("ps")), lambda p: p["kind"] == "if")).alias("last_if"),
     )
-    # else, catch and finally continue the last if or try at their brace depth, which may itself be nested
-    same_depth = Window.partitionBy("file_id", "depth").orderBy("seg", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    attach = (
-        F.when(F.col("first_kind").isin("else", "elseif"),
-               F.last(F.when(kind_is("if"), F.col("off")), ignorenulls=True).over(same_depth))
-        .when(F.col("first_kind").isin("catch", "finally"),
-              F.last(F.when(kind_is("try"), F.col("off")), ignorenulls=True).over(same_depth))
-    )
-    rows = rows.withColumn("off", F.col("off") + F.coalesce(attach, F.lit(0))).drop("first_kind")
+    rows = _attached(rows)
     # a brace after nested heads opens more than one level; its closing brace takes them back
     extra = F.when(F.col("opens"), F.col("off") + F.when(kind_is("switch"), 1).otherwise(0))
     brace = F.when(F.col("opens"), F.col("depth")).when(kind_is("close"), F.col("depth") - 1)
@@ -239,6 +232,27 @@ def parts(sources: DataFrame) -> DataFrame:
     )
 
 
+def _attached(rows: DataFrame) -> DataFrame:
+    """Put else, catch and finally, with what follows them, at the level of the if or try they continue.
+
+    An else belongs to the last ``if`` at its brace depth. That one may itself stand in an else without braces, so
+    the levels of such a chain add up; the chain starts at the last ``if`` whose segment is no else.
+    """
+    at = ["seg", "sub"]
+    depth = Window.partitionBy("file_id", "depth").orderBy(*at)
+    is_else = F.col("first_kind").isin("else", "elseif")
+    starts = (F.col("last_if") & ~is_else).cast("int")
+    rows = rows.withColumn("chain", F.sum(starts).over(depth.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    chain = Window.partitionBy("file_id", "depth", "chain").orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)
+    above = F.coalesce(F.sum(F.when(F.col("last_if"), F.col("off"))).over(chain), F.lit(0))
+    rows = rows.withColumn("above", F.when(is_else & (F.col("sub") == 0), above))
+    segment = Window.partitionBy("file_id", "seg").orderBy("sub")
+    rows = rows.withColumn("off", F.col("off") + F.coalesce(F.first("above").over(segment), F.lit(0)).cast("int"))
+    tried = F.last(F.when(kind_is("try"), F.col("off")), ignorenulls=True).over(depth.rowsBetween(Window.unboundedPreceding, -1))
+    follows = F.when(F.col("first_kind").isin("catch", "finally"), tried)
+    return rows.withColumn("off", F.col("off") + F.coalesce(follows, F.lit(0))).drop("first_kind", "last_if", "chain", "above")
+
+
 def kind_is(*kinds: str) -> Column:
     return F.col("kind").isin(*kinds)
 

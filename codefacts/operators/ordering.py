@@ -1,7 +1,7 @@
 """Ordered work inside groups of any size.
 
-A window over one key puts the whole key into one task. When the input is small (by the plan's own size
-estimate) that is the best plan and it is used as it is. Beyond that, the order column is cut at sampled
+A window over one key puts the whole key into one task. When the input is small (by the size of the files it
+reads) that is the best plan and it is used as it is. Beyond that, the order column is cut at sampled
 split points, so that each (key, piece) is ranked by itself and a table with one row per (key, piece) carries
 counts or last values from piece to piece. Results are equal in both forms; only the plan differs.
 """
@@ -15,16 +15,19 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import estimated_bytes
+from ..session import input_bytes
 
 MAX_WINDOW_BYTES = 1 << 30
 PIECES_PER_LIMIT = 4
+BYTES_PER_ROW = 100  # where a source does not know its size
 MAX_PIECES = 10_000
 
 
 def split_points(df: DataFrame, order_col: str, max_bytes: int = MAX_WINDOW_BYTES) -> list[float]:
     """Quantiles of ``order_col`` that cut a large table into pieces; none when the table is small."""
-    size = estimated_bytes(df)
+    size = input_bytes(df)
+    if size is None:
+        size = df.count() * BYTES_PER_ROW
     if size <= max_bytes:
         return []
     pieces = min(MAX_PIECES, max(2, math.ceil(size / max(max_bytes, 1)) * PIECES_PER_LIMIT))
@@ -67,9 +70,7 @@ def positions(
         .select(*keys, "_piece", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     )
     numbered = cut.withColumn("_rank", F.row_number().over(local).cast("long") - 1)
-    return numbered.join(offsets, [*keys, "_piece"]).withColumn(out, F.col("_rank") + F.col("_offset")).drop(
-        "_piece", "_rank", "_offset"
-    )
+    return numbered.join(offsets, [*keys, "_piece"]).select(*df.columns, (F.col("_rank") + F.col("_offset")).alias(out))
 
 
 def neighbour(
@@ -109,9 +110,7 @@ def neighbour(
     local = Window.partitionBy(*keys, "_piece").orderBy(*rank)
     inside = cut.withColumns({f"_l_{out}": nearest(local, F.col(f"_v_{out}")) for out in values})
     joined = inside.join(carried, [*keys, "_piece"])
-    result = joined.withColumns({out: F.coalesce(f"_l_{out}", f"_c_{out}") for out in values})
-    helpers = [f"{prefix}{out}" for out in values for prefix in ("_v_", "_l_", "_c_")]
-    return result.drop("_piece", *helpers)
+    return joined.select(*df.columns, *[F.coalesce(f"_l_{out}", f"_c_{out}").alias(out) for out in values])
 
 
 def with_group_count(df: DataFrame, keys: list[str], out: str = "total") -> DataFrame:
