@@ -156,6 +156,11 @@ class CodeFacts:
                 F.array().cast("array<string>")).alias("inside"),
         )
 
+    @cached_property
+    def failed(self) -> DataFrame:
+        """Files that could not be read, with the reason; they have no other facts."""
+        return self.parts.filter("kind = 'error'").select("file_id", F.col("text").alias("error"))
+
     @cached_property
     def packages(self) -> DataFrame:
         found = F.regexp_extract("mask", r"^package\s+([\w.$]+)", 1)

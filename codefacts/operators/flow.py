@@ -317,7 +317,7 @@ def variables(mask: Column) -> Column:
     bare = mask
     for pattern in (
         r'"s*"', lexer.BRACES, lexer.SQUARES, rf"\bnew\s+[\w.$]+\s*(?:{lexer.ANGLES})?|\binstanceof\s+[\w.$]+", CAST,
-        rf"(?:\(\s*(?:{NAME}\s*,?\s*)*\)|\b{NAME})\s*->",
+        rf"(?:\([\w$,\s]*+\)|\b{NAME})\s*->",
     ):
         bare = F.regexp_replace(bare, pattern, " ")
     names = F.regexp_extract_all(bare, F.lit(VARIABLE), F.lit(0))

@@ -51,6 +51,7 @@ HEAD = (
 NESTING = ("if", "elseif", "else", "while", "for", "switch", "do", "synchronized", "try", "catch", "finally")
 CASES = ("case", "default")
 TYPES = ("class", "interface", "enum")
+MAX_LEVEL = 100
 TYPE_HEAD = rf"(?s)(?:^|[\s)])(class|interface|enum)\s+({NAME})"
 
 
@@ -142,9 +143,11 @@ def segments(sources: DataFrame) -> DataFrame:
 
     flat = joined.select("file_id", "seg", "line", last.alias("ender"), text_of("text").alias("text"), text_of("mask").alias("mask"))
     total = Window.partitionBy("file_id").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
-    return flat.withColumn("depth", F.coalesce(F.sum(brace).over(total), F.lit(0))).filter(
-        (F.col("ender") != "") | (F.trim("mask") != "")
-    )
+    whole = Window.partitionBy("file_id")
+    deep = flat.withColumn("depth", F.coalesce(F.sum(brace).over(total), F.lit(0)))
+    return deep.withColumn(
+        "unbalanced", (F.sum(brace).over(whole) != 0) | (F.min(F.col("depth") + brace).over(whole) < 0)
+    ).filter((F.col("ender") != "") | (F.trim("mask") != ""))
 
 
 def squeeze(text: Column) -> Column:
@@ -168,6 +171,9 @@ def parts(sources: DataFrame) -> DataFrame:
 
     Columns: file_id, ord (order in the file), level, kind, opens, closes, text, mask, line. ``kind`` is the keyword of
     a head, the keyword of a type header, and ``plain`` otherwise.
+
+    A file whose braces do not match, or that nests deeper than ``MAX_LEVEL``, cannot be read: it gives one part of
+    kind ``error`` that says why, as a parser would fail on it.
     """
     mask = F.col("mask")
     heads = F.regexp_extract_all(mask, F.lit(HEAD), F.lit(0))
@@ -192,7 +198,7 @@ def parts(sources: DataFrame) -> DataFrame:
     open_at = F.when(F.col("ender") == "{", F.size("ps") - 1).otherwise(F.lit(-1))
     shaped = segs.withColumn("ps", listed).withColumn("all", F.concat("ps", close))
     exploded = shaped.select(
-        "file_id", "seg", "ender", "depth", "text", "mask", "line", open_at.alias("open_at"), "ps",
+        "file_id", "seg", "ender", "depth", "text", "mask", "line", "unbalanced", open_at.alias("open_at"), "ps",
         F.posexplode("all").alias("sub", "p"),
     )
     raw = F.substring(F.col("mask"), F.col("p.off") + 1, F.col("p.len"))
@@ -200,7 +206,7 @@ def parts(sources: DataFrame) -> DataFrame:
     kind = F.col("p.kind")
     within = F.filter(F.slice("ps", F.lit(1), F.col("sub")), lambda p: p["kind"].isin(*NESTING))
     rows = exploded.select(
-        "file_id", "seg", "sub", "depth", kind.alias("kind"), (F.col("sub") == F.col("open_at")).alias("opens"),
+        "file_id", "seg", "sub", "depth", "unbalanced", kind.alias("kind"), (F.col("sub") == F.col("open_at")).alias("opens"),
         F.substring("text", F.col("p.off") + 1, F.col("p.len")).alias("text"), raw.alias("mask"),
         (F.col("line") + newlines(lead_blank)).cast("int").alias("line"),
         F.when(kind.isin(*CASES), F.lit(-1)).otherwise(F.size(within)).alias("off"),
@@ -224,11 +230,16 @@ def parts(sources: DataFrame) -> DataFrame:
     # the condition that ends a do loop is not a loop of its own
     same_level = Window.partitionBy("file_id", "level").orderBy("ord")
     tail_of_do = kind_is("while") & ~F.col("opens") & (F.lag(F.when(~kind_is("close"), F.col("kind"))).over(same_level) == "do")
-    return levelled.withColumn("tail", F.coalesce(tail_of_do, F.lit(False))).filter(
-        ~F.col("tail") & ~kind_is("close")
-    ).select(
-        "file_id", "ord", F.col("level").cast("int").alias("level"), "kind", "opens",
-        squeeze(F.col("text")).alias("text"), squeeze(F.col("mask")).alias("mask"), "line",
+    too_deep = F.max("level").over(Window.partitionBy("file_id")) > MAX_LEVEL
+    error = F.when(F.col("unbalanced"), F.lit("braces do not match")).when(too_deep, F.lit("nested too deep"))
+    read = levelled.withColumn("tail", F.coalesce(tail_of_do, F.lit(False))).withColumn("error", error)
+    kept = F.when(F.col("error").isNull(), ~F.col("tail") & ~kind_is("close")).otherwise(F.col("ord") == 1)
+    bad = F.col("error").isNotNull()
+    return read.filter(kept).select(
+        "file_id", "ord", F.when(bad, 0).otherwise(F.col("level")).cast("int").alias("level"),
+        F.when(bad, F.lit("error")).otherwise(F.col("kind")).alias("kind"), (F.col("opens") & ~bad).alias("opens"),
+        F.coalesce("error", squeeze(F.col("text"))).alias("text"),
+        F.when(bad, F.lit("")).otherwise(squeeze(F.col("mask"))).alias("mask"), "line",
     )
 
 

