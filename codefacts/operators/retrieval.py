@@ -64,7 +64,7 @@ def _counted(terms: DataFrame, group: str) -> DataFrame:
 
 def keyword_search(
     queries: DataFrame, chunks: DataFrame, id_col: str = "id", text: str = "text", group: str = "repo_id",
-    k: int = TOP_K,
+    k: int = TOP_K, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
     """BM25 top k per question ``(query_id, group, query)`` within its repository.
 
@@ -74,20 +74,79 @@ def keyword_search(
     wanted = asked.select(group, "term").distinct()
     found = _counted(_terms(chunks, id_col, text, group).join(wanted, [group, "term"], "left_semi"), group)
     size = F.size(tokens(F.col(text)))
-    corpus = chunks.filter(size > 0).groupBy(group).agg(
-        F.count("*").alias("n"), F.avg(size).alias("avg_len")
-    )
+    corpus = chunks.filter(size > 0).groupBy(group).agg(F.count("*").alias("n"), F.avg(size).alias("avg_len"))
     df = found.groupBy(group, "term").agg(F.count("*").alias("df"))
-    weights = asked.join(df, [group, "term"]).join(corpus, group).select(
-        "query_id", group, "term", "avg_len",
-        F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"),
-    )
     tf = F.col("tf")
-    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = found.join(weights, [group, "term"]).groupBy("query_id", group, "id").agg(
-        F.round(F.sum(part), SCORE_DIGITS).alias("score")
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    scored = found.join(df, [group, "term"]).join(corpus, group).select(group, "id", "term", part.alias("part"))
+    # questions and chunks meet in blocks of bounded size, so their pairs are never rows
+    sizes = _sizes(corpus.select(group, F.col("n").alias("_nv")), queries, group, block_rows, query_rows)
+    left = _spread(asked, sizes, group, "query_id", "_q", "_v", ["term"])
+    right = _spread(scored, sizes, group, "id", "_v", "_q", ["term", "part"])
+    return top_k(_in_blocks(left, right, group, lambda q, c: _block_terms(q, c, k)), k)
+
+
+def _sizes(counts: DataFrame, queries: DataFrame, group: str, block_rows: int, query_rows: int) -> DataFrame:
+    """Number of blocks of each side per group."""
+    asked = queries.groupBy(group).agg(F.count("*").alias("_nq"))
+    return counts.join(asked, group).select(
+        group,
+        F.ceil(F.col("_nv") / block_rows).cast("int").alias("_bv"),
+        F.ceil(F.col("_nq") / query_rows).cast("int").alias("_bq"),
     )
-    return top_k(scored.drop(group), k)
+
+
+def _spread(df: DataFrame, sizes: DataFrame, group: str, key: str, own: str, other: str, columns: list[str]) -> DataFrame:
+    """Rows in the block of their key, once for every block of the other side."""
+    count = {"_q": "_bq", "_v": "_bv"}
+    placed = df.join(sizes, group).withColumn(own, F.pmod(F.xxhash64(key), F.col(count[own])).cast("int")).withColumn(
+        other, F.explode(F.sequence(F.lit(0), F.col(count[other]) - 1)))
+    # fresh attribute names: questions may come from the searched table itself
+    return placed.select(*[F.col(c).alias(c) for c in (group, "_q", "_v", key, *columns)])
+
+
+def _in_blocks(left: DataFrame, right: DataFrame, group: str, body) -> DataFrame:
+    """Run a function on each pair of blocks; it returns the best hits of the block per question."""
+    on = [group, "_q", "_v"]
+    ids = [f"{c} {side.schema[c].dataType.simpleString()}" for c, side in (("query_id", left), ("id", right))]
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(body, ", ".join([*ids, "score double"]))
+
+
+def _best(query_ids: np.ndarray, ids: np.ndarray, raw: np.ndarray, found: np.ndarray | None, k: int) -> pd.DataFrame:
+    """The k best of each row of a score matrix, ties by id."""
+    scores = np.round(raw, SCORE_DIGITS)
+    if found is not None:
+        scores = np.where(found, scores, -np.inf)
+    picked = []
+    for row in scores:
+        limit = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+        near = np.flatnonzero((row >= limit) & (row > -np.inf))
+        picked.append(near[np.lexsort((ids[near], -row[near]))[:k]])
+    return pd.DataFrame({
+        "query_id": np.repeat(query_ids, [len(p) for p in picked]),
+        "id": np.concatenate([ids[p] for p in picked]),
+        "score": np.concatenate([row[p] for row, p in zip(scores, picked)]),
+    })
+
+
+def _nothing() -> pd.DataFrame:
+    return pd.DataFrame({"query_id": [], "id": [], "score": []})
+
+
+def _block_terms(asked: pd.DataFrame, postings: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Exact keyword scores of one block of chunks for one block of questions, term by term."""
+    if asked.empty or postings.empty:
+        return _nothing()
+    rows, query_ids = pd.factorize(asked["query_id"])
+    columns, ids = pd.factorize(postings["id"])
+    total = np.zeros((len(query_ids), len(ids)))
+    wanted = pd.Series(rows).groupby(asked["term"].to_numpy()).indices
+    parts = postings["part"].to_numpy()
+    for term, at in postings.groupby("term").indices.items():
+        if term in wanted:
+            total[np.ix_(rows[wanted[term]], columns[at])] += parts[at]
+    return _best(np.asarray(query_ids), np.asarray(ids), total, total > 0, k)
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
@@ -106,15 +165,9 @@ def _unit(vectors: pd.Series) -> np.ndarray:
 def _block_top(questions: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
     """Exact best ``k`` of one block of vectors for one block of questions: one matrix product."""
     if questions.empty or vectors.empty:
-        return pd.DataFrame({"query_id": [], "id": [], "score": []})
-    scores = np.round(_unit(questions["vector"]) @ _unit(vectors["vector"]).T, SCORE_DIGITS)
-    ids = vectors["id"].to_numpy()
-    best = [np.lexsort((ids, -row))[:k] for row in scores]
-    return pd.DataFrame({
-        "query_id": np.repeat(questions["query_id"].to_numpy(), [len(b) for b in best]),
-        "id": np.concatenate([ids[b] for b in best]),
-        "score": np.concatenate([row[b] for row, b in zip(scores, best)]),
-    })
+        return _nothing()
+    scores = _unit(questions["vector"]) @ _unit(vectors["vector"]).T
+    return _best(questions["query_id"].to_numpy(), vectors["id"].to_numpy(), scores, None, k)
 
 
 def knn(
@@ -127,36 +180,11 @@ def knn(
     bounded size, by a hash of their ids: a group with a third of all vectors becomes as many blocks as it needs. A
     task holds one block of each side, and only k rows per question leave it. Pairs are never rows of a DataFrame.
     """
-    sizes = vectors.groupBy(group).agg(F.count("*").alias("_nv")).join(
-        queries.groupBy(group).agg(F.count("*").alias("_nq")), group
-    ).select(
-        group,
-        F.ceil(F.col("_nv") / block_rows).cast("int").alias("_bv"),
-        F.ceil(F.col("_nq") / query_rows).cast("int").alias("_bq"),
-    )
-
-    def blocks(count: str) -> Column:
-        return F.sequence(F.lit(0), F.col(count) - 1)
-
-    left = (
-        queries.join(sizes, group)
-        .withColumn("_q", F.pmod(F.xxhash64("query_id"), F.col("_bq")).cast("int"))
-        .withColumn("_v", F.explode(blocks("_bv")))
-        .select(group, "_q", "_v", "query_id", "vector")
-    )
-    right = (
-        vectors.join(sizes, group)
-        .withColumn("_v", F.pmod(F.xxhash64("id"), F.col("_bv")).cast("int"))
-        .withColumn("_q", F.explode(blocks("_bq")))
-        # fresh attribute names: questions may come from the searched table itself
-        .select(*[F.col(c).alias(c) for c in (group, "_q", "_v", "id", "vector")])
-    )
-    on = [group, "_q", "_v"]
-    ids = [f"{c} {side.schema[c].dataType.simpleString()}" for c, side in (("query_id", left), ("id", right))]
-    partial = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(
-        lambda q, v: _block_top(q, v, k), ", ".join([*ids, "score double"])
-    )
-    return top_k(partial, k)
+    counts = vectors.groupBy(group).agg(F.count("*").alias("_nv"))
+    sizes = _sizes(counts, queries, group, block_rows, query_rows)
+    left = _spread(queries, sizes, group, "query_id", "_q", "_v", ["vector"])
+    right = _spread(vectors, sizes, group, "id", "_v", "_q", ["vector"])
+    return top_k(_in_blocks(left, right, group, lambda q, v: _block_top(q, v, k)), k)
 
 
 def hybrid(vector_hits: DataFrame, keyword_hits: DataFrame, k: int = TOP_K) -> DataFrame:
