@@ -16,6 +16,7 @@ K1, B = 1.2, 0.75  # published BM25 constants
 RRF = 60  # published constant of reciprocal rank fusion
 BLOCK_ROWS = 8_192  # vectors of one block of the similarity join
 QUERY_ROWS = 1_024  # questions of one block of the similarity join
+KEYWORD_ROWS = 512  # chunks of one block of the keyword search: its scores stay in the processor cache
 SCORE_DIGITS = 6
 
 
@@ -64,7 +65,7 @@ def _counted(terms: DataFrame, group: str) -> DataFrame:
 
 def keyword_search(
     queries: DataFrame, chunks: DataFrame, id_col: str = "id", text: str = "text", group: str = "repo_id",
-    k: int = TOP_K, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS,
+    k: int = TOP_K, block_rows: int = KEYWORD_ROWS, query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
     """BM25 top k per question ``(query_id, group, query)`` within its repository.
 
