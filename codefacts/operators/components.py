@@ -1,42 +1,54 @@
-"""Weakly connected components by label exchange with pointer jumping."""
+"""Weakly connected components by alternating large and small stars."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import delete_table, new_table_path
 
 
-def components(nodes: DataFrame, edges: DataFrame, keys: list[str], max_rounds: int = 200) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """Label every node with the smallest node of its component, per graph.
 
-    ``nodes(keys…, node)`` and ``edges(keys…, src, dst)``. Each round takes the minimum over the neighbours (partial
-    minima first, so a hub sends one row per partition) and then jumps to the label of the label. Every round ends
-    in a checkpoint in the shared folder, so a lost executor costs one round at most.
+    ``nodes(keys…, node)`` and ``edges(keys…, src, dst)``; ends of edges that ``nodes`` lacks are labelled too. Edges
+    with a null end are ignored. A large star links each larger neighbour of a node to the smallest node around it, a
+    small star does the same with the smaller neighbours; both keep the components and never add edges, and after
+    O(log n) rounds every node hangs on the smallest one. Minima are partial sums, so a hub sends one row per task, and
+    the joins back have one row per node on one side, so a hub can be split. Each round is a table in the shared
+    folder; the one before is deleted.
     """
-    shared_dir(nodes.sparkSession)
-    pair = edges.select(*keys, "src", "dst").filter("src <> dst")
-    both = pair.unionByName(pair.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    both = both.checkpoint()
-    labels = (
-        nodes.select(*keys, "node").unionByName(both.select(*keys, F.col("src").alias("node"))).distinct()
-        .withColumn("label", F.col("node")).checkpoint()
+    spark = nodes.sparkSession
+    path, seen = None, None
+    pair = edges.select(*keys, "src", "dst").filter("src <> dst").select(
+        *keys, F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")
     )
-    for _ in range(max_rounds):
-        offers = (
-            both.join(labels.withColumnRenamed("node", "dst"), [*keys, "dst"])
-            .groupBy(*keys, F.col("src").alias("node")).agg(F.min("label").alias("offer"))
-        )
-        lower = labels.join(offers, [*keys, "node"], "left").select(
-            *keys, "node", F.col("label").alias("before"), F.least("label", "offer").alias("label")
-        )
-        targets = lower.select(*keys, F.col("node").alias("label"), F.col("label").alias("jump"))
-        jumped = lower.join(targets, [*keys, "label"], "left").select(
-            *keys, "node", "before", F.least("label", "jump").alias("label")
-        ).checkpoint()
-        moved = jumped.filter("label <> before").limit(1).count()
-        labels = jumped.drop("before")
-        if not moved:
-            return labels
-    raise RuntimeError(f"labels still change after {max_rounds} rounds")
+    while True:
+        if path is None:
+            large = pair.distinct()
+        else:
+            both = pair.unionByName(pair.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst")))
+            least = both.groupBy(*keys, "src").agg(F.min("dst").alias("low"))
+            large = both.filter("dst > src").join(least, [*keys, "src"]).select(
+                *keys, F.col("dst").alias("src"), F.least("src", "low").alias("dst")
+            ).distinct()
+        least = large.groupBy(*keys, "src").agg(F.min("dst").alias("low"))
+        small = large.join(least, [*keys, "src"]).select(
+            *keys, F.when(F.col("dst") == F.col("low"), F.col("src")).otherwise(F.col("dst")).alias("src"),
+            F.col("low").alias("dst"),
+        ).distinct()
+        new = new_table_path(spark, "stars")
+        small.write.parquet(new)
+        pair = spark.read.schema(small.schema).parquet(new)
+        now = pair.agg(F.count("*"), F.sum(F.xxhash64(*keys, "src", "dst").cast("decimal(38,0)"))).first()
+        if path is not None:
+            delete_table(spark, path)
+        if now == seen or not now[0]:
+            break
+        path, seen = new, now
+    every = nodes.select(*keys, "node").unionByName(
+        edges.filter("src <> dst").select(*keys, F.explode(F.array("src", "dst")).alias("node"))
+    ).distinct()
+    return every.join(
+        pair.select(*keys, F.col("src").alias("node"), F.col("dst").alias("label")), [*keys, "node"], "left"
+    ).withColumn("label", F.coalesce("label", "node"))

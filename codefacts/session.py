@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,24 +44,10 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "codef
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
-
-    Only a session on one machine may fall back to a temporary folder.
-    """
+    """The folder every executor can reach: ``spark.checkpoint.dir`` as the cluster names it, or where that is unset a
+    folder of the warehouse, which Spark's own tables need to be shared as well. Never a machine-local folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if named:
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(named)
-        return named.rstrip("/")
-    current = context.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="codefacts-")
-    context.setCheckpointDir(folder)
-    return folder
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/codefacts_work").rstrip("/")
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
@@ -70,6 +55,12 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def delete_table(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more; works on any file system Spark can write to."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table once to the shared folder and read it back: survives lost executors and cuts lineage."""
     spark = df.sparkSession

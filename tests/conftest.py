@@ -1,14 +1,13 @@
 import pytest
 
-from codefacts.session import local_session, shared_dir
+from codefacts.session import local_session
 
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = local_session(4, partitions=4, app="codefacts-tests")
     if not session.conf.get("spark.checkpoint.dir", None):
-        session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
-    shared_dir(session)
+        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 
