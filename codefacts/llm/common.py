@@ -20,6 +20,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Rows of whole texts go to Python in small batches, so memory follows a batch and not a partition."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # a job's shuffle files go when it ends, not when the driver happens to collect its garbage
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 
@@ -38,6 +40,17 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ).select("id", F.xxhash64("text").alias("rid"), "text")
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once per row, however often they are used.
+
+    The optimizer copies an expression into every filter and field that refers to it, which multiplies with each level.
+    It doesn't look through an explode, here of an array of one.
+    """
+    one = F.struct(*(c.alias(n) for n, c in columns.items()))
+    df = df.withColumn("__one", F.explode(F.array(one)))
+    return df.withColumns({n: F.col("__one")[n] for n in columns}).drop("__one")
+
+
 def shown_id(name: str) -> Column:
     """The id column under its own name, null again where it was null."""
     return F.when(F.col("id") != NO_ID, F.col("id")).alias(name)
