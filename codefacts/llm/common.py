@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed: the bytes that part words, and the same as a Spark regular expression.
@@ -51,6 +51,18 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.withColumns({n: F.col("__one")[n] for n in columns}).drop("__one")
 
 
+def only_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``kept`` (id_col, text_hash) names, whole copies once.
+
+    Of rows with equal id and text whose other columns differ, the one with the smallest hash of all columns stays.
+    """
+    keys = {"__id": F.coalesce(named(id_col).cast("long"), F.lit(NO_ID)), "__rid": F.xxhash64(F.coalesce(named(text_col).cast("string"), F.lit("")))}
+    wanted = kept.select(F.coalesce(named(id_col), F.lit(NO_ID)).alias("__id"), F.col("text_hash").alias("__rid"))
+    order = Window.partitionBy("__id", "__rid").orderBy(F.xxhash64(*(named(c) for c in docs.columns)))
+    found = docs.withColumns(keys).join(wanted, ["__id", "__rid"], "left_semi")
+    return found.withColumn("__nth", F.row_number().over(order)).filter("__nth = 1").select(*(named(c) for c in docs.columns))
+
+
 def shown_id(name: str) -> Column:
     """The id column under its own name, null again where it was null."""
     return F.when(F.col("id") != NO_ID, F.col("id")).alias(name)

@@ -80,7 +80,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The group of equal texts that each row is in.
 
-    Returns (id_col, keep_id, group_size, kept, text_sha256), one row per row of ``docs``. Texts are equal when they are
+    Returns (id_col, keep_id, group_size, kept, text_sha256, text_hash), one row per row of ``docs``; ``text_hash`` is the
+    row's own as ``common.only_rows`` takes it. Texts are equal when they are
     identical after A-Z are put in lower case; a null text is an empty one. Of a group the row with the largest id
     stays; a null id is smaller than all others, and of rows with that id and equal texts one stays. ``text_sha256`` is
     that of the text in lower case. Other columns are ignored.
@@ -116,4 +117,5 @@ def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(
         shown_id(id_col), F.when(F.col("keep") != NO_ID, F.col("keep")).alias("keep_id"), "group_size",
         ((F.col("id") == F.col("keep")) & (F.col("nth") == 1)).alias("kept"), "text_sha256",
+        F.col("rid").alias("text_hash"),
     )

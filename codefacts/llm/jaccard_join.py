@@ -239,7 +239,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 threshold: Fraction = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """Classes of documents that links join, links being pairs with a Jaccard similarity of ``threshold`` or more.
 
-    Returns (id_col, class_id, n_links, kept), one row per row of ``docs``: the smallest id of the class, the number of
+    Returns (id_col, class_id, n_links, kept, text_hash), one row per row of ``docs``: the smallest id of the class, the number of
     other rows linked to this one (copies count), and whether this row is the one of its class that stays, that with
     the smallest id. Words are ``[^\\x20\\x09-\\x0D]+``, as they stand. A text of fewer than k words is one run of all
     its words. Null and empty texts have no words and link to nothing. A null id counts as smaller than all others and
@@ -289,5 +289,5 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(
         shown_id(id_col), F.nullif(F.coalesce(F.col("least.id"), F.col("id")), F.lit(NO_ID)).alias("class_id"),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-        (F.coalesce(F.col("least"), own) == own).alias("kept"),
+        (F.coalesce(F.col("least"), own) == own).alias("kept"), F.col("rid").alias("text_hash"),
     )

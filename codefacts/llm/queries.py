@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import encode_and_decode
 from .exact_dedup import equal_groups
+from .html_main_text import extract, train_from
 from .jaccard_join import near_groups
 from .line_dedup import drop_repeated_lines
 from .packing import pack
@@ -111,6 +112,12 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op3_html_main_text")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    return extract(pages, train_from(pages, documents(spark, folder)))
+
+
 @query("op4_token_counts")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
@@ -184,7 +191,7 @@ SELECT r.doc_id, class_id, (SELECT count(*) FROM links WHERE a = r.doc_id) AS n_
 FROM (SELECT doc_id, min(class_id) AS class_id FROM reach GROUP BY doc_id) r
 """)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
-    return near_groups(documents(spark, folder))
+    return near_groups(documents(spark, folder)).drop("text_hash")
 
 
 @query("op9_packing")
@@ -198,4 +205,4 @@ g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY t
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM t JOIN g USING (t)
 """)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
-    return equal_groups(documents(spark, folder))
+    return equal_groups(documents(spark, folder)).drop("text_hash")
