@@ -12,13 +12,13 @@ from ..functions import keys
 from ..functions.languages import JAVA_LANG_TYPES
 from ..session import materialize
 from . import lexer
-from .lexer import ANGLES, NAME, PARENS, TYPES
+from .lexer import ANGLES, NAME, PARENS, TYPES, WORD
 
 MODIFIERS = "public|protected|private|static|final|abstract|native|synchronized|transient|volatile|strictfp|default"
 ANNOTATION = rf"@(?!interface\b){NAME}(?:\.{NAME})*(?:\s*{PARENS})?"
 PREFIX = rf"(?s)^(?:(?:{ANNOTATION}|(?:{MODIFIERS})\b(?!\s*:))\s*)*+"
 TYPE = rf"{NAME}(?:\s*\.\s*{NAME})*+(?:\s*{ANGLES})?(?:\s*\.\s*{NAME}(?:\s*{ANGLES})?)*(?:\s*\[\s*\])*"
-METHOD = rf"(?s)^(?:{ANGLES}\s*)?({TYPE})\s+({NAME})\s*({PARENS})\s*((?:\[\s*\]\s*)*)(?:throws\s+([\w.$,\s]+?))?\s*(?:default\b.*)?$"
+METHOD = rf"(?s)^(?:{ANGLES}\s*)?({TYPE})\s+({NAME})\s*({PARENS})\s*((?:\[\s*\]\s*)*)(?:throws\s+([{WORD}.,\s]+?))?\s*(?:default\b.*)?$"
 FIELD = rf"(?s)^({TYPE})\s+({NAME}\s*(?:[\[=,].*)?)$"
 PARAMETER = rf"(?:[^,<>()]++|{ANGLES}|{PARENS})++"
 PARAMETER_PARTS = rf"(?s)^({TYPE})\s*(\.\.\.)?\s*\b({NAME})\s*((?:\[\s*\]\s*)*)$"
@@ -26,7 +26,7 @@ DECLARATOR = rf"(?:^|,)\s*({NAME})\s*(?:\[\s*\]\s*)*(?==[^=]|,|$)"
 # Words that start a statement and are no type.
 NOT_A_TYPE = "return|throw|new|else|assert|break|continue|case|package|import|goto|yield|instanceof"
 LOCAL = rf"(?s)^(?:(?:final|{ANNOTATION})\s+)*(?!(?:{NOT_A_TYPE})\b)({TYPE})\s+({NAME}\s*(?:\[\s*\]\s*)*(?:[=,].*)?)$"
-TARGET = rf"(?:[\w$.\s]++|{PARENS}|{lexer.SQUARES})++"
+TARGET = rf"(?:[{WORD}.\s]++|{PARENS}|{lexer.SQUARES})++"
 ASSIGNMENT = rf"(?s)^({TARGET})\s*(?:[-+*/%&|^]|<<|>>>?)?=(?!=)(.*)$"
 # Bodies whose statements are not listed.
 UNLISTED = ("switch", "do", "synchronized")
@@ -41,7 +41,7 @@ def union_kinds(kinds: dict[str, DataFrame]) -> DataFrame:
 def plain_type(text: Column) -> Column:
     """Type text in one form: no blanks but one after each comma and around words."""
     tight = F.regexp_replace(F.trim(text), r"\s*([<>\[\].?&])\s*", "$1")
-    return F.regexp_replace(F.regexp_replace(tight, r"\s*,\s*", ", "), r"\?(?=\w)", "? ")
+    return F.regexp_replace(F.regexp_replace(tight, r"\s*,\s*", ", "), rf"\?(?=[{WORD}])", "? ")
 
 
 def resolve_type(simple: Column, imports: Column, package: Column) -> Column:
@@ -115,7 +115,7 @@ def statement_kind(mask: Column) -> Column:
         .when(mask.rlike(ASSIGNMENT), "Assignment")
         .when(mask.rlike(r"^new\b"), "ClassCreator")
         .when(mask.rlike(r"^this\b"), "FieldAccess")
-        .when(mask.rlike(rf"(?s)^(?!super\b)[\w$.\s]*{NAME}\s*{PARENS}"), "MethodInvocation")
+        .when(mask.rlike(rf"(?s)^(?!super\b)[{WORD}.\s]*{NAME}\s*{PARENS}"), "MethodInvocation")
         .otherwise("Expression")
     )
 
@@ -133,14 +133,10 @@ class CodeFacts:
         self.keep = keep
         self.parts = lexer.by_file(keep(lexer.parts(sources), "parts") if parts is None else parts)
 
-    @cached_property
-    def deepest(self) -> int:
-        return lexer.max_level(self.parts)
-
     @cached_property
     def tree(self) -> DataFrame:
         """Parts with their ancestors, owner type and method (by ``ord``), and the ancestors inside the method."""
-        rows = lexer.with_ancestors(self.parts, self.deepest, F.struct("ord", "kind"), "anc")
+        rows = lexer.with_ancestors(self.parts, F.struct("ord", "kind"), "anc")
         from_end = F.array_position(F.reverse(F.transform("anc", lambda a: F.when(
             a["kind"].isin(*TYPES), F.lit("type")).otherwise(a["kind"]))), "type").cast("int")
         rows = rows.withColumn("up", from_end)
@@ -163,13 +159,13 @@ class CodeFacts:
 
     @cached_property
     def packages(self) -> DataFrame:
-        found = F.regexp_extract("mask", r"^package\s+([\w.$]+)", 1)
+        found = F.regexp_extract("mask", rf"^package\s+([{WORD}.]+)", 1)
         return self.parts.filter("level = 0 AND mask LIKE 'package%'").select(
             "file_id", found.alias("package")).filter("package <> ''")
 
     @cached_property
     def imports(self) -> DataFrame:
-        pattern = r"^import\s+(static\s+)?([\w.$]+?)(\.\*)?$"
+        pattern = rf"^import\s+(static\s+)?([{WORD}.]+?)(\.\*)?$"
         rows = self.parts.filter("level = 0 AND mask LIKE 'import%'").filter(F.col("mask").rlike(pattern))
         order = Window.partitionBy("file_id").orderBy("ord")
         return rows.select(
@@ -202,7 +198,7 @@ class CodeFacts:
     def types(self) -> DataFrame:
         head = rf"(?s)^(class|interface|enum)\s+({NAME})"
         bare = F.regexp_replace(F.regexp_replace("rest", ANGLES, ""), r"\s+", " ")
-        extends = names_of(F.regexp_extract(bare, r"\bextends ([\w.$, ]+?)(?: implements\b|$)", 1))
+        extends = names_of(F.regexp_extract(bare, rf"\bextends ([{WORD}., ]+?)(?: implements\b|$)", 1))
         constants = self.tree.filter("member AND owner_kind = 'enum'").groupBy("file_id", "owner_ord").agg(
             F.min_by("mask", "ord").alias("body")).select(
             "file_id", F.col("owner_ord").alias("ord"),
@@ -214,7 +210,7 @@ class CodeFacts:
         found = rows.select(
             "file_id", "ord", name.alias("name"), "kind", fqn.alias("fqn"), keys.type_key(fqn).alias("key"), "modifiers",
             "annotations", extends.alias("extends"),
-            names_of(F.regexp_extract(bare, r"\bimplements ([\w.$, ]+)$", 1)).alias("implements"),
+            names_of(F.regexp_extract(bare, rf"\bimplements ([{WORD}., ]+)$", 1)).alias("implements"),
             F.when(F.col("kind") == "enum", F.coalesce("constants", F.array().cast("array<string>"))).alias("body"),
             F.col("line").alias("line_start"), "total_lines",
         )

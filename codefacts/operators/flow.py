@@ -15,7 +15,7 @@ from ..functions import keys
 from . import lexer
 from .facts import ASSIGNMENT, LOCAL, PREFIX, CodeFacts, plain_type, statement_kind
 from .graph import dfg_metrics, graph_counts, link_def_use, one_edge_per_pair
-from .lexer import NAME, kind_is
+from .lexer import LEFT, NAME, RIGHT, WORD, kind_is
 
 ENTRY, EXIT = 0, 1
 # Parts whose body the graph does not enter.
@@ -33,12 +33,14 @@ WORDS = (
     "volatile while var"
 ).split()
 CAST = (
-    rf"\(\s*(?:(?:byte|short|int|long|float|double|char|boolean)|[A-Z][\w.$]*(?:{lexer.ANGLES})?)\s*(?:\[\s*\])*\s*\)(?=\s*[\w$(])"
+    rf"[({LEFT}]\s*(?:(?:byte|short|int|long|float|double|char|boolean)|\p{{Lu}}[{WORD}.]*(?:{lexer.ANGLES})?)\s*(?:\[\s*\])*\s*[){RIGHT}](?=\s*[{WORD}({LEFT}])"
 )
 DECLARED = rf"(?:[^,(){{}}<>\[\]]++|{lexer.PARENS}|{lexer.ANGLES}|{lexer.BRACES}|{lexer.SQUARES}|[<>])++"
-FOR_EACH = rf"(?s)^((?:final\s+)?[\w$.<>\[\], ?]+?)\s+({NAME})\s*:(?!:)(.*)$"
+FOR_EACH = rf"(?s)^((?:final\s+)?[{WORD}.<>\[\], ?]+?)\s+({NAME})\s*:(?!:)(.*)$"
 STEP = 1 << 20
-VARIABLE = rf"(?<![\w$.@])(?:this\s*\.\s*{NAME}(?![\w$])(?!\s*[(.])|{NAME}(?![\w$])(?!\s*(?:[(.]|::|->)))"
+VARIABLE = (
+    rf"(?<![{WORD}.@])(?:this\s*\.\s*{NAME}(?![{WORD}])(?!\s*[({LEFT}.])|{NAME}(?![{WORD}])(?!\s*(?:[({LEFT}.]|::|->)))"
+)
 
 
 def no_catches() -> Column:
@@ -86,8 +88,7 @@ class Flow:
         shown = steps.select(
             "file_id", "method_ord", F.col("method_key").alias("scope"), "node",
             F.when(branch, F.lit("branch")).otherwise(F.lit("statement")).alias("type"),
-            F.when(F.length(label) > 200, F.concat(F.substring(label, 1, 197), F.lit("..."))).otherwise(label).alias("label"),
-            "line", keys.stmt_key(F.col("path"), F.col("line"), kind, F.col("text")).alias("stmt_key"),
+            label.alias("label"), "line", keys.stmt_key(F.col("path"), F.col("line"), kind, F.col("text")).alias("stmt_key"),
             label.alias("normalized_text"),
         )
         none = F.lit(None)
@@ -125,7 +126,7 @@ class Flow:
         rows = rows.withColumn("catches", F.sort_array(F.collect_list(F.when(kind_is("catch"), F.col("node"))).over(chain)))
         rows = rows.withColumn("finally", F.max(F.when(kind_is("finally"), F.col("node"))).over(chain))
         # the first node at or below a part; the tries on the way down lend their catches
-        rows = lexer.with_ancestors(rows, self.facts.deepest, F.struct(
+        rows = lexer.with_ancestors(rows, F.struct(
             "ord", "level", "kind", "node", "catches", "finally"), "anc")
         order = Window.partitionBy("file_id", "method_ord").orderBy("ord")
         rows = rows.withColumn("first", F.row_number().over(order) == 1)
@@ -154,7 +155,7 @@ class Flow:
             F.col("follow_up.kind") == "else", F.lead("child").over(siblings)))
         # where control goes after a part, unless an enclosing part decides
         own = F.struct("ord", "kind", "node", "next", "finally")
-        rows = lexer.with_ancestors(rows, self.facts.deepest, own, "outer")
+        rows = lexer.with_ancestors(rows, own, "outer")
         inner = F.filter("outer", lambda a: a["ord"] > F.col("method_ord"))
         rows = rows.withColumn("climb", F.concat(F.array(own), F.reverse(inner)))
 
@@ -293,7 +294,7 @@ class Flow:
         rows = self.accesses
         # a method belongs to one file, whose text bounds the windows
         linked = link_def_use(
-            rows.select(F.struct(*scope).alias("scope"), F.col("node").alias("seq"), "var_key", "variable", "op"), points=[])
+            rows.select(F.struct(*scope).alias("scope"), F.col("node").alias("seq"), "var_key", "variable", "op"), bounded=True)
         by_use = linked.filter("def_seq IS NOT NULL").select(
             "scope.*", F.col("def_seq").alias("src"), F.col("seq").alias("dst"), F.lit("def-use").alias("type"), "var_key")
         onward = Window.partitionBy(*scope, "ord", "grp").orderBy(F.desc("node")).rowsBetween(Window.unboundedPreceding, -1)
@@ -316,8 +317,8 @@ def variables(mask: Column) -> Column:
     """Names in an expression in order; ``this.x`` keeps its mark until the owner's fields are known."""
     bare = mask
     for pattern in (
-        r'"s*"', lexer.BRACES, lexer.SQUARES, rf"\bnew\s+[\w.$]+\s*(?:{lexer.ANGLES})?|\binstanceof\s+[\w.$]+", CAST,
-        rf"(?:\([\w$,\s]*+\)|\b{NAME})\s*->",
+        r'"s*"', lexer.BRACES, lexer.SQUARES, rf"\bnew\s+[{WORD}.]+\s*(?:{lexer.ANGLES})?|\binstanceof\s+[{WORD}.]+", CAST,
+        rf"(?:[({LEFT}][{WORD},\s]*+[){RIGHT}]|(?<![{WORD}]){NAME})\s*->",
     ):
         bare = F.regexp_replace(bare, pattern, " ")
     names = F.regexp_extract_all(bare, F.lit(VARIABLE), F.lit(0))

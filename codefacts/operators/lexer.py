@@ -14,8 +14,6 @@ The reading is lexical: ordinary source comes out right, broken source gives wha
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,22 +24,27 @@ TOKEN = (
 )
 
 
-def nested(left: str, right: str, depth: int = 6) -> str:
-    """Pattern of balanced brackets up to a nesting depth."""
-    inner = rf"{left}[^{left}{right}]*+{right}"
+def nested(left: str, right: str, depth: int, none: str = "") -> str:
+    """Pattern of balanced brackets up to a nesting depth; ``none`` are further characters that may not stand inside."""
+    inner = rf"[{left}][^{left}{right}{none}]*+[{right}]"
     for _ in range(depth):
-        inner = rf"{left}(?:[^{left}{right}]++|{inner})*+{right}"
+        inner = rf"[{left}](?:[^{left}{right}{none}]++|{inner})*+[{right}]"
     return inner
 
 
-PARENS = nested(r"\(", r"\)")
-ANGLES = nested("<", ">", 4)
-BRACES = nested(r"\{", r"\}")
-SQUARES = nested(r"\[", r"\]")
-NAME = r"[A-Za-z_$][\w$]*"
+# Parentheses that stand in this many others are written as marks in the mask, so patterns see no deeper ones.
+DEEP = 6
+LEFT, RIGHT = "\ue000", "\ue001"
+PARENS = nested(r"\(", r"\)", DEEP)
+ANGLES = nested("<", ">", 32)
+BRACES = nested(r"\{", r"\}", 32)
+SQUARES = nested(r"\[", r"\]", 32)
+# Java's letters and digits; for use inside a character class.
+WORD = r"\p{L}\p{Nl}\p{Sc}\p{Pc}\p{Mn}\p{Mc}\p{Nd}"
+NAME = rf"[\p{{L}}\p{{Nl}}\p{{Sc}}\p{{Pc}}][{WORD}]*"
 
 # What may stand before a brace that belongs to an expression.
-VALUE_BRACE = rf"(?s)(?:=|\]|->|\breturn)\s*$|\bnew\s+[\w.$]+\s*(?:{ANGLES})?\s*{PARENS}\s*$"
+VALUE_BRACE = rf"(?s)(?:=|\]|->|\breturn)\s*$|\bnew\s+[{WORD}.]+\s*(?:{ANGLES})?\s*{PARENS}\s*$"
 CASE = r"case\b(?:[^:?]|::|\?[^:]*:)*?:(?!:)|default\s*:(?!:)"
 HEAD = (
     rf"\G\s*(?:else\s+if\s*{PARENS}|(?:if|while|for|switch|synchronized|catch|try)\s*{PARENS}"
@@ -51,7 +54,6 @@ HEAD = (
 NESTING = ("if", "elseif", "else", "while", "for", "switch", "do", "synchronized", "try", "catch", "finally")
 CASES = ("case", "default")
 TYPES = ("class", "interface", "enum")
-MAX_LEVEL = 100
 TYPE_HEAD = rf"(?s)(?:^|[\s)])(class|interface|enum)\s+({NAME})"
 
 
@@ -99,7 +101,9 @@ def pieces(sources: DataFrame) -> DataFrame:
         .withColumn("ends", ends)
         .withColumn("piece", F.coalesce(F.sum(F.col("ends").cast("int")).over(before), F.lit(0)))
         .withColumn("clean", clean)
-        .withColumn("mask", F.when(literal, blanked).otherwise(F.col("clean")))
+        .withColumn("mask", F.when(literal, blanked)
+                    .when((tok == "(") & (F.col("par") >= DEEP), LEFT).when((tok == ")") & (F.col("par") > DEEP), RIGHT)
+                    .otherwise(F.col("clean")))
     )
     body = F.sort_array(F.collect_list(F.when(~F.col("ends"), F.struct("pos", "clean", "mask"))))
     return rows.groupBy("file_id", "piece").agg(
@@ -172,8 +176,8 @@ def parts(sources: DataFrame) -> DataFrame:
     Columns: file_id, ord (order in the file), level, kind, opens, closes, text, mask, line. ``kind`` is the keyword of
     a head, the keyword of a type header, and ``plain`` otherwise.
 
-    A file whose braces do not match, or that nests deeper than ``MAX_LEVEL``, cannot be read: it gives one part of
-    kind ``error`` that says why, as a parser would fail on it.
+    A file whose braces do not match cannot be read: it gives one part of kind ``error`` that says why, as a parser
+    would fail on it.
     """
     mask = F.col("mask")
     heads = F.regexp_extract_all(mask, F.lit(HEAD), F.lit(0))
@@ -230,8 +234,7 @@ def parts(sources: DataFrame) -> DataFrame:
     # the condition that ends a do loop is not a loop of its own
     same_level = Window.partitionBy("file_id", "level").orderBy("ord")
     tail_of_do = kind_is("while") & ~F.col("opens") & (F.lag(F.when(~kind_is("close"), F.col("kind"))).over(same_level) == "do")
-    too_deep = F.max("level").over(Window.partitionBy("file_id")) > MAX_LEVEL
-    error = F.when(F.col("unbalanced"), F.lit("braces do not match")).when(too_deep, F.lit("nested too deep"))
+    error = F.when(F.col("unbalanced"), F.lit("braces do not match"))
     read = levelled.withColumn("tail", F.coalesce(tail_of_do, F.lit(False))).withColumn("error", error)
     kept = F.when(F.col("error").isNull(), ~F.col("tail") & ~kind_is("close")).otherwise(F.col("ord") == 1)
     bad = F.col("error").isNotNull()
@@ -268,29 +271,30 @@ def kind_is(*kinds: str) -> Column:
     return F.col("kind").isin(*kinds)
 
 
-def max_level(parts_table: DataFrame) -> int:
-    """Deepest level that occurs: one number for the driver."""
-    deepest = parts_table.agg(F.max("level")).first()[0]
-    return int(deepest or 0)
-
-
-def with_ancestors(rows: DataFrame, deepest: int, element: Column, out: str) -> DataFrame:
+def with_ancestors(rows: DataFrame, element: Column, out: str) -> DataFrame:
     """Array of the enclosing parts of each row, outermost first.
 
-    The enclosing part at level n is the last part at level n before the row. All levels share one window.
+    The enclosing part at level n is the last part at level n before the row. Each row stands once at its own level and
+    asks once at every level above it, so one window by file and level answers all, however deep a file nests. The
+    row itself travels with its own level only.
     """
-    order = Window.partitionBy("file_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    if deepest == 0:
-        kind = rows.select(element.alias("e")).schema["e"].dataType.simpleString()
-        return rows.withColumn(out, F.array().cast(f"array<{kind}>"))
-    found = [F.last(F.when(F.col("level") == n, element), ignorenulls=True).over(order) for n in range(deepest)]
-    named = {f"_a{n}": column for n, column in enumerate(found)}
-    listed = F.slice(F.array(*named), F.lit(1), F.greatest(F.col("level"), F.lit(0)))
-    return rows.withColumns(named).withColumn(out, listed).drop(*named)
-
-
-def strip_brackets(mask: Column, rounds: int = 6) -> Column:
-    """Drop bracketed content from the inside out."""
-    return reduce(
-        lambda m, _: F.regexp_replace(m, r"\([^(){}\[\]]*\)|\{[^(){}\[\]]*\}|\[[^(){}\[\]]*\]|<[^<>(){}=]*>", ""),
-        range(rounds), mask)
+    level = F.greatest(F.col("level"), F.lit(0))
+    spread = rows.select(
+        "file_id", "ord", level.alias("_own"), F.explode(F.sequence(F.lit(0), level)).alias("_n"),
+        F.when(F.col("level") >= 0, element).alias("_e"), F.struct(*rows.columns).alias("_row"),
+    )
+    own = F.col("_n") == F.col("_own")
+    spread = spread.withColumn("_e", F.when(own, F.col("_e"))).withColumn("_row", F.when(own, F.col("_row")))
+    order = Window.partitionBy("file_id", "_n").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    found = spread.withColumn("_found", F.last("_e", ignorenulls=True).over(order))
+    listed = found.groupBy("file_id", "ord").agg(
+        F.first("_row", ignorenulls=True).alias("_row"),
+        F.sort_array(F.collect_list(F.when(~own, F.struct("_n", "_found")))).alias("_list"),
+    )
+    return listed.select("_row.*", F.transform("_list", lambda a: a["_found"]).alias(out))
+
+
+def strip_brackets(mask: Column) -> Column:
+    """Drop bracketed content, then what is in angle brackets."""
+    bare = F.regexp_replace(mask, nested(r"({\[", r")}\]", 64), "")
+    return F.regexp_replace(bare, nested("<", ">", 32, "="), "")

@@ -199,6 +199,47 @@ def test_long_texts_do_not_overflow(spark):
 
 
 def test_unreadable_files_are_reported(spark):
-    facts = code(spark, "class A { void f() { ", "class A { int x; } }", "class A { " + "{" * 200 + "}" * 200 + " }", "class A { int x; }")
-    assert rows(facts.failed) == [(0, "braces do not match"), (1, "braces do not match"), (2, "nested too deep")]
-    assert rows(facts.fields, "file_id", "name") == [(3, "x")] and facts.deepest <= 2
+    facts = code(spark, "class A { void f() { ", "class A { int x; } }", "class A { int y; " + "{" * 200 + "}" * 200 + " }", "class A { int x; }")
+    assert rows(facts.failed) == [(0, "braces do not match"), (1, "braces do not match")]
+    assert rows(facts.fields, "file_id", "name") == [(2, "y"), (3, "x")]
+
+
+def test_deep_nesting(spark):
+    depth = 150
+    text = "class A { int a; void f() { " + "if (a > 0) { " * depth + "a = 1; " + "} " * depth + "} }"
+    flow = Flow(code(spark, text))
+    labels = [r.label for r in flow.cfg_nodes.collect()]
+    assert labels.count("if (a > 0)") == depth and labels.count("a = 1") == 1
+    edges = {(r.src, r.dst): r.label for r in flow.cfg_edges.collect()}
+    assert sum(label == "true" for label in edges.values()) == depth
+    assert rows(flow.facts.methods, "name") == [("f",)]
+
+
+def test_many_brackets(spark):
+    for n in (1, 7, 8, 40):
+        text = "class A { int a, b; void f() { if (" + "(" * n + "a > 1" + ")" * n + ") { b = 1; } else { b = 2; } " + "g(" * n + "a" + ")" * n + "; } }"
+        facts = code(spark, text)
+        flow = Flow(facts)
+        kinds = [k for (k,) in rows(facts.statements, "kind")]
+        assert kinds.count("MethodInvocation") == 1 and kinds.count("Assignment") == 2, (n, kinds)
+        branch = [r.node for r in flow.cfg_nodes.collect() if r.type == "branch"]
+        out = [r.label for r in flow.cfg_edges.collect() if r.src in branch]
+        assert sorted(out) == ["false", "true"], n
+        used = [r.variable for r in flow.dfg_nodes.collect() if r.op == "use"]
+        assert used == ["a", "a"], (n, used)
+
+
+def test_casts_and_calls_in_deep_brackets(spark):
+    text = "class A { void f(int q) { x = " + "(" * 9 + "(String) q + g(q) + new Foo(q).bar" + ")" * 9 + "; } }"
+    used = [r.variable for r in Flow(code(spark, text)).dfg_nodes.collect() if r.op == "use"]
+    assert used == ["q", "q", "q"]
+
+
+def test_generics_and_names_of_any_script(spark):
+    deep = "Map<String, " * 8 + "Long" + ">" * 8
+    text = f"package a.ö; class Größe {{ {deep} m; int größe; int été(int née) {{ int ñ = née + größe; return ñ; }} enum E {{ Ä, B((1), new int[]{{2}}), Ç }} }}"
+    facts = code(spark, text)
+    assert rows(facts.failed) == [] and rows(facts.fields, "name") == [("größe",), ("m",)]
+    assert rows(facts.methods, "name") == [("été",)]
+    nodes = rows(Flow(facts).dfg_nodes, "node", "variable", "op")
+    assert [(v, o) for _, v, o in nodes] == [("née", "def"), ("née", "use"), ("größe", "use"), ("ñ", "def"), ("ñ", "use")]
