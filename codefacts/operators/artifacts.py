@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +31,7 @@ def file_docs(requests: DataFrame, files: DataFrame, docs: DataFrame) -> DataFra
 
 def file_graphs(
     files: DataFrame, ast: DataFrame, cfg: DataFrame, dfg: DataFrame,
-    page_size: int = 1000, points: Sequence[float] | None = None,
+    page_size: int = 1000, bounded: bool = False,
 ) -> DataFrame:
     """Each file with its optional AST and its lists of scoped graphs, in pages.
 
@@ -41,7 +39,7 @@ def file_graphs(
     a missing AST is null and a missing list is empty.
     """
     def listed(child: DataFrame, out: str) -> DataFrame:
-        return paged_lists(child, ["file_id"], ["seq"], F.struct("scope", "content"), out, page_size, points)
+        return paged_lists(child, ["file_id"], ["seq"], F.struct("scope", "content"), out, page_size, bounded)
 
     lists = listed(cfg, "cfg").join(listed(dfg, "dfg"), ["file_id", "page"], "full")
     first = files.select("file_id", F.lit(0).cast("long").alias("page"))

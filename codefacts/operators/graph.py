@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +12,10 @@ from .ordering import neighbour, paged_lists, positions
 
 def assign_ids(
     df: DataFrame, keys: list[str], order: list[str], out: str = "id", first: int = 0,
-    points: Sequence[float] | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Dense ids within each group, from 0 or from 1."""
-    numbered = positions(df, keys, order, out, points)
+    numbered = positions(df, keys, order, out, bounded)
     return numbered.withColumn(out, F.col(out) + first) if first else numbered
 
 
@@ -28,25 +26,25 @@ def valid_edges(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFram
     return edges.join(starts, [*keys, "src"], "left_semi").join(ends, [*keys, "dst"], "left_semi")
 
 
-def link_def_use(accesses: DataFrame, points: Sequence[float] | None = None) -> DataFrame:
+def link_def_use(accesses: DataFrame, bounded: bool = False) -> DataFrame:
     """Attach to each use the latest earlier definition: by key, else by bare variable name.
 
     ``accesses(scope, seq, var_key, variable, op)``; op ``use`` or ``read`` uses, ``def``, ``write`` and ``init``
     define. The result holds the uses with ``def_seq`` (null when nothing was defined before).
     """
     defines = F.when(F.col("op").isin("def", "write", "init"), F.col("seq"))
-    keyed = neighbour(accesses, ["scope", "var_key"], ["seq"], {"_by_key": defines}, points)
-    named = neighbour(keyed, ["scope", "variable"], ["seq"], {"_by_name": defines}, points)
+    keyed = neighbour(accesses, ["scope", "var_key"], ["seq"], {"_by_key": defines}, bounded)
+    named = neighbour(keyed, ["scope", "variable"], ["seq"], {"_by_name": defines}, bounded)
     return (
         named.filter(F.col("op").isin("use", "read"))
         .withColumn("def_seq", F.coalesce("_by_key", "_by_name")).drop("_by_key", "_by_name")
     )
 
 
-def successor_edges(rows: DataFrame, points: Sequence[float] | None = None) -> DataFrame:
+def successor_edges(rows: DataFrame, bounded: bool = False) -> DataFrame:
     """Sequence edges of each scope ``(scope, seq)``: row to the next row."""
     return (
-        neighbour(rows, ["scope"], ["seq"], {"dst": F.col("seq")}, points, following=True)
+        neighbour(rows, ["scope"], ["seq"], {"dst": F.col("seq")}, bounded, following=True)
         .filter("dst IS NOT NULL").select("scope", F.col("seq").alias("src"), "dst")
     )
 
@@ -83,18 +81,18 @@ def dfg_metrics(accesses: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def def_use_index(
-    accesses: DataFrame, page_size: int = 1000, points: Sequence[float] | None = None
+    accesses: DataFrame, page_size: int = 1000, bounded: bool = False
 ) -> DataFrame:
     """Node ids that define and that use each variable of a scope, in order, in pages."""
     roles = accesses.withColumn(
         "role", F.when(F.col("op").isin("def", "write", "init"), "defs").otherwise("uses")
     )
-    return paged_lists(roles, ["scope", "var_key", "role"], ["seq"], F.col("seq"), "node_ids", page_size, points)
+    return paged_lists(roles, ["scope", "var_key", "role"], ["seq"], F.col("seq"), "node_ids", page_size, bounded)
 
 
-def scope_members(symbols: DataFrame, points: Sequence[float] | None = None, page_size: int = 1000) -> DataFrame:
+def scope_members(symbols: DataFrame, bounded: bool = False, page_size: int = 1000) -> DataFrame:
     """Symbol ids of each scope in order, in pages: ``(scope, n, symbol_id)``."""
-    return paged_lists(symbols, ["scope"], ["n"], F.col("symbol_id"), "symbol_ids", page_size, points)
+    return paged_lists(symbols, ["scope"], ["n"], F.col("symbol_id"), "symbol_ids", page_size, bounded)
 
 
 def zip_positions(left: DataFrame, right: DataFrame, owner: list[str], pos: str = "pos") -> DataFrame:
@@ -117,7 +115,7 @@ def one_edge_per_pair(edges: DataFrame, keys: list[str], order: list[str]) -> Da
 
 
 def graph_elements(
-    nodes: DataFrame, edges: DataFrame, keys: list[str], points: Sequence[float] | None = None
+    nodes: DataFrame, edges: DataFrame, keys: list[str], bounded: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Node and edge lists for display.
 
@@ -129,7 +127,7 @@ def graph_elements(
         node_label(F.col("label"), F.col("operation"), F.col("variable"), F.col("name"), F.col("node")).alias("label"),
         F.coalesce("type", F.lit("")).alias("node_type"),
     )
-    kept = positions(valid_edges(nodes, edges, keys), keys, ["seq"], "_i", points)
+    kept = positions(valid_edges(nodes, edges, keys), keys, ["seq"], "_i", bounded)
     source, target = F.col("src").cast("string"), F.col("dst").cast("string")
     links = kept.select(
         *keys, F.concat_ws("-", F.lit("e"), source, target, F.col("_i").cast("string")).alias("id"),

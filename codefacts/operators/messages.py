@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +19,7 @@ def slice_messages(
     start: int = 1,
     limit: int = 10,
     full_content: bool = False,
-    points: Sequence[float] | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Slice of each thread ``(thread, turn, role, content)`` by position among the rows the filters keep.
 
@@ -32,7 +30,7 @@ def slice_messages(
     kept = messages.filter(icontains(F.col("content"), query))
     if role is not None:
         kept = kept.filter(F.col("role") == role)
-    totals = with_group_count(positions(kept, ["thread"], ["turn"], "_at", points), ["thread"], "total")
+    totals = with_group_count(positions(kept, ["thread"], ["turn"], "_at", bounded), ["thread"], "total")
     first = F.lit(start - 1) if start >= 1 else F.greatest(F.col("total") + start, F.lit(0))
     inside = (F.col("_at") >= first) & (F.col("_at") < first + limit)
     content = F.col("content") if full_content else truncate_marked(F.col("content"), MAX_CONTENT)
@@ -51,7 +49,7 @@ def dedupe_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def split_reasoning(
-    segments: DataFrame, page_size: int = 10_000, points: Sequence[float] | None = None
+    segments: DataFrame, page_size: int = 10_000, bounded: bool = False
 ) -> DataFrame:
     """Final answer of each message ``(message, seq, type, content)``: the texts after its last tool segment.
 
@@ -63,7 +61,7 @@ def split_reasoning(
         "reasoning", F.coalesce(F.col("seq") <= F.col("last_tool"), F.lit(False))
     )
     texts = after.filter(~F.col("reasoning") & (F.col("type") == "text")).select("message", "seq", "content")
-    pages = paged_lists(texts, ["message"], ["seq"], F.col("content"), "texts", page_size, points)
+    pages = paged_lists(texts, ["message"], ["seq"], F.col("content"), "texts", page_size, bounded)
     counts = after.groupBy("message").agg(F.count_if("reasoning").alias("reasoning_segments"))
     return counts.join(pages, "message", "left").select(
         "message", F.coalesce("page", F.lit(0)).alias("page"), "reasoning_segments",
@@ -71,9 +69,9 @@ def split_reasoning(
     )
 
 
-def turn_lineage(turns: DataFrame, points: Sequence[float] | None = None) -> DataFrame:
+def turn_lineage(turns: DataFrame, bounded: bool = False) -> DataFrame:
     """Checkpoint of the previous turn of the thread, null for the first: ``(thread, turn, checkpoint_id)``."""
-    return neighbour(turns, ["thread"], ["turn"], {"parent_checkpoint_id": F.col("checkpoint_id")}, points)
+    return neighbour(turns, ["thread"], ["turn"], {"parent_checkpoint_id": F.col("checkpoint_id")}, bounded)
 
 
 def branch_points(lineage: DataFrame) -> DataFrame:

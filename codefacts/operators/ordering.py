@@ -1,68 +1,41 @@
 """Ordered work inside groups of any size.
 
-A window over one key puts the whole key into one task. When the input is small (by the size of the files it
-reads) that is the best plan and it is used as it is. Beyond that, the order column is cut at sampled
-split points, so that each (key, piece) is ranked by itself and a table with one row per (key, piece) carries
-counts or last values from piece to piece. Results are equal in both forms; only the plan differs.
+A window over one key puts the whole key into one task. Here the rows are range-partitioned by (keys, order) instead,
+so a hot key spreads over as many partitions as its rows need, whatever the type of the order and however narrow the
+range they crowd into. Each (key, partition) is ranked by itself, and a table with one row per (key, partition) carries
+counts or last values onward. The partitioned rows are written to the shared folder once: both steps read the same
+partitions, also after an executor is lost. Groups that something else bounds (a file, a method) say so with
+``bounded`` and need one window only.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import input_bytes
-
-MAX_WINDOW_BYTES = 1 << 30
-PIECES_PER_LIMIT = 4
-BYTES_PER_ROW = 100  # where a source does not know its size
-MAX_PIECES = 10_000
-
+from ..session import materialize
 
-def split_points(df: DataFrame, order_col: str, max_bytes: int = MAX_WINDOW_BYTES) -> list[float]:
-    """Quantiles of ``order_col`` that cut a large table into pieces; none when the table is small."""
-    size = input_bytes(df)
-    if size is None:
-        size = df.count() * BYTES_PER_ROW
-    if size <= max_bytes:
-        return []
-    pieces = min(MAX_PIECES, max(2, math.ceil(size / max(max_bytes, 1)) * PIECES_PER_LIMIT))
-    wanted = [i / pieces for i in range(1, pieces)]
-    values = df.select(_number(df, order_col).alias("v"))
-    return sorted(set(values.approxQuantile("v", wanted, 0.5 / pieces)))
 
+def _ranged(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The rows with ``_piece``, the number of their partition in the order of (keys, order)."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *keys, *order).withColumn("_piece", F.spark_partition_id())
+    return materialize(ranged, "ranged")
 
-def _number(df: DataFrame, order_col: str) -> Column:
-    """A double that never falls where the column rises, so it may cut the order."""
-    kind, value = df.schema[order_col].dataType.simpleString(), F.col(order_col)
-    if kind in ("timestamp_ntz", "date"):
-        return value.cast("timestamp").cast("double")
-    if kind == "string":
-        # the first six bytes as a number: strings sort by bytes
-        head = F.rpad(F.hex(F.substring(F.encode(value, "utf-8"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    return value.cast("double")
 
+def _with_summary(rows: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of the one row of ``summary`` for their key and piece; null keys match."""
+    on = [*keys, "_piece"]
+    renamed = summary.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    same = [rows[c].eqNullSafe(renamed[f"_on_{c}"]) for c in keys] + [rows["_piece"] == renamed["_on__piece"]]
+    return rows.join(renamed, same)
 
-def _with_piece(df: DataFrame, order_col: str, points: Sequence[float]) -> DataFrame:
-    value = F.coalesce(_number(df, order_col), F.lit(float("-inf")))
-    cuts = [float("-inf"), *points, float("inf")]
-    cut = Bucketizer(splits=cuts, inputCol="_cut", outputCol="_piece", handleInvalid="keep")
-    return cut.transform(df.withColumn("_cut", value)).drop("_cut").withColumn("_piece", F.col("_piece").cast("int"))
 
-
-def positions(
-    df: DataFrame, keys: list[str], order: list[str], out: str = "position", points: Sequence[float] | None = None
-) -> DataFrame:
+def positions(df: DataFrame, keys: list[str], order: list[str], out: str = "position", bounded: bool = False) -> DataFrame:
     """Number the rows of each group from 0; ``order`` must be unique within a group."""
-    points = split_points(df, order[0]) if points is None else points
-    if not points:
+    if bounded:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
-    cut = _with_piece(df, order[0], points)
+    cut = _ranged(df, keys, order)
     local = Window.partitionBy(*keys, "_piece").orderBy(*order)
     earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -70,7 +43,8 @@ def positions(
         .select(*keys, "_piece", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     )
     numbered = cut.withColumn("_rank", F.row_number().over(local).cast("long") - 1)
-    return numbered.join(offsets, [*keys, "_piece"]).select(*df.columns, (F.col("_rank") + F.col("_offset")).alias(out))
+    return _with_summary(numbered, offsets, keys).select(
+        *(numbered[c] for c in df.columns), (F.col("_rank") + F.col("_offset")).alias(out))
 
 
 def neighbour(
@@ -78,23 +52,22 @@ def neighbour(
     keys: list[str],
     order: list[str],
     values: dict[str, Column],
-    points: Sequence[float] | None = None,
+    bounded: bool = False,
     following: bool = False,
 ) -> DataFrame:
     """Nearest earlier (or following) row's non-null value in each group, one output column per entry of ``values``.
 
     ``order`` must be unique within a group.
     """
-    points = split_points(df, order[0]) if points is None else points
     rank = [F.desc(c) if following else F.asc(c) for c in order]
 
     def nearest(window: Window, column: Column) -> Column:
         return F.last(column, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, -1))
 
-    if not points:
+    if bounded:
         window = Window.partitionBy(*keys).orderBy(*rank)
         return df.withColumns({out: nearest(window, value) for out, value in values.items()})
-    cut = _with_piece(df, order[0], points).withColumns({f"_v_{out}": value for out, value in values.items()})
+    cut = _ranged(df.withColumns({f"_v_{out}": value for out, value in values.items()}), keys, order)
     pick = F.min_by if following else F.max_by
     place = F.struct(*order)
     summary = cut.groupBy(*keys, "_piece").agg(
@@ -109,8 +82,8 @@ def neighbour(
     )
     local = Window.partitionBy(*keys, "_piece").orderBy(*rank)
     inside = cut.withColumns({f"_l_{out}": nearest(local, F.col(f"_v_{out}")) for out in values})
-    joined = inside.join(carried, [*keys, "_piece"])
-    return joined.select(*df.columns, *[F.coalesce(f"_l_{out}", f"_c_{out}").alias(out) for out in values])
+    return _with_summary(inside, carried, keys).select(
+        *(inside[c] for c in df.columns), *[F.coalesce(f"_l_{out}", f"_c_{out}").alias(out) for out in values])
 
 
 def with_group_count(df: DataFrame, keys: list[str], out: str = "total") -> DataFrame:
@@ -125,10 +98,10 @@ def paged_lists(
     value: Column,
     out: str = "items",
     page_size: int = 1000,
-    points: Sequence[float] | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Ordered list of each group in pages of bounded length: no row ever holds a whole hot group."""
-    placed = positions(df, keys, order, "_pos", points)
+    placed = positions(df, keys, order, "_pos", bounded)
     paged = placed.withColumn("page", F.floor(F.col("_pos") / page_size).cast("long"))
     items = F.sort_array(F.collect_list(F.struct(F.col("_pos"), value.alias("item"))))
     return paged.groupBy(*keys, "page").agg(F.transform(items, lambda x: x["item"]).alias(out))

@@ -68,16 +68,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-UNKNOWN_BYTES = 1 << 62
-
-
-def input_bytes(df: DataFrame) -> int | None:
-    """Size of everything a plan reads, without running a job; None where a source does not know its size.
-
-    The sizes of the inputs are added up. The plan's own estimate multiplies the two sides of every join, which says
-    little about the result.
-    """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    return None if any(size >= UNKNOWN_BYTES for size in sizes) else sum(sizes)

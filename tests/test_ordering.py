@@ -5,12 +5,10 @@ import random
 from pyspark.sql import functions as F
 
 from codefacts.operators import graph, messages
-from codefacts.operators.ordering import neighbour, paged_lists, positions, split_points
+from codefacts.operators.ordering import neighbour, paged_lists, positions
 
 from .conftest import rows
 
-POINTS = [10.0, 20.5, 300.0, 301.0]
-
 
 def sample(spark):
     rng = random.Random(1)
@@ -21,33 +19,35 @@ def sample(spark):
 
 def test_positions(spark):
     df = sample(spark)
-    assert rows(positions(df, ["k"], ["n"], points=[])) == rows(positions(df, ["k"], ["n"], points=POINTS))
+    assert rows(positions(df, ["k"], ["n"], bounded=True)) == rows(positions(df, ["k"], ["n"]))
 
 
 def test_neighbour_both_ways(spark):
     df = sample(spark)
     for following in (False, True):
         values = {"a": F.col("v"), "b": F.col("n")}
-        plain = neighbour(df, ["k"], ["n"], values, [], following).select("k", "n", "v", "a", "b")
-        cut = neighbour(df, ["k"], ["n"], values, POINTS, following).select("k", "n", "v", "a", "b")
+        plain = neighbour(df, ["k"], ["n"], values, True, following).select("k", "n", "v", "a", "b")
+        cut = neighbour(df, ["k"], ["n"], values, False, following).select("k", "n", "v", "a", "b")
         assert rows(plain) == rows(cut)
 
 
 def test_paged_lists(spark):
     df = sample(spark)
-    cut = paged_lists(df, ["k"], ["n"], F.col("n"), page_size=7, points=POINTS)
-    assert rows(paged_lists(df, ["k"], ["n"], F.col("n"), page_size=7, points=[])) == rows(cut)
+    cut = paged_lists(df, ["k"], ["n"], F.col("n"), page_size=7)
+    assert rows(paged_lists(df, ["k"], ["n"], F.col("n"), page_size=7, bounded=True)) == rows(cut)
     assert cut.filter(F.size("items") > 7).count() == 0
 
 
-def test_split_points_follow_size(spark):
-    df = sample(spark)
-    assert split_points(df, "n") == []
-    assert len(split_points(df, "n", max_bytes=1000)) > 0
-    text = df.select(F.col("n").cast("string").alias("s"), F.timestamp_seconds("n").cast("timestamp_ntz").alias("t"))
-    assert split_points(text, "t", max_bytes=1000) and split_points(text, "s", max_bytes=1000)
-    by_text = positions(text.withColumn("g", F.lit(1)), ["g"], ["s"], points=split_points(text, "s", 1000))
-    assert rows(by_text) == rows(positions(text.withColumn("g", F.lit(1)), ["g"], ["s"], points=[]))
+def test_hot_key_in_a_narrow_range(spark):
+    """Nine tenths of the rows in one key, in texts that share a long prefix: no partition gets them all."""
+    from codefacts.operators.ordering import _ranged
+
+    data = [("hot", f"a very long prefix that all share {n:05d}") for n in range(900)] + [(f"k{n}", "z") for n in range(100)] + [(None, "x"), (None, "y")]
+    df = spark.createDataFrame(data, "k string, s string")
+    spread = _ranged(df, ["k"], ["s"])
+    most = spread.filter("k = 'hot'").groupBy("_piece").count().agg(F.max("count")).first()[0]
+    assert most < 600
+    assert rows(positions(df, ["k"], ["s"])) == rows(positions(df, ["k"], ["s"], bounded=True))
 
 
 def test_def_use_in_pieces_equals_a_loop(spark):
@@ -60,8 +60,8 @@ def test_def_use_in_pieces_equals_a_loop(spark):
             want.append((scope, seq, keyed.get((scope, key), named.get((scope, variable)))))
         else:
             keyed[scope, key] = named[scope, variable] = seq
-    for points in ([], POINTS):
-        got = rows(graph.link_def_use(df, points), "scope", "seq", "def_seq")
+    for bounded in (True, False):
+        got = rows(graph.link_def_use(df, bounded), "scope", "seq", "def_seq")
         assert got == sorted(want, key=repr)
 
 
@@ -69,8 +69,8 @@ def test_slices_and_lineage_in_pieces(spark):
     data = [(t, n, "user" if n % 2 else "ai", f"m{n}") for t in range(3) for n in range(40)]
     df = spark.createDataFrame(data, "thread int, turn long, role string, content string")
     for start in (1, 5, -3, 0, 100):
-        plain = messages.slice_messages(df, role="user", start=start, limit=4, points=[])
-        cut = messages.slice_messages(df, role="user", start=start, limit=4, points=[3.0, 17.0])
+        plain = messages.slice_messages(df, role="user", start=start, limit=4, bounded=True)
+        cut = messages.slice_messages(df, role="user", start=start, limit=4)
         assert rows(plain) == rows(cut)
     turns = df.select("thread", "turn", F.concat_ws("-", "thread", "turn").alias("checkpoint_id"))
     columns = ["thread", "turn", "checkpoint_id", "parent_checkpoint_id"]

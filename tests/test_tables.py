@@ -15,24 +15,24 @@ def test_message_slices(spark):
         df = spark.createDataFrame([(1, i, r, c) for i, (r, c) in enumerate(data)], "thread int, turn int, role string, content string")
         return [(r.position, r.total, r.content) for r in messages.slice_messages(df, **options).orderBy("position").collect()]
 
-    assert cut([("human", "Hello"), ("ai", "Hi there!")]) == [(1, 2, "Hello"), (2, 2, "Hi there!")]
-    assert cut([("human", "First"), ("ai", "Second")], start=-1, limit=1) == [(2, 2, "Second")]
-    assert cut([("human", "First")], start=5) == [] and cut([("a", "x"), ("b", "y")], start=0) == []
-    assert cut([("human", "x" * 600)], full_content=True) == [(1, 1, "x" * 600)]
-    assert cut([("human", "x" * 600)])[0][2] == "x" * 500 + "\n\n[...truncated, 600 chars total]"
-    assert cut([("human", "a"), ("ai", "b")], start=-9, limit=99) == [(1, 2, "a"), (2, 2, "b")]
+    said = [("human", "What is in the oven?"), ("ai", "Two loaves of rye."), ("human", "o" * 512), ("ai", "Now three.")]
+    every = [(i + 1, 4, c if len(c) <= 500 else c[:500] + f"\n\n[...truncated, {len(c)} chars total]") for i, (_, c) in enumerate(said)]
+    assert cut(said) == every and cut(said, start=2, limit=2) == every[1:3]
+    assert cut(said, start=-2) == every[2:] and cut(said, start=-40, limit=70) == every
+    assert cut(said, start=5) == [] and cut(said, start=0) == []
+    assert cut(said, start=3, limit=1, full_content=True) == [(3, 4, "o" * 512)]
 
 
 def test_keep_first(spark):
-    df = spark.createDataFrame([("main", "aaa", 1), ("utils", "bbb", 2), ("main", "ccc", 3)], "path string, file_id string, n int")
-    assert rows(messages.dedupe_first(df, ["path"], ["n"])) == [("main", "aaa", 1), ("utils", "bbb", 2)]
+    df = spark.createDataFrame([("rye", "x", 4), ("oat", "y", 2), ("rye", "z", 1), ("oat", "w", 9), ("bun", "v", 3)], "path string, file_id string, n int")
+    assert rows(messages.dedupe_first(df, ["path"], ["n"])) == [("bun", "v", 3), ("oat", "y", 2), ("rye", "z", 1)]
 
 
 def test_reasoning_pages(spark):
     data = [(1, 0, "text", "a"), (1, 1, "tool", ""), (1, 2, "text", "b"), (1, 3, "text", "c"), (1, 4, "text", "d"), (2, 0, "text", "z"), (3, 0, "tool", "")]
     df = spark.createDataFrame(data, "message int, seq int, type string, content string")
     assert rows(messages.split_reasoning(df)) == [(1, 0, 2, "bcd"), (2, 0, 0, "z"), (3, 0, 1, "")]
-    assert rows(messages.split_reasoning(df, page_size=2, points=[2.5])) == [(1, 0, 2, "bc"), (1, 1, 2, "d"), (2, 0, 0, "z"), (3, 0, 1, "")]
+    assert rows(messages.split_reasoning(df, page_size=2)) == [(1, 0, 2, "bc"), (1, 1, 2, "d"), (2, 0, 0, "z"), (3, 0, 1, "")]
 
 
 def test_list_repos(spark):
@@ -54,10 +54,12 @@ def test_join_decisions(spark):
 
 
 def test_patch(spark):
-    base = spark.createDataFrame([(1, None, "test-repo"), (2, None, "test-repo"), (3, None, "test-repo"), (4, "#ff0000", "test-repo"), (5, "#ff0000", "test-repo"), (6, "x", "y")], "id int, color string, name string")
-    patches = spark.createDataFrame([(1, ["color"], "#00ff00", None), (2, ["name"], None, "new-name"), (3, ["color", "name"], "#00ff00", "new-name"), (4, ["name"], None, "new-name"), (5, ["color"], None, None)], "id int, supplied array<string>, color string, name string")
+    base = spark.createDataFrame([(i, "grey" if i % 2 else None, f"loaf {i}") for i in range(6)], "id int, color string, name string")
+    patches = spark.createDataFrame([
+        (0, ["color"], "brown", None), (1, ["color", "name"], None, "bun"), (2, ["name"], "unused", "roll"), (3, [], "unused", "unused"),
+    ], "id int, supplied array<string>, color string, name string")
     assert rows(access.patch(base, patches, "id", ["color"], ["name"])) == [
-        (1, "#00ff00", "test-repo"), (2, None, "new-name"), (3, "#00ff00", "new-name"), (4, "#ff0000", "new-name"), (5, None, "test-repo"), (6, "x", "y")]
+        (0, "brown", "loaf 0"), (1, None, "bun"), (2, None, "roll"), (3, "grey", "loaf 3"), (4, None, "loaf 4"), (5, "grey", "loaf 5")]
 
 
 def test_unlink(spark):
@@ -113,7 +115,7 @@ def test_file_graph_pages(spark):
     found = spark.createDataFrame([(1,), (2,)], "file_id int")
     ast = spark.createDataFrame([(1, "{}")], "file_id int, content string")
     cfg = spark.createDataFrame([(1, n, f"s{n}", "{}") for n in range(5)], "file_id int, seq int, scope string, content string")
-    got = artifacts.file_graphs(found, ast, cfg, cfg.filter("seq = 0"), page_size=2, points=[1.5]).orderBy("file_id", "page").collect()
+    got = artifacts.file_graphs(found, ast, cfg, cfg.filter("seq = 0"), page_size=2).orderBy("file_id", "page").collect()
     assert [(r.file_id, r.page, r.ast, [g.scope for g in r.cfg], [g.scope for g in r.dfg]) for r in got] == [
         (1, 0, "{}", ["s0", "s1"], ["s0"]), (1, 1, "{}", ["s2", "s3"], []), (1, 2, "{}", ["s4"], []), (2, 0, None, [], [])]
 
