@@ -6,7 +6,8 @@ Equal windows have equal prefixes, so suffixes of one anchor make up the subtree
 suffixes, which mostly share their anchor, travel together as one piece of text. Groups whose anchor is found only once
 have no repeats and are dropped before any text moves. In each group the subtree is built over its sorted suffixes;
 its internal nodes at full depth are the repeats, and neighbouring ones join to maximal repeats. A group with more than
-``group`` pieces is split by the longest prefix, the whole window, whose counts are added up before the shuffle.
+``group`` pieces is split by longer prefixes: first by the whole piece, so that equal pieces become one row before any
+shuffle and all their windows are repeats at once, and what is left of it by the whole window.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _RUNS = pa.schema([("id", pa.int64()), ("rid", pa.int64()), ("anchor", pa.int64()), ("first", pa.int32()), ("n", pa.int32())])
 _PIECES = pa.schema([
     ("big", pa.bool_()), ("key", pa.binary()), ("id", pa.int64()), ("rid", pa.int64()), ("first", pa.int32()),
-    ("body", pa.binary()),
+    ("n", pa.int32()), ("body", pa.binary()),
 ])
+_WINDOWS = pa.schema([("window", pa.binary()), ("id", pa.int64()), ("rid", pa.int64()), ("first", pa.int32())])
 _FOUND = pa.schema([("id", pa.int64()), ("rid", pa.int64()), ("first", pa.int32()), ("n", pa.int32())])
 
 
@@ -67,6 +69,10 @@ def _runs(window: int, prefix: int):
     return run
 
 
+def _digest(body: bytes) -> bytes:
+    return hashlib.blake2b(body, digest_size=16).digest()
+
+
 def _pieces(window: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,18 +81,14 @@ def _pieces(window: int):
                 words = _WORD.findall(text.encode("utf-8", "surrogatepass"))
                 for r in runs:
                     first, n = r["first"], r["n"]
-                    if r["big"]:
-                        keys = [hashlib.blake2b(b" ".join(words[i : i + window]), digest_size=16).digest() for i in range(first, first + n)]
-                        bodies: list[bytes | None] = [None] * n
-                    else:
-                        keys = [r["anchor"].to_bytes(8, "big", signed=True)]
-                        bodies = [b" ".join(words[first : first + n + window - 1])]
-                    out["big"] += [r["big"]] * len(keys)
-                    out["key"] += keys
-                    out["id"] += [id_] * len(keys)
-                    out["rid"] += [rid] * len(keys)
-                    out["first"] += range(first, first + len(keys))
-                    out["body"] += bodies
+                    body = b" ".join(words[first : first + n + window - 1])
+                    out["big"].append(r["big"])
+                    out["key"].append(_digest(body) if r["big"] else r["anchor"].to_bytes(8, "big", signed=True))
+                    out["id"].append(id_)
+                    out["rid"].append(rid)
+                    out["first"].append(first)
+                    out["n"].append(n)
+                    out["body"].append(body)
                 if len(out["key"]) >= 20_000:
                     yield table(_PIECES, **out)
                     out = {f.name: [] for f in _PIECES}
@@ -110,6 +112,23 @@ def deep_nodes(bodies: list[bytes], window: int) -> list[tuple[int, int]]:
     return found
 
 
+def _split(window: int):
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every window of a piece; those of pieces that are repeats already have no place."""
+        for batch in batches:
+            out: dict[str, list] = {f.name: [] for f in _WINDOWS}
+            for row in batch.to_pylist():
+                words = row["body"].split(b" ")
+                for i in range(len(words) - window + 1):
+                    out["window"].append(_digest(b" ".join(words[i : i + window])))
+                    out["id"].append(row["id"])
+                    out["rid"].append(row["rid"])
+                    out["first"].append(row["first"] + i if row["copies"] == 1 else None)
+            yield table(_WINDOWS, **out)
+
+    return windows
+
+
 def maximal(starts: list[int]) -> list[tuple[int, int]]:
     """Runs of consecutive numbers as (first, how many)."""
     out: list[tuple[int, int]] = []
@@ -153,17 +172,24 @@ def repeated_windows(docs: DataFrame, window: int = 35, prefix: int = PREFIX, gr
     suspects = runs.join(repeated, "anchor").groupBy("id", "rid").agg(
         F.sort_array(F.collect_set(F.struct("first", "n", "anchor", (F.col("pieces") > group).alias("big")))).alias("runs")
     )
-    pieces = docs.join(suspects, ["id", "rid"]).mapInArrow(
-        _pieces(window), "big boolean, key binary, id long, rid long, first int, body binary"
-    )
-    pieces = materialize(pieces, "suffixes")
-    small = pieces.filter("not big").drop("big")
+    pieces = materialize(docs.join(suspects, ["id", "rid"]).mapInArrow(
+        _pieces(window), "big boolean, key binary, id long, rid long, first int, n int, body binary"
+    ), "suffixes")
+    small = pieces.filter("not big").select("key", "id", "rid", "first", "body")
     trees = small.repartition("key").sortWithinPartitions("key").mapInArrow(
         _trees(window), "id long, rid long, first int, n int"
     )
-    big = pieces.filter("big").select("key", "id", "rid", "first")
-    often = big.groupBy("key").count().filter("count > 1").select("key")
-    return trees.unionByName(big.join(often, "key").select("id", "rid", "first", F.lit(1).alias("n")))
+    big = pieces.filter("big").drop("big")
+    alike = materialize(big.groupBy("key").agg(
+        F.count("*").alias("copies"), F.min(F.struct("id", "rid", "first")).alias("at"), F.first("body").alias("body")
+    ).select("key", "copies", "at.*", "body"), "pieces")
+    whole = big.join(alike.filter("copies > 1").select("key"), "key").select("id", "rid", "first", "n")
+    parts = alike.select("copies", "id", "rid", "first", "body").mapInArrow(
+        _split(window), "window binary, id long, rid long, first int"
+    )
+    often = parts.groupBy("window").count().filter("count > 1").select("window")
+    single = parts.filter("first is not null").join(often, "window").select("id", "rid", "first", F.lit(1).alias("n"))
+    return trees.unionByName(whole).unionByName(single)
 
 
 def _kept(window: int):
@@ -195,7 +221,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Returns (id_col, n_words, n_removed, kept_text), one row per row of ``docs``. A null or empty text has no words, a
     text of fewer words than a window loses nothing. Rows with a null or repeated id are rows like all others, and two
     equal rows repeat each other. Other columns are ignored. Equality is that of the words themselves in the subtrees;
-    in groups split by whole windows it is that of 128-bit digests.
+    in groups that are split it is that of 128-bit digests.
     """
     prepare(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
