@@ -131,22 +131,41 @@ def best_pattern(prices: np.ndarray, capacity: int) -> tuple[float, dict[int, in
 
 
 def greedy_basis(demand: dict[int, int], capacity: int) -> tuple[list[dict[int, int]], np.ndarray]:
-    """One pattern per size, filled with the largest smaller sizes that are left, and its use. A feasible basis."""
-    sizes = sorted(s for s, d in demand.items() if d)
+    """First-fit-decreasing in fractions: each pattern is filled from the largest sizes left and used until one is gone.
+
+    With the patterns in the order of the sizes they use up, the matrix is triangular: a feasible basis.
+    """
+    sizes = sorted((s for s, d in demand.items() if d), reverse=True)
     left = {s: float(demand[s]) for s in sizes}
     patterns, uses = {}, {}
-    for s in reversed(sizes):
-        n = capacity // s
-        pattern, use, room = {s: n}, left[s] / n, capacity - n * s
-        for t in reversed(sizes):
-            if room < sizes[0] or use == 0:
-                break
-            if t < s and t <= room and (c := min(room // t, int(left[t] / use))):
-                pattern[t] = c
-                room -= c * t
-                left[t] -= c * use
-        patterns[s], uses[s], left[s] = pattern, use, 0.0
-    return [patterns[s] for s in sizes], np.array([uses[s] for s in sizes])
+    while left:
+        pattern, room = {}, capacity
+        for s in left:
+            if s <= room:
+                pattern[s] = room // s
+                room -= pattern[s] * s
+        gone = min(pattern, key=lambda s: left[s] / pattern[s])
+        uses[gone] = left[gone] / pattern[gone]
+        patterns[gone] = pattern
+        for s, c in pattern.items():
+            left[s] = max(0.0, left[s] - c * uses[gone])
+        del left[gone]
+    return [patterns[s] for s in reversed(sizes)], np.array([uses[s] for s in reversed(sizes)])
+
+
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """The inverse by elimination with row exchanges; small, and without a linear algebra library's threads."""
+    n = len(matrix)
+    work = np.concatenate([matrix.astype(float), np.eye(n)], axis=1)
+    for j in range(n):
+        k = j + int(np.abs(work[j:, j]).argmax())
+        if k != j:
+            work[[j, k]] = work[[k, j]]
+        work[j] /= work[j, j]
+        others = np.flatnonzero(work[:, j])
+        others = others[others != j]
+        work[others] -= work[others, j, None] * work[j]
+    return work[:, n:]
 
 
 def column_generation(demand: dict[int, int], capacity: int, gap: float = 5e-4, rounds: int = 500) -> list[tuple[dict[int, int], float]]:
@@ -163,7 +182,7 @@ def column_generation(demand: dict[int, int], capacity: int, gap: float = 5e-4,
     def column(p: dict[int, int]) -> np.ndarray:
         return np.bincount([row[s] for s in p], weights=list(p.values()), minlength=len(sizes))
 
-    inverse = np.linalg.inv(np.stack([column(p) for p in patterns], axis=1))
+    inverse = inverted(np.stack([column(p) for p in patterns], axis=1))
     bound = sum(s * n for s, n in demand.items()) / capacity
     for k in range(1, rounds + 1):
         prices = np.zeros(capacity + 1)
@@ -172,7 +191,7 @@ def column_generation(demand: dict[int, int], capacity: int, gap: float = 5e-4,
         bound = max(bound, x.sum() / value)
         if x.sum() <= bound * (1 + gap):
             break
-        enter = inverse @ column(pattern)
+        enter = (inverse * column(pattern)).sum(axis=1)
         ratio = np.full(len(x), np.inf)
         able = enter > 1e-9
         ratio[able] = np.maximum(x[able], 0) / enter[able]
@@ -184,8 +203,8 @@ def column_generation(demand: dict[int, int], capacity: int, gap: float = 5e-4,
         inverse -= np.outer(enter, pivot)
         inverse[out] = pivot
         if k % 256 == 0:  # against rounding errors
-            inverse = np.linalg.inv(np.stack([column(p) for p in patterns], axis=1))
-            x = inverse @ d
+            inverse = inverted(np.stack([column(p) for p in patterns], axis=1))
+            x = (inverse * d).sum(axis=1)
     return [(p, max(0.0, float(n))) for p, n in zip(patterns, x)]
 
 
