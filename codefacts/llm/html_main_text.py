@@ -10,6 +10,7 @@ the text that the choice decides; a node inside a chosen one can't contradict it
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -76,6 +77,9 @@ class Tree(HTMLParser):
         self.root = self.at = Node("html", None, 0)
         self.silent = 0
         self.extra = 0
+        last = page.rfind("<")
+        if last >= 0 and page.find(">", last) < 0 and (page[last + 1 : last + 2].isalpha() or page[last + 1 : last + 2] in ("/", "!", "?")):
+            page = page[:last]  # an unfinished tag at the end
         self.feed(page)
         self.close()
         self._measure()
@@ -158,7 +162,7 @@ FEATURES = (
 
 
 def node_features(tree: Tree) -> np.ndarray:
-    """One row per node, in page order."""
+    """One row per node, in page order. Sizes count up to where they stop telling main text from furniture."""
     total, before = max(1, tree.root.chars), 0
     furniture: dict[int, int] = {}
     content: dict[int, int] = {}
@@ -171,9 +175,9 @@ def node_features(tree: Tree) -> np.ndarray:
         good = int(node.tag in ("article", "main")) + len(node.tokens & CONTENT)
         furniture[id(node)], content[id(node)] = above + odd, inside + good
         rows.append((
-            math.log1p(node.chars), node.linked / max(1, node.chars), node.tags / max(1, node.chars), math.log1p(node.paragraphs),
-            node.depth, math.log1p(len(node.parts)), odd, above, good, inside, node.place / node.siblings, math.log1p(node.siblings),
-            node.chars / max(1, node.around), node.tag == "p", node.tag in HEADINGS, node.tag == "a",
+            math.log1p(min(node.chars, 2000)), node.linked / max(1, node.chars), node.tags / max(1, node.chars), math.log1p(min(node.paragraphs, 8)),
+            min(node.depth, 8), math.log1p(min(len(node.parts), 8)), odd, above, good, inside, node.place / node.siblings, math.log1p(min(node.siblings, 8)),
+            min(1.0, node.chars / max(1, node.around)), node.tag == "p", node.tag in HEADINGS, node.tag == "a",
             node.tag in BLOCKS, before / total,
         ))
         before += node.own
@@ -238,7 +242,7 @@ class Boosted:
         return self.start + sum((t.predict(x) for t in self.trees), np.zeros(len(x)))
 
 
-def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 40, depth: int = 4, rate: float = 0.3) -> Boosted:
+def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.3) -> Boosted:
     """Gradient boosting of the logistic loss with Newton steps."""
     share = np.clip((y * weight).sum() / max(weight.sum(), 1e-9), 0.01, 0.99)
     start, trees = float(np.log(share / (1 - share))), []
@@ -327,24 +331,37 @@ def labelled_nodes(page: str, known: str) -> tuple[np.ndarray, np.ndarray, np.nd
     return node_features(tree), np.array([y[id(n)] for n in tree.order], float), np.array(weight, float)
 
 
-#: Pages with their main text: kinds of furniture that every model has to know. Written for this purpose.
-_TEXT = "The ferry leaves the island at noon and reaches the harbour when the tide allows it, which is seldom before three."
-_MORE = "Nobody on board minds the wait, for the view of the cliffs is long and the tea is free for those who ask."
-TAUGHT = tuple(
-    (page.format(t=_TEXT, m=_MORE), f"{_TEXT} {_MORE}") for page in (
-        "<html><body><header><h2>Island Post</h2><p>News since 1901</p></header><main><p>{t}</p><p>{m}</p></main><aside><h3>Read next</h3><p>Ten walks for a rainy day that you will like.</p></aside><footer><p>All rights reserved.</p></footer></body></html>",
-        "<div class='cookie-notice'><p>We use cookies to make this site work as you expect.</p></div><div class='post-content'><p>{t}</p><p>{m}</p></div><div id='comments'><h3>Comments</h3><div class='comment'><p>I took that ferry in May and it was late, as always.</p></div><div class='comment'><p>Lovely place, thank you for the article about it.</p></div></div>",
-        "<nav><a href='/'>Home</a> <a href='/n'>News</a></nav><article><p>{t}</p><div class='ad'>Cheap tickets to everywhere, today only.</div><p>{m}</p></article><section class='comments'><p>First comment by a reader who has much to say on this.</p></section>",
-        "<div id='sidebar'><ul><li><a href='/a'>Weather of the week</a></li><li><a href='/b'>Tides and times</a></li></ul></div><div class='article'><p>{t}</p><blockquote>{m}</blockquote></div><form><p>Sign up for our letter, it comes each Monday.</p><input name='mail'></form>",
-        "<article><p>{t}</p><aside class='related'><p>More about ferries and the sea in our archive.</p></aside><p>{m}</p><form><label>Your name</label></form></article><div class='newsletter'><p>Get the news by mail every week.</p></div>",
-        "<div class='notice banner'><p>This site will be closed for repairs on Sunday night.</p></div><div class='story'><div><p>{t}</p></div><div><p>{m}</p></div></div><div class='share'><a href='#'>Share</a> <a href='#'>Print</a></div><div class='related'><a href='/x'>More on ferries and on tides</a></div>",
-    )
+#: Pages that every model is taught, so that it knows kinds of furniture that its sample may lack. Written for this
+#: purpose: t and m are main text (m in several paragraphs), f is furniture; lengths vary so that only structure tells.
+TEMPLATES = (
+    "<html><body><header><h2>{f}</h2><p>{f}</p></header><main><p>{t}</p><p>{m}</p></main><aside><h3>{f}</h3><p>{f}</p></aside><footer><p>{f}</p></footer></body></html>",
+    "<div class='cookie-notice'><p>{f}</p></div><div class='post-content'><p>{t}</p><p>{m}</p></div><div id='comments'><h3>{f}</h3><div class='comment'><p>{f}</p></div><div class='comment'><p>{f}</p></div></div>",
+    "<nav><a href='/'>{f}</a> <a href='/n'>{f}</a></nav><article><h1>{t}</h1><div class='ad'>{f}</div><p>{m}</p></article><section class='comments'><p>{f}</p></section>",
+    "<div id='sidebar'><ul><li><a href='/a'>{f}</a></li><li><a href='/b'>{f}</a></li></ul></div><div class='article'><p>{t}</p><blockquote>{m}</blockquote></div><form><p>{f}</p><input name='mail'></form>",
+    "<article><p>{t}</p><aside class='related'><p>{f}</p></aside><p>{m}</p><form><label>{f}</label></form></article><div class='newsletter'><p>{f}</p></div>",
+    "<div class='notice banner'><p>{f}</p></div><div class='story'><div><p>{t}</p></div><div><p>{m}</p></div></div><div class='share'><a href='#'>{f}</a> <a href='#'>{f}</a></div><div class='related'><a href='/x'>{f}</a></div>",
+    "<nav><a href='/'>{f}</a></nav><article><p>{t}</p><p>{m}</p></article>",
 )
 
 
-def train(pages: list[tuple[str, str]], taught: int = 5) -> Boosted:
-    """The model of pages with their known texts and, ``taught`` times, the pages above."""
-    parts = [labelled_nodes(p, t) for p, t in [*pages, *TAUGHT * taught]]
+def taught_pages(variants: int = 12, seed: int = 5) -> list[tuple[str, str]]:
+    """Each template with texts of random words and lengths, and its main text."""
+    rng = random.Random(seed)
+
+    def text(most: int) -> str:
+        return " ".join("".join(rng.choice("aeioulnrstmd") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(5, most))) + "."
+
+    pages = []
+    for template in TEMPLATES * variants:
+        t, m = text(60), [text(60) for _ in range(rng.choice((1, 2, 5, 12, 40)))]
+        page = re.sub(r"\{f\}", lambda _: text(rng.choice((8, 25, 60))), template)
+        pages.append((page.replace("{t}", t).replace("{m}", "</p><p>".join(m)), " ".join([t, *m])))
+    return pages
+
+
+def train(pages: list[tuple[str, str]]) -> Boosted:
+    """The model of pages with their known texts and of the pages above."""
+    parts = [labelled_nodes(p, t) for p, t in [*pages, *taught_pages()]]
     return boost(*(np.concatenate(c) for c in zip(*parts)))
 
 
