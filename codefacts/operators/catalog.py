@@ -17,8 +17,10 @@ def catalog_rows(files: DataFrame) -> DataFrame:
 
 
 def new_rows(incoming: DataFrame, existing: DataFrame, on: list[str]) -> DataFrame:
-    """Rows whose key is not stored yet, one per key. Broadcast or sort-merge is left to the size estimate."""
-    return incoming.dropDuplicates(on).join(existing.select(*on), on, "left_anti")
+    """Rows whose key is not stored yet, the smallest one per key. Broadcast or sort-merge is left to the size estimate."""
+    rest = [c for c in incoming.columns if c not in on]
+    least = incoming.groupBy(*on).agg(F.min(F.struct(*rest)).alias("_r")).select(*on, "_r.*") if rest else incoming.distinct()
+    return least.join(existing.select(*on), on, "left_anti").select(*incoming.columns)
 
 
 def first_write_wins(incoming: DataFrame, existing: DataFrame, on: list[str], version: str) -> DataFrame:
@@ -36,15 +38,26 @@ def last_write_wins(incoming: DataFrame, existing: DataFrame, on: list[str], ver
 
 
 def insert_outcome(incoming: DataFrame, existing: DataFrame, on: list[str], error: Column) -> DataFrame:
-    """Outcome of an idempotent bulk insert: duplicates count as success, errors do not.
+    """Outcome of an idempotent bulk insert into ``existing``: a key that is stored already counts as success.
 
-    One row: succeeded, failed and the distinct error codes in order.
+    One row: rows that succeeded and failed, keys that are new, rows that found their key stored or in an earlier row, and
+    the distinct error codes of the failed rows in order.
     """
-    marked = incoming.withColumn("_error", error)
-    codes = F.sort_array(F.collect_set("_error"))
-    return marked.agg(
-        F.count_if(F.col("_error").isNull()).alias("succeeded"),
-        F.count_if(F.col("_error").isNotNull()).alias("failed"),
+    stored = existing.select(*on).distinct().withColumn("_stored", F.lit(True))
+    code = error.alias("_error")
+    marked = incoming.select(*on, code).join(stored, on, "left")
+    failed = F.col("_stored").isNull() & F.col("_error").isNotNull()
+    # sums per key first: a key that very many rows bring is one row per task
+    by_key = marked.groupBy(*on).agg(
+        F.count_if(~failed).alias("good"), F.count_if(failed).alias("bad"), F.max("_stored").alias("stored"),
+        F.collect_set(F.when(failed, F.col("_error"))).alias("codes"),
+    )
+    new = F.when((F.col("good") > 0) & F.col("stored").isNull(), 1).otherwise(0)
+    codes = F.array_sort(F.array_distinct(F.flatten(F.collect_set("codes"))))
+    return by_key.agg(
+        F.coalesce(F.sum("good"), F.lit(0)).alias("succeeded"), F.coalesce(F.sum("bad"), F.lit(0)).alias("failed"),
+        F.coalesce(F.sum(new), F.lit(0)).alias("inserted"),
+        F.coalesce(F.sum(F.col("good") - new), F.lit(0)).alias("duplicates"),
         F.array_join(codes.cast("array<string>"), ",").alias("error_codes"),
     )
 

@@ -19,33 +19,42 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame
     folder; the one before is deleted.
     """
     spark = nodes.sparkSession
-    path, seen = None, None
+
+    def stored(df: DataFrame, name: str) -> tuple[str, DataFrame]:
+        path = new_table_path(spark, name)
+        df.write.parquet(path)
+        return path, spark.read.schema(df.schema).parquet(path)
+
+    def star(rows: DataFrame, others: DataFrame) -> tuple[str, DataFrame]:
+        """``others`` with the smallest node around their src; the minima are a table, so the join can split a hub."""
+        path, least = stored(rows.groupBy(*keys, "src").agg(F.min("dst").alias("low")), "minima")
+        return path, others.join(least, [*keys, "src"])
+
     pair = edges.select(*keys, "src", "dst").filter("src <> dst").select(
         *keys, F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")
     )
+    path, pair = stored(pair.distinct(), "stars")
+    seen = None
     while True:
-        if path is None:
-            large = pair.distinct()
-        else:
+        old = [path]
+        if seen is not None:
             both = pair.unionByName(pair.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst")))
-            least = both.groupBy(*keys, "src").agg(F.min("dst").alias("low"))
-            large = both.filter("dst > src").join(least, [*keys, "src"]).select(
-                *keys, F.col("dst").alias("src"), F.least("src", "low").alias("dst")
-            ).distinct()
-        least = large.groupBy(*keys, "src").agg(F.min("dst").alias("low"))
-        small = large.join(least, [*keys, "src"]).select(
+            minima, joined = star(both, both.filter("dst > src"))
+            large = joined.select(*keys, F.col("dst").alias("src"), F.least("src", "low").alias("dst")).distinct()
+            path, pair = stored(large, "stars")
+            old += [minima, path]
+        minima, joined = star(pair, pair)
+        small = joined.select(
             *keys, F.when(F.col("dst") == F.col("low"), F.col("src")).otherwise(F.col("dst")).alias("src"),
             F.col("low").alias("dst"),
         ).distinct()
-        new = new_table_path(spark, "stars")
-        small.write.parquet(new)
-        pair = spark.read.schema(small.schema).parquet(new)
+        path, pair = stored(small, "stars")
+        for done in [*old, minima]:
+            delete_table(spark, done)
         now = pair.agg(F.count("*"), F.sum(F.xxhash64(*keys, "src", "dst").cast("decimal(38,0)"))).first()
-        if path is not None:
-            delete_table(spark, path)
         if now == seen or not now[0]:
             break
-        path, seen = new, now
+        seen = now
     every = nodes.select(*keys, "node").unionByName(
         edges.filter("src <> dst").select(*keys, F.explode(F.array("src", "dst")).alias("node"))
     ).distinct()

@@ -5,6 +5,7 @@ from . import (  # noqa: F401
     code_queries,
     file_queries,
     graph_queries,
+    record_queries,
     search_queries,
     stream_queries,
     text_queries,

@@ -167,14 +167,22 @@ def catalog_not_analysed(spark: SparkSession, folder: str) -> DataFrame:
     return catalog.catalog_other(b.documents(spark, folder), F.col("lang"), ["en", "de"])
 
 
-@query("insert_outcome", """SELECT count(*) FILTER (WHERE n_chars <= 2000 OR lang = 'en') AS succeeded,
- count(*) FILTER (WHERE n_chars > 2000 AND lang <> 'en') AS failed,
- (SELECT string_agg(code, ',' ORDER BY code) FROM (SELECT DISTINCT CASE lang WHEN 'de' THEN '16' ELSE '50' END AS code
-  FROM documents WHERE n_chars > 2000 AND lang <> 'en')) AS error_codes FROM documents""")
+@query("insert_outcome", """WITH r AS (SELECT o_custkey, CASE WHEN o_totalprice > 200000 THEN
+  CASE o_orderstatus WHEN 'F' THEN '16' ELSE '50' END END AS code,
+  o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AS stored FROM orders),
+ k AS (SELECT o_custkey, stored, count(*) FILTER (WHERE stored OR code IS NULL) AS good,
+  count(*) FILTER (WHERE NOT stored AND code IS NOT NULL) AS bad FROM r GROUP BY ALL)
+ SELECT CAST(sum(good) AS BIGINT) AS succeeded, CAST(sum(bad) AS BIGINT) AS failed,
+ count(*) FILTER (WHERE NOT stored AND good > 0) AS inserted,
+ CAST(sum(good) AS BIGINT) - count(*) FILTER (WHERE NOT stored AND good > 0) AS duplicates,
+ (SELECT string_agg(code, ',' ORDER BY code) FROM (SELECT DISTINCT code FROM r WHERE NOT stored AND code IS NOT NULL))
+ AS error_codes FROM k""")
 def insert_outcome(spark: SparkSession, folder: str) -> DataFrame:
-    docs = b.table(spark, folder, "documents")
-    error = F.when((F.col("n_chars") > 2000) & (F.col("lang") != "en"), F.when(F.col("lang") == "de", 16).otherwise(50))
-    return catalog.insert_outcome(docs, docs, ["doc_id"], error)
+    """Orders inserted by customer into the customers of one segment; large orders are refused."""
+    orders = b.table(spark, folder, "orders")
+    stored = b.table(spark, folder, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    error = F.when(F.col("o_totalprice") > 200000, F.when(F.col("o_orderstatus") == "F", 16).otherwise(50))
+    return catalog.insert_outcome(orders, stored, ["o_custkey"], error)
 
 
 @query("first_write_wins", """SELECT source AS repo_id, lang, min_by(doc_id, doc_id) AS doc_id,
@@ -297,7 +305,3 @@ def symbols_of_all_kinds(spark: SparkSession, folder: str) -> DataFrame:
         F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("scope"))
     suppliers = b.table(spark, folder, "supplier").select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("scope"))
     return union_kinds({"customer": customers, "supplier": suppliers})
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import components, graph
-from ..operators.ordering import positions
+from ..operators.ordering import neighbour, positions
 from . import bindings as b
 from .registry import query
 
@@ -65,14 +65,29 @@ def connected_types(spark: SparkSession, folder: str) -> DataFrame:
     return components.components(nodes, edges, ["scope"])
 
 
-@query("connected_parts")
+@query("connected_parts", """WITH RECURSIVE e AS (
+  SELECT DISTINCT 'p' || l_partkey AS p, 's' || l_suppkey AS s FROM lineitem
+  WHERE l_returnflag = 'R' AND l_discount >= 0.1 AND l_quantity >= 40),
+ both_ways AS (SELECT p AS src, s AS dst FROM e UNION SELECT s, p FROM e),
+ nodes AS (SELECT 'p' || p_partkey AS node FROM part UNION SELECT src FROM both_ways),
+ reach AS (SELECT node, node AS seen FROM nodes UNION SELECT r.node, b.dst FROM reach r JOIN both_ways b ON b.src = r.seen)
+ SELECT node, min(seen) AS label FROM reach GROUP BY node""")
 def connected_parts(spark: SparkSession, folder: str) -> DataFrame:
-    """Parts and suppliers joined by line items that were returned at a high discount."""
+    """Parts and suppliers joined by line items that were returned in quantity at a high discount."""
     part = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
     supplier = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
-    edges = b.table(spark, folder, "lineitem").select(part.alias("src"), supplier.alias("dst"))
+    items = b.table(spark, folder, "lineitem").filter("l_returnflag = 'R' AND l_discount >= 0.1 AND l_quantity >= 40")
     nodes = b.table(spark, folder, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"))
-    return components.components(nodes, edges, [])
+    return components.components(nodes, items.select(part.alias("src"), supplier.alias("dst")), [])
+
+
+@query("connected_orders", """SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey) AS label FROM orders""")
+def connected_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders joined to the customer's next one, in the order of a hash: long paths with shuffled ids."""
+    orders = b.table(spark, folder, "orders").select(F.col("o_custkey").alias("scope"), F.col("o_orderkey").alias("node"))
+    placed = orders.withColumn("seq", F.xxhash64("node"))
+    edges = neighbour(placed, ["scope"], ["seq"], {"dst": F.col("node")}).filter("dst IS NOT NULL")
+    return components.components(orders.select("node"), edges.select(F.col("node").alias("src"), "dst"), [])
 
 
 @query("control_flow_metrics", f"""WITH {REACH},

@@ -61,8 +61,19 @@ def read_archives(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def write_graphs(df: DataFrame, path: str, keys: list[str], mode: str = "append") -> None:
-    """Graph tables: one row per key, laid out by repository so that a read of one touches its folders only."""
-    df.dropDuplicates(keys).write.mode(mode).partitionBy("repo_id").parquet(path)
+    """Graph tables: one row per key, laid out by repository so that a read of one touches its folders only.
+
+    A file that is written again adds nothing: keys that are stored are left out, and of rows with one key the smallest
+    is taken. Rows are dealt out by repository and a bucket of the file before the write, so a repository gets at most
+    as many files as it has buckets, and a large one is written by several tasks.
+    """
+    spark = df.sparkSession
+    rest = [c for c in df.columns if c not in keys]
+    rows = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, "_r.*") if rest else df.distinct()
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if mode == "append" and where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        rows = rows.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
+    bucketed(rows.select(*df.columns)).repartition("repo_id", "bucket").drop("bucket").write.mode(mode).partitionBy("repo_id").parquet(path)
 
 
 def graph_outcome(df: DataFrame) -> DataFrame:

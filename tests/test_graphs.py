@@ -30,6 +30,19 @@ def test_components_equal_union_find(spark):
     assert rows(got, "g", "node", "label") == want
 
 
+def test_shuffled_path_takes_few_rounds(spark, monkeypatch):
+    from codefacts.operators import components as module
+
+    ids = list(range(600))
+    random.Random(5).shuffle(ids)
+    edges = spark.createDataFrame([("g", a, b) for a, b in zip(ids, ids[1:])], "g string, src int, dst int")
+    tables = []
+    monkeypatch.setattr(module, "new_table_path", lambda s, n, f=module.new_table_path: tables.append(n) or f(s, n))
+    got = components(edges.select("g", edges.src.alias("node")).limit(0), edges, ["g"])
+    assert rows(got, "label") == [(0,)] * 600
+    assert tables.count("minima") <= 2 * 14
+
+
 def test_metrics_count_components(spark):
     nodes = spark.createDataFrame([("s", n) for n in range(5)], "scope string, node int")
     edges = spark.createDataFrame([("s", 0, 1), ("s", 1, 0), ("s", 2, 3)], "scope string, src int, dst int")

@@ -105,7 +105,7 @@ def test_insert_and_upserts(spark):
     assert rows(catalog.first_write_wins(new, old, on, "v")) == [("r", "a", 1), ("r", "b", 0)]
     assert rows(catalog.last_write_wins(new, old, on, "v")) == [("r", "a", 2), ("r", "b", 1)]
     outcome = catalog.insert_outcome(new, old, on, F.when(F.col("v") == 2, 16)).first()
-    assert tuple(outcome) == (2, 1, "16")
+    assert tuple(outcome) == (2, 1, 1, 1, "16")
     wanted = spark.createDataFrame([("java",), ("cobol",), ("ada",), ("ada",)], "language string")
     known = spark.createDataFrame([("java",)], "language string")
     assert [r.language for r in catalog.unsupported(wanted, known).collect()] == ["ada", "cobol"]
