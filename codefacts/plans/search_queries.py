@@ -49,9 +49,14 @@ def similar_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.knn(label_questions(spark, folder), vectors(spark, folder, F.col("label")))
 
 
+LANGS = ("de", "en", "es", "fr")
+
+
 def questions(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items as questions; they ask the languages in turn, so every document is searched."""
+    lang = F.get(F.array(*map(F.lit, LANGS)), F.pmod(F.col("item_id"), F.lit(len(LANGS))).cast("int"))
     return b.table(spark, folder, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.lit("en").alias("repo_id"), F.col("text").alias("query"))
+        F.col("item_id").alias("query_id"), lang.alias("repo_id"), F.col("text").alias("query"))
 
 
 def indexed(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,15 +68,16 @@ TOKENS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), l
 
 
 def bm25(k: int) -> str:
-    return f"""qt AS (SELECT DISTINCT item_id AS query_id, unnest({TOKENS.format('text')}) AS term FROM benchmark),
- dt AS (SELECT doc_id AS id, {TOKENS.format('text')} AS ts FROM documents WHERE lang = 'en'),
- corpus AS (SELECT count(*) AS n, avg(len(ts)) AS avg_len FROM dt WHERE len(ts) > 0),
- post AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(ts) AS len, unnest(ts) AS term FROM dt)
-  WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
- df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+    return f"""qt AS (SELECT DISTINCT item_id AS query_id, {list(LANGS)}[item_id % {len(LANGS)} + 1] AS lang,
+  unnest({TOKENS.format('text')}) AS term FROM benchmark),
+ dt AS (SELECT doc_id AS id, lang, {TOKENS.format('text')} AS ts FROM documents),
+ corpus AS (SELECT lang, count(*) AS n, avg(len(ts)) AS avg_len FROM dt WHERE len(ts) > 0 GROUP BY lang),
+ post AS (SELECT id, lang, len, term, count(*) AS tf FROM (SELECT id, lang, len(ts) AS len, unnest(ts) AS term FROM dt)
+  SEMI JOIN qt USING (lang, term) GROUP BY ALL),
+ df AS (SELECT lang, term, count(*) AS df FROM post GROUP BY ALL),
  bm AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2::DOUBLE
    / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len))), 6) AS score
-  FROM qt JOIN post USING (term) JOIN df USING (term), corpus GROUP BY ALL),
+  FROM qt JOIN post USING (lang, term) JOIN df USING (lang, term) JOIN corpus USING (lang) GROUP BY ALL),
  kw AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm QUALIFY rank <= {k})"""
 
 
@@ -81,8 +87,8 @@ def keyword_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hybrid_hits(spark: SparkSession, folder: str) -> DataFrame:
-    """Benchmark items ask by their text and by the vector of the same number."""
-    everything = vectors(spark, folder, F.lit("en"))
+    """Benchmark items ask by their text and, among the vectors of its label, by the vector of the same number."""
+    everything = vectors(spark, folder, F.col("label"))
     items = b.table(spark, folder, "benchmark").select(F.col("item_id").alias("id"))
     asked = everything.join(items, "id", "left_semi").withColumnRenamed("id", "query_id")
     return retrieval.hybrid(
@@ -92,7 +98,7 @@ def hybrid_hits(spark: SparkSession, folder: str) -> DataFrame:
 
 HYBRID = f"""{bm25(20)},
  v AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {COSINE.format('q.embedding', 'e.embedding')} AS score
-  FROM embeddings q JOIN benchmark ON item_id = q.vec_id, embeddings e),
+  FROM embeddings q JOIN benchmark ON item_id = q.vec_id JOIN embeddings e USING (label)),
  vk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM v QUALIFY rank <= 20),
  fused AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score
   FROM (SELECT query_id, id, rank FROM vk UNION ALL SELECT query_id, id, rank FROM kw) GROUP BY ALL),
