@@ -81,6 +81,15 @@ def view_doc(docs: DataFrame) -> DataFrame:
     return docs.withColumn("view", view)
 
 
+NO_SUMMARY = "No metadata found for this repository."  # fixed value
+
+
+def view_summary(repos: DataFrame, meta: DataFrame) -> DataFrame:
+    """The stored summary ``meta(repo_id, content)`` of each repository, or a note that it has none."""
+    return repos.join(meta.select("repo_id", "content"), "repo_id", "left").withColumn(
+        "view", F.coalesce("content", F.lit(NO_SUMMARY))).drop("content")
+
+
 def view_graph(graphs: DataFrame, kind: str, json: Column, full: bool = False) -> DataFrame:
     """A graph's JSON as markdown, or a note that the file has none (null JSON)."""
     body = json if full else truncate_marked(json, MAX_VIEW)

@@ -35,6 +35,60 @@ def chunk(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP)
     )
 
 
+SEPARATORS = ("\n\n", "\n", " ")  # fixed values: paragraphs, lines, words; then single characters
+
+
+def chunk_by_separator(docs: DataFrame, size: int = CHUNK_SIZE * 4, overlap: int = CHUNK_OVERLAP * 4) -> DataFrame:
+    """Chunks of at most ``size`` characters that end at paragraphs where they can, else at lines, words, characters.
+
+    Input ``(repo_id, file_id, path, content)``. A text is cut at the first separator; only pieces that are still too
+    long are cut at the next one, and words that are too long into ``size`` characters. Pieces keep the separator that
+    follows them, so the pieces of a text are the text. They fill a chunk until the next one doesn't fit; each chunk
+    then starts with the last pieces of the one before that fit into ``overlap`` characters. Chunks are trimmed, and
+    chunks of white space are left out. A null text has none. The work of a text stays in its row.
+    """
+    pieces = F.array("content")
+    for separator in SEPARATORS:
+        pieces = F.flatten(F.transform(pieces, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(_cut(p, separator))))
+    starts = lambda p: F.sequence(F.lit(1), F.greatest(F.length(p), F.lit(1)), F.lit(size))
+    pieces = F.flatten(F.transform(pieces, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(
+        F.transform(starts(p), lambda at: F.substring(p, at, F.lit(size))))))
+    # one struct per piece: which chunk it opens or joins, folded from left to right; then runs of pieces are texts
+    none = F.array().cast("array<int>")
+    state = F.struct(none.alias("from"), none.alias("to"), F.lit(0).alias("first"), F.lit(0).alias("at"), F.lit(0).alias("used"))
+    lengths = F.col("_lengths")
+
+    def step(s: Column, n: Column) -> Column:
+        full = (s["used"] > 0) & (s["used"] + n > size)
+        back = _kept(lengths, s["first"], s["at"], F.least(F.lit(overlap), size - n))
+        return F.when(full, F.struct(
+            F.concat(s["from"], F.array(s["first"])).alias("from"), F.concat(s["to"], F.array(s["at"])).alias("to"),
+            back["first"].alias("first"), (s["at"] + 1).alias("at"), (back["used"] + n).alias("used"),
+        )).otherwise(F.struct(s["from"], s["to"], s["first"], (s["at"] + 1).alias("at"), (s["used"] + n).alias("used")))
+
+    cut = docs.filter(F.length("content") > 0).withColumn("_p", F.filter(pieces, lambda p: p != ""))
+    cut = cut.withColumn("_lengths", F.transform("_p", F.length))
+    folded = F.aggregate("_lengths", state, step, lambda s: F.arrays_zip(
+        F.concat(s["from"], F.array(s["first"])).alias("from"), F.concat(s["to"], F.array(s["at"])).alias("to")))
+    texts = F.transform(folded, lambda r: F.regexp_replace(
+        F.array_join(F.slice("_p", r["from"] + 1, r["to"] - r["from"]), ""), r"^\s+|\s+$", ""))
+    return cut.select("repo_id", "file_id", "path", F.posexplode(F.filter(texts, lambda t: t != "")).alias("chunk_index", "text"))
+
+
+def _cut(text: Column, separator: str) -> Column:
+    """The parts of a text, each with the separator after it."""
+    parts = F.split(text, separator, -1)
+    return F.transform(parts, lambda p, i: F.when(i < F.size(parts) - 1, F.concat(p, F.lit(separator))).otherwise(p))
+
+
+def _kept(lengths: Column, first: Column, at: Column, room: Column) -> Column:
+    """The first of the last pieces before ``at`` that fit into ``room`` characters, and their length."""
+    last = F.reverse(F.slice(lengths, first + 1, at - first))
+    return F.aggregate(last, F.struct(at.alias("first"), F.lit(0).alias("used"), F.lit(False).alias("done")), lambda s, n: F.when(
+        s["done"] | (s["used"] + n > room), F.struct(s["first"], s["used"], F.lit(True).alias("done"))
+    ).otherwise(F.struct((s["first"] - 1).alias("first"), (s["used"] + n).alias("used"), F.lit(False).alias("done"))))
+
+
 def with_header(chunks: DataFrame) -> DataFrame:
     """Chunk rows with deterministic id and the heading that names their file."""
     header = F.concat(F.lit("Documentation of the file: "), F.col("path"), F.lit("\n\n"), F.col("text"))

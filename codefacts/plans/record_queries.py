@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..operators import access
+from ..operators import access, artifacts, retrieval
 from ..sources.files import get_rows
 from ..sources.json_facts import explode_ast
 from . import bindings as b
@@ -86,3 +86,17 @@ def old_format_methods(spark: SparkSession, folder: str) -> DataFrame:
     plain, full = F.create_map(F.lit("return_type"), event), F.create_map(F.lit("return_type"), event, F.lit("return_type_fqn"), event)
     method = F.when(event == "view", plain).when(event == "click", full).otherwise(F.create_map(F.lit("name"), event))
     return b.table(spark, folder, "events").select("event_id", labels.is_legacy_method(method).alias("is_legacy"))
+
+
+@query("summary_view", """SELECT p_partkey AS repo_id, coalesce(s_name, 'No metadata found for this repository.') AS view
+ FROM part LEFT JOIN supplier ON s_suppkey = p_partkey""")
+def summary_view(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts as repositories; the supplier of the same number, where there is one, is the summary."""
+    meta = b.table(spark, folder, "supplier").select(F.col("s_suppkey").alias("repo_id"), F.col("s_name").alias("content"))
+    return artifacts.view_summary(b.table(spark, folder, "part").select(F.col("p_partkey").alias("repo_id")), meta)
+
+
+@query("chunks_by_separator")
+def chunks_by_separator(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in chunks that end at paragraphs, lines or words; a test holds them against a plain version."""
+    return retrieval.chunk_by_separator(b.documents(spark, folder))

@@ -78,3 +78,41 @@ def test_embedding_function(spark):
     got = retrieval.embed(df, lambda texts: [[float(len(t)), 1.0] for t in texts]).orderBy("content")
     assert [r.embedding for r in got.collect()] == [[2.0, 1.0], [1.0, 1.0]]
     assert got.filter(F.size("embedding") != 2).count() == 0
+
+
+def chunked(text, size, overlap):
+    """The same chunks, one piece at a time."""
+    pieces = [text]
+    for separator in ("\n\n", "\n", " "):
+        cut = []
+        for p in pieces:
+            parts = p.split(separator) if len(p) > size else [p]
+            cut += [x + separator for x in parts[:-1]] + parts[-1:]
+        pieces = cut
+    pieces = [p[i : i + size] for p in pieces for i in range(0, len(p), size)]
+    out, run = [], []
+    for p in pieces:
+        if run and sum(map(len, run)) + len(p) > size:
+            out.append("".join(run))
+            kept = []
+            for x in reversed(run):
+                if len(x) + sum(map(len, kept)) > min(overlap, size - len(p)):
+                    break
+                kept.insert(0, x)
+            run = kept
+        run.append(p)
+    out.append("".join(run))
+    return [t for t in (x.strip(" \n") for x in out) if t]
+
+
+def test_chunks_by_separator(spark):
+    rng = random.Random(31)
+    texts = ["", " ", "one", "x" * 200, "a\n\n\n\nb", None]
+    texts += ["".join(rng.choice(["loaf", "rye bread", " ", " ", "\n", "\n\n", "crumb" * 9, "é"]) for _ in range(rng.randrange(60))) for _ in range(80)]
+    df = spark.createDataFrame([("r", i, "p", t) for i, t in enumerate(texts)], "repo_id string, file_id int, path string, content string")
+    got = {}
+    for r in retrieval.chunk_by_separator(df, 40, 12).orderBy("file_id", "chunk_index").collect():
+        got.setdefault(r.file_id, []).append(r.text)
+        assert len(r.text) <= 40
+    for i, t in enumerate(texts):
+        assert got.get(i, []) == chunked(t or "", 40, 12), repr(t)
