@@ -51,7 +51,13 @@ def throttled(events: DataFrame, key: str, width: str = "1 second", late: str =
 
 
 def run_throttled(events: DataFrame, key: str, width: str = "1 second", late: str = "10 seconds") -> DataFrame:
-    return run_to_table(throttled(events, key, width, late), "progress")
+    """The progress rows of a stream, intervals that are still open included: the latest update of each interval."""
+    per = throttled(events, key, width, late)
+    path = run_batches(per, "progress", write_batch, mode="update")
+    schema = StructType([*per.schema.fields, StructField("batch_id", IntegerType())])
+    updates = events.sparkSession.read.schema(schema).option("basePath", path).parquet(path)
+    latest = updates.groupBy(key, "bucket").agg(F.max_by(F.struct("n", "flushed_at"), "batch_id").alias("_r"))
+    return latest.select(key, "bucket", "_r.*")
 
 
 def late_rows(events: DataFrame, emitted: DataFrame, on: list[str]) -> DataFrame:

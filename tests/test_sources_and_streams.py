@@ -89,8 +89,9 @@ def test_silences(spark, tmp_path):
 def test_progress_and_late_rows(spark, tmp_path):
     data = [("a", n, T + dt.timedelta(seconds=n / 4)) for n in range(40)]
     stream, table = arrivals(spark, tmp_path, data, "run string, n int, ts timestamp", files=1)
-    emitted = runs.run_throttled(stream, "run", "1 second", "0 seconds")
     want = batch.throttle(table, "run", "1 second")
+    assert rows(runs.run_throttled(stream, "run", "1 second", "0 seconds")) == rows(want)
+    emitted = sinks.run_to_table(runs.throttled(stream, "run", "1 second", "0 seconds"), "closed")
     assert set(rows(emitted)) < set(rows(want)) and emitted.count() == 9
     left = runs.late_rows(want, emitted, ["run", "bucket"])
     assert rows(emitted.unionByName(left)) == rows(want)
