@@ -11,17 +11,23 @@ AGE_UNITS: tuple[tuple[str, float], ...] = (
 )
 
 
+# The marks of a cut text, around the number of characters.
+MARKED = ("\n\n[...truncated, ", " chars total]")
+OMITTED = ("\n... [TRUNCATED — ", " chars omitted]")
+NOTHING = "N/A"
+
+
 def truncate_marked(text: Column, limit: int) -> Column:
     """Keep ``limit`` characters and say how long the text was."""
-    marker = F.concat(F.lit("\n\n[...truncated, "), F.length(text).cast("string"), F.lit(" chars total]"))
+    marker = F.concat(F.lit(MARKED[0]), F.length(text).cast("string"), F.lit(MARKED[1]))
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), marker)).otherwise(text)
 
 
 def truncate_omitted(text: Column, limit: int) -> Column:
     """Keep ``limit`` characters and say how many were left out; null becomes ``N/A``."""
     left_out = (F.length(text) - limit).cast("string")
-    cut = F.concat(F.substring(text, 1, limit), F.lit("\n... [TRUNCATED — "), left_out, F.lit(" chars omitted]"))
-    return F.when(text.isNull(), F.lit("N/A")).when(F.length(text) > limit, cut).otherwise(text)
+    cut = F.concat(F.substring(text, 1, limit), F.lit(OMITTED[0]), left_out, F.lit(OMITTED[1]))
+    return F.when(text.isNull(), F.lit(NOTHING)).when(F.length(text) > limit, cut).otherwise(text)
 
 
 def truncate_json(value: Column, limit: int) -> Column:

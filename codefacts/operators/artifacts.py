@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import paths
 from ..functions.text import truncate_json, truncate_marked, truncate_omitted
 from .ordering import paged_lists
 
@@ -101,6 +100,11 @@ def view_graph(graphs: DataFrame, kind: str, json: Column, full: bool = False) -
     return graphs.withColumn("view", F.when(json.isNull(), none).otherwise(shown))
 
 
+# The headings of a prompt.
+PROMPT_TITLE, PROMPT_SOURCE, PROMPT_INSTRUCTIONS = "File to analyze: ", "Source code", "Instructions"
+PROMPT_GRAPHS = ("Abstract Syntax Tree (AST)", "Control Flow Graphs (CFG)", "Data Flow Graphs (DFG)")
+
+
 def prompt_set(
     files: DataFrame, source: Column, ast: Column, cfg: Column, dfg: Column, language: Column,
     instructions: dict[str, str], limit: int = MAX_PROMPT,
@@ -123,15 +127,9 @@ def prompt_set(
         return [F.lit(f"## {heading}\n\n```"), opened, F.lit("\n"), body, F.lit("\n```\n\n")]
 
     prompt = F.concat(
-        F.lit("# File to analyze: "), F.col("path"), F.lit("\n\n"),
-        *section("Source code", F.coalesce(language, F.lit("")), F.substring(source, 1, limit)),
-        *section("Abstract Syntax Tree (AST)", "json", graph(ast)),
-        *section("Control Flow Graphs (CFG)", "json", graph(cfg)),
-        *section("Data Flow Graphs (DFG)", "json", graph(dfg)),
-        F.lit("## Instructions\n\n"), F.coalesce(block, F.lit("")),
+        F.lit(f"# {PROMPT_TITLE}"), F.col("path"), F.lit("\n\n"),
+        *section(PROMPT_SOURCE, F.coalesce(language, F.lit("")), F.substring(source, 1, limit)),
+        *(part for heading, value in zip(PROMPT_GRAPHS, (ast, cfg, dfg)) for part in section(heading, "json", graph(value))),
+        F.lit(f"## {PROMPT_INSTRUCTIONS}\n\n"), F.coalesce(block, F.lit("")),
     )
     return files.withColumn("prompt", prompt)
-
-
-def language_of(path: Column) -> Column:
-    return paths.detect_language(path)

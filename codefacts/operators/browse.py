@@ -68,7 +68,3 @@ def page(df: DataFrame, order: list[Column | str], offset: int = 0, size: int =
     total = df.agg(F.count("*").alias("total")).scalar()
     rows = df.orderBy(*order).offset(start).limit(size)
     return rows.withColumns({"total": total, "first": F.lit(start + 1).cast("long")})
-
-
-def page_label(first: Column, shown: Column, total: Column) -> Column:
-    return F.format_string("showing %d-%d of %d", first, first + shown - 1, total)

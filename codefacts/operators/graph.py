@@ -134,9 +134,3 @@ def graph_elements(
         source.alias("source"), target.alias("target"), F.coalesce("label", F.lit("")).alias("label"),
     )
     return shown, links
-
-
-def file_level_ids(df: DataFrame, file_keys: list[str], order: list[str], out: str, first: int = 0) -> DataFrame:
-    """Dense ids inside one file: a file is one source row, so a plain window is bounded by its text."""
-    rank = F.row_number().over(Window.partitionBy(*file_keys).orderBy(*order))
-    return df.withColumn(out, rank.cast("long") - 1 + first)

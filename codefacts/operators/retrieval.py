@@ -103,11 +103,6 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def postings(chunks: DataFrame, id_col: str, text: str, group: str) -> DataFrame:
-    """Inverted index rows (group, term, id, tf, len); the shuffle key is (id, term), which no term can skew."""
-    return _counted(_terms(chunks, id_col, text, group), group)
-
-
 def _terms(chunks: DataFrame, id_col: str, text: str, group: str) -> DataFrame:
     split = chunks.select(group, F.col(id_col).alias("id"), tokens(F.col(text)).alias("_t"))
     return split.select(group, "id", F.size("_t").alias("len"), F.explode("_t").alias("term"))

@@ -63,5 +63,4 @@ def test_edges_and_elements(spark):
 def test_dense_ids(spark):
     df = spark.createDataFrame([(1, 5), (1, 3), (2, 9)], "g int, n int")
     assert rows(graph.assign_ids(df, ["g"], ["n"], first=1)) == [(1, 3, 1), (1, 5, 2), (2, 9, 1)]
-    assert rows(graph.file_level_ids(df, ["g"], ["n"], "i")) == [(1, 3, 0), (1, 5, 1), (2, 9, 0)]
     assert df.filter(F.col("n") > 100).count() == 0
