@@ -26,8 +26,8 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: int | str = "*", partitions: int = 8, app: str = "codefacts") -> SparkSession:
-    """A session on this machine, for tests and the bench."""
+def local_session(cores: int | str = "*", partitions: int = 8, app: str = "codefacts", shared: str | None = None) -> SparkSession:
+    """A session on this machine, for tests and the bench; ``shared`` is its folder for work tables."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -38,6 +38,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "codef
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

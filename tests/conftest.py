@@ -5,9 +5,7 @@ from codefacts.session import local_session
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session(4, partitions=4, app="codefacts-tests")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+    session = local_session(4, partitions=4, app="codefacts-tests", shared=str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 
