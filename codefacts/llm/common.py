@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: Fixed: the bytes that part words, and the same as a Spark regular expression.
 SPACES = b"\x20\t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -51,6 +53,22 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.withColumns({n: F.col("__one")[n] for n in columns}).drop("__one")
 
 
+def sampled(df: DataFrame, most: int, *key: str) -> DataFrame:
+    """About ``most`` rows, never more: those whose keys have the smallest hashes.
+
+    A count sets a limit on the hash first, so the tasks pass on about ``most`` rows between them and not each.
+    """
+    share = min(1.0, 1.2 * most / max(1, df.count()))
+    low = min((1 << 63) - 1, int(-(1 << 63) + share * (1 << 64)))
+    return df.filter(F.xxhash64(*key) <= low).orderBy(F.xxhash64(*key), *key).limit(most)
+
+
+def settled(counts: DataFrame, name: str) -> DataFrame:
+    """An aggregate as a table. A join with it reads plain shuffles on both sides, so a hot key's rows can be split
+    among tasks; joined as it stands, the aggregate would hold all rows of its keys in one task."""
+    return materialize(counts, name)
+
+
 def only_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``kept`` (id_col, text_hash) names, whole copies once.
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import Words, chunks, grams, keyed, prepare, shown_id, signed, table
+from .common import Words, chunks, grams, keyed, prepare, settled, shown_id, signed, table
 
 PREFIX = 8
 GROUP = 512
@@ -169,7 +169,7 @@ def repeated_windows(docs: DataFrame, window: int = 35, prefix: int = PREFIX, gr
     """(id, rid, first, n): windows first … first + n - 1 of a row of ``keyed`` also start somewhere else."""
     runs = docs.mapInArrow(_runs(window, min(prefix, window)), "id long, rid long, anchor long, first int, n int")
     repeated = runs.groupBy("anchor").agg(F.count("*").alias("pieces")).filter("pieces > 1")
-    suspects = runs.join(repeated, "anchor").groupBy("id", "rid").agg(
+    suspects = runs.join(settled(repeated, "anchors"), "anchor").groupBy("id", "rid").agg(
         F.sort_array(F.collect_set(F.struct("first", "n", "anchor", (F.col("pieces") > group).alias("big")))).alias("runs")
     )
     pieces = materialize(docs.join(suspects, ["id", "rid"]).mapInArrow(
@@ -188,7 +188,7 @@ def repeated_windows(docs: DataFrame, window: int = 35, prefix: int = PREFIX, gr
         _split(window), "window binary, id long, rid long, first int"
     )
     often = parts.groupBy("window").count().filter("count > 1").select("window")
-    single = parts.filter("first is not null").join(often, "window").select("id", "rid", "first", F.lit(1).alias("n"))
+    single = parts.filter("first is not null").join(settled(often, "windows"), "window").select("id", "rid", "first", F.lit(1).alias("n"))
     return trees.unionByName(whole).unionByName(single)
 
 
