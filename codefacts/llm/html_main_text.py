@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import named, prepare, table
+from .common import named, prepare, sampled
 
 #: Fixed: elements without an end tag; without text of their own; that end a paragraph; that stand inside a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -375,12 +375,15 @@ def train_from(pages: DataFrame, docs: DataFrame, known: str = r"^[a-z]+://[^/]+
     At most ``sample`` pages, whatever the size of the tables: those whose ids have the smallest hashes. Pages without a
     url of that form or without the document it names teach nothing; with none at all the pages in this module do.
     """
-    found = pages.select(
-        "page_id", "html", F.nullif(F.regexp_extract("url", known, 1), F.lit("")).try_cast("long").alias("doc_id")
-    ).dropna().orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(sample)
-    # the sample is bounded by its parameter; its ids pick the texts, and pages and texts meet in the driver
-    chosen = found.collect()
-    ids = docs.sparkSession.createDataFrame([(i,) for i in sorted({r["doc_id"] for r in chosen})], "doc_id long")
+    spark = docs.sparkSession
+    number = F.nullif(F.regexp_extract("url", known, 1), F.lit("")).try_cast("long")
+    rows = pages.select("page_id", F.xxhash64("html").alias("hash"), number.alias("doc_id"), "html").dropna()
+    # keys first, then the pages and texts that they name: all bounded by the parameter, copies once
+    keys = sampled(rows.select("page_id", "hash", "doc_id"), sample, "page_id", "hash").distinct().collect()
+    picked = F.broadcast(spark.createDataFrame(keys, rows.drop("html").schema))
+    chosen = rows.join(picked, rows.columns[:3], "left_semi").groupBy(*rows.columns[:3]).agg(F.min("html").alias("html")).collect()
+    chosen = sorted(chosen, key=lambda r: (r["page_id"], r["hash"]))
+    ids = spark.createDataFrame([(i,) for i in sorted({r["doc_id"] for r in chosen})], "doc_id long")
     texts = docs.select("doc_id", "text").dropna().join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     known_texts = {r["doc_id"]: r["text"] for r in texts.collect()} if chosen else {}
     return train([(r["html"], known_texts[r["doc_id"]]) for r in chosen if r["doc_id"] in known_texts])
