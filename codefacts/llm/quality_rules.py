@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, computed, named, prepare
+from .common import WORD, computed, named, prepare, sampled
 
 #: The base limits.
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -181,16 +181,15 @@ def learn_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
                label_col: str = "quality", sample: int = SAMPLE) -> list[Rule]:
     """The list for labelled rows (label 0: bad). At most ``sample`` of them are taken, whatever the size of the tables.
 
-    Rows that fail the base limits need no rule and are left out. Ids that several labels or rows have count as often
-    as they match; labels without a row, and null labels, count nothing.
+    Rows that fail the base limits need no rule and are left out. Ids that several labels or rows have count once for
+    each different match, in all for twice ``sample`` at most; labels without a row, and null labels, count nothing.
     """
-    chosen = labels.select(named(id_col).alias("__id"), named(label_col).alias("__label")).dropna() \
-        .orderBy(F.xxhash64("__id"), "__id", "__label").limit(sample)
+    chosen = sampled(labels.select(named(id_col).alias("__id"), named(label_col).alias("__label")).dropna(), sample, "__id", "__label")
     rows = docs.select(named(id_col).alias("__id"), named(text_col).alias("__text0"))
     # the sample is bounded by its parameter, 16 bytes a row
     found = statistics(rows.join(F.broadcast(chosen), "__id"), "__text0").filter(~base_failed()) \
-        .select(F.xxhash64("__id").alias("__h"), "__label", *(c.alias(n) for n, c in features().items())).collect()
-    found = sorted(found)[:sample]
+        .select("__id", "__label", *(c.alias(n) for n, c in features().items())).distinct() \
+        .orderBy("__id", "__label", *FEATURES).limit(2 * sample).collect()
     x = np.array([list(r)[2:] for r in found], float).reshape(len(found), len(FEATURES))
     return learn(x, np.array([r[1] == 0 for r in found], bool))
 
@@ -211,7 +210,7 @@ def judged(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFr
     """``docs`` with the struct columns ``__stats`` and ``__verdict`` (base_failed, rule, kept).
 
     Each row is judged by its own text alone, so null ids, repeated rows and other columns make no difference; null and
-    empty texts fail the base limits.
+    empty texts fail the base limits. Names that begin with two underscores are the operator's own.
     """
     prepare(docs.sparkSession)
     df = statistics(docs, text_col)

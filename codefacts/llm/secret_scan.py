@@ -124,7 +124,8 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``__spans``: array of (start, kind, end) of every secret, by start and then kind (place in KINDS).
 
     Code points, end exclusive. A null or empty text has none. Rows are scanned by themselves, so ids, repeated rows
-    and other columns make no difference. Base spans are all kept; an entropy span inside one is left out.
+    and other columns make no difference; names that begin with two underscores are the operator's own. Base spans are
+    all kept; an entropy span inside one is left out.
     """
     prepare(docs.sparkSession)
     df = computed(docs, __text=F.coalesce(named(text_col).cast("string"), F.lit("")))
