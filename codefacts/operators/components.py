@@ -15,46 +15,41 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame
     with a null end are ignored. A large star links each larger neighbour of a node to the smallest node around it, a
     small star does the same with the smaller neighbours; both keep the components and never add edges, and after
     O(log n) rounds every node hangs on the smallest one. Minima are partial sums, so a hub sends one row per task, and
-    the joins back have one row per node on one side, so a hub can be split. Each round is a table in the shared
-    folder; the one before is deleted.
+    the joins back read plain shuffles with one row per node on one side, so a hub's rows can be split. Each round is a
+    table in the shared folder; the one before is deleted.
     """
     spark = nodes.sparkSession
 
-    def stored(df: DataFrame, name: str) -> tuple[str, DataFrame]:
-        path = new_table_path(spark, name)
-        df.write.parquet(path)
-        return path, spark.read.schema(df.schema).parquet(path)
-
-    def star(rows: DataFrame, others: DataFrame) -> tuple[str, DataFrame]:
-        """``others`` with the smallest node around their src; the minima are a table, so the join can split a hub."""
-        path, least = stored(rows.groupBy(*keys, "src").agg(F.min("dst").alias("low")), "minima")
-        return path, others.join(least, [*keys, "src"])
+    def star(rows: DataFrame, others: DataFrame) -> DataFrame:
+        """``others`` with the smallest node around their src."""
+        least = rows.groupBy(*keys, "src").agg(F.min("dst").alias("low"))
+        # a key that Spark doesn't know from the aggregate: the join shuffles anew, and AQE can split its hot keys
+        return others.join(least.withColumn("src", F.array_max(F.array("src"))), [*keys, "src"])
 
     pair = edges.select(*keys, "src", "dst").filter("src <> dst").select(
         *keys, F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")
     )
-    path, pair = stored(pair.distinct(), "stars")
-    seen = None
+    path, seen = None, None
     while True:
-        old = [path]
-        if seen is not None:
+        if path is None:
+            large = pair.distinct()
+        else:
             both = pair.unionByName(pair.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst")))
-            minima, joined = star(both, both.filter("dst > src"))
-            large = joined.select(*keys, F.col("dst").alias("src"), F.least("src", "low").alias("dst")).distinct()
-            path, pair = stored(large, "stars")
-            old += [minima, path]
-        minima, joined = star(pair, pair)
-        small = joined.select(
+            large = star(both, both.filter("dst > src")).select(
+                *keys, F.col("dst").alias("src"), F.least("src", "low").alias("dst")).distinct()
+        small = star(large, large).select(
             *keys, F.when(F.col("dst") == F.col("low"), F.col("src")).otherwise(F.col("dst")).alias("src"),
             F.col("low").alias("dst"),
         ).distinct()
-        path, pair = stored(small, "stars")
-        for done in [*old, minima]:
-            delete_table(spark, done)
+        new = new_table_path(spark, "stars")
+        small.write.parquet(new)
+        pair = spark.read.schema(small.schema).parquet(new)
         now = pair.agg(F.count("*"), F.sum(F.xxhash64(*keys, "src", "dst").cast("decimal(38,0)"))).first()
+        if path is not None:
+            delete_table(spark, path)
         if now == seen or not now[0]:
             break
-        seen = now
+        path, seen = new, now
     every = nodes.select(*keys, "node").unionByName(
         edges.filter("src <> dst").select(*keys, F.explode(F.array("src", "dst")).alias("node"))
     ).distinct()

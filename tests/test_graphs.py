@@ -40,7 +40,7 @@ def test_shuffled_path_takes_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(module, "new_table_path", lambda s, n, f=module.new_table_path: tables.append(n) or f(s, n))
     got = components(edges.select("g", edges.src.alias("node")).limit(0), edges, ["g"])
     assert rows(got, "label") == [(0,)] * 600
-    assert tables.count("minima") <= 2 * 14
+    assert tables.count("stars") <= 14
 
 
 def test_metrics_count_components(spark):
