@@ -19,7 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, chunks, keyed, mixed, prepare, shown_id, signed, table
+from ..session import materialize
+from .common import SPACES, chunks, keyed, mixed, prepare, settled, shown_id, signed, table
 
 LEAST = 10
 BITS_PER_HASH = 16
@@ -142,9 +143,9 @@ def repeated_lines(rows: DataFrame, least: int = LEAST) -> DataFrame:
     hashes = rows.mapInArrow(_hashes(least), "to long, kind byte, hash long, id long, rid long")
     suspects = hashes.repartition("to").mapInArrow(suspected, "id long, rid long, hash long")
     looked_up = suspects.groupBy("id", "rid").agg(F.collect_set("hash").alias("hashes"))
-    keys = rows.join(looked_up, ["id", "rid"]).mapInArrow(_keys(least), "id long, rid long, key binary")
+    keys = materialize(rows.join(looked_up, ["id", "rid"]).mapInArrow(_keys(least), "id long, rid long, key binary"), "keys")
     first = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    return keys.join(first.select("key", "first"), "key").filter("id > first").select("id", "rid", "key")
+    return keys.join(settled(first.select("key", "first"), "first"), "key").filter("id > first").select("id", "rid", "key")
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
