@@ -79,7 +79,7 @@ def _hashes(least: int):
             none = np.zeros(len(many), np.int64)
             yield table(
                 _HASHES,
-                to=np.concatenate([signed(h[single]), signed(many), rids[d[shared]]]),
+                to=np.concatenate([signed(h[single]), signed(many), signed(mixed((ids ^ rids).view(np.uint64)))[d[shared]]]),
                 kind=np.repeat(np.array([_ONE, _MANY, _KNOWN], np.int8), [single.sum(), len(many), shared.sum()]),
                 hash=signed(np.concatenate([h[single], many, h[shared]])),
                 id=np.concatenate([ids[d[single]], none, ids[d[shared]]]),
