@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import NO_ID, chunks, keyed, powers, prepare, shown_id, stream, table
+from .common import NO_ID, chunks, keyed, powers, prepare, settled, shown_id, stream, table
 
 CUT_BITS = 12
 LEAST, MOST = 1 << 10, 1 << 16
@@ -92,7 +92,7 @@ def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows.mapInArrow(_recipes, "id long, rid long, recipe binary, text_sha256 string"), "recipes"
     )
     shared = recipes.groupBy("recipe").count().filter("count > 1").select("recipe")
-    suspects = recipes.join(shared, "recipe").select("id", "rid").distinct()
+    suspects = recipes.join(settled(shared, "shared"), "recipe").select("id", "rid").distinct()
     # rows that are copies as a whole need to be compared once only
     texts = rows.join(suspects, ["id", "rid"]).dropDuplicates(["id", "rid"])
     pieces = materialize(
@@ -106,9 +106,9 @@ def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .groupBy("id", "rid")
         .agg(F.sort_array(F.collect_list(F.struct("seq", "hash", F.coalesce("place", F.lit(1)).alias("place")))).alias("list"))
     )
-    members = recipes.select("id", "rid", "text_sha256").join(lists, ["id", "rid"])
+    members = materialize(recipes.select("id", "rid").join(lists, ["id", "rid"]), "members")
     groups = members.groupBy("list").agg(F.max("id").alias("keep"), F.count("*").alias("size"))
-    found = members.join(groups, "list").select("id", "rid", "keep", "size").distinct()
+    found = members.join(settled(groups, "groups"), "list").select("id", "rid", "keep", "size").distinct()
     copy = Window.partitionBy("id", "text_sha256").orderBy("rid")
     out = recipes.join(found, ["id", "rid"], "left").select(
         "id", "rid", "text_sha256", F.coalesce("keep", "id").alias("keep"), F.coalesce("size", F.lit(1)).alias("group_size"),
