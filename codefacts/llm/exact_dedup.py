@@ -102,7 +102,7 @@ def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     place = Window.partitionBy("hash").orderBy("body")
     clashes = contents.select("hash", "body", F.row_number().over(place).alias("place")).filter("place > 1")
     lists = (
-        pieces.join(clashes, ["hash", "body"], "left")
+        pieces.join(settled(clashes, "clashes"), ["hash", "body"], "left")
         .groupBy("id", "rid")
         .agg(F.sort_array(F.collect_list(F.struct("seq", "hash", F.coalesce("place", F.lit(1)).alias("place")))).alias("list"))
     )
