@@ -7,8 +7,8 @@ similarity has a Beta(m + 1, n - m + 1) posterior under a uniform prior, and a p
 of reaching the threshold is below ``TOLERANCE``. What is left is verified exactly, all pairs of a cluster of candidates
 by sums of shared shingles.
 
-Nothing is emitted per pair. A bucket emits a spanning forest of its surviving pairs, fewer edges than members, and a
-verified cluster emits numbers of links and a spanning forest. Buckets and clusters are cut into blocks, and each pair of blocks
+Nothing is emitted per pair. A bucket emits the components of its surviving pairs, fewer edges than members, and a
+verified cluster emits numbers of links and components. Buckets and clusters are cut into blocks, and each pair of blocks
 is a task's work of bounded size.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..session import materialize
-from .common import NO_ID, Words, chunks, grams, keyed, mixed, prepare, shown_id, signed, stream, table
+from .common import NO_ID, Words, chunks, grams, keyed, mixed, prepare, settled, shown_id, signed, stream, table
 
 SHINGLE = 5
 THRESHOLD = Fraction(4, 5)
@@ -129,20 +129,26 @@ def _by_group(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Itera
 
 
 class Forest:
-    """Labels of components while edges come in, and the edges that joined two."""
+    """Labels of components while edges come in."""
 
     def __init__(self, n: int):
-        self.label, self.edges = np.arange(n), []
+        self.label = np.arange(n)
 
     def join(self, a: int, others: np.ndarray) -> None:
         for b in others.tolist():
             if self.label[a] != self.label[b]:
-                self.edges.append((a, b))
                 self.label[self.label == self.label[b]] = self.label[a]
 
+    def stars(self, nodes: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Each node but the smallest of a component with that one."""
+        least: dict[int, bytes] = {}
+        for label, node in zip(self.label.tolist(), nodes):
+            least[label] = min(node, least.get(label, node))
+        return [(node, least[label]) for label, node in zip(self.label.tolist(), nodes) if node != least[label]]
 
-def surviving(signatures: np.ndarray, mine: np.ndarray, same: bool, needed: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs that pruning leaves; between two blocks only pairs across them count."""
+
+def surviving(signatures: np.ndarray, mine: np.ndarray, same: bool, needed: list[tuple[int, int]]) -> Forest:
+    """The components of the pairs that pruning leaves; between two blocks only pairs across them count."""
     n = len(signatures)
     forest = Forest(n)
     for a in range(n):
@@ -158,7 +164,7 @@ def surviving(signatures: np.ndarray, mine: np.ndarray, same: bool, needed: list
         forest.join(a, others)
         if same and (forest.label == forest.label[0]).all():
             break
-    return forest.edges
+    return forest
 
 
 def _prune(threshold: float):
@@ -170,9 +176,10 @@ def _prune(threshold: float):
             if len(group) > 1:
                 nodes = [g["node"] for g in group]
                 signatures = np.frombuffer(b"".join(g["signature"] for g in group), np.uint32).reshape(len(group), -1)
-                edges = surviving(signatures, np.array([g["mine"] for g in group]), group[0]["one"] == group[0]["two"], needed)
-                src += [nodes[a] for a, _ in edges]
-                dst += [nodes[b] for _, b in edges]
+                forest = surviving(signatures, np.array([g["mine"] for g in group]), group[0]["one"] == group[0]["two"], needed)
+                edges = forest.stars(nodes)
+                src += [a for a, _ in edges]
+                dst += [b for _, b in edges]
             if len(src) >= 10_000:
                 yield table(_EDGE, src=src, dst=dst)
                 src, dst = [], []
@@ -223,9 +230,9 @@ def _verify(k: int, threshold: Fraction):
                 out["src"].append(nodes[a])
                 out["dst"].append(None)
                 out["links"].append(int(links[a]))
-            for a, b in forest.edges:
-                out["src"].append(nodes[a])
-                out["dst"].append(nodes[b])
+            for a, b in forest.stars(nodes):
+                out["src"].append(a)
+                out["dst"].append(b)
                 out["links"].append(0)
             if len(out["src"]) >= 10_000:
                 yield table(_FOUND, **out)
@@ -257,7 +264,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ), "representatives")
     bands = nodes.select("node", "signature").mapInArrow(_bands, "key long, node binary")
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = in_block_pairs(bands.join(shared, "key"), "key", F.col("n"), block=block).drop("n")
+    members = in_block_pairs(bands.join(settled(shared, "bands"), "key"), "key", F.col("n"), block=block).drop("n")
     members = members.join(nodes.select("node", "signature"), "node")
     by = ["key", "one", "two"]
     candidates = materialize(
@@ -266,8 +273,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     none = spark.createDataFrame([], "node binary")
     clusters = components(none, candidates, [])
+    clusters = materialize(clusters, "clusters")
     sizes = clusters.groupBy("label").agg(F.count("*").alias("n"))
-    spread = in_block_pairs(clusters.join(sizes, "label"), "label", F.col("n"), block=block).drop("n")
+    spread = in_block_pairs(clusters.join(settled(sizes, "sizes"), "label"), "label", F.col("n"), block=block).drop("n")
     # one row with its text per representative, chosen by its keys; copies as a whole have the same text
     texts = rows.join(
         nodes.join(clusters.select("node"), "node", "left_semi").select("node", "copies", "first.id", "first.rid"), ["id", "rid"]
@@ -282,8 +290,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = nodes.select("node", "first", "copies").join(joined, "node", "left").join(links, "node", "left").select(
         "node", "first", "copies", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links")
     )
+    placed = materialize(placed, "placed")
     least = placed.groupBy("label").agg(F.min("first").alias("least"))
-    placed = placed.join(least, "label").select("node", "least", (F.col("links") + F.col("copies") - 1).alias("links"))
+    placed = placed.join(settled(least, "least"), "label").select("node", "least", (F.col("links") + F.col("copies") - 1).alias("links"))
     out = every.select("id", "rid", F.when(F.col("size") > 0, F.col("node")).alias("node")).join(placed, "node", "left")
     own = F.struct("id", "rid")
     return out.select(
