@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -31,6 +32,10 @@ BLOCKS = frozenset(
     "h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul body html".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Fixed: what can stand in a head; silent elements that an end tag inside can't leave; those that a block ends.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+FENCES = frozenset("iframe noscript object script style template textarea title".split())
+FOREIGN = frozenset(("svg", "math"))
 #: Fixed: tags and attribute tokens of page furniture and of content.
 FURNITURE_TAGS = frozenset("nav header footer aside form menu dialog".split())
 FURNITURE = frozenset(
@@ -70,12 +75,16 @@ class Node:
 
 
 class Tree(HTMLParser):
-    """A forgiving tree of elements: unknown ends are skipped, missing ends are added, the end of the page ends all."""
+    """A forgiving tree of elements: unknown ends are skipped, missing ends are added, the end of the page ends all.
+
+    Silent elements are nodes while they are open, but hang from no other node, so they and all in them are no part of the tree.
+    """
 
     def __init__(self, page: str):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None, 0)
-        self.silent = 0
+        self.open: dict[str, list[Node]] = defaultdict(list)  # the open nodes of each tag, the deepest last
+        self.begun = False  # the head is over, whether or not its end was seen
         self.extra = 0
         last = page.rfind("<")
         if last >= 0 and page.find(">", last) < 0 and (page[last + 1 : last + 2].isalpha() or page[last + 1 : last + 2] in ("/", "!", "?")):
@@ -85,26 +94,34 @@ class Tree(HTMLParser):
         self._measure()
 
     def handle_starttag(self, tag, attrs):
-        if tag in SILENT:
-            self.silent += tag not in VOID
+        if tag == "html" or tag == "head" and (self.begun or self.open["head"]):
             return
-        if self.silent:
+        if tag == "body" and not self.open["template"] or self.at.tag == "head" and tag not in IN_HEAD:
+            self._end_head()
+        if tag == "body":
             return
+        if tag in BLOCKS:
+            self._end_open(FOREIGN, frozenset(("foreignobject", "desc", "title", "annotation-xml")))
+        if tag in ("select", "form", "input", "textarea"):
+            self._end_open(frozenset(("select", "option")), FENCES | {"button"})
+        if tag in ("option", "optgroup"):
+            self._end_open(frozenset(("option",)), FENCES | {"select", "datalist", "optgroup"})
         if tag == "p" or tag in BLOCKS:
-            self._end_open("p", BLOCKS - {"p"})
+            self._end_open(frozenset(("p",)), (BLOCKS | SILENT) - {"p"})
         if tag == "li":
-            self._end_open("li", frozenset(("ul", "ol", "menu")))
-        if tag in ("html", "body"):
-            return
-        if self.at.depth >= MOST_DEEP and tag not in VOID:
+            self._end_open(frozenset(("li",)), SILENT | {"ul", "ol", "menu"})
+        self.begun |= not self.open["head"] and tag != "head" and tag not in IN_HEAD
+        if self.at.depth >= MOST_DEEP and tag not in VOID and tag not in SILENT:
             self.extra += 1
             return
         names = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "itemprop", "aria-label"))
         node = Node(tag, self.at, self.at.depth + 1, frozenset(t.lower() for t in _TOKEN.findall(names)))
-        self.at.parts.append(node)
-        self.at.children.append(node)
+        if tag not in SILENT:
+            self.at.parts.append(node)
+            self.at.children.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag].append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -112,31 +129,40 @@ class Tree(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag in SILENT:
-            self.silent = max(0, self.silent - 1)
-            return
-        if self.silent:
-            return
-        if self.extra and tag not in VOID:
+        if self.extra and tag not in VOID and tag not in SILENT:
             self.extra -= 1
             return
-        node = self.at
-        while node is not None and node.tag != tag:
-            node = node.parent
-        if node is not None and node.parent is not None:
-            self.at = node.parent
-
-    def _end_open(self, tag: str, fence: frozenset[str]) -> None:
-        node = self.at
-        while node.parent is not None and node.tag not in fence:
-            if node.tag == tag:
-                self.at = node.parent
+        self._end_open(frozenset((tag,)), FENCES - {tag})
+
+    def _deepest(self, tags: frozenset[str]) -> Node | None:
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), key=lambda n: n.depth, default=None)
+
+    def _end_open(self, tags: frozenset[str], fence: frozenset[str]) -> None:
+        """Ends the open nodes of these tags that no open node of ``fence`` holds, and with them all that they hold."""
+        while (node := self._deepest(tags)) is not None:
+            held = self._deepest(fence)
+            if held is not None and held.depth > node.depth:
+                return
+            self._end(node)
+            if len(tags) == 1:
                 return
-            node = node.parent
+
+    def _end(self, node: Node) -> None:
+        while self.at is not node.parent:
+            self.open[self.at.tag].pop()
+            self.at = self.at.parent
+
+    def _end_head(self) -> None:
+        if self.open["head"]:
+            self._end(self.open["head"][0])
+        self.begun = True
 
     def handle_data(self, data):
-        if not self.silent and data:
-            self.at.parts.append(data)
+        if data and not data.isspace():
+            if self.at.tag == "head":
+                self._end_head()
+            self.begun |= not self.open["head"] and self.at.tag not in SILENT
+        self.at.parts.append(data)
 
     def _measure(self) -> None:
         self.order, stack = [], [self.root]

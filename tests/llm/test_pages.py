@@ -24,6 +24,21 @@ def test_blocks_and_references():
     assert html.blocks(html.Tree("<div>cut off <a href='").root) == ["cut off"]
 
 
+def test_missing_ends_of_silent_elements(model):
+    assert html.blocks(html.Tree("<head><title>x</title><body><p>a</p>").root) == ["a"]
+    assert html.blocks(html.Tree("<html><head><meta charset=x><title>x</title><script>y</script><p>a<p>b").root) == ["a", "b"]
+    assert html.blocks(html.Tree("<head><title>x</title> bare <head>text</head>").root) == ["bare text"]
+    form = "<form><select><option>A<option>B</select></form>"
+    assert html.blocks(html.Tree(f"{form}<p>a</p>{form}b").root) == ["a", "b"]
+    assert html.blocks(html.Tree("<form><select><option>A<optgroup><option>B</form>a").root) == ["a"]
+    assert html.blocks(html.Tree("<form><select><option>A<select><option>B</select>a<input>b</form>").root) == ["ab"]
+    assert html.blocks(html.Tree("<datalist><option>A<option>B</datalist>a<div><button>C</div>b<svg><g>D<p>c").root) == ["a", "b", "c"]
+    assert html.blocks(html.Tree("<div>a<noscript>x</div><p>y</noscript>b</div></option></script>c").root) == ["ab", "c"]
+    page, text = html.taught_pages()[2]
+    for head in ("<html><head><title>x</title><body>", form):
+        assert html.main_texts([head + page], model) == [text]
+
+
 def test_deep_and_wide_pages(model):
     deep = "<div>" * 5000 + "The bottom of a very deep page is still text." + "</div>" * 5000
     assert html.blocks(html.Tree(deep).root) == ["The bottom of a very deep page is still text."]
