@@ -36,6 +36,19 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 FENCES = frozenset("iframe noscript object script style template textarea title".split())
 FOREIGN = frozenset(("svg", "math"))
+
+
+def _ends(tags: str, ended: str, fence: str, silent: frozenset[str] = SILENT) -> dict[str, tuple[frozenset[str], frozenset[str]]]:
+    return {t: (frozenset(ended.split()), silent | frozenset(fence.split())) for t in tags.split()}
+
+
+#: Fixed: tags that end open elements without an end tag: which, and what keeps them from it.
+ENDS = (
+    _ends("li", "li", "ul ol menu") | _ends("dt dd", "dt dd", "dl") | _ends("rt rp", "rt rp", "ruby") | _ends("rtc rb", "rt rp rtc rb", "ruby")
+    | _ends("td th", "td th caption", "table tr") | _ends("tr", "td th tr caption colgroup", "table")
+    | _ends("thead tbody tfoot colgroup caption", "td th tr thead tbody tfoot colgroup caption", "table")
+    | _ends("option", "option", "select datalist optgroup", FENCES) | _ends("optgroup", "option optgroup", "select datalist", FENCES)
+)
 #: Fixed: tags and attribute tokens of page furniture and of content.
 FURNITURE_TAGS = frozenset("nav header footer aside form menu dialog".split())
 FURNITURE = frozenset(
@@ -44,7 +57,6 @@ FURNITURE = frozenset(
     "related reply replies share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split()
 )
 CONTENT = frozenset("article articlebody body content entry main mainentity post story text".split())
-MOST_DEEP = 512  # deeper elements are read as text of the one at this depth: nothing is lost but their own features
 
 #: Characters of a block that is found in a known text by more than chance.
 TELLING = 25
@@ -85,7 +97,6 @@ class Tree(HTMLParser):
         self.root = self.at = Node("html", None, 0)
         self.open: dict[str, list[Node]] = defaultdict(list)  # the open nodes of each tag, the deepest last
         self.begun = False  # the head is over, whether or not its end was seen
-        self.extra = 0
         last = page.rfind("<")
         if last >= 0 and page.find(">", last) < 0 and (page[last + 1 : last + 2].isalpha() or page[last + 1 : last + 2] in ("/", "!", "?")):
             page = page[:last]  # an unfinished tag at the end
@@ -104,16 +115,11 @@ class Tree(HTMLParser):
             self._end_open(FOREIGN, frozenset(("foreignobject", "desc", "title", "annotation-xml")))
         if tag in ("select", "form", "input", "textarea"):
             self._end_open(frozenset(("select", "option")), FENCES | {"button"})
-        if tag in ("option", "optgroup"):
-            self._end_open(frozenset(("option",)), FENCES | {"select", "datalist", "optgroup"})
         if tag == "p" or tag in BLOCKS:
             self._end_open(frozenset(("p",)), (BLOCKS | SILENT) - {"p"})
-        if tag == "li":
-            self._end_open(frozenset(("li",)), SILENT | {"ul", "ol", "menu"})
+        if tag in ENDS:
+            self._end_open(*ENDS[tag])
         self.begun |= not self.open["head"] and tag != "head" and tag not in IN_HEAD
-        if self.at.depth >= MOST_DEEP and tag not in VOID and tag not in SILENT:
-            self.extra += 1
-            return
         names = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "itemprop", "aria-label"))
         node = Node(tag, self.at, self.at.depth + 1, frozenset(t.lower() for t in _TOKEN.findall(names)))
         if tag not in SILENT:
@@ -129,9 +135,6 @@ class Tree(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if self.extra and tag not in VOID and tag not in SILENT:
-            self.extra -= 1
-            return
         self._end_open(frozenset((tag,)), FENCES - {tag})
 
     def _deepest(self, tags: frozenset[str]) -> Node | None:
@@ -280,29 +283,37 @@ def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 40, de
     return Boosted(start, tuple(trees))
 
 
-def blocks(node: Node) -> list[str]:
-    """The texts of a subtree, one per block, white space made one space."""
-    out, line, stack = [], [], [iter(node.parts)]
-    tags = [node.tag]
+def placed_blocks(node: Node) -> tuple[list[str], dict[int, tuple[int, int]]]:
+    """The texts of a subtree, one per block, white space made one space; and by id, which of them each block element holds."""
+    out, line, stack, places = [], [], [(node, 0, iter(node.parts))], {}
+
+    def border() -> None:
+        if text := plain("".join(line)):
+            out.append(text)
+        line.clear()
+
     while stack:
-        part = next(stack[-1], None)
+        at, first, parts = stack[-1]
+        part = next(parts, None)
         if part is None:
             stack.pop()
-            if tags.pop() in BLOCKS:
-                out.append("".join(line))
-                line = []
+            if at.tag in BLOCKS:
+                border()
+                places[id(at)] = first, len(out)
         elif isinstance(part, Node):
             if part.tag in BLOCKS:
-                out.append("".join(line))
-                line = []
+                border()
             if part.tag == "br":
                 line.append(" ")
-            stack.append(iter(part.parts))
-            tags.append(part.tag)
+            stack.append((part, len(out), iter(part.parts)))
         else:
             line.append(part)
-    out.append("".join(line))
-    return [p for b in out if (p := plain(b))]
+    border()
+    return out, places
+
+
+def blocks(node: Node) -> list[str]:
+    return placed_blocks(node)[0]
 
 
 def decode(tree: Tree, odds: np.ndarray) -> list[Node]:
@@ -346,13 +357,26 @@ def labelled_nodes(page: str, known: str) -> tuple[np.ndarray, np.ndarray, np.nd
     """Features, labels and weights. A node is main text if all its blocks are found in the known text and one of them is
     long enough to tell or they hold all of it, or if the node around it is main text."""
     tree, known = Tree(page), plain(known)
+    texts, places = placed_blocks(tree.root)
+    # sums over the blocks, so that the work does not grow with the depth: not found, telling, characters
+    bad, telling, chars = (np.concatenate([[0], np.cumsum(c, dtype=np.int64)]) for c in (
+        [t not in known for t in texts], [len(t) >= TELLING for t in texts], [len(t) + 1 for t in texts],
+    ))
+
+    def found(node: Node) -> bool:
+        if node.tag in BLOCKS:
+            i, j = places[id(node)]
+            if i == j or bad[j] > bad[i]:
+                return False
+            return telling[j] > telling[i] or 0 < len(known) < chars[j] - chars[i] and known in " ".join(texts[i:j])
+        own = blocks(node)
+        return bool(own) and all(t in known for t in own) and (max(map(len, own)) >= TELLING or bool(known) and known in " ".join(own))
+
     y: dict[int, bool] = {}
     for node in tree.order:
-        texts = blocks(node)
-        found = bool(texts) and all(t in known for t in texts) and (
-            max(map(len, texts)) >= TELLING or bool(known) and known in " ".join(texts)
-        )
-        y[id(node)] = found or y.get(id(node.parent), False)
+        above = y.get(id(node.parent), False)
+        alone = node.parent is not None and len(node.parent.children) == 1 and not node.parent.own
+        y[id(node)] = above if above or alone else found(node)
     weight = [np.log1p(node.chars) for node in tree.order]
     return node_features(tree), np.array([y[id(n)] for n in tree.order], float), np.array(weight, float)
 

@@ -47,6 +47,35 @@ def test_deep_and_wide_pages(model):
     assert html.main_texts([wide], model) == [" ".join(body)]
 
 
+def test_nothing_is_lost_behind_open_elements(model):
+    deep = html.Tree("<div>" * 600 + "<p>a</p><p>b</p><footer>c</footer>")
+    assert html.blocks(deep.root) == ["a", "b", "c"] and [n.tag for n in deep.order[-3:]] == ["p", "p", "footer"]
+    text = "This is one of the many cells that somebody wrote into the table of an article."
+    for cells, end in (("<tr><td>{}<td>{}", "</table>"), ("<dt>{}<dd>{}", "</dl>"), ("<tbody><tr><th>{}<tr><td>{}", "</table>")):
+        page = f"<article>{'<dl>' if 'dl' in end else '<table>'}{cells.format('x', 'y') * 600}{end}</article><footer><p>z</p></footer>"
+        tree = html.Tree(page)
+        assert html.blocks(tree.root) == ["x", "y"] * 600 + ["z"]
+        assert [n.tag for n in tree.root.children] == ["article", "footer"] and max(n.depth for n in tree.order) <= 5
+    page = "<div>" * 600 + f"<article><p>{text}</p><p>{text}</p></article><footer><p>{text}</p></footer><div class='comments'><p>{text}</p></div>"
+    assert html.main_texts([page], model) == [f"{text} {text}"]
+    nested = "<table><tr><td>a<table><tr><td>b<td>c</table>d<td>e</table>f<ruby>g<rt>h<rt>i</ruby>"
+    assert html.blocks(html.Tree(nested).root) == ["a", "b", "c", "d", "e", "fghi"]
+
+
+def test_labels_of_deep_pages():
+    """As by the texts of each node by itself, in a time that does not grow with the square of the depth."""
+    text = "Words of the article that are known, and more of them than chance explains."
+    for page in ["<div>" * 9 + f"<p>{text}</p><div>{text}<b>more</b>" + "</div>" * 9 + "<p>no</p>", f"<div><span>{text}</span></div><p></p>", "<div><p>a<p>b</div>"]:
+        for known in (f"{text} {text}more", "a b", ""):
+            tree, y = html.Tree(page), {}
+            for node in tree.order:
+                own = html.blocks(node)
+                found = bool(own) and all(t in known for t in own) and (max(map(len, own)) >= html.TELLING or bool(known) and known in " ".join(own))
+                y[id(node)] = found or y.get(id(node.parent), False)
+            assert html.labelled_nodes(page, known)[1].tolist() == [y[id(n)] for n in tree.order]
+    assert html.labelled_nodes(f"<p>{text}</p>" + "<div>qq" * 20000 + "</x>" * 20000, text)[1].sum() == 1
+
+
 def test_decoding_has_no_contradictions(model):
     trees = [html.Tree(p) for p, _ in html.taught_pages()]
     for tree in trees:
