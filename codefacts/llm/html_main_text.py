@@ -3,8 +3,8 @@
 Each element of a page is a node with features of its subtree (text, links, density, children), of its attributes (do
 their tokens or its tag speak of furniture or of content), of its depth and place, and of its siblings. Boosted
 regression trees, trained here on nodes labelled by known texts, give each node the odds of being main text. Decoding is hierarchical: each
-subtree is either all out, all in, or split among its children, whichever has the largest sum of log odds weighted by
-the text that the choice decides; a node inside a chosen one can't contradict it.
+subtree is either all out, all in, or split among its children and its own texts, whichever has the largest sum of log
+odds weighted by the text that the choice decides; a node inside a chosen one can't contradict it.
 """
 
 from __future__ import annotations
@@ -187,6 +187,7 @@ class Tree(HTMLParser):
 FEATURES = (
     "chars", "link_density", "tags_per_char", "paragraphs", "depth", "children", "furniture", "furniture_above", "content",
     "content_above", "place", "siblings", "sibling_share", "paragraph", "heading", "link", "block", "text_before",
+    "own_share",
 )
 
 
@@ -207,7 +208,7 @@ def node_features(tree: Tree) -> np.ndarray:
             math.log1p(min(node.chars, 2000)), node.linked / max(1, node.chars), node.tags / max(1, node.chars), math.log1p(min(node.paragraphs, 8)),
             min(node.depth, 8), math.log1p(min(len(node.parts), 8)), odd, above, good, inside, node.place / node.siblings, math.log1p(min(node.siblings, 8)),
             min(1.0, node.chars / max(1, node.around)), node.tag == "p", node.tag in HEADINGS, node.tag == "a",
-            node.tag in BLOCKS, before / total,
+            node.tag in BLOCKS, before / total, node.own / max(1, node.chars),
         ))
         before += node.own
     return np.array(rows, float)
@@ -316,32 +317,65 @@ def blocks(node: Node) -> list[str]:
     return placed_blocks(node)[0]
 
 
-def decode(tree: Tree, odds: np.ndarray) -> list[Node]:
-    """The nodes that are chosen as whole subtrees, in page order.
+def choices(tree: Tree, odds: np.ndarray) -> list[str]:
+    """What becomes of each node's subtree: "in", "split" or "out", in the order of the nodes.
 
     For every node the best sum over its subtree is that of leaving all out (0), of taking all in (the log odds of
     every node in it, weighted by its own text), or of the best choices of its children while its own text follows the
-    node's own odds.
+    node's own odds. In a line of such text, the node's odds count for the elements inside the line too: a link with
+    weak odds stays in its sentence. Of equal sums the one that takes the subtree whole counts.
     """
-    own = [n.own for n in tree.order]
     place = {id(n): i for i, n in enumerate(tree.order)}
-    every, best, choice = np.zeros(len(own)), np.zeros(len(own)), [""] * len(own)
-    for i in range(len(own) - 1, -1, -1):
-        kids = [place[id(c)] for c in tree.order[i].children]
-        mine = odds[i] * own[i]
-        every[i] = mine + sum(every[k] for k in kids)
-        split = sum(best[k] for k in kids)
-        best[i], choice[i] = max((every[i] if own[i] or kids else 0.0, "in"), (split, "split"), (0.0, "out"))
-    chosen, stack = [], [0]
+    every, best, choice = np.zeros(len(place)), np.zeros(len(place)), [""] * len(place)
+    for i in range(len(place) - 1, -1, -1):
+        node = tree.order[i]
+        mine = odds[i] * node.own
+        every[i], split = mine, max(0.0, mine)
+        for child in node.children:
+            k = place[id(child)]
+            every[i] += every[k]
+            if mine > 0 and child.tag not in BLOCKS and every[k] + odds[i] * child.chars >= best[k]:
+                best[k], choice[k] = every[k], "in"
+            split += best[k]
+        best[i] = max(every[i], split, 0.0)
+        choice[i] = "out" if best[i] <= 0 else "in" if every[i] >= split else "split"
+    return choice
+
+
+def decode(tree: Tree, odds: np.ndarray) -> list[Node]:
+    """The nodes that are chosen as whole subtrees, in page order."""
+    choice = dict(zip(map(id, tree.order), choices(tree, odds)))
+    chosen, stack = [], [tree.root]
     while stack:
-        i = stack.pop()
-        if choice[i] == "in":
-            chosen.append(tree.order[i])
-        elif choice[i] == "split":
-            stack += [place[id(c)] for c in reversed(tree.order[i].children)]
+        node = stack.pop()
+        if choice[id(node)] == "in":
+            chosen.append(node)
+        elif choice[id(node)] == "split":
+            stack += reversed(node.children)
     return chosen
 
 
+def decoded(tree: Tree, odds: np.ndarray) -> list[str]:
+    """The blocks of the main text in page order: whole subtrees, and the own texts of split nodes with positive odds."""
+    fate = {id(n): (c, o > 0) for n, c, o in zip(tree.order, choices(tree, odds), odds)}
+    root = Node("html", None, 0)
+    stack = [(tree.root, root, False)]
+    while stack:
+        node, copy, whole = stack.pop()
+        choice, own = fate[id(node)]
+        whole = whole or choice == "in"
+        for part in node.parts:
+            if not isinstance(part, Node):
+                copy.parts.append(part if whole or choice == "split" and own else " ")
+            elif whole or fate[id(part)][0] != "out" or part.tag in BLOCKS or part.tag in VOID:
+                copy.parts.append(Node(part.tag, copy, 0))
+                if whole or fate[id(part)][0] != "out":
+                    stack.append((part, copy.parts[-1], whole))
+            else:
+                copy.parts.append(" ")  # what is left out parts the words around it
+    return blocks(root)
+
+
 def main_texts(pages: list[str], model: Boosted, together: int = 64) -> list[str]:
     """The main text of each page; the trees look at the nodes of ``together`` pages at a time."""
     out = []
@@ -349,13 +383,14 @@ def main_texts(pages: list[str], model: Boosted, together: int = 64) -> list[str
         trees = [Tree(p) for p in pages[start : start + together]]
         rows = [node_features(t) for t in trees]
         odds = np.split(model.log_odds(np.concatenate(rows)), np.cumsum([len(r) for r in rows])[:-1])
-        out += [" ".join(b for n in decode(t, o) for b in blocks(n)) for t, o in zip(trees, odds)]
+        out += [" ".join(decoded(t, o)) for t, o in zip(trees, odds)]
     return out
 
 
 def labelled_nodes(page: str, known: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features, labels and weights. A node is main text if all its blocks are found in the known text and one of them is
-    long enough to tell or they hold all of it, or if the node around it is main text."""
+    long enough to tell or they hold all of it, or if the node around it is main text. Where furniture stands among a
+    node's own texts, they alone are asked, since they are what its odds decide."""
     tree, known = Tree(page), plain(known)
     texts, places = placed_blocks(tree.root)
     # sums over the blocks, so that the work does not grow with the depth: not found, telling, characters
@@ -363,26 +398,32 @@ def labelled_nodes(page: str, known: str) -> tuple[np.ndarray, np.ndarray, np.nd
         [t not in known for t in texts], [len(t) >= TELLING for t in texts], [len(t) + 1 for t in texts],
     ))
 
+    def of(texts: list[str]) -> bool:
+        return bool(texts) and all(t in known for t in texts) and (max(map(len, texts)) >= TELLING or bool(known) and known in " ".join(texts))
+
     def found(node: Node) -> bool:
-        if node.tag in BLOCKS:
-            i, j = places[id(node)]
-            if i == j or bad[j] > bad[i]:
-                return False
-            return telling[j] > telling[i] or 0 < len(known) < chars[j] - chars[i] and known in " ".join(texts[i:j])
-        own = blocks(node)
-        return bool(own) and all(t in known for t in own) and (max(map(len, own)) >= TELLING or bool(known) and known in " ".join(own))
-
-    y: dict[int, bool] = {}
+        if node.tag not in BLOCKS:
+            return of(blocks(node))
+        i, j = places[id(node)]
+        if i == j or bad[j] > bad[i]:
+            return False
+        return telling[j] > telling[i] or 0 < len(known) < chars[j] - chars[i] and known in " ".join(texts[i:j])
+
+    whole: dict[int, bool] = {}
+    y = []
     for node in tree.order:
-        above = y.get(id(node.parent), False)
+        above = whole.get(id(node.parent), False)
         alone = node.parent is not None and len(node.parent.children) == 1 and not node.parent.own
-        y[id(node)] = above if above or alone else found(node)
+        whole[id(node)] = above if above or alone else found(node)
+        own = node.own and not whole[id(node)] and of([t for p in node.parts if not isinstance(p, Node) and (t := plain(p))])
+        y.append(whole[id(node)] or own)
     weight = [np.log1p(node.chars) for node in tree.order]
-    return node_features(tree), np.array([y[id(n)] for n in tree.order], float), np.array(weight, float)
+    return node_features(tree), np.array(y, float), np.array(weight, float)
 
 
 #: Pages that every model is taught, so that it knows kinds of furniture that its sample may lack. Written for this
-#: purpose: t and m are main text (m in several paragraphs), f is furniture; lengths vary so that only structure tells.
+#: purpose: t, m and b are main text (m in several paragraphs, b the same as bare lines), f is furniture; lengths vary so
+#: that only structure tells.
 TEMPLATES = (
     "<html><body><header><h2>{f}</h2><p>{f}</p></header><main><p>{t}</p><p>{m}</p></main><aside><h3>{f}</h3><p>{f}</p></aside><footer><p>{f}</p></footer></body></html>",
     "<div class='cookie-notice'><p>{f}</p></div><div class='post-content'><p>{t}</p><p>{m}</p></div><div id='comments'><h3>{f}</h3><div class='comment'><p>{f}</p></div><div class='comment'><p>{f}</p></div></div>",
@@ -391,6 +432,9 @@ TEMPLATES = (
     "<article><p>{t}</p><aside class='related'><p>{f}</p></aside><p>{m}</p><form><label>{f}</label></form></article><div class='newsletter'><p>{f}</p></div>",
     "<div class='notice banner'><p>{f}</p></div><div class='story'><div><p>{t}</p></div><div><p>{m}</p></div></div><div class='share'><a href='#'>{f}</a> <a href='#'>{f}</a></div><div class='related'><a href='/x'>{f}</a></div>",
     "<nav><a href='/'>{f}</a></nav><article><p>{t}</p><p>{m}</p></article>",
+    "<nav><a href='/'>{f}</a></nav><article>{t}<br><div class='ad'>{f}</div>{b}</article><section class='comments'><div>{f}</div></section>",
+    "<div class='menu'>{f}<br>{f}</div><div class='post'>{t}<aside class='related'><a href='/x'>{f}</a></aside>{b}<div class='share'>{f}</div></div><footer>{f}</footer>",
+    "<header>{f}</header><main>{t}<br><br>{b}</main><div class='comments'>{f}<div class='comment'>{f}</div></div>",
 )
 
 
@@ -405,7 +449,7 @@ def taught_pages(variants: int = 12, seed: int = 5) -> list[tuple[str, str]]:
     for template in TEMPLATES * variants:
         t, m = text(60), [text(60) for _ in range(rng.choice((1, 2, 5, 12, 40)))]
         page = re.sub(r"\{f\}", lambda _: text(rng.choice((8, 25, 60))), template)
-        pages.append((page.replace("{t}", t).replace("{m}", "</p><p>".join(m)), " ".join([t, *m])))
+        pages.append((page.replace("{t}", t).replace("{m}", "</p><p>".join(m)).replace("{b}", "<br>".join(m)), " ".join([t, *m])))
     return pages
 
 

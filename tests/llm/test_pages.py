@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from codefacts.llm import html_main_text as html
@@ -76,6 +77,22 @@ def test_labels_of_deep_pages():
     assert html.labelled_nodes(f"<p>{text}</p>" + "<div>qq" * 20000 + "</x>" * 20000, text)[1].sum() == 1
 
 
+def test_bare_text_around_furniture(model):
+    a, b, c = ("The first part of an article whose author does without paragraphs.", "The second part goes on where the first one ended, after a break.",
+               "The last part follows an advert that stands in the middle of the text.")
+    page = f"<nav><a href='/'>Home</a></nav><article>{a}<br>{b}<div class='ad'>Buy one of these now, while they last.</div>{c}</article><footer>Imprint</footer>"
+    assert html.main_texts([page], model) == [f"{a} {b} {c}"]
+    tree = html.Tree("<div>ab<i>x</i>c<p>d<b>e</b>f</p><br>g<p>h</p></div>")
+
+    def decoded(**odds):
+        return html.decoded(tree, np.array([odds.get(n.tag, 0.0) for n in tree.order]))
+
+    assert decoded(div=1.0, i=-9.0, p=-9.0, b=1.0) == ["ab c", "e", "g"]
+    assert decoded(div=1.0, i=-0.5, p=-9.0, b=-1.0) == ["abxc", "g"]
+    assert decoded(div=-1.0, i=-1.0, p=1.0, b=-0.5) == ["def", "h"]
+    assert html.decoded(tree, np.full(len(tree.order), 1.0)) == html.blocks(tree.root)
+
+
 def test_decoding_has_no_contradictions(model):
     trees = [html.Tree(p) for p, _ in html.taught_pages()]
     for tree in trees:
