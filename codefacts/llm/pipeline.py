@@ -42,7 +42,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; all documents stay, and ``n_chars`` follows the text."""
-    out = scan(docs).withColumn("text", redacted(F.col("text"), F.col("__spans")))
+    out = scan(docs, whole=True).withColumn("text", redacted(F.col("text"), F.col("__spans")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*(named(c) for c in docs.columns))

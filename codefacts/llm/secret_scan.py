@@ -4,6 +4,9 @@ Candidate strings fall into the narrowest character class that holds all their c
 width slides over them; one character comes in and one goes out, so two counts change and with them two terms of the
 sum of c log2 c, from which the entropy follows. Where it exceeds the class's threshold, the stretch from the first to
 the last such window is a span, unless an entry of the allow-list matches the candidate.
+
+With ``whole`` nothing is given up for its length or its neighbours: a candidate shorter than its class's window is one
+window with a threshold scaled to it, and what the allow-list matches parts a candidate into pieces instead of dropping it.
 """
 
 from __future__ import annotations
@@ -27,6 +30,11 @@ ALLOWED = (
     r"(?i)example|sample|placeholder|changeme|dummy|redacted", r"(?i)(.)\1{5}", r"0123456|1234567", r"(?i)abcdefg",
     r"(?i)(?:^|[^0-9a-f])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?:$|[^0-9a-f])",
 )
+#: The same entries as what parts a candidate: runs to their end, and no character beside a UUID.
+PARTING = "|".join(f"(?:{a})" for a in (
+    *ALLOWED[:1], r"(?i)(.)\1{5,}", *ALLOWED[2:4],
+    r"(?i)(?<![0-9a-f])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?![0-9a-f])",
+))
 
 
 @dataclass(frozen=True)
@@ -45,7 +53,8 @@ CLASSES = (
     CharacterClass("alphanumeric", _DIGITS + _UPPER + _LOWER, 20, 3.77),
     CharacterClass("base64", _DIGITS + _UPPER + _LOWER + "+/_=-", 24, 3.99),
 )
-CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+SHORTEST = 16
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}"
 MIXED = r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]"
 
 _SPAN = "array<struct<start:int,end:int,text:string>>"
@@ -110,6 +119,31 @@ def high_entropy(text: Column, kind: CharacterClass) -> Column:
     )
 
 
+def high_as_one(text: Column, kind: CharacterClass) -> Column:
+    """As ``high_entropy`` for a text shorter than the window: all of it is one window, and the threshold is the same
+    share of the entropy that so many different characters have."""
+    n = F.length(text)
+    counts = F.transform(F.array_distinct(F.split(text, "")), lambda c: n - F.length(F.replace(text, c, F.lit(""))))
+    total = F.aggregate(counts, F.lit(0.0), lambda s, c: s + F.when(c > 0, c * F.log2(c)).otherwise(0.0))
+    above = F.log2(n) - total / n > F.log2(n) * (kind.more / math.log2(kind.window))
+    return F.struct(F.when(above, 1).otherwise(0).alias("first"), F.when(above, n).otherwise(0).alias("last"))
+
+
+def pieces(text: Column) -> Column:
+    """What PARTING leaves of a text: array of (start, end, text), in code points."""
+    gaps, hits = F.split(text, PARTING, -1), F.regexp_extract_all(text, F.lit(PARTING), F.lit(0))
+    walked = F.aggregate(
+        F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")),
+        lambda s, z: F.struct(
+            (s["at"] + F.length(z["gap"]) + F.coalesce(F.length(z["hit"]), F.lit(0))).alias("at"),
+            F.concat(s["out"], F.array(F.struct(
+                s["at"].alias("start"), (s["at"] + F.length(z["gap"])).alias("end"), z["gap"].alias("text"),
+            ))).cast(_SPAN).alias("out"),
+        ), lambda s: s["out"])
+    one = F.array(F.struct(F.lit(0).alias("start"), F.length(text).alias("end"), text.alias("text"))).cast(_SPAN)
+    return F.when(text.rlike(PARTING), walked).otherwise(one)
+
+
 def _inside(kind: CharacterClass) -> str:
     return "^[" + kind.alphabet.replace("-", "") + ("-" if "-" in kind.alphabet else "") + "]+$"
 
@@ -120,22 +154,28 @@ def _base(text: Column, k: int) -> Column:
     return F.transform(hits, lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), m["end"].alias("end")))
 
 
-def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def _candidates(text: Column, whole: bool) -> Column:
+    found = matches(text, CANDIDATE)
+    if not whole:
+        return F.filter(found, lambda m: m["text"].rlike(MIXED) & ~m["text"].rlike("|".join(f"(?:{a})" for a in ALLOWED)))
+    parted = F.flatten(F.transform(F.filter(found, lambda m: m["text"].rlike(MIXED)), lambda m: F.transform(pieces(m["text"]), lambda p: F.struct(
+        (m["start"] + p["start"]).alias("start"), (m["start"] + p["end"]).alias("end"), p["text"].alias("text"),
+    ))))
+    return F.filter(parted, lambda p: (F.length(p["text"]) >= SHORTEST) & p["text"].rlike(MIXED))
+
+
+def scan(docs: DataFrame, text_col: str = "text", whole: bool = False) -> DataFrame:
     """``docs`` with ``__spans``: array of (start, kind, end) of every secret, by start and then kind (place in KINDS).
 
     Code points, end exclusive. A null or empty text has none. Rows are scanned by themselves, so ids, repeated rows
     and other columns make no difference; names that begin with two underscores are the operator's own. Base spans are
-    all kept; an entropy span inside one is left out.
+    all kept; an entropy span inside one is left out. ``whole`` is as the module says.
     """
     prepare(docs.sparkSession)
     df = computed(docs, __text=F.coalesce(named(text_col).cast("string"), F.lit("")))
     base = [_base(F.col("__text"), k) for k in range(len(BASE))]
-    candidates = F.filter(
-        matches(F.col("__text"), CANDIDATE),
-        lambda m: m["text"].rlike(MIXED) & ~m["text"].rlike("|".join(f"(?:{a})" for a in ALLOWED)),
-    )
-    df = computed(df, __base=F.concat(*base), __candidates=candidates)
-    found = F.transform("__candidates", lambda m: F.struct(m["start"].alias("start"), _classes(m["text"]).alias("at")))
+    df = computed(df, __base=F.concat(*base), __candidates=_candidates(F.col("__text"), whole))
+    found = F.transform("__candidates", lambda m: F.struct(m["start"].alias("start"), _classes(m["text"], whole).alias("at")))
     df = computed(df, __found=F.filter(found, lambda c: c["at"]["first"] > 0))
     entropy = F.filter(F.transform("__found", lambda c: F.struct(
         (c["start"] + c["at"]["first"] - 1).alias("start"), F.lit(3).alias("kind"), (c["start"] + c["at"]["last"]).alias("end")
@@ -144,11 +184,14 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return df.drop("__text", "__base", "__candidates", "__found")
 
 
-def _classes(text: Column) -> Column:
+def _classes(text: Column, whole: bool) -> Column:
     out = None
     for kind in CLASSES:
+        high = high_entropy(text, kind)
+        if whole and kind.window > SHORTEST:
+            high = F.when(F.length(text) < kind.window, high_as_one(text, kind)).otherwise(high)
         inside = text.rlike(_inside(kind))
-        out = F.when(inside, high_entropy(text, kind)) if out is None else out.when(inside, high_entropy(text, kind))
+        out = F.when(inside, high) if out is None else out.when(inside, high)
     return out
 
 

@@ -64,6 +64,56 @@ def test_allow_list_and_redaction(spark):
     assert secret_scan.scan(data.table(spark, [])).count() == 0
 
 
+def whole_spans(text):
+    """Entropy spans of a text that is one candidate."""
+    import re
+
+    spans, at = [], 0
+    for gap in [*re.finditer("(?i)example|sample|placeholder|changeme|dummy|redacted|(.)\\1{5,}|0123456|1234567|abcdefg", text), None]:
+        piece = text[at : gap.start() if gap else len(text)]
+        if len(piece) >= 16 and re.search("[0-9]", piece) and re.search("[A-Za-z]", piece):
+            kind = next(c for c in secret_scan.CLASSES if set(piece) <= set(c.alphabet))
+            w = min(kind.window, len(piece))
+            hits = []
+            for i in range(len(piece) - w + 1):
+                bits = -sum(c / w * math.log2(c / w) for c in Counter(piece[i : i + w]).values())
+                if bits > kind.more * math.log2(w) / math.log2(kind.window):
+                    hits.append(i)
+            spans += [(at + hits[0], at + hits[-1] + w)] if hits else []
+        at = gap.end() if gap else at
+    return spans
+
+
+def test_short_and_joined_secrets(spark):
+    rng = random.Random(12)
+    letters = secret_scan.CLASSES[2].alphabet
+    texts = ["".join(rng.choice(letters[: rng.choice([10, 30, 62, 67])]) for _ in range(rng.randrange(16, 30))) for _ in range(200)]
+    texts += [a + rng.choice(["======", "AAAAAAAAA", "1234567", "Example", "--------"]) + b for a, b in zip(texts, texts[1:])]
+    texts = [t for t in texts if any(c.isdigit() for c in t) and any(c.isalpha() for c in t)]
+    out = secret_scan.scan(data.table(spark, list(enumerate(texts))), whole=True).select("doc_id", "__spans").collect()
+    short = 0
+    for r in out:
+        inside = [(s["start"], s["end"]) for s in r["__spans"] if s["kind"] < 3]
+        found = [(s["start"], s["end"]) for s in r["__spans"] if s["kind"] == 3]
+        assert found == [(a, b) for a, b in whole_spans(texts[r.doc_id]) if not any(x <= a and y >= b for x, y in inside)]
+        short += any(b - a < 20 for a, b in found)
+    assert short > 20
+
+
+def test_pipeline_redacts_short_and_joined_secrets(spark):
+    from codefacts.llm import pipeline
+
+    key = "b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAAMwAAAAtzc2gtZWQyNTUxOQAAACBq7Zr2xWv9Kp4LtYc8Uo1Ns3GhJd5Fe6Mi0Rb"
+    rows = [
+        (1, "a Zq8xV2mK9pL4tR7w b"), (2, "a Zq8xV2mK/pL4tR7wY+1n b"), (3, f"a {key} b"), (4, "a Zq8xV2mK9pL4tR7wY1nB5cD3====== b"),
+        (5, "id 123e4567-e89b-12d3-a456-426614174000 end"), (6, "my_example_placeholder_1 b"), (7, "a 123e4567-e89b-12d3-a456-426614174000/Zq8xV2mK9pL4tR7w b"),
+    ]
+    out = {r.doc_id: r.text for r in pipeline.secrets(spark, data.table(spark, rows), "").collect()}
+    assert out[1] == out[2] == "a [SECRET] b" and out[4] == "a [SECRET]====== b"
+    assert "AAAACBq7Zr2xWv9Kp4LtYc8Uo1Ns3GhJd5Fe6Mi0Rb"[6:] not in out[3] and "b3BlbnNzaC1rZXktdjE" not in out[3]
+    assert out[5] == rows[4][1] and out[6] == rows[5][1] and "Zq8x" not in out[7]
+
+
 def test_statistics(spark):
     rng = random.Random(10)
     rows = data.rows() + [(200 + i, "\n".join(" ".join(data.words(rng, rng.randrange(9), 3)) for _ in range(rng.randrange(12)))) for i in range(150)]
