@@ -81,6 +81,17 @@ def connected_parts(spark: SparkSession, folder: str) -> DataFrame:
     return components.components(nodes, items.select(part.alias("src"), supplier.alias("dst")), [])
 
 
+@query("connected_returns")
+def connected_returns(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts and suppliers joined by all returned line items. Components grow too large for a recursive SQL; tests hold
+    it against union-find."""
+    part = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    supplier = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
+    items = b.table(spark, folder, "lineitem").filter("l_returnflag = 'R'")
+    nodes = b.table(spark, folder, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"))
+    return components.components(nodes, items.select(part.alias("src"), supplier.alias("dst")), [])
+
+
 @query("connected_orders", """SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey) AS label FROM orders""")
 def connected_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Orders joined to the customer's next one, in the order of a hash: long paths with shuffled ids."""

@@ -30,6 +30,20 @@ def test_components_equal_union_find(spark):
     assert rows(got, "g", "node", "label") == want
 
 
+def test_all_returned_items_connect(spark):
+    from codefacts.plans.registry import QUERIES
+
+    folder = "/root/testdata/sf0.01"
+    items = spark.read.parquet(f"{folder}/lineitem.parquet").filter("l_returnflag = 'R'").select("l_partkey", "l_suppkey").collect()
+    parts = spark.read.parquet(f"{folder}/part.parquet").select("p_partkey").collect()
+    parent = {n: n for n in [f"p{r.p_partkey}" for r in parts] + [f"{k}{i}" for r in items for k, i in zip("ps", r)]}
+    for r in items:
+        x, y = find(parent, f"p{r.l_partkey}"), find(parent, f"s{r.l_suppkey}")
+        parent[max(x, y)] = min(x, y)
+    got = rows(QUERIES["connected_returns"](spark, folder), "node", "label")
+    assert got == sorted([(n, find(parent, n)) for n in parent], key=repr)
+
+
 def test_shuffled_path_takes_few_rounds(spark, monkeypatch):
     from codefacts.operators import components as module
 
