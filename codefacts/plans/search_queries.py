@@ -49,6 +49,19 @@ def similar_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.knn(label_questions(spark, folder), vectors(spark, folder, F.col("label")))
 
 
+HUNDREDTHS = f"""s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {COSINE.format('q.embedding', 'e.embedding')} AS score
+  FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0)"""
+
+
+@query("vector_neighbours", f"""WITH {HUNDREDTHS} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+ FROM s QUALIFY rank <= 5""")
+def vector_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector whose id is divisible by 100 asks all vectors, so the questions grow with the table."""
+    everything = vectors(spark, folder, F.lit("all"))
+    asked = everything.filter("id % 100 = 0").withColumnRenamed("id", "query_id")
+    return retrieval.knn(asked, everything)
+
+
 LANGS = ("de", "en", "es", "fr")
 
 

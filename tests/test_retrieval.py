@@ -30,6 +30,22 @@ def test_knn_in_blocks_equals_brute_force(spark):
         assert got == sorted([(q, i, r) for q, i, _, r in want], key=repr)
 
 
+def test_questions_grow_with_the_table_and_ask_all_of_it(spark):
+    import numpy as np
+
+    from codefacts.plans.registry import QUERIES
+
+    folder = "/root/testdata/sf0.01"
+    table = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
+    ids, unit = np.array([r.vec_id for r in table]), np.array([r.embedding for r in table], float)
+    unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
+    want = []
+    for i in np.flatnonzero(ids % 100 == 0):
+        scores = np.round(unit @ unit[i], 6)
+        want += [(int(ids[i]), int(ids[j]), n + 1) for n, j in enumerate(np.lexsort((ids, -scores))[:5])]
+    assert rows(QUERIES["vector_neighbours"](spark, folder), "query_id", "id", "rank") == sorted(want, key=repr)
+
+
 def test_keyword_search_equals_the_formula(spark):
     rng = random.Random(8)
     docs = [(i, rng.choice("ab"), " ".join(rng.choice("red blue, Green! x1 y z".split()) for _ in range(rng.randint(0, 9)))) for i in range(60)]
