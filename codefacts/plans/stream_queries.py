@@ -118,6 +118,15 @@ def graph_tables(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(root).filter("scope <> 'en'").select("repo_id", "file_id", "scope")
 
 
+@query("graph_table_rows", f"""WITH {b.DOCS} SELECT repo_id, file_id, lang AS scope FROM docs""")
+def graph_table_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """All rows of a graph table whose files were written twice, those of the hot language too."""
+    root = new_table_path(spark, "graphs")
+    graphs = b.documents(spark, folder).select("repo_id", "file_id", F.col("lang").alias("scope"))
+    sources.write_graphs(graphs.unionByName(graphs), root, ["repo_id", "file_id", "scope"])
+    return spark.read.parquet(root).select("repo_id", "file_id", "scope")
+
+
 @query("written_prompts", f"""WITH {b.DOCS} SELECT file_id, path, lang FROM docs""")
 def written_prompts(spark: SparkSession, folder: str) -> DataFrame:
     root = new_table_path(spark, "prompts")

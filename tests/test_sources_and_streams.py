@@ -117,3 +117,11 @@ def test_arriving_archives(spark, tmp_path):
     stream = arriving.stream_archives(spark, str(tmp_path / "in"), files_per_trigger=1)
     catalog = arriving.run_archive_catalog(stream, lambda path: F.regexp_extract(path, r"/(r\d)/", 1))
     assert sorted((r.repo_id, r.path.rsplit("/in/", 1)[1]) for r in catalog.collect()) == [("r1", "r1/a.java"), ("r1", "r1/b/c.java"), ("r2", "r2/a.java")]
+
+
+def test_graph_table_rows_are_all_compared(spark):
+    from codefacts.plans.registry import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert rows(QUERIES["graph_table_rows"](spark, folder), "file_id", "scope") == rows(docs, "doc_id", "lang")
