@@ -11,12 +11,15 @@ from .exact_dedup import equal_groups
 from .html_main_text import extract, train_from
 from .jaccard_join import near_groups
 from .line_dedup import drop_repeated_lines
+from .mixing import mix
 from .packing import pack
 from .quality_rules import judged, learn_from
 from .registry import QUERIES, SQL, query
 from .secret_scan import KINDS, scan, shown
+from .spelling import spelling_groups
 from .substring_dedup import remove_repeats
 from .token_counts import token_counts
+from .whitening import whiten
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -206,3 +209,19 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 """)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return equal_groups(documents(spark, folder)).drop("text_hash")
+
+
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_groups(documents(spark, folder))
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    out = whiten(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+@query("op13_source_mix")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(documents(spark, folder)).drop("copies")
