@@ -96,7 +96,7 @@ def mix(
     documents, and one more round of those whose hash of id and text is below the source's threshold: thresholds are
     nested, so a larger target keeps what a smaller one took. What the document on the threshold leaves unspent goes to
     smaller documents beyond it by a threshold of their own, as long as more than ``near`` of the target is unspent and
-    one fits. No document is cut, none is sorted.
+    one fits; at last one more goes in where that comes nearer. No document is cut, none is sorted.
 
     Defined cases: a null text has no words, a null id is hashed as such, and null is a source of its own. Equal ids with
     equal texts share a hash and go together; documents without words are taken with no words. Other columns stay
@@ -132,9 +132,20 @@ def mix(
     # a key has one range per round of filling, each less than the unspent words of the one before
     steps = ranges.groupBy("key").agg(F.collect_list(F.struct("lo", "hi", "largest")).alias("steps"))
     plan = tables.write(plan.join(steps, "key", "left").select("key", "total", "target", "full", "steps"), "mix_steps")
-    taken = F.exists("steps", lambda s: (s["lo"].isNull() | (F.col("h") > s["lo"])) & (s["hi"].isNull() | (F.col("h") < s["hi"]))
-                     & (s["largest"].isNull() | (F.col("size") <= s["largest"])))
-    copies = F.col("full") + F.when(taken, 1).otherwise(0)
+    within = F.exists("steps", lambda s: (s["lo"].isNull() | (F.col("h") > s["lo"])) & (s["hi"].isNull() | (F.col("h") < s["hi"]))
+                      & (s["largest"].isNull() | (F.col("size") <= s["largest"])))
+    within = F.coalesce(within, F.lit(False))
+    planned = rows.join(plan, "key").withColumn("in", within)
+    spent = planned.groupBy("key", "target").agg(F.sum(F.col("size") * (F.col("full") + F.col("in").cast("long"))).alias("spent"))
+    short = tables.write(spent.withColumn("left", F.col("target") - F.col("spent")).filter(F.col("left") > near * F.col("target")).select("key", "left"), "mix_short")
+    off = F.abs(F.col("left") - F.col("size"))
+    pick = planned.filter(~F.col("in") & (F.col("size") > 0)).join(short, "key").filter(off < F.col("left")).groupBy("key", "left").agg(
+        F.min_by("h", F.struct(off, "h")).alias("one"))
+    # whole copies share the hash and go together: only if that is nearer still
+    group = rows.join(pick, "key").filter("h = one").groupBy("key", "one", "left").agg(F.sum("size").alias("size")).filter(off < F.col("left"))
+    plan = tables.write(plan.join(group.select("key", "one"), "key", "left"), "mix_last")
+    taken = within | F.coalesce(F.col("h") == F.col("one"), F.lit(False))
+    copies = F.col("full") + taken.cast("long")
     out = rows.join(plan, "key").select(
         F.col("id").alias(id_col), "size", F.col("total").alias("source_size"), "target",
         (F.col("size") * copies).alias("taken"), copies.alias("copies"))
