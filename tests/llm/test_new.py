@@ -196,7 +196,7 @@ def check_mix(got, data, near):
 
 
 def test_mix_of_given_documents(spark):
-    for folder, share in ((SMALL, 0.4), ("/root/testdata/sf0.01", 0.002)):  # ten documents a source, and fifty
+    for folder, share in ((SMALL, 0.4), ("/root/testdata/sf0.01", 0.01)):  # ten documents a source, and fifty
         data = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "source").collect()]
         check_mix(op13(spark, folder).collect(), data, lambda s, t, share=share: share * t)
 
