@@ -205,7 +205,7 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(window).cast("long")).filter(F.col("rank") <= k)
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
+def unit(vectors: pd.Series) -> np.ndarray:
     rows = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
     norms[norms == 0] = 1.0
@@ -216,7 +216,7 @@ def _block_top(questions: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.Dat
     """Exact best ``k`` of one block of vectors for one block of questions: one matrix product."""
     if questions.empty or vectors.empty:
         return _nothing()
-    scores = _unit(questions["vector"]) @ _unit(vectors["vector"]).T
+    scores = unit(questions["vector"]) @ unit(vectors["vector"]).T
     return _best(questions["query_id"].to_numpy(), vectors["id"].to_numpy(), scores, None, k)
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import artifacts, retrieval
+from ..operators import artifacts, retrieval, vector_index
+from ..session import new_table_path
 from . import bindings as b
 from .registry import query
 
@@ -62,6 +63,15 @@ def vector_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.knn(asked, everything)
 
 
+@query("approximate_neighbours")
+def approximate_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The questions of ``vector_neighbours``, asked of a stored index over all vectors."""
+    path = new_table_path(spark, "vector_index")
+    everything = vectors(spark, folder, F.lit("all"))
+    vector_index.build_index(everything, path)
+    return vector_index.ask_index(spark, path, everything.filter("id % 100 = 0").withColumnRenamed("id", "query_id"))
+
+
 LANGS = ("de", "en", "es", "fr")
 
 
