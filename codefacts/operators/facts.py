@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import keys
 from ..functions.languages import JAVA_LANG_TYPES
 from ..session import materialize
-from . import lexer
+from . import lexer, reader
 from .lexer import ANGLES, NAME, PARENS, TYPES, WORD
 
-MODIFIERS = "public|protected|private|static|final|abstract|native|synchronized|transient|volatile|strictfp|default"
+MODIFIERS = "public|protected|private|static|final|abstract|native|synchronized|transient|volatile|strictfp|default|non-sealed|sealed"
 ANNOTATION = rf"@(?!interface\b){NAME}(?:\.{NAME})*(?:\s*{PARENS})?"
 PREFIX = rf"(?s)^(?:(?:{ANNOTATION}|(?:{MODIFIERS})\b(?!\s*:))\s*)*+"
 TYPE = rf"{NAME}(?:\s*\.\s*{NAME})*+(?:\s*{ANGLES})?(?:\s*\.\s*{NAME}(?:\s*{ANGLES})?)*(?:\s*\[\s*\])*"
@@ -40,7 +40,7 @@ def union_kinds(kinds: dict[str, DataFrame]) -> DataFrame:
 
 def plain_type(text: Column) -> Column:
     """Type text in one form: no blanks but one after each comma and around words."""
-    tight = F.regexp_replace(F.trim(text), r"\s*([<>\[\].?&])\s*", "$1")
+    tight = F.regexp_replace(F.trim(lexer.unmarked(text)), r"\s*([<>\[\].?&])\s*", "$1")
     return F.regexp_replace(F.regexp_replace(tight, r"\s*,\s*", ", "), rf"\?(?=[{WORD}])", "? ")
 
 
@@ -106,6 +106,15 @@ def names_of(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, ","), lambda n: F.trim(n)), lambda n: n != "")
 
 
+def groups(text: Column, pattern: str, n: int) -> Column:
+    """All n groups of a pattern that spans the text, found once; an array of one element where it doesn't match."""
+    return F.split(F.regexp_replace(text, pattern, "\u0003".join(f"${i + 1}" for i in range(n))), "\u0003", -1)
+
+
+def _group(array: str, i: int) -> Column:
+    return F.element_at(array, i)
+
+
 def statement_kind(mask: Column) -> Column:
     """Kind of a plain statement, null for those that are not listed (throw, break, …)."""
     return (
@@ -131,26 +140,12 @@ class CodeFacts:
                  keep: Callable[[DataFrame, str], DataFrame] = materialize) -> None:
         self.sources = sources
         self.keep = keep
-        self.parts = lexer.by_file(keep(lexer.parts(sources), "parts") if parts is None else parts)
+        self.parts = lexer.by_file(keep(reader.parts(sources), "parts") if parts is None else parts)
 
-    @cached_property
+    @property
     def tree(self) -> DataFrame:
-        """Parts with their ancestors, owner type and method (by ``ord``), and the ancestors inside the method."""
-        rows = lexer.with_ancestors(self.parts, F.struct("ord", "kind"), "anc")
-        from_end = F.array_position(F.reverse(F.transform("anc", lambda a: F.when(
-            a["kind"].isin(*TYPES), F.lit("type")).otherwise(a["kind"]))), "type").cast("int")
-        rows = rows.withColumn("up", from_end)
-        owner = F.when(F.col("up") > 0, F.try_element_at("anc", -F.col("up")))
-        method = F.when(F.col("up") > 1, F.try_element_at("anc", F.lit(1) - F.col("up")))
-        inner = F.slice("anc", F.size("anc") - F.col("up") + 3, F.greatest(F.col("up") - 2, F.lit(0)))
-        return rows.select(
-            "file_id", "ord", "level", "kind", "opens", "text", "mask", "line",
-            F.try_element_at("anc", F.lit(-1))["ord"].alias("parent_ord"),
-            owner["ord"].alias("owner_ord"), owner["kind"].alias("owner_kind"), method["ord"].alias("method_ord"),
-            (F.col("up") == 1).alias("member"),
-            F.when(F.col("up") > 1, F.transform(inner, lambda a: a["kind"])).otherwise(
-                F.array().cast("array<string>")).alias("inside"),
-        )
+        """Parts with their owner type and method (by ``ord``), and the kinds between that method and the part."""
+        return self.parts
 
     @cached_property
     def failed(self) -> DataFrame:
@@ -182,8 +177,9 @@ class CodeFacts:
         rows = self.sources.select(
             "repo_id", "file_id", "path", keys.file_key(F.col("path")).alias("key"),
             (lexer.newlines(F.col("content")) + 1).alias("total_lines"))
-        return rows.join(self.packages, "file_id", "left").join(mapped, "file_id", "left").withColumn(
-            "import_map", F.coalesce("import_map", F.create_map().cast("map<string,string>")))
+        # every other table joins this one, which has a row per file
+        return self.keep(rows.join(self.packages, "file_id", "left").join(mapped, "file_id", "left").withColumn(
+            "import_map", F.coalesce("import_map", F.create_map().cast("map<string,string>"))), "files")
 
     def _declared(self, rows: DataFrame) -> DataFrame:
         """Split the annotations and modifiers from the rest of a declaration."""
@@ -194,23 +190,25 @@ class CodeFacts:
             "modifiers": modifiers(prefix), "annotations": annotations(prefix),
         })
 
+    @cached_property
+    def _headers(self) -> DataFrame:
+        """Type headers with their name and full name."""
+        head = rf"(?s)(?:^|[\s)])({'|'.join(TYPES)})\s+({NAME})"
+        rows = self._declared(self.tree.filter(F.col("kind").isin(*TYPES))).join(self.files.select("file_id", "package", "total_lines"), "file_id")
+        return rows.withColumn("name", F.regexp_extract("rest", head, 2)).withColumn("fqn", keys.fqn(F.col("package"), F.col("name")))
+
     @cached_property
     def types(self) -> DataFrame:
-        head = rf"(?s)^(class|interface|enum)\s+({NAME})"
         bare = F.regexp_replace(F.regexp_replace("rest", ANGLES, ""), r"\s+", " ")
-        extends = names_of(F.regexp_extract(bare, rf"\bextends ([{WORD}., ]+?)(?: implements\b|$)", 1))
+        extends = names_of(F.regexp_extract(bare, rf"\bextends ([{WORD}., ]+?)(?: implements\b| permits\b|$)", 1))
         constants = self.tree.filter("member AND owner_kind = 'enum'").groupBy("file_id", "owner_ord").agg(
             F.min_by("mask", "ord").alias("body")).select(
             "file_id", F.col("owner_ord").alias("ord"),
             F.regexp_extract_all(lexer.strip_brackets(F.col("body")), F.lit(rf"(?:^|,)\s*(?:@{NAME}\s+)*({NAME})\s*(?=,|$)"), F.lit(1)).alias("constants"))
-        rows = self._declared(self.tree.filter(F.col("kind").isin(*TYPES))).join(
-            constants, ["file_id", "ord"], "left").join(self.files, "file_id")
-        name = F.regexp_extract("rest", head, 2)
-        fqn = keys.fqn(F.col("package"), name)
-        found = rows.select(
-            "file_id", "ord", name.alias("name"), "kind", fqn.alias("fqn"), keys.type_key(fqn).alias("key"), "modifiers",
+        found = self._headers.join(constants, ["file_id", "ord"], "left").select(
+            "file_id", "ord", "name", "kind", "fqn", keys.type_key(F.col("fqn")).alias("key"), "modifiers",
             "annotations", extends.alias("extends"),
-            names_of(F.regexp_extract(bare, rf"\bimplements ([{WORD}., ]+)$", 1)).alias("implements"),
+            names_of(F.regexp_extract(bare, rf"\bimplements ([{WORD}., ]+?)(?: permits\b|$)", 1)).alias("implements"),
             F.when(F.col("kind") == "enum", F.coalesce("constants", F.array().cast("array<string>"))).alias("body"),
             F.col("line").alias("line_start"), "total_lines",
         )
@@ -219,13 +217,13 @@ class CodeFacts:
     def _members(self, owner_kinds: tuple[str, ...]) -> DataFrame:
         rows = self._declared(self.tree.filter(
             F.col("member") & (F.col("kind") == "plain") & F.col("owner_kind").isin(*owner_kinds)))
-        owners = self.types.select("file_id", F.col("ord").alias("owner_ord"), F.col("fqn").alias("owner_fqn"))
+        owners = self._headers.select("file_id", F.col("ord").alias("owner_ord"), F.col("fqn").alias("owner_fqn"))
         context = self.files.select("file_id", "path", "package", "import_map", "total_lines")
         return rows.join(owners, ["file_id", "owner_ord"]).join(context, "file_id")
 
     @cached_property
     def fields(self) -> DataFrame:
-        rows = self._members(("class",)).filter(
+        rows = self._members(("class", "record")).filter(
             ~F.col("opens") & F.col("rest").rlike(FIELD) & ~F.col("rest").rlike(METHOD))
         simple = plain_type(F.regexp_extract("rest", FIELD, 1))
         # constructor arguments and generics of the initialisers hold commas of their own
@@ -242,28 +240,20 @@ class CodeFacts:
 
     @cached_property
     def methods(self) -> DataFrame:
-        rows = self._members(("class", "interface")).filter(F.col("rest").rlike(METHOD))
-        listed = F.regexp_extract_all(
-            F.regexp_extract(F.regexp_extract("rest", METHOD, 3), r"(?s)^\((.*)\)$", 1), F.lit(PARAMETER), F.lit(0))
-
-        def parameter(text: Column) -> Column:
-            bare = F.regexp_replace(F.trim(text), PREFIX, "")
-            simple = plain_type(F.concat(
-                F.regexp_extract(bare, PARAMETER_PARTS, 1), F.regexp_extract(bare, PARAMETER_PARTS, 4)))
-            return F.struct(
-                F.regexp_extract(bare, PARAMETER_PARTS, 3).alias("name"), simple.alias("type_simple"),
-                (F.regexp_extract(bare, PARAMETER_PARTS, 2) != "").alias("varargs"))
-
+        rows = self._members(("class", "interface", "record")).filter(F.col("rest").rlike(METHOD))
+        listed = F.regexp_extract_all(F.regexp_extract(_group("m", 3), r"(?s)^\((.*)\)$", 1), F.lit(PARAMETER), F.lit(0))
+        cut = F.transform(listed, lambda text: groups(F.regexp_replace(F.trim(text), PREFIX, ""), PARAMETER_PARTS, 4))
+        ps = F.transform(F.filter(cut, lambda g: F.size(g) == 4), lambda g: F.struct(
+            g[2].alias("name"), plain_type(F.concat(g[0], g[3])).alias("type_simple"), (g[1] != "").alias("varargs")))
         context = F.col("import_map"), F.col("package")
-        returns = plain_type(F.concat(F.regexp_extract("rest", METHOD, 1), F.regexp_extract("rest", METHOD, 4)))
-        read = rows.withColumns({
-            "ps": F.filter(F.transform(listed, parameter), lambda p: p["name"] != ""), "return_type": returns,
+        read = rows.withColumn("m", groups(F.col("rest"), METHOD, 5)).withColumns({
+            "ps": ps, "return_type": plain_type(F.concat(_group("m", 1), _group("m", 4))),
         }).withColumns({
             "params": F.transform("ps", lambda p: F.struct(
                 p["name"].alias("name"), p["type_simple"].alias("type_simple"),
                 resolve_type(p["type_simple"], *context).alias("type_fqn"), p["varargs"].alias("varargs"))),
             "return_type_fqn": resolve_type(F.col("return_type"), *context),
-            "name": F.regexp_extract("rest", METHOD, 2),
+            "name": _group("m", 2),
         })
         simple_types = F.transform("params", lambda p: p["type_simple"])
         full_types = F.transform("params", lambda p: p["type_fqn"])
@@ -274,7 +264,7 @@ class CodeFacts:
             keys.signature(F.col("name"), simple_types).alias("signature_simple"),
             keys.signature(F.col("name"), full_types).alias("signature_resolved"),
             keys.method_key(F.col("owner_fqn"), F.col("name"), full_types, F.col("return_type_fqn")).alias("key"),
-            "modifiers", "annotations", names_of(F.regexp_extract("rest", METHOD, 5)).alias("throws"), "params",
+            "modifiers", "annotations", names_of(_group("m", 5)).alias("throws"), "params",
             F.col("opens").alias("has_body"), F.col("line").alias("line_start"), F.lit(1.0).alias("confidence"),
             F.lit("ast").alias("source"), "total_lines",
         )

@@ -103,7 +103,7 @@ class Flow:
     @cached_property
     def scopes(self) -> DataFrame:
         """Methods that get graphs: all of classes, and those of interfaces that have a body."""
-        return self.facts.methods.filter("owner_kind = 'class' OR has_body").select(
+        return self.facts.methods.filter("owner_kind IN ('class', 'record') OR has_body").select(
             "file_id", F.col("ord").alias("method_ord"), F.col("key").alias("scope"))
 
     @cached_property
@@ -238,7 +238,7 @@ class Flow:
     @cached_property
     def accesses(self) -> DataFrame:
         """Variable accesses of each method in order: parameters, then reads before the write of each statement."""
-        params = self.facts.methods.filter("owner_kind = 'class' OR has_body").select(
+        params = self.facts.methods.filter("owner_kind IN ('class', 'record') OR has_body").select(
             "file_id", "owner_ord", F.col("ord").alias("method_ord"), F.col("key").alias("scope"), F.posexplode("params").alias("pos", "p")
         ).select(
             "file_id", "owner_ord", "method_ord", "scope", F.lit(0).cast("long").alias("ord"), F.lit(0).alias("grp"), F.col("pos").alias("idx"),

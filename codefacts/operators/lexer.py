@@ -1,15 +1,7 @@
-"""From source text to statement parts, with regular expressions, running sums and windows.
+"""Patterns on the parts of source code, and what they stand in.
 
-Sources are hashed by file id once. Tokens, pieces, segments and parts of a file then stay in that partitioning: every
-window and aggregate below has the file id among its keys, so none of them shuffles again. A file is one row of the
-input, so the text of one row bounds every group.
-
-* token: comment, string, character literal, one of ``{}();`` or a run of anything else
-* piece: tokens up to a brace or semicolon outside parentheses
-* segment: pieces that belong together (an array initialiser or anonymous class stays in its statement)
-* part: a segment cut after each control head, so that ``if (a) return b;`` gives a head and a statement
-
-The reading is lexical: ordinary source comes out right, broken source gives whatever its braces say.
+Masks hold no literals and at most ``DEEP`` levels of one kind of bracket (deeper ones are marks, see ``reader``), so
+patterns with that many levels match code of any depth.
 """
 
 from __future__ import annotations
@@ -17,12 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TOKEN = (
-    r'"""[\s\S]*?"""|/\*[\s\S]*?\*/|//[^\n]*'
-    r'|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"' + r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
-    r"|[{}();]|[^/" + r'"' + r"'{}();]++|[\s\S]"
-)
-
 
 def nested(left: str, right: str, depth: int, none: str = "") -> str:
     """Pattern of balanced brackets up to a nesting depth; ``none`` are further characters that may not stand inside."""
@@ -32,33 +18,25 @@ def nested(left: str, right: str, depth: int, none: str = "") -> str:
     return inner
 
 
-# Parentheses that stand in this many others are written as marks in the mask, so patterns see no deeper ones.
+# Brackets that stand in this many others of their kind are written as marks in the mask, so patterns see no deeper ones.
 DEEP = 6
 LEFT, RIGHT = "\ue000", "\ue001"
+# Marks for parentheses, angles, squares and braces.
+MARKS = "\ue000\ue001\ue002\ue003\ue004\ue005\ue006\ue007"
 PARENS = nested(r"\(", r"\)", DEEP)
-ANGLES = nested("<", ">", 32)
-BRACES = nested(r"\{", r"\}", 32)
-SQUARES = nested(r"\[", r"\]", 32)
+ANGLES = nested("<", ">", DEEP)
+BRACES = nested(r"\{", r"\}", DEEP)
+SQUARES = nested(r"\[", r"\]", DEEP)
 # Java's letters and digits; for use inside a character class.
 WORD = r"\p{L}\p{Nl}\p{Sc}\p{Pc}\p{Mn}\p{Mc}\p{Nd}"
 NAME = rf"[\p{{L}}\p{{Nl}}\p{{Sc}}\p{{Pc}}][{WORD}]*"
-
-# What may stand before a brace that belongs to an expression.
-VALUE_BRACE = rf"(?s)(?:=|\]|->|\breturn)\s*$|\bnew\s+[{WORD}.]+\s*(?:{ANGLES})?\s*{PARENS}\s*$"
-CASE = r"case\b(?:[^:?]|::|\?[^:]*:)*?:(?!:)|default\s*:(?!:)"
-HEAD = (
-    rf"\G\s*(?:else\s+if\s*{PARENS}|(?:if|while|for|switch|synchronized|catch|try)\s*{PARENS}"
-    rf"|(?:try|finally|do|else)\b|{CASE}|(?!default\b){NAME}\s*:(?!:))"
-)
-# Heads that open a level for what follows them in the same segment.
-NESTING = ("if", "elseif", "else", "while", "for", "switch", "do", "synchronized", "try", "catch", "finally")
 CASES = ("case", "default")
-TYPES = ("class", "interface", "enum")
-TYPE_HEAD = rf"(?s)(?:^|[\s)])(class|interface|enum)\s+({NAME})"
+TYPES = ("class", "interface", "enum", "record")
 
 
-def _delta(token: Column, opening: str, closing: str) -> Column:
-    return F.when(token == opening, 1).when(token == closing, -1).otherwise(0)
+def unmarked(text: Column) -> Column:
+    """Marks as the brackets they stand for."""
+    return F.translate(text, MARKS, "()<>[]{}")
 
 
 def newlines(text: Column) -> Column:
@@ -66,207 +44,10 @@ def newlines(text: Column) -> Column:
 
 
 def by_file(df: DataFrame) -> DataFrame:
-    """Hash by file id into a fixed number of partitions.
-
-    Text grows many times when it is cut into tokens, so the partitions must not be merged by the size of the text.
-    """
+    """Hash by file id into a fixed number of partitions: what the tables of one file do next needs no further shuffle."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_id")
 
 
-def tokens(sources: DataFrame) -> DataFrame:
-    """Token rows ``(file_id, pos, tok)``; their concatenation is the text."""
-    return by_file(sources.select("file_id", "content")).select("file_id", F.posexplode(F.regexp_extract_all("content", F.lit(TOKEN), F.lit(0))).alias("pos", "tok"))
-
-
-def pieces(sources: DataFrame) -> DataFrame:
-    """Pieces ``(file_id, piece, text, mask, ender)``; the mask blanks strings and keeps every length."""
-    tok = F.col("tok")
-    order = Window.partitionBy("file_id").orderBy("pos")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    comment = tok.startswith("//") | tok.startswith("/*")
-    # a comment is worth its line breaks, or a mark that later counts as a blank
-    breaks = F.greatest(newlines(tok), F.lit(0))
-    clean = (
-        F.when(comment, F.when(breaks > 0, F.repeat(F.lit("\n"), breaks)).otherwise(F.lit("\u0001")))
-        .when(tok.startswith('"') | tok.startswith("'"), tok)
-        .otherwise(F.regexp_replace(tok, r"[ \t\r\f]+", " "))
-    )
-    literal = (F.length(tok) > 1) & (tok.startswith('"') | tok.startswith("'"))
-    blanked = F.concat(F.lit('"'), F.repeat(F.lit("s"), F.length(tok) - 2), F.lit('"'))
-    depth = F.coalesce(F.sum(_delta(tok, "(", ")")).over(before), F.lit(0))
-    ends = (F.col("par") <= 0) & tok.isin("{", "}", ";")
-    rows = (
-        tokens(sources)
-        .withColumn("par", depth)
-        .withColumn("ends", ends)
-        .withColumn("piece", F.coalesce(F.sum(F.col("ends").cast("int")).over(before), F.lit(0)))
-        .withColumn("clean", clean)
-        .withColumn("mask", F.when(literal, blanked)
-                    .when((tok == "(") & (F.col("par") >= DEEP), LEFT).when((tok == ")") & (F.col("par") > DEEP), RIGHT)
-                    .otherwise(F.col("clean")))
-    )
-    body = F.sort_array(F.collect_list(F.when(~F.col("ends"), F.struct("pos", "clean", "mask"))))
-    return rows.groupBy("file_id", "piece").agg(
-        body.alias("body"), F.max(F.when(F.col("ends"), tok)).alias("ender")
-    ).select(
-        "file_id", "piece",
-        F.array_join(F.transform("body", lambda t: t["clean"]), "").alias("text"),
-        F.array_join(F.transform("body", lambda t: t["mask"]), "").alias("mask"),
-        F.coalesce("ender", F.lit("")).alias("ender"),
-    )
-
-
-def segments(sources: DataFrame) -> DataFrame:
-    """Segments ``(file_id, seg, text, mask, ender, line, depth)`` with first line and brace depth."""
-    order = Window.partitionBy("file_id").orderBy("piece")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    brace = _delta(F.col("ender"), "{", "}")
-    pair = Window.partitionBy("file_id", "pair").orderBy("piece")
-    value = (F.col("ender") == "{") & F.col("mask").rlike(VALUE_BRACE)
-    cut = (
-        pieces(sources)
-        .withColumn("depth", F.coalesce(F.sum(brace).over(before), F.lit(0)))
-        .withColumn("line", F.lit(1) + F.coalesce(F.sum(newlines(F.col("text"))).over(before), F.lit(0)))
-        # opening and closing braces of one depth alternate, so the next one closes
-        .withColumn("pair", F.when(F.col("ender") == "{", F.col("depth")).when(F.col("ender") == "}", F.col("depth") - 1))
-        .withColumn("closed", F.when(value, F.lead("piece").over(pair)))
-        .withColumn("until", F.max("closed").over(before))
-        .withColumn("joins", F.coalesce(F.col("until") >= F.col("piece") - 1, F.lit(False)))
-        .withColumn("seg", F.sum((~F.col("joins")).cast("int")).over(order))
-    )
-    # inside a statement the braces and semicolons are text again
-    listed = F.sort_array(F.collect_list(F.struct("piece", F.concat("text", "ender").alias("text"),
-                                                  F.concat("mask", "ender").alias("mask"), "ender")))
-    joined = cut.groupBy("file_id", "seg").agg(listed.alias("ps"), F.min("line").alias("line"))
-    last = F.element_at("ps", -1)["ender"]
-    cut_end = F.length(last)
-
-    def text_of(name: str) -> Column:
-        whole = F.array_join(F.transform("ps", lambda p: p[name]), "")
-        return F.substring(whole, F.lit(1), F.length(whole) - cut_end)
-
-    flat = joined.select("file_id", "seg", "line", last.alias("ender"), text_of("text").alias("text"), text_of("mask").alias("mask"))
-    total = Window.partitionBy("file_id").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("file_id")
-    deep = flat.withColumn("depth", F.coalesce(F.sum(brace).over(total), F.lit(0)))
-    return deep.withColumn(
-        "unbalanced", (F.sum(brace).over(whole) != 0) | (F.min(F.col("depth") + brace).over(whole) < 0)
-    ).filter((F.col("ender") != "") | (F.trim("mask") != ""))
-
-
-def squeeze(text: Column) -> Column:
-    """One line: line breaks and comment marks with the blanks around them become one blank."""
-    return F.trim(F.regexp_replace(text, "[ ]*[\n\u0001][ \n\u0001]*", " "))
-
-
-def head_kind(head: Column) -> Column:
-    word = F.regexp_extract(head, rf"^\s*({NAME})", 1)
-    known = word.isin(*NESTING, *CASES)
-    return (
-        F.when(head.rlike(r"^\s*else\s+if\b"), F.lit("elseif"))
-        .when((word == "else") | (word == "try") | known & ~head.rlike(rf"^\s*{NAME}\s*:"), word)
-        .when(word == "default", word)
-        .otherwise(F.lit("label"))
-    )
-
-
-def parts(sources: DataFrame) -> DataFrame:
-    """Parts of each segment with their level in the tree of statements.
-
-    Columns: file_id, ord (order in the file), level, kind, opens, closes, text, mask, line. ``kind`` is the keyword of
-    a head, the keyword of a type header, and ``plain`` otherwise.
-
-    A file whose braces do not match cannot be read: it gives one part of kind ``error`` that says why, as a parser
-    would fail on it.
-    """
-    mask = F.col("mask")
-    heads = F.regexp_extract_all(mask, F.lit(HEAD), F.lit(0))
-    segs = segments(sources).withColumn("heads", heads)
-    used = F.aggregate("heads", F.lit(0), lambda n, h: n + F.length(h))
-    offsets = F.transform("heads", lambda h, i: F.aggregate(
-        F.slice("heads", F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x)))
-    cut = F.transform("heads", lambda h, i: F.struct(
-        head_kind(h).alias("kind"), F.element_at(offsets, i + 1).alias("off"), F.length(h).alias("len")))
-    rest_len = F.length(mask) - used
-    rest = F.substring(mask, used + 1, rest_len)
-    rest_kind = F.when((F.col("ender") == "{") & rest.rlike(TYPE_HEAD), F.regexp_extract(rest, TYPE_HEAD, 1)).otherwise(
-        F.lit("plain"))
-    has_rest = (F.trim(F.regexp_replace(rest, "[\n\u0001]", " ")) != "") | ((F.size("heads") == 0) & (F.col("ender") == "{"))
-    tail = F.when(has_rest, F.array(F.struct(rest_kind.alias("kind"), used.alias("off"), rest_len.alias("len")))).otherwise(
-        F.array().cast("array<struct<kind:string,off:int,len:int>>"))
-    # a label only names what follows it
-    listed = F.filter(F.concat(cut, tail), lambda p: p["kind"] != "label")
-    close = F.when(F.col("ender") == "}", F.array(F.struct(
-        F.lit("close").alias("kind"), F.length(mask).alias("off"), F.lit(0).alias("len")))).otherwise(
-        F.array().cast("array<struct<kind:string,off:int,len:int>>"))
-    open_at = F.when(F.col("ender") == "{", F.size("ps") - 1).otherwise(F.lit(-1))
-    shaped = segs.withColumn("ps", listed).withColumn("all", F.concat("ps", close))
-    exploded = shaped.select(
-        "file_id", "seg", "ender", "depth", "text", "mask", "line", "unbalanced", open_at.alias("open_at"), "ps",
-        F.posexplode("all").alias("sub", "p"),
-    )
-    raw = F.substring(F.col("mask"), F.col("p.off") + 1, F.col("p.len"))
-    lead_blank = F.substring(F.col("mask"), F.lit(1), F.col("p.off") + F.length(F.regexp_extract(raw, "^[ \n\u0001]*", 0)))
-    kind = F.col("p.kind")
-    within = F.filter(F.slice("ps", F.lit(1), F.col("sub")), lambda p: p["kind"].isin(*NESTING))
-    rows = exploded.select(
-        "file_id", "seg", "sub", "depth", "unbalanced", kind.alias("kind"), (F.col("sub") == F.col("open_at")).alias("opens"),
-        F.substring("text", F.col("p.off") + 1, F.col("p.len")).alias("text"), raw.alias("mask"),
-        (F.col("line") + newlines(lead_blank)).cast("int").alias("line"),
-        F.when(kind.isin(*CASES), F.lit(-1)).otherwise(F.size(within)).alias("off"),
-        F.when(F.col("sub") > 0, F.element_at("ps", 1)["kind"]).otherwise(kind).alias("first_kind"),
-        ((kind == "if") & ~F.exists(F.slice("ps", F.col("sub") + 2, F.size("ps")), lambda p: p["kind"] == "if")).alias("last_if"),
-    )
-    rows = _attached(rows)
-    # a brace after nested heads opens more than one level; its closing brace takes them back
-    extra = F.when(F.col("opens"), F.col("off") + F.when(kind_is("switch"), 1).otherwise(0))
-    brace = F.when(F.col("opens"), F.col("depth")).when(kind_is("close"), F.col("depth") - 1)
-    pair = Window.partitionBy("file_id", "pair").orderBy("seg", "sub")
-    order = Window.partitionBy("file_id").orderBy("seg", "sub")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    levelled = (
-        rows.withColumn("extra", extra).withColumn("pair", brace)
-        .withColumn("back", F.when(kind_is("close"), F.lag("extra").over(pair)))
-        .withColumn("level", F.col("depth") + F.col("off") + F.coalesce(
-            F.sum(F.coalesce("extra", -F.col("back"), F.lit(0))).over(before), F.lit(0)))
-        .withColumn("ord", F.row_number().over(order).cast("long"))
-    )
-    # the condition that ends a do loop is not a loop of its own
-    same_level = Window.partitionBy("file_id", "level").orderBy("ord")
-    tail_of_do = kind_is("while") & ~F.col("opens") & (F.lag(F.when(~kind_is("close"), F.col("kind"))).over(same_level) == "do")
-    error = F.when(F.col("unbalanced"), F.lit("braces do not match"))
-    read = levelled.withColumn("tail", F.coalesce(tail_of_do, F.lit(False))).withColumn("error", error)
-    kept = F.when(F.col("error").isNull(), ~F.col("tail") & ~kind_is("close")).otherwise(F.col("ord") == 1)
-    bad = F.col("error").isNotNull()
-    return read.filter(kept).select(
-        "file_id", "ord", F.when(bad, 0).otherwise(F.col("level")).cast("int").alias("level"),
-        F.when(bad, F.lit("error")).otherwise(F.col("kind")).alias("kind"), (F.col("opens") & ~bad).alias("opens"),
-        F.coalesce("error", squeeze(F.col("text"))).alias("text"),
-        F.when(bad, F.lit("")).otherwise(squeeze(F.col("mask"))).alias("mask"), "line",
-    )
-
-
-def _attached(rows: DataFrame) -> DataFrame:
-    """Put else, catch and finally, with what follows them, at the level of the if or try they continue.
-
-    An else belongs to the last ``if`` at its brace depth. That one may itself stand in an else without braces, so
-    the levels of such a chain add up; the chain starts at the last ``if`` whose segment is no else.
-    """
-    at = ["seg", "sub"]
-    depth = Window.partitionBy("file_id", "depth").orderBy(*at)
-    is_else = F.col("first_kind").isin("else", "elseif")
-    starts = (F.col("last_if") & ~is_else).cast("int")
-    rows = rows.withColumn("chain", F.sum(starts).over(depth.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    chain = Window.partitionBy("file_id", "depth", "chain").orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)
-    above = F.coalesce(F.sum(F.when(F.col("last_if"), F.col("off"))).over(chain), F.lit(0))
-    rows = rows.withColumn("above", F.when(is_else & (F.col("sub") == 0), above))
-    segment = Window.partitionBy("file_id", "seg").orderBy("sub")
-    rows = rows.withColumn("off", F.col("off") + F.coalesce(F.first("above").over(segment), F.lit(0)).cast("int"))
-    tried = F.last(F.when(kind_is("try"), F.col("off")), ignorenulls=True).over(depth.rowsBetween(Window.unboundedPreceding, -1))
-    follows = F.when(F.col("first_kind").isin("catch", "finally"), tried)
-    return rows.withColumn("off", F.col("off") + F.coalesce(follows, F.lit(0))).drop("first_kind", "last_if", "chain", "above")
-
-
 def kind_is(*kinds: str) -> Column:
     return F.col("kind").isin(*kinds)
 
@@ -296,5 +77,5 @@ def with_ancestors(rows: DataFrame, element: Column, out: str) -> DataFrame:
 
 def strip_brackets(mask: Column) -> Column:
     """Drop bracketed content, then what is in angle brackets."""
-    bare = F.regexp_replace(mask, nested(r"({\[", r")}\]", 64), "")
-    return F.regexp_replace(bare, nested("<", ">", 32, "="), "")
+    bare = F.regexp_replace(mask, nested(r"({\[", r")}\]", 3 * DEEP), "")
+    return F.regexp_replace(bare, nested("<", ">", DEEP, "="), "")

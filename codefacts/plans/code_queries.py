@@ -13,6 +13,7 @@ from ..operators.facts import CodeFacts, import_map, resolve_types
 from ..operators.flow import Flow
 from ..operators.graph import align_facts, scope_members
 from ..operators.graphview import ast_elements
+from ..operators.lexer import by_file
 from . import bindings as b
 from .registry import query
 
@@ -54,8 +55,9 @@ TRY = "try {\n            names.add(name);\n        } catch (Error e) { qty = 0;
 
 def sources(spark: SparkSession, folder: str) -> DataFrame:
     loop = F.when(F.col("p_size") % 3 == 0, WHILE).when(F.col("p_size") % 3 == 1, FOR).otherwise(TRY)
-    return b.table(spark, folder, "part").select(
-        F.col("p_brand").alias("repo_id"), F.col("p_partkey").alias("file_id"),
+    # the numbers are dealt to all cores before Spark writes the texts, which then stay where they are
+    return by_file(b.table(spark, folder, "part").withColumn("file_id", F.col("p_partkey"))).select(
+        F.col("p_brand").alias("repo_id"), "file_id",
         F.format_string("src/%d/Part%d.java", "p_size", "p_partkey").alias("path"),
         F.format_string(SOURCE, "p_size", "p_partkey", "p_name", loop).alias("content"),
     )
@@ -318,3 +320,58 @@ def code_tree_edges(spark: SparkSession, folder: str) -> DataFrame:
 def code_annotations(spark: SparkSession, folder: str) -> DataFrame:
     return facts(spark, folder).types.select("file_id", "name", F.explode("annotations").alias("a")).select(
         "file_id", "name", F.col("a.name").alias("annotation"), "a.element")
+
+
+def varied_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes whose names, number of members and nesting come from the row: types of 1 to 50 levels, 1 to 4 methods, ifs of
+    1 to 7 levels and, in every fiftieth class, of 150; two imports share a simple name."""
+    levels = F.when(F.col("p_partkey") % 50 == 0, 150).otherwise(F.col("p_partkey") % 7 + 1).cast("int")
+    deep = F.concat(F.repeat(F.lit("Map<"), F.col("p_size")), F.lit("String"), F.repeat(F.lit(">"), F.col("p_size")))
+    word = F.regexp_extract("p_name", r"^([a-z]+)", 1)
+    opened = F.array_join(F.transform(F.sequence(F.lit(1), levels), lambda i: F.concat(F.lit("if (a > "), i.cast("string"), F.lit(") {\n"))), "")
+    methods = F.array_join(F.transform(F.sequence(F.lit(1), F.col("p_size") % 4 + 1), lambda j: F.concat(
+        F.lit("int "), word, j.cast("string"), F.lit("(int a) {\n"), opened, F.lit("a = "), F.repeat(F.lit("("), F.col("p_size")), F.lit("a"),
+        F.repeat(F.lit(")"), F.col("p_size")), F.lit(";\n"), F.repeat(F.lit("}"), levels), F.lit("\nreturn a;\n}\n"))), "")
+    return by_file(b.table(spark, folder, "part").withColumn("file_id", F.col("p_partkey"))).select(
+        F.col("p_brand").alias("repo_id"), "file_id", F.format_string("v/%d.java", "p_partkey").alias("path"),
+        F.concat(F.lit("package v;\nimport old.Map;\nimport fresh"), F.col("p_size").cast("string"), F.lit(".Map;\nsealed interface S"),
+                 F.col("p_size").cast("string"), F.lit(" permits T {}\nrecord R(int a, int b) { int sum() { return a; } }\nclass V"),
+                 F.col("p_partkey").cast("string"), F.lit(" {\n"), deep, F.lit(" deep;\n"), methods, F.lit("}\n")).alias("content"))
+
+
+V = r"""vp AS (SELECT p_partkey AS file_id, p_size AS s, regexp_extract(p_name, '^([a-z]+)', 1) AS word,
+  CASE WHEN p_partkey % 50 = 0 THEN 150 ELSE p_partkey % 7 + 1 END::INTEGER AS d FROM part),
+ vm AS (SELECT *, j, word || j AS name, 'method:v.V' || file_id || '#' || word || j || '(int):int' AS key,
+  8 + (j - 1) * (d + 5) AS line FROM vp, LATERAL unnest(range(1, s % 4 + 2)) AS u(j))"""
+
+
+@query("code_varied_declarations", f"""WITH {V} SELECT file_id, 'field' AS kind, 'field:v.V' || file_id || '#deep:fresh' || s || '.Map' AS key,
+  repeat('Map<', s) || 'String' || repeat('>', s) AS type_simple, 7 AS line FROM vp
+ UNION ALL SELECT file_id, 'method', key, 'int', line FROM vm
+ UNION ALL SELECT file_id, 'method', 'method:v.R#sum():int', 'int', 5 FROM vp
+ UNION ALL SELECT file_id, v.kind, 'type:v.' || v.name || CASE v.name WHEN 'R' THEN '' WHEN 'S' THEN s::VARCHAR ELSE file_id::VARCHAR END, NULL, v.line
+  FROM vp, {values('kind, name, line', ["'interface', 'S', 4", "'record', 'R', 5", "'class', 'V', 6"])}""")
+def code_varied_declarations(spark: SparkSession, folder: str) -> DataFrame:
+    code = CodeFacts(varied_sources(spark, folder))
+    line = F.col("line_start").cast("long").alias("line")
+    fields = code.fields.select("file_id", F.lit("field").alias("kind"), "key", "type_simple", line)
+    methods = code.methods.select("file_id", F.lit("method").alias("kind"), "key", F.col("return_type_simple").alias("type_simple"), line)
+    types = code.types.select("file_id", "kind", "key", F.lit(None).cast("string").alias("type_simple"), line)
+    return fields.unionByName(methods).unionByName(types)
+
+
+@query("code_varied_statements", f"""WITH {V} SELECT file_id, key AS method_key, 0 AS seq, 'Assignment' AS kind, line + d + 1 AS line,
+  'a = ' || repeat('(', s) || 'a' || repeat(')', s) AS text FROM vm
+ UNION ALL SELECT file_id, key, 1, 'ReturnStatement', line + d + 3, 'return a' FROM vm
+ UNION ALL SELECT file_id, 'method:v.R#sum():int', 0, 'ReturnStatement', 5, 'return a' FROM vp""")
+def code_varied_statements(spark: SparkSession, folder: str) -> DataFrame:
+    return CodeFacts(varied_sources(spark, folder)).statements.select("file_id", "method_key", "seq", "kind", F.col("line").cast("long").alias("line"), "text")
+
+
+@query("code_varied_flow", f"""WITH {V}, vn AS (SELECT file_id, key AS scope, d, i FROM vm, LATERAL unnest(range(2, d + 2)) AS u(i))
+ SELECT file_id, key AS scope, 0::BIGINT AS src, 2::BIGINT AS dst, '' AS label FROM vm
+ UNION ALL SELECT file_id, scope, i, i + 1, 'true' FROM vn UNION ALL SELECT file_id, scope, i, d + 3, 'false' FROM vn
+ UNION ALL SELECT file_id, key, d + 2, d + 3, '' FROM vm UNION ALL SELECT file_id, key, d + 3, 1, '' FROM vm
+ UNION ALL SELECT file_id, 'method:v.R#sum():int', v.src, v.dst, '' FROM vp, {values('src, dst', ["0, 2", "2, 1"])}""")
+def code_varied_flow(spark: SparkSession, folder: str) -> DataFrame:
+    return Flow(CodeFacts(varied_sources(spark, folder))).cfg_edges.drop("method_ord")

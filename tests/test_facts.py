@@ -243,3 +243,42 @@ def test_generics_and_names_of_any_script(spark):
     assert rows(facts.methods, "name") == [("été",)]
     nodes = rows(Flow(facts).dfg_nodes, "node", "variable", "op")
     assert [(v, o) for _, v, o in nodes] == [("née", "def"), ("née", "use"), ("größe", "use"), ("ñ", "def"), ("ñ", "use")]
+
+
+def test_sealed_types_and_records(spark):
+    text = """package a;
+sealed interface S permits T, U {}
+non-sealed class T implements S { int x; }
+public final class U<X> extends Base<X> implements S permits W { }
+record P(int a, List<String> b) implements S { static int n; int sum(int c) { return a + c; } }
+"""
+    facts = code(spark, text)
+    kinds = {r["name"]: (r.kind, list(r.modifiers), list(r.extends), list(r["implements"])) for r in facts.types.collect()}
+    assert kinds == {"S": ("interface", ["sealed"], [], []), "T": ("class", ["non-sealed"], [], ["S"]),
+                     "U": ("class", ["public", "final"], ["Base"], ["S"]), "P": ("record", [], [], ["S"])}
+    assert rows(facts.fields, "name") == [("n",), ("x",)] and rows(facts.methods, "key") == [("method:a.P#sum(int):int",)]
+    assert rows(facts.statements, "text") == [("return a + c",)]
+
+
+def test_brackets_of_any_depth(spark):
+    for n in (6, 7, 40, 300):
+        deep = "Map<K, " * n + "Long" + ">" * n
+        squares, braces = "[" * n + "q" + "]" * n, "{" * n + "1" + "}" * n
+        text = f"class A {{ {deep} m = new Foo(), k; int v = arr{squares}; Object o = new int[]{braces}; {deep} get({deep} p) {{ x = a[b{squares}] + c; f(() -> {braces}); return o; }} }}"
+        facts = code(spark, text)
+        assert rows(facts.failed) == [] and rows(facts.fields, "name", "type_simple") == [("k", deep), ("m", deep), ("o", "Object"), ("v", "int")], n
+        assert rows(facts.params, "type_simple") == [(deep,)]
+        used = [r.variable for r in Flow(facts).dfg_nodes.orderBy("node").collect() if r.op == "use"]
+        assert used == ["a", "c", "o"], (n, used)
+
+
+def test_last_import_of_a_name_wins(spark):
+    facts = code(spark, "import a.Foo; import b.Foo; import c.*; class A { Foo f; }")
+    assert rows(import_map(facts.imports), "simple_name", "path") == [("Foo", "b.Foo")]
+    assert rows(facts.fields, "type_fqn") == [("b.Foo",)]
+
+
+def test_odd_files(spark):
+    facts = code(spark, None, "", ";", "}", "/* open", '"open', "class A { int[] x = {1; }", "outer: { }", "class B { label: { int x = 1; } int y; }")
+    assert rows(facts.failed, "file_id") == [(3,), (6,)]
+    assert rows(facts.fields, "file_id", "name") == [(8, "y")]
