@@ -83,7 +83,47 @@ def test_silences(spark, tmp_path):
     data = [("a", T + dt.timedelta(seconds=s)) for s in (0, 100, 500, 2000)] + [("b", T + dt.timedelta(seconds=3000))]
     stream, _ = arrivals(spark, tmp_path, data, "run_id string, ts timestamp", files=1)
     at = lambda s: T + dt.timedelta(seconds=s)
-    assert rows(runs.run_stale_sessions(stream)) == sorted([("a", at(0), at(500), 3), ("a", at(2000), at(2000), 1)], key=repr)
+    closed = [("a", at(0), at(500), 3), ("a", at(2000), at(2000), 1)]
+    assert rows(runs.run_stale_sessions(stream)) == sorted([*closed, ("b", at(3000), at(3000), 1)], key=repr)
+    stream, _ = arrivals(spark, tmp_path / "again", data, "run_id string, ts timestamp", files=1)
+    assert rows(runs.run_stale_sessions(stream, now=F.lit(at(3200)))) == sorted(closed, key=repr)
+
+
+def test_silences_of_rows_out_of_order(spark, tmp_path):
+    """A row that comes later joins two stretches; the last silence of each run is reported without another heartbeat."""
+    # file by file: a0 b0, a800 b100, a400 c700, b5000 a9000
+    order = [("a", 0), ("a", 800), ("a", 400), ("b", 5000), ("b", 0), ("b", 100), ("c", 700), ("a", 9000)]
+    stream, _ = arrivals(spark, tmp_path, [(r, T + dt.timedelta(seconds=s)) for r, s in order], "run_id string, ts timestamp", files=4)
+    at = lambda s: T + dt.timedelta(seconds=s)
+    assert rows(runs.run_stale_sessions(stream)) == sorted([
+        ("a", at(0), at(800), 3), ("a", at(9000), at(9000), 1), ("b", at(0), at(100), 2), ("b", at(5000), at(5000), 1),
+        ("c", at(700), at(700), 1)], key=repr)
+
+
+def test_state_of_silent_runs_goes(spark, tmp_path):
+    """Each file has runs of its own, hours after the last file's; a run that comes back after its state went is merged."""
+    data = [(f * 10 + n % 10, T + dt.timedelta(hours=f, seconds=n), f * 20 + n, ("running", "completed")[n // 10], f"m{n}") for f in range(6) for n in range(20)]
+    data += [(3, T + dt.timedelta(hours=6, seconds=s), 900 + s, "running", "again") for s in range(6)]
+    path = str(tmp_path / "in")
+    for f in range(7):
+        part = data[f * 20 : f * 20 + 20]
+        spark.createDataFrame(part, "run_id int, ts timestamp, event_id int, status string, message string").coalesce(1).write.mode("append").parquet(path)
+    stream, table = arriving.stream_table(spark, path, files_per_trigger=1), spark.read.parquet(path)
+    held = []
+    original = sinks.run_batches
+
+    def watched(stream, name, body, mode="append"):
+        where = original(stream, name, body, mode)
+        held.append(spark.read.format("statestore").option("path", f"{where.removesuffix('/data')}/state").option("stateVarName", "fold").load().count())
+        return where
+
+    runs.run_batches = watched
+    try:
+        got = rows(runs.run_fold(stream, grace_seconds=600))
+    finally:
+        runs.run_batches = original
+    assert got == rows(batch.fold_runs(table)) and table.select("run_id").distinct().count() == 60
+    assert held[0] <= 11  # the runs of the last file, and those the watermark has not reached
 
 
 def test_progress_and_late_rows(spark, tmp_path):
@@ -110,6 +150,42 @@ def test_replays_add_nothing(spark, tmp_path):
     assert rows(sinks.read_batches(spark, path, first.schema)) == [(1, 1), (2, 2), (3, 3)]
 
 
+def test_files_read_per_batch_do_not_grow(spark, tmp_path):
+    """Twenty batches of a few keys each: a batch opens the files of its own buckets, at most eight in each."""
+    path, seen, most_read = str(tmp_path / "store"), {}, []
+    for number in range(20):
+        data = [(k % 97, None if k % 5 else "x", number) for k in range(number * 3, number * 3 + 5)]
+        for _ in range(1 + number % 2):  # every other batch is replayed
+            store = sinks.KeyedStore(spark, path, ["k", "s"], buckets=16, most=4)
+            store.insert(spark.createDataFrame(data, "k int, s string, n int"), number)
+        for k, s, n in data:
+            seen.setdefault((k, s), n)
+        most_read.append(store.files_read)
+    assert max(most_read) <= 5 * 4 and max(most_read[15:]) <= max(most_read[:10]) + 4
+    assert rows(sinks.read_batches(spark, path, "k int, s string, n int")) == sorted([(k, s, n) for (k, s), n in seen.items()], key=repr)
+    kept = list((tmp_path / "store" / "data").glob("*/bucket=*/*.parquet"))
+    assert len(kept) <= 2 * 16 * 5
+
+
+def test_a_batch_that_failed_before_its_manifest_is_done_again(spark, tmp_path):
+    path = str(tmp_path / "store")
+    make = lambda: sinks.KeyedStore(spark, path, ["k"], buckets=4)
+    make().insert(spark.createDataFrame([(1, 1), (2, 1)], "k int, n int"), 0)
+    broken = make()
+    broken._sweep = lambda number: None
+    original = broken.spark.createDataFrame
+    try:
+        broken.spark.createDataFrame = lambda *a, **b: 1 / 0  # the rows are written, the manifest is not
+        broken.insert(original([(2, 2), (3, 2)], "k int, n int"), 1)
+    except ZeroDivisionError:
+        pass
+    finally:
+        del broken.spark.createDataFrame
+    assert rows(sinks.read_batches(spark, path, "k int, n int")) == [(1, 1), (2, 1)]
+    make().insert(spark.createDataFrame([(2, 2), (3, 2)], "k int, n int"), 1)
+    assert rows(sinks.read_batches(spark, path, "k int, n int")) == [(1, 1), (2, 1), (3, 2)]
+
+
 def test_arriving_archives(spark, tmp_path):
     (tmp_path / "in").mkdir()
     archive(tmp_path / "in" / "r1.zip", {"a.java": b"1", "b/c.java": b"2"})
