@@ -16,7 +16,6 @@ K1, B = 1.2, 0.75  # published BM25 constants
 RRF = 60  # published constant of reciprocal rank fusion
 BLOCK_ROWS = 8_192  # vectors of one block of the similarity join
 QUERY_ROWS = 1_024  # questions of one block of the similarity join
-KEYWORD_ROWS = 512  # chunks of one block of the keyword search: its scores stay in the processor cache
 SCORE_DIGITS = 6
 
 
@@ -103,40 +102,6 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def _terms(chunks: DataFrame, id_col: str, text: str, group: str) -> DataFrame:
-    split = chunks.select(group, F.col(id_col).alias("id"), tokens(F.col(text)).alias("_t"))
-    return split.select(group, "id", F.size("_t").alias("len"), F.explode("_t").alias("term"))
-
-
-def _counted(terms: DataFrame, group: str) -> DataFrame:
-    return terms.groupBy(group, "id", "len", "term").agg(F.count("*").alias("tf"))
-
-
-def keyword_search(
-    queries: DataFrame, chunks: DataFrame, id_col: str = "id", text: str = "text", group: str = "repo_id",
-    k: int = TOP_K, block_rows: int = KEYWORD_ROWS, query_rows: int = QUERY_ROWS,
-) -> DataFrame:
-    """BM25 top k per question ``(query_id, group, query)`` within its repository.
-
-    Only asked terms are counted: the semi-join on the terms runs before the postings are shuffled.
-    """
-    asked = queries.select("query_id", group, F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    wanted = asked.select(group, "term").distinct()
-    found = _counted(_terms(chunks, id_col, text, group).join(wanted, [group, "term"], "left_semi"), group)
-    size = F.size(tokens(F.col(text)))
-    corpus = chunks.filter(size > 0).groupBy(group).agg(F.count("*").alias("n"), F.avg(size).alias("avg_len"))
-    df = found.groupBy(group, "term").agg(F.count("*").alias("df"))
-    tf = F.col("tf")
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = found.join(df, [group, "term"]).join(corpus, group).select(group, "id", "term", part.alias("part"))
-    # questions and chunks meet in blocks of bounded size, so their pairs are never rows
-    sizes = _sizes(corpus.select(group, F.col("n").alias("_nv")), queries, group, block_rows, query_rows)
-    left = _spread(asked, sizes, group, "query_id", "_q", "_v", ["term"])
-    right = _spread(scored, sizes, group, "id", "_v", "_q", ["term", "part"])
-    return top_k(_in_blocks(left, right, group, lambda q, c: _block_terms(q, c, k)), k)
-
-
 def _sizes(counts: DataFrame, queries: DataFrame, group: str, block_rows: int, query_rows: int) -> DataFrame:
     """Number of blocks of each side per group."""
     asked = queries.groupBy(group).agg(F.count("*").alias("_nq"))
@@ -163,7 +128,7 @@ def _in_blocks(left: DataFrame, right: DataFrame, group: str, body) -> DataFrame
     return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(body, ", ".join([*ids, "score double"]))
 
 
-def _best(query_ids: np.ndarray, ids: np.ndarray, raw: np.ndarray, found: np.ndarray | None, k: int) -> pd.DataFrame:
+def best(query_ids: np.ndarray, ids: np.ndarray, raw: np.ndarray, found: np.ndarray | None, k: int) -> pd.DataFrame:
     """The k best of each row of a score matrix, ties by id."""
     scores = np.round(raw, SCORE_DIGITS)
     if found is not None:
@@ -184,21 +149,6 @@ def _nothing() -> pd.DataFrame:
     return pd.DataFrame({"query_id": [], "id": [], "score": []})
 
 
-def _block_terms(asked: pd.DataFrame, postings: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Exact keyword scores of one block of chunks for one block of questions, term by term."""
-    if asked.empty or postings.empty:
-        return _nothing()
-    rows, query_ids = pd.factorize(asked["query_id"])
-    columns, ids = pd.factorize(postings["id"])
-    total = np.zeros((len(query_ids), len(ids)))
-    wanted = pd.Series(rows).groupby(asked["term"].to_numpy()).indices
-    parts = postings["part"].to_numpy()
-    for term, at in postings.groupby("term").indices.items():
-        if term in wanted:
-            total[np.ix_(rows[wanted[term]], columns[at])] += parts[at]
-    return _best(np.asarray(query_ids), np.asarray(ids), total, total > 0, k)
-
-
 def top_k(scored: DataFrame, k: int) -> DataFrame:
     """Best ``k`` per question, ties by id. Spark limits each group before the shuffle (WindowGroupLimit)."""
     window = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
@@ -217,7 +167,7 @@ def _block_top(questions: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.Dat
     if questions.empty or vectors.empty:
         return _nothing()
     scores = unit(questions["vector"]) @ unit(vectors["vector"]).T
-    return _best(questions["query_id"].to_numpy(), vectors["id"].to_numpy(), scores, None, k)
+    return best(questions["query_id"].to_numpy(), vectors["id"].to_numpy(), scores, None, k)
 
 
 def knn(
@@ -261,6 +211,6 @@ def embed(chunks: DataFrame, function, text: str = "content", dimensions: int =
         for part in parts:
             yield pd.Series(list(function(part.tolist())))
 
-    vector = F.pandas_udf(batches, "array<float>", functionType=F.PandasUDFType.SCALAR_ITER)
+    vector = F.pandas_udf(batches, "array<float>")
     return chunks.withColumn("embedding", vector(F.col(text)))
 

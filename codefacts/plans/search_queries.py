@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import artifacts, retrieval, vector_index
+from ..operators import artifacts, keyword_index, retrieval, vector_index
 from ..session import new_table_path
 from . import bindings as b
 from .registry import query
@@ -106,7 +106,7 @@ def bm25(k: int) -> str:
 
 @query("keyword_search", f"WITH {bm25(5)} SELECT * FROM kw")
 def keyword_search(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval.keyword_search(questions(spark, folder), indexed(spark, folder))
+    return keyword_index.keyword_search(questions(spark, folder), indexed(spark, folder))
 
 
 def hybrid_hits(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,7 +116,7 @@ def hybrid_hits(spark: SparkSession, folder: str) -> DataFrame:
     asked = everything.join(items, "id", "left_semi").withColumnRenamed("id", "query_id")
     return retrieval.hybrid(
         retrieval.knn(asked, everything, k=20),
-        retrieval.keyword_search(questions(spark, folder), indexed(spark, folder), k=20))
+        keyword_index.keyword_search(questions(spark, folder), indexed(spark, folder), k=20))
 
 
 HYBRID = f"""{bm25(20)},
@@ -137,7 +137,7 @@ def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
  ELSE path END || chr(10) || content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS rendered
  FROM kw JOIN docs ON file_id = id LEFT JOIN labels l ON l.doc_id = id GROUP BY query_id""")
 def rendered_hits(spark: SparkSession, folder: str) -> DataFrame:
-    hits = retrieval.keyword_search(questions(spark, folder), indexed(spark, folder))
+    hits = keyword_index.keyword_search(questions(spark, folder), indexed(spark, folder))
     docs = b.documents(spark, folder).select(F.col("file_id").alias("id"), "path", "content")
     known = b.table(spark, folder, "labels").select(F.col("doc_id").alias("id"), F.lit(True).alias("known"))
     full = hits.join(docs, "id").join(known, "id", "left").withColumn("path", F.when(F.col("known"), F.col("path")))

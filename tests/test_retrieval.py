@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from codefacts.operators import retrieval
+from codefacts.operators import keyword_index, retrieval
 
 from .conftest import rows
 
@@ -63,7 +63,7 @@ def test_keyword_search_equals_the_formula(spark):
                     tf = w.count(term)
                     scores[i] += math.log(1 + (len(own) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / avg))
         want += [(q, i, r + 1) for r, (s, i) in enumerate(sorted((-round(s, 6), i) for i, s in scores.items())[:5])]
-    got = retrieval.keyword_search(spark.createDataFrame(asked, "query_id int, repo_id string, query string"), spark.createDataFrame(docs, "id int, repo_id string, text string"))
+    got = keyword_index.keyword_search(spark.createDataFrame(asked, "query_id int, repo_id string, query string"), spark.createDataFrame(docs, "id int, repo_id string, text string"))
     assert rows(got, "query_id", "id", "rank") == sorted(want, key=repr)
 
 
@@ -132,3 +132,32 @@ def test_chunks_by_separator(spark):
         assert len(r.text) <= 40
     for i, t in enumerate(texts):
         assert got.get(i, []) == chunked(t or "", 40, 12), repr(t)
+
+
+def test_keyword_index_in_cells_equals_the_formula(spark, monkeypatch):
+    """Small cells, so bounds decide which are opened; ties, a hot term in every chunk, empty and null texts, odd groups."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(60)]
+    docs = [(i, "abc"[i % 3], "hot " + " ".join(rng.choices(vocabulary, [1 / (j + 1) for j in range(60)], k=rng.randrange(30)))) for i in range(400)]
+    docs += [(500, "a", ""), (501, "a", None), (502, None, "w1 hot"), (503, "d", "!?")] + [(600 + i, "a", "w7 w7 hot") for i in range(9)]
+    asked = [(i, "abcd"[i % 4], " ".join(rng.choices(vocabulary, k=rng.randrange(1, 12)) + ["hot"] * (i % 2))) for i in range(40)] + [(99, "a", "w7")]
+    want = []
+    for q, g, text in asked:
+        own = [(i, t.split()) for i, h, t in docs if h == g and t and any(c.isalnum() for c in t)]
+        avg = sum(len(w) for _, w in own) / max(1, len(own))
+        scores = Counter()
+        for term in sorted(set(text.split())):
+            df = sum(term in w for _, w in own)
+            for i, w in own:
+                if term in w:
+                    tf = w.count(term)
+                    scores[i] += math.log(1 + (len(own) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / avg))
+        want += [(q, i, r + 1) for r, (s, i) in enumerate(sorted((-round(s, 6), i) for i, s in scores.items())[:5])]
+    queries = spark.createDataFrame(asked, "query_id int, repo_id string, query string")
+    chunks = spark.createDataFrame(docs, "id int, repo_id string, text string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = rows(keyword_index.keyword_search(queries, chunks, query_rows=7), "query_id", "id", "rank")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(want, key=repr)
