@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import incremental
 from ..session import new_table_path
 from ..sources import files as sources
 from ..streaming import runs, sinks
@@ -71,6 +72,25 @@ def stream_catalog(spark: SparkSession, folder: str) -> DataFrame:
     return arriving.run_catalog(rows)
 
 
+@query("stream_facts", """WITH p AS (SELECT p_partkey AS file_id, p_size + CASE WHEN p_partkey % 3 = 0 THEN 100 ELSE 0 END AS n FROM part
+  WHERE p_partkey % 7 <> 0)
+ SELECT file_id, 'method:v' || n || '.V' || file_id || '#m(int):int' AS method_key, 'return a + ' || n AS text FROM p""")
+def stream_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Files arrive three times: all of them, a third of them changed beside unchanged ones, and a seventh of them deleted."""
+    root = new_table_path(spark, "arriving")
+    part = b.table(spark, folder, "part")
+    for version, rows in enumerate((part, part.filter("p_partkey % 3 < 2"), part.filter("p_partkey % 7 = 0"))):
+        n = F.col("p_size") + F.when((F.col("p_partkey") % 3 == 0) & F.lit(version == 1), 100).otherwise(0)
+        rows.select(
+            F.col("p_brand").alias("repo_id"), F.col("p_partkey").alias("file_id"), F.format_string("v/%d.java", "p_partkey").alias("path"),
+            F.format_string("package v%d; class V%d { int m(int a) { return a + %d; } }", n, "p_partkey", n).alias("content"),
+            F.lit(version == 2).alias("deleted"), F.lit(version).alias("version"),
+        ).coalesce(1).write.mode("append").parquet(root)
+    store = incremental.FactStore(spark, new_table_path(spark, "fact_store"), {"statements": lambda code: code.statements}, buckets=16)
+    incremental.run_facts(arriving.stream_table(spark, root, files_per_trigger=1), store, "version")
+    return store.read("statements").select("file_id", "method_key", "text")
+
+
 def _zip(batches):
     """One archive per row: its text as a file, next to entries that ingest must skip."""
     for batch in batches:

@@ -63,6 +63,12 @@ def delete_table(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, on any file system Spark can read."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table once to the shared folder and read it back: survives lost executors and cuts lineage."""
     spark = df.sparkSession
