@@ -187,21 +187,33 @@ class Tree(HTMLParser):
 FEATURES = (
     "chars", "link_density", "tags_per_char", "paragraphs", "depth", "children", "furniture", "furniture_above", "content",
     "content_above", "place", "siblings", "sibling_share", "paragraph", "heading", "link", "block", "text_before",
-    "own_share",
+    "own_share", "page_content", "page_furniture",
 )
 
 
+def marked_furniture(node: Node) -> bool:
+    """Whether a tag or an attribute speaks of furniture; the header of an article's title doesn't."""
+    return bool(node.tokens & FURNITURE) or node.tag in FURNITURE_TAGS and not _title(node)
+
+
+def _title(node: Node) -> bool:
+    return node.tag == "header" and node.parent is not None and node.parent.tag in ("article", "main") and any(c.tag in HEADINGS for c in node.children)
+
+
 def node_features(tree: Tree) -> np.ndarray:
     """One row per node, in page order. Sizes count up to where they stop telling main text from furniture."""
     total, before = max(1, tree.root.chars), 0
     furniture: dict[int, int] = {}
     content: dict[int, int] = {}
     rows = []
+    # a page that marks its content or its furniture says more by what it leaves unmarked than one without marks
+    marks = [(int(n.tag in ("article", "main")) + len(n.tokens & CONTENT) > 0, marked_furniture(n)) for n in tree.order]
+    page_content, page_furniture = any(c for c, _ in marks), min(4, sum(f for _, f in marks))
     for node in tree.order:
         parent = node.parent
         above = furniture.get(id(parent), 0) if parent else 0
         inside = content.get(id(parent), 0) if parent else 0
-        odd = int(node.tag in FURNITURE_TAGS) + len(node.tokens & FURNITURE)
+        odd = int(node.tag in FURNITURE_TAGS and not _title(node)) + len(node.tokens & FURNITURE)
         good = int(node.tag in ("article", "main")) + len(node.tokens & CONTENT)
         furniture[id(node)], content[id(node)] = above + odd, inside + good
         rows.append((
@@ -209,6 +221,7 @@ def node_features(tree: Tree) -> np.ndarray:
             min(node.depth, 8), math.log1p(min(len(node.parts), 8)), odd, above, good, inside, node.place / node.siblings, math.log1p(min(node.siblings, 8)),
             min(1.0, node.chars / max(1, node.around)), node.tag == "p", node.tag in HEADINGS, node.tag == "a",
             node.tag in BLOCKS, before / total, node.own / max(1, node.chars),
+            page_content, page_furniture,
         ))
         before += node.own
     return np.array(rows, float)
@@ -317,34 +330,48 @@ def blocks(node: Node) -> list[str]:
     return placed_blocks(node)[0]
 
 
-def choices(tree: Tree, odds: np.ndarray) -> list[str]:
-    """What becomes of each node's subtree: "in", "split" or "out", in the order of the nodes.
+def choices(tree: Tree, odds: np.ndarray) -> tuple[list[str], list[bool]]:
+    """What becomes of each node's subtree ("in", "split" or "out") and, where it is split, of its own text, in the order of
+    the nodes.
 
     For every node the best sum over its subtree is that of leaving all out (0), of taking all in (the log odds of
-    every node in it, weighted by its own text), or of the best choices of its children while its own text follows the
-    node's own odds. In a line of such text, the node's odds count for the elements inside the line too: a link with
-    weak odds stays in its sentence. Of equal sums the one that takes the subtree whole counts.
+    every node in it, weighted by its own text), or of the best choices of its children and of its own line: its own text
+    with the elements inside the line. A line goes or stays as a whole: where the text's odds are positive, a link with
+    weak odds stays in its sentence and only what the odds are clearly against is left out; where they are not, the
+    elements' sums must make up for it, and else they go with it. Of equal sums the one that takes the subtree whole counts.
     """
     place = {id(n): i for i, n in enumerate(tree.order)}
-    every, best, choice = np.zeros(len(place)), np.zeros(len(place)), [""] * len(place)
+    every, best, choice, own = np.zeros(len(place)), np.zeros(len(place)), [""] * len(place), [False] * len(place)
+    inline = [False] * len(place)
     for i in range(len(place) - 1, -1, -1):
         node = tree.order[i]
         mine = odds[i] * node.own
-        every[i], split = mine, max(0.0, mine)
+        every[i], split, line = mine, 0.0, mine
+        inside = [k for k in map(place.get, map(id, node.children)) if inline[k]]
+        inline[i] = node.tag not in BLOCKS and len(inside) == len(node.children)
         for child in node.children:
             k = place[id(child)]
             every[i] += every[k]
             if mine > 0 and child.tag not in BLOCKS and every[k] + odds[i] * child.chars >= best[k]:
                 best[k], choice[k] = every[k], "in"
-            split += best[k]
+            if node.own and inline[k]:
+                line += best[k]
+            else:
+                split += best[k]
+        own[i] = line > 0 if mine <= 0 and node.own else mine > 0
+        if own[i] or not node.own:
+            split += max(0.0, line) if node.own else 0.0
+        else:
+            for k in inside:
+                best[k], choice[k] = 0.0, "out"
         best[i] = max(every[i], split, 0.0)
         choice[i] = "out" if best[i] <= 0 else "in" if every[i] >= split else "split"
-    return choice
+    return choice, own
 
 
 def decode(tree: Tree, odds: np.ndarray) -> list[Node]:
     """The nodes that are chosen as whole subtrees, in page order."""
-    choice = dict(zip(map(id, tree.order), choices(tree, odds)))
+    choice = dict(zip(map(id, tree.order), choices(tree, odds)[0]))
     chosen, stack = [], [tree.root]
     while stack:
         node = stack.pop()
@@ -356,8 +383,9 @@ def decode(tree: Tree, odds: np.ndarray) -> list[Node]:
 
 
 def decoded(tree: Tree, odds: np.ndarray) -> list[str]:
-    """The blocks of the main text in page order: whole subtrees, and the own texts of split nodes with positive odds."""
-    fate = {id(n): (c, o > 0) for n, c, o in zip(tree.order, choices(tree, odds), odds)}
+    """The blocks of the main text in page order: whole subtrees, and the own texts of split nodes by their line. A page that says
+    nothing of furniture and has nothing chosen is main text as a whole."""
+    fate = {id(n): (c, o) for n, c, o in zip(tree.order, *choices(tree, odds))}
     root = Node("html", None, 0)
     stack = [(tree.root, root, False)]
     while stack:
@@ -373,7 +401,10 @@ def decoded(tree: Tree, odds: np.ndarray) -> list[str]:
                     stack.append((part, copy.parts[-1], whole))
             else:
                 copy.parts.append(" ")  # what is left out parts the words around it
-    return blocks(root)
+    found = blocks(root)
+    if not found and not any(map(marked_furniture, tree.order)):
+        return blocks(tree.root)  # nothing on the page speaks of furniture
+    return found
 
 
 def main_texts(pages: list[str], model: Boosted, together: int = 64) -> list[str]:
@@ -422,8 +453,8 @@ def labelled_nodes(page: str, known: str) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 #: Pages that every model is taught, so that it knows kinds of furniture that its sample may lack. Written for this
-#: purpose: t, m and b are main text (m in several paragraphs, b the same as bare lines), f is furniture; lengths vary so
-#: that only structure tells.
+#: purpose: t, s, i, m and b are main text (s short, i with elements inside its line, m in several paragraphs, b the same as
+#: bare lines), f is furniture; lengths vary so that only structure tells.
 TEMPLATES = (
     "<html><body><header><h2>{f}</h2><p>{f}</p></header><main><p>{t}</p><p>{m}</p></main><aside><h3>{f}</h3><p>{f}</p></aside><footer><p>{f}</p></footer></body></html>",
     "<div class='cookie-notice'><p>{f}</p></div><div class='post-content'><p>{t}</p><p>{m}</p></div><div id='comments'><h3>{f}</h3><div class='comment'><p>{f}</p></div><div class='comment'><p>{f}</p></div></div>",
@@ -435,21 +466,63 @@ TEMPLATES = (
     "<nav><a href='/'>{f}</a></nav><article>{t}<br><div class='ad'>{f}</div>{b}</article><section class='comments'><div>{f}</div></section>",
     "<div class='menu'>{f}<br>{f}</div><div class='post'>{t}<aside class='related'><a href='/x'>{f}</a></aside>{b}<div class='share'>{f}</div></div><footer>{f}</footer>",
     "<header>{f}</header><main>{t}<br><br>{b}</main><div class='comments'>{f}<div class='comment'>{f}</div></div>",
+    # without a wrapper, or without furniture: what is unmarked is main text (s is short, i has elements inside its line)
+    "<html><body><p>{s}</p></body></html>",
+    "{t}",
+    "{t}<br>{b}",
+    "<body><p>{t}</p><p>{m}</p></body>",
+    "<div>{t}</div><div>{m}</div>",
+    "<body><div><div>{t}</div><div>{m}</div></div></body>",
+    "<body><h1>{s}</h1><p>{t}</p><p>{m}</p></body>",
+    "<table><tr><td>{t}</td></tr><tr><td>{m}</td></tr></table>",
+    "<table><tr><td>{t}</td></tr></table><footer>{f}</footer>",
+    "<ul><li>{t}</li><li>{m}</li></ul>",
+    "<body><p>{i}</p><p>{m}</p></body>",
+    "<article><p>{i}</p></article>",
+    "<p>{t}</p><p>{m}</p><div class='sidebar'>{f}</div>",
+    "<body><p>{t}</p><p>{m}</p><div class='sidebar'><p>{f}</p><a href='/x'>{f}</a></div></body>",
+    "<nav><a href='/'>{f}</a></nav><p>{i}</p><p>{m}</p><footer><p>{f}</p></footer>",
+    "<nav><ul><li><a href='/'>{f}</a></li></ul></nav><div><div>{t}</div><div>{m}</div></div><footer>{f}</footer>",
+    "<header><p>{f}</p></header><div>{t}<br>{b}</div><div class='comments'><p>{f}</p></div>",
+    "<div class='menu'><a href='/'>{f}</a></div><h1>{s}</h1><p>{t}</p><p>{m}</p><div class='ad'>{f}</div>",
+    "<nav><a href='/'>{f}</a></nav><table><tr><td>{t}</td><td>{m}</td></tr></table><footer><p>{f}</p></footer>",
+    "<article><header><h1>{s}</h1></header><p>{t}</p><p>{m}</p></article>",
+    "<header><a href='/'>{f}</a></header><article><header><h1>{s}</h1></header><p>{i}</p><p>{m}</p></article><aside><p>{f}</p></aside>",
+    "<nav><a href='/'>{f}</a></nav><main><section><h2>{s}</h2><p>{i}</p></section><section><h2>{s}</h2><ul><li>{s}</li><li>{m}</li></ul></section></main><footer>{f}</footer>",
 )
 
 
-def taught_pages(variants: int = 12, seed: int = 5) -> list[tuple[str, str]]:
-    """Each template with texts of random words and lengths, and its main text."""
-    rng = random.Random(seed)
+def _words(rng: random.Random, least: int, most: int) -> str:
+    return " ".join("".join(rng.choice("aeioulnrstmd") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(least, most)))
 
-    def text(most: int) -> str:
-        return " ".join("".join(rng.choice("aeioulnrstmd") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(5, most))) + "."
 
-    pages = []
-    for template in TEMPLATES * variants:
-        t, m = text(60), [text(60) for _ in range(rng.choice((1, 2, 5, 12, 40)))]
-        page = re.sub(r"\{f\}", lambda _: text(rng.choice((8, 25, 60))), template)
-        pages.append((page.replace("{t}", t).replace("{m}", "</p><p>".join(m)).replace("{b}", "<br>".join(m)), " ".join([t, *m])))
+def taught_pages(variants: int = 12, seed: int = 5, templates: tuple[str, ...] | None = None) -> list[tuple[str, str]]:
+    """Each template with texts of random words and lengths, and its main text."""
+    rng, pages = random.Random(seed), []
+    for template in (templates or TEMPLATES) * variants:
+        parts: list[str] = []
+
+        def fill(match: re.Match, parts: list[str] = parts) -> str:
+            kind = match.group(1)
+            if kind == "f":
+                return _words(rng, 1, rng.choice((8, 25, 60))) + rng.choice((".", ""))
+            if kind in "mb":
+                several = [_words(rng, 5, 60) + "." for _ in range(rng.choice((1, 2, 5, 12, 40)))]
+                parts.extend(several)
+                tag = "li" if template[match.start() - 4 : match.start()] == "<li>" else "td" if template[match.start() - 4 : match.start()] == "<td>" else \
+                    "div" if template[match.start() - 5 : match.start()] == "<div>" else "p"
+                return (f"</{tag}><{tag}>" if kind == "m" else "<br>").join(several)
+            if kind == "i":
+                pieces = [_words(rng, 1, 12) for _ in range(rng.choice((3, 5, 7)))]
+                parts.append(" ".join(pieces) + ".")
+                tags = ("b", "a", "em", "span", "i", "strong")
+                shown = [p if j % 2 == 0 else f"<{t}{' href=/x' if t == 'a' else ''}>{p}</{t}>" for j, p in enumerate(pieces) for t in [rng.choice(tags)]]
+                return " ".join(shown) + "."
+            parts.append(_words(rng, 2, 8) if kind == "s" else _words(rng, 5, 60) + ".")
+            return parts[-1]
+
+        page = re.sub(r"\{([tsmbif])\}", fill, template)
+        pages.append((page, " ".join(parts)))
     return pages
 
 

@@ -11,6 +11,11 @@ def model():
     return html.train([])
 
 
+@pytest.fixture(scope="module")
+def given_model(spark):
+    return html.train_from(*(spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("pages", "documents")))
+
+
 def test_kinds_of_furniture(model):
     """Other pages of the taught kinds than those it was trained on."""
     pages = html.taught_pages(4, seed=99)
@@ -18,6 +23,33 @@ def test_kinds_of_furniture(model):
     assert sum(f == t for f, (_, t) in zip(found, pages)) >= 0.9 * len(pages)
 
 
+STORY = "A story that somebody wrote at some length, so that there is enough of it to read."
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<body><p>Only one short paragraph here.</p></body>", "Only one short paragraph here."),
+    ("Just text without any markup at all.", "Just text without any markup at all."),
+    (f"<table><tr><td>{STORY} {STORY} {STORY}</td></tr></table><footer>Imprint and terms</footer>", f"{STORY} {STORY} {STORY}"),
+    (f"<div>{STORY}</div><div>{STORY}</div>", f"{STORY} {STORY}"),
+    (f"<body><p>{STORY}</p><p>{STORY}</p><div class='sidebar'>Links and more links</div></body>", f"{STORY} {STORY}"),
+    (f"<article><header><h1>Article title</h1></header><p>{STORY}</p></article>", f"Article title {STORY}"),
+    ("<article><p>A <b>bold</b>word and <a>a link</a>, done.</p></article>", "A boldword and a link, done."),
+    ("<ul><li>one</li><li>two</li></ul>", "one two"), ("<p>x</p>", "x"),
+])
+def test_articles_of_every_shape(model, given_model, page, text):
+    """Neither the taught model nor one that has seen the given pages asks for a wrapper."""
+    assert html.main_texts([page, page], model) == [text] * 2
+    assert html.main_texts([page], given_model) == [text]
+
+
+def test_share_of_exact_texts_per_template(model, given_model):
+    for template in html.TEMPLATES:
+        pages = html.taught_pages(20, seed=41, templates=(template,))
+        for m, least in ((model, 12), (given_model, 10)):
+            found = html.main_texts([p for p, _ in pages], m)
+            assert sum(f == t for f, (_, t) in zip(found, pages)) >= least, template
+
+
 def test_blocks_and_references():
     tree = html.Tree("<p>a &amp;  b<br>c <b>d</b>e<p>f&nbsp;g<script>x<p>y</script><style>p{}</style><!-- no --><div>h</div>i")
     assert html.blocks(tree.root) == ["a & b c de", "f g", "h", "i"]
@@ -87,7 +119,8 @@ def test_bare_text_around_furniture(model):
     def decoded(**odds):
         return html.decoded(tree, np.array([odds.get(n.tag, 0.0) for n in tree.order]))
 
-    assert decoded(div=1.0, i=-9.0, p=-9.0, b=1.0) == ["ab c", "e", "g"]
+    assert decoded(div=1.0, i=-9.0, p=-9.0, b=1.0) == ["ab c", "g"]  # no element stays without its line
+    assert decoded(div=1.0, i=-9.0, p=-1.0, b=9.0) == ["ab c", "def", "g"]
     assert decoded(div=1.0, i=-0.5, p=-9.0, b=-1.0) == ["abxc", "g"]
     assert decoded(div=-1.0, i=-1.0, p=1.0, b=-0.5) == ["def", "h"]
     assert html.decoded(tree, np.full(len(tree.order), 1.0)) == html.blocks(tree.root)
