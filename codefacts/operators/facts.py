@@ -9,14 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..functions.languages import JAVA_LANG_TYPES
+from ..functions.paths import detect_language
 from ..session import materialize
 from . import lexer, reader
+from .language import JAVA, REGISTRY, Language
 from .lexer import ANGLES, NAME, PARENS, TYPES, WORD
 
-MODIFIERS = "public|protected|private|static|final|abstract|native|synchronized|transient|volatile|strictfp|default|non-sealed|sealed"
-ANNOTATION = rf"@(?!interface\b){NAME}(?:\.{NAME})*(?:\s*{PARENS})?"
-PREFIX = rf"(?s)^(?:(?:{ANNOTATION}|(?:{MODIFIERS})\b(?!\s*:))\s*)*+"
+PREFIX = JAVA.prefix
 TYPE = rf"{NAME}(?:\s*\.\s*{NAME})*+(?:\s*{ANGLES})?(?:\s*\.\s*{NAME}(?:\s*{ANGLES})?)*(?:\s*\[\s*\])*"
 METHOD = rf"(?s)^(?:{ANGLES}\s*)?({TYPE})\s+({NAME})\s*({PARENS})\s*((?:\[\s*\]\s*)*)(?:throws\s+([{WORD}.,\s]+?))?\s*(?:default\b.*)?$"
 FIELD = rf"(?s)^({TYPE})\s+({NAME}\s*(?:[\[=,].*)?)$"
@@ -25,7 +24,7 @@ PARAMETER_PARTS = rf"(?s)^({TYPE})\s*(\.\.\.)?\s*\b({NAME})\s*((?:\[\s*\]\s*)*)$
 DECLARATOR = rf"(?:^|,)\s*({NAME})\s*(?:\[\s*\]\s*)*(?==[^=]|,|$)"
 # Words that start a statement and are no type.
 NOT_A_TYPE = "return|throw|new|else|assert|break|continue|case|package|import|goto|yield|instanceof"
-LOCAL = rf"(?s)^(?:(?:final|{ANNOTATION})\s+)*(?!(?:{NOT_A_TYPE})\b)({TYPE})\s+({NAME}\s*(?:\[\s*\]\s*)*(?:[=,].*)?)$"
+LOCAL = rf"(?s)^(?:(?:final|{JAVA.annotation})\s+)*(?!(?:{NOT_A_TYPE})\b)({TYPE})\s+({NAME}\s*(?:\[\s*\]\s*)*(?:[=,].*)?)$"
 TARGET = rf"(?:[{WORD}.\s]++|{PARENS}|{lexer.SQUARES})++"
 ASSIGNMENT = rf"(?s)^({TARGET})\s*(?:[-+*/%&|^]|<<|>>>?)?=(?!=)(.*)$"
 # Bodies whose statements are not listed.
@@ -44,7 +43,7 @@ def plain_type(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(tight, r"\s*,\s*", ", "), rf"\?(?=[{WORD}])", "? ")
 
 
-def resolve_type(simple: Column, imports: Column, package: Column) -> Column:
+def resolve_type(simple: Column, imports: Column, package: Column, language: Language = JAVA) -> Column:
     """Fully qualified name of a type as written, best effort.
 
     ``imports`` is the file's map from simple to full name. Order: import, lower-case names as they are, well-known
@@ -55,7 +54,7 @@ def resolve_type(simple: Column, imports: Column, package: Column) -> Column:
     return (
         F.when(imported.isNotNull(), imported)
         .when(F.substring(base, 1, 1).rlike(r"^\p{Ll}"), simple)
-        .when(base.isin(*JAVA_LANG_TYPES), F.concat(F.lit("java.lang."), base))
+        .when(base.isin(*language.builtin), F.concat(F.lit(language.builtin_prefix), base))
         .when(package.isNotNull(), F.concat_ws(".", package, base))
         .otherwise(simple)
     )
@@ -84,19 +83,19 @@ def line_ends(decls: DataFrame, owner: list[str], total: Column) -> DataFrame:
     return decls.withColumn("line_end", F.coalesce(F.lead("line_start").over(following) - 1, total).cast("int"))
 
 
-def modifiers(prefix: Column) -> Column:
-    bare = F.regexp_replace(prefix, ANNOTATION, " ")
-    return F.regexp_extract_all(bare, F.lit(rf"\b({MODIFIERS})\b"), F.lit(1))
+def modifiers(prefix: Column, language: Language = JAVA) -> Column:
+    bare = F.regexp_replace(prefix, language.annotation, " ")
+    return F.regexp_extract_all(bare, F.lit(rf"\b({language.modifiers})\b"), F.lit(1))
 
 
-def annotations(prefix: Column) -> Column:
+def annotations(prefix: Column, language: Language = JAVA) -> Column:
     """Array of (name, element); the element is the source text between the parentheses."""
-    found = F.regexp_extract_all(prefix, F.lit(ANNOTATION), F.lit(0))
+    found = F.regexp_extract_all(prefix, F.lit(language.annotation), F.lit(0))
 
     def one(text: Column) -> Column:
-        inner = F.regexp_extract(text, r"(?s)\((.*)\)$", 1)
+        inner = F.regexp_extract(text, r"(?s)\((.*)\)\s*\]?$", 1)
         return F.struct(
-            F.regexp_extract(text, rf"^@({NAME}(?:\.{NAME})*)", 1).alias("name"), F.nullif(inner, F.lit("")).alias("element")
+            F.regexp_extract(text, rf"^[@\[]\s*({NAME}(?:\.{NAME})*)", 1).alias("name"), F.nullif(inner, F.lit("")).alias("element")
         )
 
     return F.transform(found, one)
@@ -137,10 +136,11 @@ class CodeFacts:
     """
 
     def __init__(self, sources: DataFrame, parts: DataFrame | None = None,
-                 keep: Callable[[DataFrame, str], DataFrame] = materialize) -> None:
+                 keep: Callable[[DataFrame, str], DataFrame] = materialize, language: Language = JAVA) -> None:
         self.sources = sources
+        self.language = language
         self.keep = keep
-        self.parts = lexer.by_file(keep(reader.parts(sources), "parts") if parts is None else parts)
+        self.parts = lexer.by_file(keep(reader.parts(sources, language), "parts") if parts is None else parts)
 
     @property
     def tree(self) -> DataFrame:
@@ -154,14 +154,14 @@ class CodeFacts:
 
     @cached_property
     def packages(self) -> DataFrame:
-        found = F.regexp_extract("mask", rf"^package\s+([{WORD}.]+)", 1)
-        return self.parts.filter("level = 0 AND mask LIKE 'package%'").select(
+        found = F.regexp_extract("mask", self.language.package, 1)
+        return self.parts.filter((F.col("level") == 0) & (F.col("kind") == "plain") & F.col("mask").rlike(self.language.package)).select(
             "file_id", found.alias("package")).filter("package <> ''")
 
     @cached_property
     def imports(self) -> DataFrame:
-        pattern = rf"^import\s+(static\s+)?([{WORD}.]+?)(\.\*)?$"
-        rows = self.parts.filter("level = 0 AND mask LIKE 'import%'").filter(F.col("mask").rlike(pattern))
+        pattern = self.language.imported
+        rows = self.parts.filter((F.col("level") == 0) & (F.col("kind") == "plain") & F.col("mask").rlike(pattern))
         order = Window.partitionBy("file_id").orderBy("ord")
         return rows.select(
             "file_id", (F.row_number().over(order) - 1).alias("pos"), F.regexp_extract("mask", pattern, 2).alias("path"),
@@ -183,24 +183,24 @@ class CodeFacts:
 
     def _declared(self, rows: DataFrame) -> DataFrame:
         """Split the annotations and modifiers from the rest of a declaration."""
-        size = F.length(F.regexp_extract("mask", PREFIX, 0))
+        size = F.length(F.regexp_extract("mask", self.language.prefix, 0))
         prefix = F.substring(F.col("text"), F.lit(1), size)
         return rows.withColumns({
             "rest": F.trim(F.substring(F.col("mask"), size + 1, F.length("mask"))),
-            "modifiers": modifiers(prefix), "annotations": annotations(prefix),
+            "modifiers": modifiers(prefix, self.language), "annotations": annotations(prefix, self.language),
         })
 
     @cached_property
     def _headers(self) -> DataFrame:
         """Type headers with their name and full name."""
-        head = rf"(?s)(?:^|[\s)])({'|'.join(TYPES)})\s+({NAME})"
+        head = rf"(?s)(?:^|[\s)\]])({'|'.join(self.language.types)})\s+({NAME})"
         rows = self._declared(self.tree.filter(F.col("kind").isin(*TYPES))).join(self.files.select("file_id", "package", "total_lines"), "file_id")
         return rows.withColumn("name", F.regexp_extract("rest", head, 2)).withColumn("fqn", keys.fqn(F.col("package"), F.col("name")))
 
     @cached_property
     def types(self) -> DataFrame:
         bare = F.regexp_replace(F.regexp_replace("rest", ANGLES, ""), r"\s+", " ")
-        extends = names_of(F.regexp_extract(bare, rf"\bextends ([{WORD}., ]+?)(?: implements\b| permits\b|$)", 1))
+        extends = names_of(F.regexp_extract(bare, self.language.extends, 1))
         constants = self.tree.filter("member AND owner_kind = 'enum'").groupBy("file_id", "owner_ord").agg(
             F.min_by("mask", "ord").alias("body")).select(
             "file_id", F.col("owner_ord").alias("ord"),
@@ -208,7 +208,7 @@ class CodeFacts:
         found = self._headers.join(constants, ["file_id", "ord"], "left").select(
             "file_id", "ord", "name", "kind", "fqn", keys.type_key(F.col("fqn")).alias("key"), "modifiers",
             "annotations", extends.alias("extends"),
-            names_of(F.regexp_extract(bare, rf"\bimplements ([{WORD}., ]+?)(?: permits\b|$)", 1)).alias("implements"),
+            names_of(F.regexp_extract(bare, self.language.implements, 1)).alias("implements"),
             F.when(F.col("kind") == "enum", F.coalesce("constants", F.array().cast("array<string>"))).alias("body"),
             F.col("line").alias("line_start"), "total_lines",
         )
@@ -230,7 +230,7 @@ class CodeFacts:
         names = F.regexp_extract_all(
             lexer.strip_brackets(F.regexp_extract("rest", FIELD, 2)), F.lit(DECLARATOR), F.lit(1))
         typed = rows.withColumn("type_simple", simple).withColumn(
-            "type_fqn", resolve_type(F.col("type_simple"), F.col("import_map"), F.col("package")))
+            "type_fqn", resolve_type(F.col("type_simple"), F.col("import_map"), F.col("package"), self.language))
         return typed.select("*", F.posexplode(names).alias("pos", "name")).select(
             "file_id", "owner_ord", "owner_fqn", "ord", "pos", "name", "type_simple", "type_fqn",
             keys.field_key(F.col("owner_fqn"), F.col("name"), F.col("type_fqn")).alias("key"),
@@ -242,10 +242,10 @@ class CodeFacts:
     def methods(self) -> DataFrame:
         rows = self._members(("class", "interface", "record")).filter(F.col("rest").rlike(METHOD))
         listed = F.regexp_extract_all(F.regexp_extract(_group("m", 3), r"(?s)^\((.*)\)$", 1), F.lit(PARAMETER), F.lit(0))
-        cut = F.transform(listed, lambda text: groups(F.regexp_replace(F.trim(text), PREFIX, ""), PARAMETER_PARTS, 4))
+        cut = F.transform(listed, lambda text: groups(F.regexp_replace(F.trim(text), self.language.prefix, ""), PARAMETER_PARTS, 4))
         ps = F.transform(F.filter(cut, lambda g: F.size(g) == 4), lambda g: F.struct(
             g[2].alias("name"), plain_type(F.concat(g[0], g[3])).alias("type_simple"), (g[1] != "").alias("varargs")))
-        context = F.col("import_map"), F.col("package")
+        context = F.col("import_map"), F.col("package"), self.language
         read = rows.withColumn("m", groups(F.col("rest"), METHOD, 5)).withColumns({
             "ps": ps, "return_type": plain_type(F.concat(_group("m", 1), _group("m", 4))),
         }).withColumns({
@@ -332,3 +332,14 @@ class CodeFacts:
         return numbered.select(
             "file_id", "n", F.concat_ws("_", "type", "scope", "name", F.col("n").cast("string")).alias("symbol_id"),
             *columns[1:])
+
+
+def facts_by_language(sources: DataFrame, registry: dict[str, Language] = REGISTRY) -> dict[str, CodeFacts]:
+    """Facts of each language of the registry, whose files are known by their suffix; other files are in none."""
+    named = sources.withColumn("_language", detect_language(F.col("path"), {n: g.suffixes for n, g in registry.items()}))
+    return {n: CodeFacts(named.filter(F.col("_language") == n).drop("_language"), language=g) for n, g in registry.items()}
+
+
+def table_of_all(facts: dict[str, CodeFacts], table: Callable[[CodeFacts], DataFrame]) -> DataFrame:
+    """One table of a mixed corpus, with the language of each row."""
+    return reduce(DataFrame.unionByName, [table(code).withColumn("language", F.lit(n)) for n, code in facts.items()])

@@ -36,7 +36,7 @@ CAST = (
     rf"[({LEFT}]\s*(?:(?:byte|short|int|long|float|double|char|boolean)|\p{{Lu}}[{WORD}.]*(?:{lexer.ANGLES})?)\s*(?:\[\s*\])*\s*[){RIGHT}](?=\s*[{WORD}({LEFT}])"
 )
 DECLARED = rf"(?:[^,(){{}}<>\[\]]++|{lexer.PARENS}|{lexer.ANGLES}|{lexer.BRACES}|{lexer.SQUARES}|[<>])++"
-FOR_EACH = rf"(?s)^((?:final\s+)?[{WORD}.<>\[\], ?]+?)\s+({NAME})\s*:(?!:)(.*)$"
+FOR_EACH = rf"(?s)^((?:final\s+)?[{WORD}.<>\[\], ?]+?)\s+({NAME})\s*(?::(?!:)|\bin\s)(.*)$"
 STEP = 1 << 20
 VARIABLE = (
     rf"(?<![{WORD}.@])(?:this\s*\.\s*{NAME}(?![{WORD}])(?!\s*[({LEFT}.])|{NAME}(?![{WORD}])(?!\s*(?:[({LEFT}.]|::|->)))"

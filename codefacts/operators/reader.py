@@ -18,7 +18,6 @@ patterns, which can't count, need to know few levels.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import pyarrow as pa
 import regex
@@ -26,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .language import JAVA, Language
 from .lexer import DEEP, MARKS, WORD
 
 NAME = rf"[\p{{L}}\p{{Nl}}\p{{Sc}}\p{{Pc}}][{WORD}]*"
@@ -34,47 +34,24 @@ PARENS = r"(?P<paren>\((?:[^()]++|(?&paren))*+\))"
 MOST_ROWS = 20_000
 
 
-@dataclass(frozen=True)
-class Language:
-    """What the reader must know of a language with braces; plain data."""
-
-    name: str
-    tokens: str = (
-        r'"""[\s\S]*?"""|/\*[\s\S]*?\*/|//[^\n]*|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"' + r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
-        + r"|[{}();]|[^/" + r'"' + r"'{}();]++|[\s\S]"
-    )
-    comments: tuple[str, ...] = ("//", "/*")
-    quotes: tuple[str, ...] = ('"', "'")
-    #: Control heads with a condition in parentheses, and those without.
-    tested: tuple[str, ...] = ("if", "while", "for", "switch", "synchronized", "catch", "try")
-    bare: tuple[str, ...] = ("try", "finally", "do", "else")
-    cases: str = r"case\b(?:[^:?]|::|\?[^:]*:)*?:(?!:)|default\s*:(?!:)"
-    #: Heads that open a level for what follows them in the same segment.
-    nesting: tuple[str, ...] = ("if", "elseif", "else", "while", "for", "switch", "do", "synchronized", "try", "catch", "finally")
-    types: tuple[str, ...] = ("class", "interface", "enum", "record")
-    #: What may stand before a brace that belongs to an expression.
-    value_ends: tuple[str, ...] = ("=", "]", "->")
-    value_words: tuple[str, ...] = ("return",)
-    creator: str = "new"
-    patterns: dict = field(default_factory=dict, compare=False, hash=False)
-
-    def compiled(self, name: str) -> regex.Pattern:
-        """Patterns built from the data above, once per worker."""
-        if name not in self.patterns:
-            tested, bare = "|".join(self.tested), "|".join(self.bare)
-            self.patterns[name] = regex.compile({
-                "token": self.tokens,
-                "head": rf"\s*(?:else\s+if\s*{PARENS}|(?:{tested})\s*(?&paren)|(?:{bare})\b|{self.cases}|(?!default\b){NAME}\s*:(?!:))",
-                "word": rf"\s*({NAME})",
-                "label": rf"\s*{NAME}\s*:",
-                "type": rf"(?s)(?:^|[\s)])({'|'.join(self.types)})\s+({NAME})",
-                "created": rf"\b{self.creator}\s+[{WORD}.]+\s*(?:<.*>)?\s*$",
-                "value_word": rf"\b(?:{'|'.join(self.value_words)})$",
-            }[name])
-        return self.patterns[name]
-
-
-JAVA = Language("java")
+_compiled: dict[tuple[Language, str], regex.Pattern] = {}
+
+
+def _pattern(language: Language, name: str) -> regex.Pattern:
+    """Patterns built from a language's data, once per worker."""
+    if (language, name) not in _compiled:
+        tested, bare = "|".join(language.tested), "|".join(language.bare)
+        _compiled[language, name] = regex.compile({
+            "token": language.tokens,
+            "head": rf"\s*(?:else\s+if\s*{PARENS}|(?:{tested})\s*(?&paren)|(?:{bare})\b|{language.cases}|(?!default\b){NAME}\s*:(?!:))",
+            "word": rf"\s*({NAME})",
+            "label": rf"\s*{NAME}\s*:",
+            "type": rf"(?s)(?:^|[\s)\]])({'|'.join(language.types)})\s+({NAME})",
+            "created": rf"\b{language.creator}\s+[{WORD}.]+\s*(?:<.*>)?\s*$",
+            "value_word": rf"\b(?:{'|'.join(language.value_words)})$",
+        }[name])
+    return _compiled[language, name]
+
 
 _BLANKS = regex.compile(r"[ \t\r\f]+")
 _BREAKS = regex.compile("[ ]*[\n\u0001][ \n\u0001]*")
@@ -89,7 +66,7 @@ def squeeze(text: str) -> str:
 def _opens_value(mask: str, language: Language) -> bool:
     """Whether a brace after this text belongs to an expression."""
     mask = mask.rstrip()
-    if mask.endswith(language.value_ends) or language.compiled("value_word").search(mask):
+    if mask.endswith(language.value_ends) or _pattern(language, "value_word").search(mask):
         return True
     if not mask.endswith(")") or language.creator not in mask:
         return False
@@ -97,7 +74,7 @@ def _opens_value(mask: str, language: Language) -> bool:
     for i in range(len(mask) - 1, -1, -1):
         depth += (mask[i] == ")") - (mask[i] == "(")
         if not depth:
-            return language.compiled("created").search(mask[:i]) is not None
+            return _pattern(language, "created").search(mask[:i]) is not None
     return False
 
 
@@ -120,7 +97,7 @@ def shallow(mask: str, opening: str, closing: str, marks: str) -> str:
 
 def _segments(content: str, language: Language) -> tuple[list[list], bool]:
     """[text, mask, ender, line] in order, and whether every brace was closed."""
-    comments, quotes = language.comments, language.quotes
+    comments, quotes, marks = language.comments, language.quotes, "".join(language.quote_marks)
     out: list[list] = []
     texts: list[str] = []
     masks: list[str] = []
@@ -128,7 +105,7 @@ def _segments(content: str, language: Language) -> tuple[list[list], bool]:
     line, breaks, par = 1, 0, 0
     holds: list[bool] = []  # open braces: whether each belongs to an expression
     values = 0
-    for match in language.compiled("token").finditer(content):
+    for match in _pattern(language, "token").finditer(content):
         token = match.group()
         first = token[0]
         if len(token) == 1 and first in "{}();":
@@ -170,7 +147,7 @@ def _segments(content: str, language: Language) -> tuple[list[list], bool]:
             texts.append(clean)
             masks.append(clean)
             breaks += n
-        elif len(token) > 1 and first in quotes:
+        elif len(token) > 1 and (first in quotes or token.lstrip(marks)[:1] in quotes):
             texts.append(token)
             masks.append('"' + "s" * (len(token) - 2) + '"')
             breaks += token.count("\n")
@@ -185,23 +162,25 @@ def _segments(content: str, language: Language) -> tuple[list[list], bool]:
 
 def _cut(mask: str, ender: str, language: Language) -> list[tuple[str, int, int]]:
     """(kind, start, length) of the heads of a segment and of what follows them."""
-    out, at, some, head = [], 0, False, language.compiled("head")
+    out, at, some, head = [], 0, False, _pattern(language, "head")
     while match := head.match(mask, at):
         text = match.group()
-        word = language.compiled("word").match(text)
+        word = _pattern(language, "word").match(text)
         kind = word.group(1) if word else ""
         if kind == "else" and text.endswith(")"):
             kind = "elseif"
         elif kind not in ("else", "try", "default") and (
-            language.compiled("label").match(text) or kind not in language.nesting and kind not in ("case", "default")):
+            _pattern(language, "label").match(text) or kind not in (*language.nesting, *language.tested, "case", "default")):
             kind = "label"
+        kind = dict(language.alike).get(kind, kind)
         if kind != "label":  # a label only names what follows it
             out.append((kind, at, len(text)))
         at, some = match.end(), True
     rest = mask[at:]
     if rest.replace("\n", " ").replace("\u0001", " ").strip(" ") or (not some and ender == "{"):
-        found = language.compiled("type").search(rest) if ender == "{" else None
-        out.append((found.group(1) if found else "plain", at, len(rest)))
+        found = _pattern(language, "type").search(rest) if ender == "{" else None
+        kind = found.group(1) if found else "plain"
+        out.append((dict(language.alike).get(kind, kind), at, len(rest)))
     return out
 
 

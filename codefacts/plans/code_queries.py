@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.facts import CodeFacts, import_map, resolve_types
+from ..operators.facts import CodeFacts, facts_by_language, import_map, resolve_types, table_of_all
 from ..operators.flow import Flow
 from ..operators.graph import align_facts, scope_members
 from ..operators.graphview import ast_elements
@@ -375,3 +375,54 @@ def code_varied_statements(spark: SparkSession, folder: str) -> DataFrame:
  UNION ALL SELECT file_id, 'method:v.R#sum():int', v.src, v.dst, '' FROM vp, {values('src, dst', ["0, 2", "2, 1"])}""")
 def code_varied_flow(spark: SparkSession, folder: str) -> DataFrame:
     return Flow(CodeFacts(varied_sources(spark, folder))).cfg_edges.drop("method_ord")
+
+
+JAVA_CLASS = """package shop;
+import java.util.List;
+public class J%1$d extends Base implements Item {
+    private List<String> names = new ArrayList<>();
+    public int add(int n) { for (String s : names) { n += %2$d; } return n; }
+}
+"""
+CSHARP_CLASS = """using System.Text;
+namespace Shop.N%2$d
+{
+    [Serializable("no { end")]
+    public sealed class C%1$d : Base, IItem
+    {
+        private readonly Encoding coding = null;
+        public string Path => @"c:\\{";
+        public int Add(ref int n) { foreach (var s in names) { n += %2$d; } lock (this) { Save(n); } return n; }
+    }
+}
+"""
+
+
+@query("mixed_corpus", """WITH p AS (SELECT p_partkey AS file_id, p_size AS s, CASE p_partkey % 2 WHEN 0 THEN 'java' ELSE 'csharp' END AS language,
+  CASE p_partkey % 2 WHEN 0 THEN 'shop.J' || p_partkey ELSE 'Shop.N' || p_size || '.C' || p_partkey END AS cls,
+  CASE p_partkey % 2 WHEN 0 THEN 'add' ELSE 'Add' END AS method FROM part)
+ SELECT file_id, language, 'type' AS kind, 'type:' || cls AS key, CASE language WHEN 'java' THEN 'public:Base:Item' ELSE 'public,sealed:Base:IItem' END AS detail FROM p
+ UNION ALL SELECT file_id, language, 'field', 'field:' || cls || CASE language WHEN 'java' THEN '#names:java.util.List' ELSE '#coding:Shop.N' || s || '.Encoding' END, 'ast' FROM p
+ UNION ALL SELECT file_id, language, 'field', 'field:' || cls || '#Path:string', 'ast' FROM p WHERE language = 'csharp'
+ UNION ALL SELECT file_id, language, 'method', 'method:' || cls || '#' || method || '(int):int', method || '(int)' FROM p
+ UNION ALL SELECT file_id, language, 'statement', 'method:' || cls || '#' || method || '(int):int', 'n += ' || s FROM p
+ UNION ALL SELECT file_id, language, 'statement', 'method:' || cls || '#' || method || '(int):int', 'return n' FROM p
+ UNION ALL SELECT file_id, language, 'statement', 'method:' || cls || '#' || method || '(int):int', 'Save(n)' FROM p WHERE language = 'csharp'
+ UNION ALL SELECT file_id, language, 'cyclomatic', 'method:' || cls || '#' || method || '(int):int', '2' FROM p""")
+def mixed_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of two languages, told by their suffix; the second is known to the library by its data alone."""
+    java = F.col("file_id") % 2 == 0
+    texts = by_file(b.table(spark, folder, "part").withColumn("file_id", F.col("p_partkey"))).select(
+        F.col("p_brand").alias("repo_id"), "file_id",
+        F.concat(F.lit("src/"), F.col("file_id").cast("string"), F.when(java, ".java").otherwise(".cs")).alias("path"),
+        F.when(java, F.format_string(JAVA_CLASS, "file_id", "p_size")).otherwise(F.format_string(CSHARP_CLASS, "file_id", "p_size")).alias("content"))
+    facts = facts_by_language(texts)
+
+    def rows(kind: str, key: str, detail, table) -> DataFrame:
+        return table_of_all(facts, lambda code: table(code).select("file_id", F.lit(kind).alias("kind"), F.col(key).alias("key"), detail.alias("detail")))
+
+    header = F.concat_ws(":", F.array_join("modifiers", ","), F.array_join("extends", ","), F.array_join("implements", ","))
+    out = rows("type", "key", header, lambda code: code.types).unionByName(rows("field", "key", F.col("source"), lambda code: code.fields))
+    out = out.unionByName(rows("method", "key", F.col("signature_simple"), lambda code: code.methods))
+    out = out.unionByName(rows("statement", "method_key", F.col("text"), lambda code: code.statements))
+    return out.unionByName(rows("cyclomatic", "scope", F.col("cyclomatic_complexity").cast("string"), lambda code: Flow(code).cfg_metrics))

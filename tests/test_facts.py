@@ -282,3 +282,37 @@ def test_odd_files(spark):
     facts = code(spark, None, "", ";", "}", "/* open", '"open', "class A { int[] x = {1; }", "outer: { }", "class B { label: { int x = 1; } int y; }")
     assert rows(facts.failed, "file_id") == [(3,), (6,)]
     assert rows(facts.fields, "file_id", "name") == [(8, "y")]
+
+
+def test_a_second_language_by_its_data(spark):
+    from codefacts.operators.facts import facts_by_language, table_of_all
+
+    cs = """using System; using static System.Math; using A.B.Foo;
+namespace P.Q {
+  [Serializable, Old] [Table("t{")] internal sealed partial class C<T> : Base<T>, IOne, ITwo where T : new() {
+    const string S = @"\\"; string q = $"{a}"; public Foo[] foos, more;
+    static int F(ref int a, out Foo b, params string[] c) {
+      using (var r = Open()) { if (a > 1) { b = null; } else return a; }
+      foreach (var x in foos) { a += x; }
+      try { G(a); } catch { H(); } finally { K(); }
+      Func<int> f = () => { return 1; };
+      return a;
+    }
+  }
+  struct D { int z; } enum E { A, B = 2 }
+}"""
+    data = [("r", 0, "a/F.cs", cs), ("r", 1, "a/F.java", CART), ("r", 2, "a/F.txt", cs)]
+    facts = facts_by_language(spark.createDataFrame(data, "repo_id string, file_id long, path string, content string"))
+    code = facts["csharp"]
+    kinds = {r["name"]: r for r in code.types.collect()}
+    assert {n: (r.kind, r.fqn) for n, r in kinds.items()} == {"C": ("class", "P.Q.C"), "D": ("class", "P.Q.D"), "E": ("enum", "P.Q.E")}
+    assert kinds["C"].extends == ["Base"] and kinds["C"].implements == ["IOne", "ITwo"] and kinds["C"].modifiers == ["internal", "sealed", "partial"]
+    assert [tuple(a) for a in kinds["C"].annotations][-1] == ("Table", '"t{"')
+    assert rows(code.imports, "path", "static") == [("A.B.Foo", False), ("System", False), ("System.Math", True)]
+    assert rows(code.fields, "name", "type_fqn") == [("S", "string"), ("foos", "A.B.Foo"), ("more", "A.B.Foo"), ("q", "string"), ("z", "int")]
+    assert rows(code.methods, "signature_resolved") == [("F(int,A.B.Foo,string[])",)]
+    assert [t for (t,) in rows(code.statements.orderBy("seq"), "text")] == sorted(
+        ["b = null", "return a", "a += x", "G(a)", "H()", "K()", "Func<int> f = () => { return 1; }", "return a"], key=lambda t: repr((t,)))
+    used = {r.variable for r in Flow(code).dfg_nodes.collect() if r.op == "use"}
+    assert {"a", "foos", "x"} <= used
+    assert rows(table_of_all(facts, lambda c: c.methods).select("language", "name")) == [("csharp", "F"), ("java", "add")]
