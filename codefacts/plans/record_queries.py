@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..operators import access, artifacts, retrieval
+from ..session import new_table_path
 from ..sources.files import get_rows
-from ..sources.json_facts import explode_ast
+from ..sources.json_facts import explode_ast, parse_open, read_fields
+from ..sources.layout import GraphStore, rewrite, write_bucketed
 from . import bindings as b
 from .registry import query
 
@@ -100,3 +102,60 @@ def summary_view(spark: SparkSession, folder: str) -> DataFrame:
 def chunks_by_separator(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in chunks that end at paragraphs, lines or words; a test holds them against a plain version."""
     return retrieval.chunk_by_separator(b.documents(spark, folder))
+
+
+@query("open_facts", r"""SELECT event_id, CASE event_id % 4 WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE CAST(regexp_extract(props, '(\d+)', 1) AS BIGINT) END AS k,
+ CASE event_id % 4 WHEN 1 THEN user_id END AS first_tag, CASE event_id % 4 WHEN 1 THEN '{"by":"' || event_type || '","tags":[' || user_id || ',"x"]}' END AS meta,
+ CASE event_id % 4 WHEN 2 THEN left(props, length(props) - 1) END AS bad_record, CASE event_id % 4 WHEN 3 THEN '"many"' END AS k_text FROM events""")
+def open_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Props as they are, with a field that no schema names, cut off, and with a field of another type."""
+    turn = F.col("event_id") % 4
+    more = F.concat(F.lit(', "meta": {"by": "'), "event_type", F.lit('", "tags": ['), F.col("user_id").cast("string"), F.lit(', "x"]}}'))
+    bare = F.substring(F.col("props"), F.lit(1), F.length("props") - 1)
+    content = F.when(turn == 1, F.concat(bare, more)).when(turn == 2, bare).when(turn == 3, F.lit('{"k": "many"}')).otherwise(F.col("props"))
+    parsed = parse_open(b.table(spark, folder, "events").select("event_id", content.alias("content")))
+    known = read_fields(parsed, {"k": ("$.k", "bigint"), "first_tag": ("$.meta.tags[0]", "bigint")})
+    kept = read_fields(parsed, {"k": ("$.k", "bigint")}).select("event_id", F.col("rest")["meta"].alias("meta"))
+    text = F.when(F.col("k").isNull(), F.to_json(F.try_variant_get("doc", "$.k", "variant")))
+    return known.withColumn("k_text", text).join(kept, "event_id").select("event_id", "k", "first_tag", "meta", "bad_record", "k_text")
+
+
+@query("bucketed_reads", """SELECT o_orderkey AS file_id, o_orderpriority AS repo_id, o_totalprice FROM orders
+ WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)""")
+def bucketed_reads(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of one file, from the one bucket that can hold it."""
+    rows = b.table(spark, folder, "orders").select(F.col("o_orderkey").alias("file_id"), F.col("o_orderpriority").alias("repo_id"), "o_totalprice")
+    stored = write_bucketed(rows, ["file_id"], 16, "orders")
+    return stored.filter(F.col("file_id") == stored.agg(F.max("file_id")).first()[0])
+
+
+@query("bucketed_graphs", """WITH c AS (SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS cfg,
+  string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) FILTER (o_orderstatus = 'F') AS dfg FROM orders GROUP BY ALL)
+ SELECT c_custkey AS file_id, CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS ast, coalesce(cfg, '') AS cfg, coalesce(dfg, '') AS dfg
+ FROM customer LEFT JOIN c ON o_custkey = c_custkey""")
+def bucketed_graphs(spark: SparkSession, folder: str) -> DataFrame:
+    """Files with their graphs, from tables that lie in the same buckets."""
+    owners = b.table(spark, folder, "customer")
+    graphs = b.table(spark, folder, "orders").select(
+        F.col("o_custkey").alias("file_id"), F.col("o_orderkey").alias("seq"),
+        F.col("o_orderkey").cast("string").alias("scope"), F.col("o_orderpriority").alias("content"), "o_orderstatus")
+    store = GraphStore({
+        "files": owners.select(F.col("c_custkey").alias("file_id")),
+        "ast": owners.filter("c_acctbal > 0").select(F.col("c_custkey").alias("file_id"), F.col("c_mktsegment").alias("content")),
+        "cfg": graphs.drop("o_orderstatus"), "dfg": graphs.filter("o_orderstatus = 'F'").drop("o_orderstatus")}, buckets=16)
+    names = {kind: F.array_join(F.transform(kind, lambda g: g["scope"]), ",") for kind in ("cfg", "dfg")}
+    return store.with_graphs(page_size=1_000_000).withColumns(names).select("file_id", "ast", "cfg", "dfg")
+
+
+@query("purged_table", """SELECT o_orderkey AS run_id, year(o_orderdate)::INTEGER AS started FROM orders
+ WHERE NOT (o_orderstatus = 'F' AND o_orderdate < TIMESTAMP '1997-07-01') AND NOT (o_orderkey % 10 = 0 AND year(o_orderdate) = 2000)""")
+def purged_table(spark: SparkSession, folder: str) -> DataFrame:
+    """A stored table of runs by year: old finished runs go by a condition, and some runs of one year by a list."""
+    path = new_table_path(spark, "run_table")
+    runs = b.table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").cast("timestamp").alias("created_at"), F.col("o_orderstatus").alias("status"),
+        F.year("o_orderdate").alias("started"))
+    runs.repartition("started").write.partitionBy("started").parquet(path)
+    rewrite(spark, path, ["started"], (F.col("status") == "F") & (F.col("created_at") < F.lit("1997-07-01").cast("timestamp")))
+    rewrite(spark, path, ["started"], runs.filter("run_id % 10 = 0 AND started = 2000").select("run_id"), on=["run_id"])
+    return spark.read.parquet(path).select("run_id", "started")

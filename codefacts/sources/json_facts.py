@@ -48,3 +48,21 @@ def explode_ast(df: DataFrame, content: str = "content") -> dict[str, DataFrame]
         "methods": types.select(*ids, F.col("fqn").alias("owner_fqn"), F.posexplode("methods").alias("pos", "m")).select(
             *ids, "owner_fqn", "pos", "m.*"),
     }
+
+
+def parse_open(df: DataFrame, content: str = "content") -> DataFrame:
+    """The JSON column as a variant ``doc``, whatever its shape, and in ``bad_record`` the text that is no JSON.
+
+    A null text has neither.
+    """
+    doc = F.try_parse_json(content)
+    return df.withColumn("doc", doc).withColumn("bad_record", F.when(F.col("doc").isNull(), F.col(content)))
+
+
+def read_fields(df: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """Typed columns of the variant ``doc``, name to (path, type), null where the path or the type does not fit; and in
+    ``rest`` the top-level fields no path begins with, as a map from name to JSON text."""
+    known = F.array(*(F.lit(p.removeprefix("$.").split(".")[0].split("[")[0]) for p, _ in fields.values()))
+    top = F.try_variant_get("doc", "$", "map<string,variant>")
+    rest = F.transform_values(F.map_filter(top, lambda k, _: ~F.array_contains(known, k)), lambda _, v: F.to_json(v))
+    return df.withColumns({n: F.try_variant_get("doc", path, kind) for n, (path, kind) in fields.items()}).withColumn("rest", rest)
