@@ -299,38 +299,41 @@ class CodeFacts:
 
     @cached_property
     def symbols(self) -> DataFrame:
-        """Symbol table: types, fields, methods and parameters with scoped ids, numbered within each file.
+        """Symbol table: types, fields, methods and parameters with scoped ids, their file, modifiers and annotations, numbered
+        within each file.
 
         Within a type the order is the type, its fields, then each method followed by its parameters.
         """
         packages = self.packages.select("file_id", "package")
+        names = F.transform("annotations", lambda a: a["name"]).alias("annotations")
         place = F.when(F.col("kind") == "class", 0).when(F.col("kind") == "interface", 1).otherwise(2)
         types = self.types.join(packages, "file_id", "left").select(
             "file_id", F.col("kind").alias("type"), "name", F.coalesce("package", F.lit("default")).alias("scope"),
-            F.lit(None).cast("string").alias("data_type"), F.col("line_start").alias("line"), "modifiers",
+            F.lit(None).cast("string").alias("data_type"), F.col("line_start").alias("line"), "modifiers", names,
             F.struct(place, F.col("ord"), F.lit(0), F.col("ord"), F.lit(0)).alias("at"))
         owners = self.types.select("file_id", F.col("ord").alias("owner_ord"), place.alias("place"))
         fields = self.fields.join(owners, ["file_id", "owner_ord"]).select(
             "file_id", F.lit("field").alias("type"), "name", F.col("owner_fqn").alias("scope"),
-            F.col("type_simple").alias("data_type"), F.col("line_start").alias("line"), "modifiers",
+            F.col("type_simple").alias("data_type"), F.col("line_start").alias("line"), "modifiers", names,
             F.struct(F.col("place"), F.col("owner_ord"), F.lit(1), F.col("ord"), F.col("pos")).alias("at"))
         methods = self.methods.join(owners, ["file_id", "owner_ord"])
         declared = methods.select(
             "file_id", F.lit("method").alias("type"), "name", F.col("owner_fqn").alias("scope"),
-            F.col("return_type_simple").alias("data_type"), F.col("line_start").alias("line"), "modifiers",
+            F.col("return_type_simple").alias("data_type"), F.col("line_start").alias("line"), "modifiers", names,
             F.struct(F.col("place"), F.col("owner_ord"), F.lit(2), F.col("ord"), F.lit(-1)).alias("at"))
         params = methods.select("*", F.posexplode("params").alias("i", "p")).select(
             "file_id", F.lit("parameter").alias("type"), F.col("p.name").alias("name"),
             F.concat_ws(".", "owner_fqn", "name").alias("scope"), F.col("p.type_simple").alias("data_type"),
             F.lit(None).cast("int").alias("line"), F.array().cast("array<string>").alias("modifiers"),
+            F.array().cast("array<string>").alias("annotations"),
             F.struct(F.col("place"), F.col("owner_ord"), F.lit(2), F.col("ord"), F.col("i")).alias("at"))
-        columns = ["file_id", "type", "name", "scope", "data_type", "line", "modifiers"]
+        columns = ["file_id", "type", "name", "scope", "data_type", "line", "modifiers", "annotations"]
         every = reduce(DataFrame.unionByName, [
             df.select(*columns, F.col("at").cast("struct<a:int,b:bigint,c:int,d:bigint,e:int>").alias("at"))
             for df in (types, fields, declared, params)])
         numbered = every.withColumn("n", F.row_number().over(Window.partitionBy("file_id").orderBy("at")))
-        return numbered.select(
-            "file_id", "n", F.concat_ws("_", "type", "scope", "name", F.col("n").cast("string")).alias("symbol_id"),
+        return numbered.join(self.files.select("file_id", F.col("path").alias("file")), "file_id").select(
+            "file_id", "file", "n", F.concat_ws("_", "type", "scope", "name", F.col("n").cast("string")).alias("symbol_id"),
             *columns[1:])
 
 

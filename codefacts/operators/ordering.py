@@ -87,8 +87,9 @@ def neighbour(
 
 
 def with_group_count(df: DataFrame, keys: list[str], out: str = "total") -> DataFrame:
-    """Attach the size of each row's group: partial counts first, then a join that AQE can split."""
-    return df.join(df.groupBy(*keys).agg(F.count("*").alias(out)), keys)
+    """Attach the size of each row's group. The counts are a table first: joined with an aggregate as it stands, all rows of
+    a key would have to meet in one task, while two plain shuffles can be split."""
+    return df.join(materialize(df.groupBy(*keys).agg(F.count("*").alias(out)), "counts"), keys)
 
 
 def paged_lists(

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import access, artifacts, messages, runs, stats
-from ..operators.ordering import neighbour
 from . import bindings as b
 from .registry import query
 
@@ -329,5 +328,9 @@ def file_with_graphs(spark: SparkSession, folder: str) -> DataFrame:
  coalesce(lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1, 999999) AS line_end FROM lineitem""")
 def end_lines(spark: SparkSession, folder: str) -> DataFrame:
     lines = b.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("line_start"))
-    following = neighbour(lines, ["l_orderkey"], ["l_linenumber", "line_start"], {"_next": F.col("line_start")}, following=True)
-    return following.withColumn("line_end", F.coalesce(F.col("_next") - 1, F.lit(999999).cast("long"))).drop("_next")
+    from ..operators.facts import line_ends
+
+    declared = lines.select(F.col("l_orderkey").alias("file_id"), F.struct("l_linenumber", "line_start").alias("ord"), "line_start")
+    ended = line_ends(declared, [], F.lit(999999).cast("long"))
+    return ended.select(F.col("file_id").alias("l_orderkey"), F.col("ord.l_linenumber").alias("l_linenumber"), "line_start",
+                        F.col("line_end").cast("long").alias("line_end"))

@@ -257,9 +257,11 @@ SYMBOLS = f"""{P}, sy AS (SELECT file_id, v.n, v.type, v.short, v.data_type, v.l
  sym AS (SELECT file_id, n, type || '_' || scope || '_' || name || '_' || n AS symbol_id, type, name, scope, kind AS data_type, line FROM sy)"""
 
 
-@query("code_symbols", f"WITH {SYMBOLS} SELECT * FROM sym")
+@query("code_symbols", f"""WITH {SYMBOLS} SELECT sym.*, p.path AS file, CASE n WHEN 1 THEN 'public' WHEN 2 THEN 'private' WHEN 3 THEN 'protected,static'
+  WHEN 4 THEN 'protected,static' WHEN 5 THEN 'public' WHEN 8 THEN 'abstract' WHEN 11 THEN 'default' ELSE '' END AS modifiers,
+ CASE n WHEN 1 THEN 'Entity' ELSE '' END AS annotations FROM sym JOIN p USING (file_id)""")
 def code_symbols(spark: SparkSession, folder: str) -> DataFrame:
-    return facts(spark, folder).symbols.drop("modifiers")
+    return facts(spark, folder).symbols.withColumns({c: F.array_join(c, ",") for c in ("modifiers", "annotations")})
 
 
 @query("code_scope_members", f"""WITH {SYMBOLS} SELECT file_id || ' ' || scope AS scope, 0::BIGINT AS page, string_agg(symbol_id, ',' ORDER BY n) AS symbol_ids
@@ -307,13 +309,19 @@ def code_tree_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return ast_elements(facts(spark, folder))[0].drop("id")
 
 
-@query("code_tree_edges", f"""WITH {P}, c AS (SELECT file_id, v.source, count(*) AS n FROM p, {values('shape, source, target', [
-    f"{shape}, '{source}', {target}" for shape, statements in enumerate((6, 6, 8)) for source, target in (
-        [("ast-0", t) for t in range(5)] + [("ast-2", t) for t in range(3)] + [("ast-6", t) for t in range(5)]
-        + [("ast-10", t) for t in range(statements)] + [(f"ast-{12 + statements}", 0), (f"ast-{13 + statements}", 0)])])}
- WHERE v.shape = p.shape GROUP BY ALL) SELECT * FROM c""")
+def tree_edges(statements: int) -> list[tuple[int, int]]:
+    """Display order: the file, its package, three imports in a group, the class with three fields and two methods, the
+    statements behind the first method, then the interface with a method and its statement, and the enum."""
+    find, item = 11 + statements, 12 + statements
+    return [*((0, t) for t in (1, 2, 6, item, item + 3)), *((2, t) for t in (3, 4, 5)), *((6, t) for t in (7, 8, 9, 10, find)),
+            *((10, 11 + t) for t in range(statements)), (item, item + 1), (item + 1, item + 2)]
+
+
+@query("code_tree_edges", f"""WITH {P} SELECT file_id, 'ast-' || v.source || '->ast-' || v.target AS id, 'ast-' || v.source AS source, 'ast-' || v.target AS target
+ FROM p, {values('shape, source, target', [f"{shape}, {source}, {target}" for shape, n in enumerate((6, 6, 8)) for source, target in tree_edges(n)])}
+ WHERE v.shape = p.shape""")
 def code_tree_edges(spark: SparkSession, folder: str) -> DataFrame:
-    return ast_elements(facts(spark, folder))[1].groupBy("file_id", "source").agg(F.count("*").alias("n"))
+    return ast_elements(facts(spark, folder))[1]
 
 
 @query("code_annotations", f"""WITH {P} SELECT file_id, name, 'Entity' AS annotation, 'name = "' || nm || ' {{"' AS element FROM p""")

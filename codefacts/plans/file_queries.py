@@ -292,7 +292,10 @@ def graph_write_outcome(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("json_facts", r"""SELECT event_id, CAST(regexp_extract(props, '(\d+)', 1) AS BIGINT) AS k FROM events""")
 def json_facts(spark: SparkSession, folder: str) -> DataFrame:
-    return b.table(spark, folder, "events").select("event_id", F.from_json("props", "k long").k.alias("k"))
+    from ..sources.json_facts import parse_open, read_fields
+
+    parsed = parse_open(b.table(spark, folder, "events").select("event_id", F.col("props").alias("content")))
+    return read_fields(parsed, {"k": ("$.k", "bigint")}).select("event_id", "k")
 
 
 @query("symbols_of_all_kinds", """SELECT 'customer' AS kind, c_name AS name, c_mktsegment AS segment, c_nationkey AS scope

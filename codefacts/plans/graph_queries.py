@@ -65,31 +65,34 @@ def connected_types(spark: SparkSession, folder: str) -> DataFrame:
     return components.components(nodes, edges, ["scope"])
 
 
-@query("connected_parts", """WITH RECURSIVE e AS (
-  SELECT DISTINCT 'p' || l_partkey AS p, 's' || l_suppkey AS s FROM lineitem
-  WHERE l_returnflag = 'R' AND l_discount >= 0.1 AND l_quantity >= 40),
- both_ways AS (SELECT p AS src, s AS dst FROM e UNION SELECT s, p FROM e),
- nodes AS (SELECT 'p' || p_partkey AS node FROM part UNION SELECT src FROM both_ways),
- reach AS (SELECT node, node AS seen FROM nodes UNION SELECT r.node, b.dst FROM reach r JOIN both_ways b ON b.src = r.seen)
- SELECT node, min(seen) AS label FROM reach GROUP BY node""")
-def connected_parts(spark: SparkSession, folder: str) -> DataFrame:
-    """Parts and suppliers joined by line items that were returned in quantity at a high discount."""
+def returned(condition: str) -> str:
+    """Labels of parts and suppliers over line items: each round passes on the smaller label, one row per node is kept."""
+    return f"""WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS p, 's' || l_suppkey AS s FROM lineitem WHERE {condition}),
+ g AS (SELECT p AS src, s AS dst FROM e UNION SELECT s, p FROM e),
+ nodes AS (SELECT 'p' || p_partkey AS node FROM part UNION SELECT src FROM g),
+ cc(node, label) USING KEY (node) AS (SELECT node, node FROM nodes
+  UNION SELECT g.dst, min(cc.label) FROM cc JOIN g ON g.src = cc.node JOIN recurring.cc r ON r.node = g.dst WHERE cc.label < r.label GROUP BY g.dst)
+ SELECT node, label FROM cc"""
+
+
+def _returned(spark: SparkSession, folder: str, condition: str) -> DataFrame:
     part = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
     supplier = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
-    items = b.table(spark, folder, "lineitem").filter("l_returnflag = 'R' AND l_discount >= 0.1 AND l_quantity >= 40")
+    items = b.table(spark, folder, "lineitem").filter(condition)
     nodes = b.table(spark, folder, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"))
     return components.components(nodes, items.select(part.alias("src"), supplier.alias("dst")), [])
 
 
-@query("connected_returns")
+@query("connected_parts", returned("l_returnflag = 'R' AND l_discount >= 0.1"))
+def connected_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts and suppliers joined by line items that were returned at a high discount."""
+    return _returned(spark, folder, "l_returnflag = 'R' AND l_discount >= 0.1")
+
+
+@query("connected_returns", returned("l_returnflag = 'R'"))
 def connected_returns(spark: SparkSession, folder: str) -> DataFrame:
-    """Parts and suppliers joined by all returned line items. Components grow too large for a recursive SQL; tests hold
-    it against union-find."""
-    part = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
-    supplier = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
-    items = b.table(spark, folder, "lineitem").filter("l_returnflag = 'R'")
-    nodes = b.table(spark, folder, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"))
-    return components.components(nodes, items.select(part.alias("src"), supplier.alias("dst")), [])
+    """Parts and suppliers joined by all returned line items."""
+    return _returned(spark, folder, "l_returnflag = 'R'")
 
 
 @query("connected_orders", """SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey) AS label FROM orders""")

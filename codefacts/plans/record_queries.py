@@ -19,10 +19,10 @@ from .registry import query
  WHERE c_mktsegment = 'BUILDING' AND c_nationkey = (SELECT n_nationkey FROM nation WHERE n_name = 'NATION_1')""")
 def owner_scope(spark: SparkSession, folder: str) -> DataFrame:
     """The rows of one owner in one repository, the feature of which is to leave out all others."""
-    nation = b.table(spark, folder, "nation").filter("n_name = 'NATION_1'").first().n_nationkey
     rows = b.table(spark, folder, "customer").select(
         F.col("c_custkey").alias("thread"), F.col("c_mktsegment").alias("user_id"), F.col("c_nationkey").alias("repo_id"))
-    return access.scoped(rows, "BUILDING", nation)
+    nation = b.table(spark, folder, "nation").filter("n_name = 'NATION_1'").select(F.col("n_nationkey").alias("repo_id"))
+    return access.scoped(rows.join(nation, "repo_id", "left_semi"), "BUILDING", F.col("repo_id"))
 
 
 @query("point_reads", """SELECT o_orderkey AS file_id, o_orderpriority AS repo_id, o_totalprice FROM orders

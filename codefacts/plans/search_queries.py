@@ -32,22 +32,17 @@ def vectors(spark: SparkSession, folder: str, group: Column) -> DataFrame:
         F.col("vec_id").alias("id"), group.alias("repo_id"), F.col("embedding").alias("vector"))
 
 
-def label_questions(spark: SparkSession, folder: str) -> DataFrame:
-    """One question per label: its first vector."""
-    first = b.table(spark, folder, "embeddings").groupBy(F.col("label").alias("repo_id")).agg(
-        F.min("vec_id").alias("query_id"), F.min_by("embedding", "vec_id").alias("vector"))
-    return first.select("query_id", "repo_id", "vector")
-
-
 COSINE = "round(list_cosine_similarity({}::DOUBLE[], {}::DOUBLE[]), 6)"
-KNN = f"""q AS (SELECT label, min(vec_id) AS query_id, min_by(embedding, vec_id) AS v FROM embeddings GROUP BY label),
+KNN = f"""q AS (SELECT label, vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 100 = 0),
  s AS (SELECT query_id, vec_id AS id, {COSINE.format('q.v', 'e.embedding')} AS score FROM q JOIN embeddings e USING (label)),
  knn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 5)"""
 
 
 @query("similar_vectors", f"WITH {KNN} SELECT * FROM knn")
 def similar_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval.knn(label_questions(spark, folder), vectors(spark, folder, F.col("label")))
+    """The same questions as ``vector_neighbours``, each within its own label."""
+    labelled = vectors(spark, folder, F.col("label"))
+    return retrieval.knn(labelled.filter("id % 100 = 0").withColumnRenamed("id", "query_id"), labelled)
 
 
 HUNDREDTHS = f"""s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {COSINE.format('q.embedding', 'e.embedding')} AS score
@@ -110,8 +105,8 @@ def keyword_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hybrid_hits(spark: SparkSession, folder: str) -> DataFrame:
-    """Benchmark items ask by their text and, among the vectors of its label, by the vector of the same number."""
-    everything = vectors(spark, folder, F.col("label"))
+    """Benchmark items ask by their text and, among all vectors, by the vector of the same number."""
+    everything = vectors(spark, folder, F.lit("all"))
     items = b.table(spark, folder, "benchmark").select(F.col("item_id").alias("id"))
     asked = everything.join(items, "id", "left_semi").withColumnRenamed("id", "query_id")
     return retrieval.hybrid(
@@ -121,7 +116,7 @@ def hybrid_hits(spark: SparkSession, folder: str) -> DataFrame:
 
 HYBRID = f"""{bm25(20)},
  v AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {COSINE.format('q.embedding', 'e.embedding')} AS score
-  FROM embeddings q JOIN benchmark ON item_id = q.vec_id JOIN embeddings e USING (label)),
+  FROM embeddings q JOIN benchmark ON item_id = q.vec_id CROSS JOIN embeddings e),
  vk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM v QUALIFY rank <= 20),
  fused AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score
   FROM (SELECT query_id, id, rank FROM vk UNION ALL SELECT query_id, id, rank FROM kw) GROUP BY ALL),
@@ -161,7 +156,7 @@ def graph_view(spark: SparkSession, folder: str) -> DataFrame:
     return artifacts.view_graph(graphs, "cfg", json).select("file_id", "view")
 
 
-@query("prompt_sets", f"""WITH {b.DOCS} SELECT file_id, '# File to analyze: ' || path || chr(10) || chr(10)
+PROMPTS = f"""WITH {b.DOCS} SELECT file_id, '# File to analyze: ' || path || chr(10) || chr(10)
  || '## Source code' || chr(10) || chr(10) || '```' || lang || chr(10) || substr(content, 1, 10000) || chr(10) || '```' || chr(10) || chr(10)
  || '## Abstract Syntax Tree (AST)' || chr(10) || chr(10) || '```json' || chr(10)
  || CASE WHEN quality IS NULL THEN 'N/A' ELSE '{{"quality":' || quality || '}}' END || chr(10) || '```' || chr(10) || chr(10)
@@ -170,7 +165,10 @@ def graph_view(spark: SparkSession, folder: str) -> DataFrame:
   || ' chars omitted]' ELSE content END || chr(10) || '```' || chr(10) || chr(10)
  || '## Data Flow Graphs (DFG)' || chr(10) || chr(10) || '```json' || chr(10) || 'N/A' || chr(10) || '```' || chr(10) || chr(10)
  || '## Instructions' || chr(10) || chr(10) || CASE lang WHEN 'en' THEN 'Describe the file.' ELSE '' END AS prompt
- FROM docs LEFT JOIN labels ON doc_id = file_id""")
+ FROM docs LEFT JOIN labels ON doc_id = file_id"""
+
+
+@query("prompt_sets", PROMPTS)
 def prompt_sets(spark: SparkSession, folder: str) -> DataFrame:
     labels = b.table(spark, folder, "labels").select(F.col("doc_id").alias("file_id"), "quality")
     rows = b.documents(spark, folder).join(labels, "file_id", "left")

@@ -17,6 +17,7 @@ from ..streaming import sources as arriving
 from . import bindings as b
 from .access_queries import FOLD_SQL
 from .registry import query
+from .search_queries import PROMPTS, prompt_sets
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
@@ -130,12 +131,12 @@ def source_tree_scan(spark: SparkSession, folder: str) -> DataFrame:
         F.sum(bare).alias("characters"), F.sum(F.length("content") - bare).alias("texts"))
 
 
-@query("graph_tables", f"""WITH {b.DOCS} SELECT repo_id, file_id, lang AS scope FROM docs WHERE lang <> 'en'""")
+@query("graph_tables", f"""WITH {b.DOCS} SELECT repo_id, file_id, lang AS scope FROM docs""")
 def graph_tables(spark: SparkSession, folder: str) -> DataFrame:
     root = new_table_path(spark, "graphs")
     graphs = b.documents(spark, folder).select("repo_id", "file_id", F.col("lang").alias("scope"))
     sources.write_graphs(graphs.unionByName(graphs), root, ["repo_id", "file_id", "scope"])
-    return spark.read.parquet(root).filter("scope <> 'en'").select("repo_id", "file_id", "scope")
+    return spark.read.parquet(root).select("repo_id", "file_id", "scope")
 
 
 @query("graph_table_rows", f"""WITH {b.DOCS} SELECT repo_id, file_id, lang AS scope FROM docs""")
@@ -147,8 +148,17 @@ def graph_table_rows(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(root).select("repo_id", "file_id", "scope")
 
 
-@query("written_prompts", f"""WITH {b.DOCS} SELECT file_id, path, lang FROM docs""")
+@query("written_prompts", PROMPTS)
 def written_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole prompts written as JSON lines and read back."""
     root = new_table_path(spark, "prompts")
-    sources.write_text(b.documents(spark, folder).select("file_id", "path", "lang"), root)
-    return spark.read.schema("file_id long, path string, lang string").json(root)
+    sources.write_text(prompt_sets(spark, folder), root)
+    return spark.read.schema("file_id long, prompt string").json(root)
+
+
+@query("written_texts", PROMPTS.replace("SELECT file_id, ", "SELECT ").replace("AS prompt", "AS prompt"))
+def written_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Prompts written as lines of text, in which line breaks are escaped, and read back."""
+    root = new_table_path(spark, "texts")
+    sources.write_text(prompt_sets(spark, folder), root, "prompt")
+    return sources.read_text(spark, root).withColumnRenamed("value", "prompt")

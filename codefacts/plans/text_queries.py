@@ -24,7 +24,9 @@ def truncate_omitted(spark: SparkSession, folder: str) -> DataFrame:
     return b.table(spark, folder, "documents").select("doc_id", text.truncate_omitted(F.col("text"), 300).alias("shown"))
 
 
-@query("truncate_json")
+@query("truncate_json", """WITH j AS (SELECT doc_id, '{' || chr(10) || '  "doc_id" : ' || doc_id || ',' || chr(10) || '  "lang" : ' || to_json(lang) || ',' || chr(10)
+  || '  "source" : ' || to_json(source) || ',' || chr(10) || '  "text" : ' || to_json(text) || chr(10) || '}' AS v FROM documents)
+ SELECT doc_id, CASE WHEN length(v) > 500 THEN substr(v, 1, 500) || chr(10) || '... [TRUNCATED — ' || (length(v) - 500) || ' chars omitted]' ELSE v END AS shown FROM j""")
 def truncate_json(spark: SparkSession, folder: str) -> DataFrame:
     docs = b.table(spark, folder, "documents")
     value = F.struct("doc_id", "lang", "source", "text")

@@ -103,4 +103,13 @@ def write_text(df: DataFrame, folder: str, column: str | None = None) -> None:
     if column is None:
         df.write.mode("errorifexists").json(folder)
     else:
-        df.select(F.regexp_replace(column, "\n", "\\\\n").alias("value")).write.mode("errorifexists").text(folder)
+        line = F.replace(F.replace(F.replace(F.col(column), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+        df.select(line.alias("value")).write.mode("errorifexists").text(folder)
+
+
+def read_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts that :func:`write_text` wrote as lines, as they were."""
+    # backslashes were doubled, so a mark can stand for them while the others are put back
+    value = F.replace(F.col("value"), F.lit("\\\\"), F.lit("\u0000"))
+    value = F.replace(F.replace(value, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+    return spark.read.text(folder).select(F.replace(value, F.lit("\u0000"), F.lit("\\")).alias("value"))
