@@ -40,16 +40,36 @@ def test_paged_lists(spark):
 
 def test_hot_key_in_a_narrow_range(spark):
     """Nine tenths of the rows in one key, in texts that share a long prefix: no partition gets them all."""
-    from codefacts.operators.ordering import _ranged
+    from codefacts.operators.ordering import _swept
 
     data = [("hot", f"a very long prefix that all share {n:05d}") for n in range(900)] + [(f"k{n}", "z") for n in range(100)] + [(None, "x"), (None, "y")]
     df = spark.createDataFrame(data, "k string, s string")
-    spread = _ranged(df, ["k"], ["s"])
+    spread = _swept(df, ["k"], ["s"], {})
     most = spread.filter("k = 'hot'").groupBy("_piece").count().agg(F.max("count")).first()[0]
     assert most < 600
     assert rows(positions(df, ["k"], ["s"])) == rows(positions(df, ["k"], ["s"], bounded=True))
 
 
+def test_keys_that_go_on_over_batches_and_partitions(spark):
+    """Batches of three rows, more partitions than keys, null keys and values, two key columns, values of several types."""
+    rng = random.Random(11)
+    for n, most in ((1, 1), (40, 2), (400, 2), (400, 60)):
+        data = [(rng.choice([None, *range(most)]), rng.choice(["x", "y", None]), i, rng.choice([None, None, i]), rng.choice([None, f"t{i}"])) for i in range(n)]
+        df = spark.createDataFrame(data, "k int, j string, n long, v long, t string").repartition(3)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        spark.conf.set("spark.sql.shuffle.partitions", "9")
+        try:
+            assert rows(positions(df, ["k", "j"], ["n"])) == rows(positions(df, ["k", "j"], ["n"], bounded=True))
+            values = {"a": F.col("v"), "b": F.struct("t", "n"), "c": F.when(F.col("n") % 7 == 0, F.col("t"))}
+            for following in (False, True):
+                cut = neighbour(df, ["k", "j"], ["n"], values, following=following)
+                assert rows(cut) == rows(neighbour(df, ["k", "j"], ["n"], values, True, following))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert positions(df.limit(0), ["k"], ["n"]).collect() == []
+
+
 def test_def_use_in_pieces_equals_a_loop(spark):
     rng = random.Random(5)
     data = [(rng.randint(0, 2), n, f"k{rng.randint(0, 6)}", f"v{rng.randint(0, 3)}", rng.choice(["use", "def", "write"])) for n in range(300)]
