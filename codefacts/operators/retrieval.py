@@ -145,7 +145,7 @@ def best(query_ids: np.ndarray, ids: np.ndarray, raw: np.ndarray, found: np.ndar
     })
 
 
-def _nothing() -> pd.DataFrame:
+def nothing() -> pd.DataFrame:
     return pd.DataFrame({"query_id": [], "id": [], "score": []})
 
 
@@ -165,7 +165,7 @@ def unit(vectors: pd.Series) -> np.ndarray:
 def _block_top(questions: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
     """Exact best ``k`` of one block of vectors for one block of questions: one matrix product."""
     if questions.empty or vectors.empty:
-        return _nothing()
+        return nothing()
     scores = unit(questions["vector"]) @ unit(vectors["vector"]).T
     return best(questions["query_id"].to_numpy(), vectors["id"].to_numpy(), scores, None, k)
 

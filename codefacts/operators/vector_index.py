@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from . import retrieval
 
 ROWS_PER_BUCKET, MOST_BITS = 64, 16
+SHELF_BITS = 7  # so many buckets of so many rows are about one block of retrieval.BLOCK_ROWS
 SAMPLE, RECALL = 256, 0.95
 _BATCH = 64
 
@@ -47,8 +48,9 @@ def probe_order(margins: np.ndarray, probes: int) -> np.ndarray:
     return ranked ^ own[:, None]
 
 
-def _cell(group: Column, bucket: Column) -> Column:
-    return F.concat(bucket.cast("string"), F.lit(":"), F.coalesce(group.cast("string"), F.lit("")))
+def _shelf(group: Column, bucket: Column) -> Column:
+    """Neighbouring buckets of one group, about a block of rows together."""
+    return F.concat(F.shiftright(bucket, SHELF_BITS).cast("string"), F.lit(":"), F.coalesce(group.cast("string"), F.lit("")))
 
 
 def _bucketed(vectors: DataFrame, directions: np.ndarray) -> DataFrame:
@@ -69,22 +71,18 @@ def _bucketed(vectors: DataFrame, directions: np.ndarray) -> DataFrame:
 
 
 def _probed(queries: DataFrame, directions: np.ndarray, probes: int) -> DataFrame:
-    """One row per question and visited bucket, with the bucket's place in the question's order."""
+    """Questions with unit vectors and ``buckets``, those they visit in their order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for start in range(0, len(batch), _BATCH):
-                part = batch.iloc[start : start + _BATCH]
+                part = batch.iloc[start : start + _BATCH].copy()
                 unit = retrieval.unit(part["vector"])
-                order = probe_order(unit @ directions, probes)
-                once = np.repeat(np.arange(len(part)), order.shape[1])
-                out = part.iloc[once].reset_index(drop=True)
-                out["vector"] = [unit[i] for i in once]
-                out["bucket"], out["place"] = order.ravel(), np.tile(np.arange(order.shape[1]), len(part))
-                yield out
+                part["vector"], part["buckets"] = list(unit), list(probe_order(unit @ directions, probes))
+                yield part
 
     columns = [f"{f.name} {f.dataType.simpleString()}" for f in queries.schema if f.name != "vector"]
-    return queries.mapInPandas(run, ", ".join([*columns, "vector array<double>", "bucket long", "place long"]))
+    return queries.mapInPandas(run, ", ".join([*columns, "vector array<double>", "buckets array<long>"]))
 
 
 def build_index(
@@ -93,7 +91,7 @@ def build_index(
 ) -> DataFrame:
     """Index ``vectors(id, group, vector)`` below ``path``; returns the one row that describes the index.
 
-    ``cells`` holds every vector once, at unit length, sorted by bucket and group; ``about`` says how to ask. ``sample``
+    ``cells`` holds every vector once, at unit length, sorted by shelf and bucket; ``about`` says how to ask. ``sample``
     vectors at most, those with the smallest hashes, ask all rows of their group exactly to find ``probes``.
     """
     spark = vectors.sparkSession
@@ -102,16 +100,16 @@ def build_index(
     n, dimensions = shape["n"], shape["d"] or 1
     bits = int(min(most_bits, max(1, np.ceil(np.log2(max(1, n / rows_per_bucket))))))
     directions = planes(dimensions, bits, seed)
-    cells = _bucketed(rows, directions).select("id", "group", _cell(F.col("group"), F.col("bucket")).alias("cell"), "bucket", "vector")
+    cells = _bucketed(rows, directions).select("id", "group", _shelf(F.col("group"), F.col("bucket")).alias("shelf"), "bucket", "vector")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cells.repartitionByRange(parts, "cell", F.xxhash64("id")).sortWithinPartitions("cell").write.mode("errorifexists").parquet(f"{path}/cells")
+    cells.repartitionByRange(parts, "shelf", "bucket", F.xxhash64("id")).sortWithinPartitions("shelf", "bucket").write.mode("errorifexists").parquet(f"{path}/cells")
     stored = spark.read.parquet(f"{path}/cells")
     # copies of one vector find each other in any bucket, so each vector asks once
     few = stored.groupBy("group", F.xxhash64("vector").alias("h")).agg(F.min("id").alias("id")).orderBy("h", "id").limit(sample).select("id")
     asked = stored.join(few, "id", "left_semi").select(F.col("id").alias("query_id"), "group", "vector")
     near = retrieval.knn(asked, stored.select("id", "group", "vector"), group="group", k=k)
     # in which of the question's buckets each true neighbour lies
-    order = _probed(asked, directions, 1 << bits).select("query_id", "bucket", "place")
+    order = _probed(asked, directions, 1 << bits).select("query_id", F.posexplode("buckets").alias("place", "bucket"))
     places = near.join(stored.select("id", "bucket"), "id").join(order, ["query_id", "bucket"]).groupBy("place").count().orderBy("place").collect()
     total, seen, probes = sum(r["count"] for r in places), 0, 1
     for r in places:
@@ -130,13 +128,36 @@ def ask_index(
 ) -> DataFrame:
     """The best ``k`` (query_id, id, score, rank) of each question ``(query_id, group, vector)`` in the buckets it visits.
 
-    Buckets and questions meet as :func:`retrieval.knn` lets groups meet: in blocks of bounded size, so a bucket that
-    holds a third of all vectors (copies of one, say) is many tasks. An id lies in one bucket, so nothing is found twice.
+    A question goes once to every shelf that has one of its buckets, and k rows leave it there. Shelves and questions meet
+    as groups do in :func:`retrieval.knn`, in blocks of bounded size: a shelf with a bucket that holds a third of all vectors
+    (copies of one, say) is many tasks. An id lies in one bucket, so nothing is found twice.
     """
     about = spark.read.parquet(f"{path}/about").first()
     directions = planes(about["dimensions"], about["bits"], about["seed"])
     wanted = min(probes or about["probes"], 1 << about["bits"])
     fine = queries.select("query_id", F.col(group).alias("group"), "vector").filter(F.size("vector") == about["dimensions"])
-    asked = _probed(fine, directions, wanted).select("query_id", _cell(F.col("group"), F.col("bucket")).alias("cell"), "vector")
-    stored = spark.read.parquet(f"{path}/cells").select("id", "cell", "vector")
-    return retrieval.knn(asked, stored, group="cell", k=k)
+    shelves = F.array_distinct(F.transform("buckets", lambda b: F.shiftright(b, SHELF_BITS)))
+    visits = _probed(fine, directions, wanted).select("query_id", "group", "vector", "buckets", F.explode(shelves).alias("_s"))
+    asked = visits.select(
+        "query_id", _shelf(F.col("group"), F.shiftleft(F.col("_s"), SHELF_BITS)).alias("shelf"), "vector",
+        F.filter("buckets", lambda b: F.shiftright(b, SHELF_BITS) == F.col("_s")).alias("buckets"))
+    stored = spark.read.parquet(f"{path}/cells").select("id", "shelf", "bucket", "vector")
+    sizes = retrieval._sizes(stored.groupBy("shelf").agg(F.count("*").alias("_nv")), asked, "shelf", retrieval.BLOCK_ROWS, retrieval.QUERY_ROWS)
+    left = retrieval._spread(asked, sizes, "shelf", "query_id", "_q", "_v", ["vector", "buckets"])
+    right = retrieval._spread(stored, sizes, "shelf", "id", "_v", "_q", ["vector", "bucket"])
+    return retrieval.top_k(retrieval._in_blocks(left, right, "shelf", lambda q, v: _block_top(q, v, k)), k)
+
+
+def _block_top(questions: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The best ``k`` of one block of a shelf for each question, among the buckets that it visits."""
+    if questions.empty or vectors.empty:
+        return retrieval.nothing()
+    visited = np.zeros((len(questions), 1 << SHELF_BITS), bool)
+    for row, buckets in zip(visited, questions["buckets"]):
+        row[np.asarray(buckets) & ((1 << SHELF_BITS) - 1)] = True
+    low = vectors["bucket"].to_numpy() & ((1 << SHELF_BITS) - 1)
+    used = visited.any(axis=0)[low]  # buckets that nobody visits aren't multiplied
+    if not used.any():
+        return retrieval.nothing()
+    scores = np.stack(questions["vector"]) @ np.stack(vectors["vector"][used]).T
+    return retrieval.best(questions["query_id"].to_numpy(), vectors["id"].to_numpy()[used], scores, visited[:, low[used]], k)
