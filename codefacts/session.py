@@ -14,6 +14,8 @@ SETTINGS = {
     # tables of one file share the hash partitioning on its id, so joins between them need no second shuffle
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # rows may be whole files: Python's memory follows a batch of them
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     # a run with very many heartbeats is merged on the map side
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
