@@ -15,7 +15,7 @@ from .mixing import mix
 from .packing import pack
 from .quality_rules import judged, learn_from
 from .registry import QUERIES, SQL, query
-from .secret_scan import KINDS, scan, shown
+from .secret_scan import KINDS, MASK, PARTING, scan, shown
 from .spelling import spelling_groups
 from .substring_dedup import remove_repeats
 from .token_counts import token_counts
@@ -29,9 +29,11 @@ _SPACES = " || ".join(f"chr({c})" for c in (32, 9, 10, 11, 12, 13))
 _ANY = {w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")}
 _ASSIGN = ("(?:" + "|".join(_ANY.values()) + "|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
            + r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""")
-_ALLOWED_SQL = "(?i)example|sample|placeholder|changeme|dummy|redacted|0123456|1234567|abcdefg" + \
-    "|(?:^|[^0-9a-f])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?:$|[^0-9a-f])"
-_SIX_ALIKE = "|".join(c + "{6}" for c in "0123456789abcdefghijklmnopqrstuvwxyz_=/-") + "|[+]{6}"
+_UUID_SQL = "(^|[^0-9a-f])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}($|[^0-9a-f])"
+
+
+def _masked_sql(text: str) -> str:
+    return rf"regexp_replace({text}, '{_UUID_SQL}', '\1{MASK * 36}\2', 'gi')"
 
 
 def _found_sql(kind: str, pattern: str) -> str:
@@ -52,18 +54,26 @@ base AS (
   SELECT doc_id, 0 AS k, kind, start, "end" FROM assign WHERE length(regexp_extract(hit, '{_ASSIGN}', 1)) >= 12
   UNION ALL SELECT doc_id, 1, kind, start, "end" FROM access WHERE length(hit) >= 18
   UNION ALL SELECT doc_id, 2, kind, start, "end" FROM hex WHERE length(hit) >= 16
+), parts AS (
+  -- neighbours share the character between them, so UUIDs are masked twice
+  SELECT doc_id, start, m, string_split_regex(m, '{PARTING}') AS gaps, regexp_extract_all(m, '{PARTING}') AS hits
+  FROM (SELECT doc_id, start, {_masked_sql(_masked_sql('hit'))} AS m FROM candidate
+        WHERE regexp_matches(hit, '[0-9].*[A-Za-z]|[A-Za-z].*[0-9]'))
+), pieces AS (
+  SELECT doc_id, start + before AS start, hit FROM (
+    SELECT doc_id, start, unnest(gaps) AS hit, unnest(list_transform(range(1, len(gaps) + 1),
+      lambda i: len(array_to_string(gaps[1:i - 1], '')) + len(array_to_string(hits[1:i - 1], '')))) AS before FROM parts)
+  WHERE length(hit) >= 16 AND regexp_matches(hit, '[0-9].*[A-Za-z]|[A-Za-z].*[0-9]')
 ), classed AS (
-  SELECT *, CASE WHEN regexp_full_match(hit, '[0-9A-Fa-f]+') THEN 16 WHEN regexp_full_match(hit, '[0-9A-Za-z]+') THEN 20 ELSE 24 END AS w
-  FROM candidate
-  WHERE regexp_matches(hit, '[0-9].*[A-Za-z]|[A-Za-z].*[0-9]') AND NOT regexp_matches(hit, '{_ALLOWED_SQL}')
-    AND NOT regexp_matches(lower(hit), '{_SIX_ALIKE}')
+  SELECT *, least(w, length(hit)) AS n, CASE w WHEN 16 THEN 2.9 WHEN 20 THEN 3.77 ELSE 3.99 END AS more FROM (
+    SELECT *, CASE WHEN regexp_full_match(hit, '[0-9A-Fa-f]+') THEN 16 WHEN regexp_full_match(hit, '[0-9A-Za-z]+') THEN 20 ELSE 24 END AS w
+    FROM pieces)
 ), windows AS (
-  SELECT *, unnest(range(0, CAST(length(hit) AS BIGINT) - w + 1)) AS pos FROM classed
+  SELECT *, unnest(range(0, CAST(length(hit) - n + 1 AS BIGINT))) AS pos FROM classed
 ), high AS (
-  SELECT doc_id, kind, start, min(pos) AS first, max(pos) + any_value(w) AS last FROM windows
-  WHERE list_entropy(string_split(substring(hit, pos + 1, w), ''))
-        > CASE w WHEN 16 THEN 2.9 WHEN 20 THEN 3.77 ELSE 3.99 END
-  GROUP BY ALL
+  SELECT doc_id, 'entropy' AS kind, start, min(pos) AS first, max(pos + n) AS last FROM windows
+  WHERE list_entropy(string_split(substring(hit, pos + 1, n), '')) > CASE WHEN n = w THEN more ELSE log2(n) * more / log2(w) END
+  GROUP BY doc_id, start, hit
 ), spans AS (
   SELECT * FROM base
   UNION ALL SELECT doc_id, 3, kind, start + first, start + last FROM high
