@@ -81,6 +81,52 @@ def only_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col
     return found.withColumn("__nth", F.row_number().over(order)).filter("__nth = 1").select(*(named(c) for c in docs.columns))
 
 
+FILTER_BYTES = 1 << 24
+
+
+class Members:
+    """A Bloom filter of row keys, at most FILTER_BYTES long. What it holds it always finds; of other rows it finds about
+    one in fifty while there are up to 16 million keys, and more beyond, so it may only spare work and not decide."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @staticmethod
+    def places(ids: np.ndarray, rids: np.ndarray, n_words: int) -> np.ndarray:
+        """Four bits per key: (4, keys)."""
+        h = mixed(mixed(ids.view(np.uint64)) ^ rids.view(np.uint64))
+        step = mixed(h) | np.uint64(1)
+        return (h + np.arange(4, dtype=np.uint64)[:, None] * step) % np.uint64(64 * n_words)
+
+    def has(self, ids: np.ndarray, rids: np.ndarray) -> np.ndarray:
+        at = self.places(ids, rids, len(self.words))
+        return ((self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=0)
+
+    def only(self, batches: Iterator[pa.RecordBatch], found: bool = True) -> Iterator[pa.RecordBatch]:
+        """The rows that the filter finds, or those that it doesn't."""
+        for batch in batches:
+            yield batch.filter(pa.array(self.has(np.asarray(batch.column("id")), np.asarray(batch.column("rid"))) == found))
+
+
+def members(keys: DataFrame) -> Members:
+    """The filter of a written table (id, rid), filled by the tasks; only its words that aren't zero come to the driver.
+
+    A function that holds it is broadcast with it by Spark.
+    """
+    n_words = max(1, min(FILTER_BYTES // 8, keys.count() // 8))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = Members.places(np.asarray(batch.column("id")), np.asarray(batch.column("rid")), n_words).ravel()
+            bits = signed(np.uint64(1) << (at & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(bits)], names=["word", "bits"])
+
+    filled = keys.mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(n_words, np.uint64)
+    out[filled.column("word").to_numpy()] = filled.column("bits").to_numpy().view(np.uint64)
+    return Members(out)
+
+
 def shown_id(name: str) -> Column:
     """The id column under its own name, null again where it was null."""
     return F.when(F.col("id") != NO_ID, F.col("id")).alias(name)

@@ -1,8 +1,9 @@
 """Exact dedup by content-defined chunk recipes.
 
 A text is cut where a rolling hash of its last bytes has ``CUT_BITS`` zero bits, so equal texts have equal chunks. The
-first pass moves one digest of the list of chunk hashes per row; rows whose digest nobody shares are done. The texts of
-the others move once, as chunks: equal chunks become one, compared byte by byte, and get an identifier (their hash and,
+first pass moves one digest of the list of chunk hashes per row; rows whose digest nobody shares are done, but for those
+few that a Bloom filter of the others finds as well: nobody shares their lists either. The texts of the others move once,
+as chunks, and rows that are whole copies become one before: equal chunks become one, compared byte by byte, and get an identifier (their hash and,
 should two different chunks share it, their place among these). Texts are equal when the ordered lists of identifiers
 are.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import NO_ID, chunks, keyed, powers, prepare, settled, shown_id, stream, table
+from .common import Members, NO_ID, chunks, keyed, members, powers, prepare, settled, shown_id, stream, table
 
 CUT_BITS = 12
 LEAST, MOST = 1 << 10, 1 << 16
@@ -64,17 +65,20 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, texts in chunks(batches):
-        out: dict[str, list] = {f.name: [] for f in _CHUNKS}
-        for id_, rid, text in zip(rows.column("id").to_pylist(), rows.column("rid").to_pylist(), texts):
-            for seq, body in enumerate(cut(_normal(text))):
-                out["id"].append(id_)
-                out["rid"].append(rid)
-                out["seq"].append(seq)
-                out["hash"].append(int.from_bytes(xxhash.xxh3_64_digest(body), "big", signed=True))
-                out["body"].append(body)
-        yield table(_CHUNKS, **out)
+def _chunks(suspects: Members):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in chunks(suspects.only(batches)):
+            out: dict[str, list] = {f.name: [] for f in _CHUNKS}
+            for id_, rid, text in zip(rows.column("id").to_pylist(), rows.column("rid").to_pylist(), texts):
+                for seq, body in enumerate(cut(_normal(text))):
+                    out["id"].append(id_)
+                    out["rid"].append(rid)
+                    out["seq"].append(seq)
+                    out["hash"].append(int.from_bytes(xxhash.xxh3_64_digest(body), "big", signed=True))
+                    out["body"].append(body)
+            yield table(_CHUNKS, **out)
+
+    return run
 
 
 def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,12 +96,10 @@ def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows.mapInArrow(_recipes, "id long, rid long, recipe binary, text_sha256 string"), "recipes"
     )
     shared = recipes.groupBy("recipe").count().filter("count > 1").select("recipe")
-    suspects = recipes.join(settled(shared, "shared"), "recipe").select("id", "rid").distinct()
+    suspects = settled(recipes.join(settled(shared, "shared"), "recipe").select("id", "rid").distinct(), "suspects")
+    moved = rows.mapInArrow(_chunks(members(suspects)), "id long, rid long, seq int, hash long, body binary")
     # rows that are copies as a whole need to be compared once only
-    texts = rows.join(suspects, ["id", "rid"]).dropDuplicates(["id", "rid"])
-    pieces = materialize(
-        texts.mapInArrow(_chunks, "id long, rid long, seq int, hash long, body binary"), "chunks"
-    )
+    pieces = materialize(moved.dropDuplicates(["id", "rid", "seq"]), "chunks")
     contents = pieces.groupBy("hash", "body").agg(F.lit(1))
     place = Window.partitionBy("hash").orderBy("body")
     clashes = contents.select("hash", "body", F.row_number().over(place).alias("place")).filter("place > 1")
@@ -106,9 +108,9 @@ def equal_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .groupBy("id", "rid")
         .agg(F.sort_array(F.collect_list(F.struct("seq", "hash", F.coalesce("place", F.lit(1)).alias("place")))).alias("list"))
     )
-    members = materialize(recipes.select("id", "rid").join(lists, ["id", "rid"]), "members")
-    groups = members.groupBy("list").agg(F.max("id").alias("keep"), F.count("*").alias("size"))
-    found = members.join(settled(groups, "groups"), "list").select("id", "rid", "keep", "size").distinct()
+    listed = materialize(recipes.select("id", "rid").join(lists, ["id", "rid"]), "members")
+    groups = listed.groupBy("list").agg(F.max("id").alias("keep"), F.count("*").alias("size"))
+    found = listed.join(settled(groups, "groups"), "list").select("id", "rid", "keep", "size").distinct()
     copy = Window.partitionBy("id", "text_sha256").orderBy("rid")
     out = recipes.join(found, ["id", "rid"], "left").select(
         "id", "rid", "text_sha256", F.coalesce("keep", "id").alias("keep"), F.coalesce("size", F.lit(1)).alias("group_size"),

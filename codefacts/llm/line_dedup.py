@@ -2,9 +2,10 @@
 
 Each line sends only the hash of its key, with its row's keys, to the task that owns the hash. That task passes the
 hashes through two Bloom filters, one of hashes seen once and one of hashes seen twice, and what the second holds is a
-suspected repeat. The filters live and die in that task and are sized by its own rows, so none is broadcast or merged
-and nothing depends on the size of the corpus. Only suspects are looked up in their texts again, and only their keys
-are shuffled for the exact confirmation and the choice of the first document. A hash that several rows of one batch
+suspected repeat. The filters live and die in that task and are sized by its own rows, and there are as many owners as
+the lines need. Only rows with suspects are looked up in their texts again, and only their keys are shuffled for the
+exact confirmation and the choice of the first document. Which rows these are, and which lose lines in the end, goes to
+the tasks as a filter of bounded size, so other texts aren't shuffled; a join decides. A hash that several rows of one batch
 share is known to repeat at once: those rows bypass the owner, who gets one row in their place, so a line that a third
 of all documents hold sends it one row per batch.
 """
@@ -20,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import SPACES, chunks, keyed, mixed, prepare, settled, shown_id, signed, table
+from .common import SPACES, chunks, keyed, members, mixed, prepare, settled, shown_id, signed, table
 
 LEAST = 10
 BITS_PER_HASH = 16
 PROBES = 4
+PER_OWNER = 4_000_000
 
 _HASHES = pa.schema([("to", pa.int64()), ("kind", pa.int8()), ("hash", pa.int64()), ("id", pa.int64()), ("rid", pa.int64())])
 _SUSPECTS = pa.schema([("id", pa.int64()), ("rid", pa.int64()), ("hash", pa.int64())])
@@ -138,12 +140,25 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield table(_KEPT, **out)
 
 
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _keep(b.append_column("drop", pa.nulls(len(b), pa.list_(pa.binary()))) for b in batches)
+
+
+def _owned(hashes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The hashes dealt to their owners, at most about PER_OWNER lines to each."""
+    lines = rows.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
+    owners = -(-lines // PER_OWNER)
+    more = owners > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return hashes.repartition(owners, "to") if more else hashes.repartition("to")
+
+
 def repeated_lines(rows: DataFrame, least: int = LEAST) -> DataFrame:
     """(id, rid, key): the lines that each row of ``keyed`` loses, since a row with a smaller id holds them too."""
     hashes = rows.mapInArrow(_hashes(least), "to long, kind byte, hash long, id long, rid long")
-    suspects = hashes.repartition("to").mapInArrow(suspected, "id long, rid long, hash long")
-    looked_up = suspects.groupBy("id", "rid").agg(F.collect_set("hash").alias("hashes"))
-    keys = materialize(rows.join(looked_up, ["id", "rid"]).mapInArrow(_keys(least), "id long, rid long, key binary"), "keys")
+    suspects = _owned(hashes, rows).mapInArrow(suspected, "id long, rid long, hash long")
+    looked_up = settled(suspects.groupBy("id", "rid").agg(F.collect_set("hash").alias("hashes")), "suspects")
+    moved = rows.mapInArrow(members(looked_up.select("id", "rid")).only, "id long, rid long, text string")
+    keys = materialize(moved.join(looked_up, ["id", "rid"]).mapInArrow(_keys(least), "id long, rid long, key binary"), "keys")
     first = keys.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
     return keys.join(settled(first.select("key", "first"), "first"), "key").filter("id > first").select("id", "rid", "key")
 
@@ -158,6 +173,9 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     prepare(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
-    drop = repeated_lines(rows, least).groupBy("id", "rid").agg(F.collect_set("key").alias("drop"))
-    kept = rows.join(drop, ["id", "rid"], "left").mapInArrow(_keep, "id long, n_lines long, n_dropped long, kept_text string")
+    drop = settled(repeated_lines(rows, least).groupBy("id", "rid").agg(F.collect_set("key").alias("drop")), "drop")
+    some, out = members(drop.select("id", "rid")), "id long, n_lines long, n_dropped long, kept_text string"
+    moved = rows.mapInArrow(some.only, "id long, rid long, text string").join(drop, ["id", "rid"], "left").mapInArrow(_keep, out)
+    # rows that lose nothing stay where they are read
+    kept = moved.unionByName(rows.mapInArrow(lambda batches: _whole(some.only(batches, False)), out))
     return kept.select(shown_id(id_col), "n_lines", "n_dropped", "kept_text")

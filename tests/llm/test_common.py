@@ -27,3 +27,15 @@ def test_computed_once_per_row(spark):
     df = computed(spark.range(3), a=F.col("id") + 1, b=F.lit("x"))
     assert [tuple(r) for r in df.orderBy("id").collect()] == [(0, 1, "x"), (1, 2, "x"), (2, 3, "x")]
     assert "Generate" in df.filter("a > 1")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_members(spark):
+    import numpy as np
+
+    from codefacts.llm import common
+
+    rng = np.random.default_rng(4)
+    keys = rng.integers(-(1 << 63), 1 << 63, (3000, 2), dtype=np.int64)
+    held = common.members(spark.createDataFrame(keys[:1000].tolist(), "id long, rid long"))
+    assert held.has(keys[:1000, 0], keys[:1000, 1]).all() and held.has(keys[1000:, 0], keys[1000:, 1]).mean() < 0.1
+    assert not common.members(spark.createDataFrame([], "id long, rid long")).has(keys[:, 0], keys[:, 1]).any()

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from codefacts.llm import exact_dedup, jaccard_join, line_dedup, substring_dedup
+from codefacts.llm import common, exact_dedup, jaccard_join, line_dedup, substring_dedup
 from codefacts.llm.common import Words
 
 from . import brute, data
@@ -45,6 +45,13 @@ def test_lines(spark, rows):
     assert got(out, "doc_id", "n_lines", "n_dropped", "kept_text") == Counter(brute.line_dedup(rows))
 
 
+def test_many_owners_and_full_filter(spark, rows, monkeypatch):
+    monkeypatch.setattr(line_dedup, "PER_OWNER", 3)
+    monkeypatch.setattr(common, "FILTER_BYTES", 8)
+    test_lines(spark, rows)
+    test_exact(spark, rows)
+
+
 def test_bloom_loses_nothing():
     rng = np.random.default_rng(1)
     bloom, inside = line_dedup.Bloom(1000), rng.integers(0, 1 << 63, 1000).astype(np.uint64)
