@@ -3,6 +3,7 @@
 from codefacts.operators.facts import CodeFacts, import_map, resolve_types
 from codefacts.operators.flow import Flow
 from codefacts.operators.graphview import ast_elements
+from codefacts.operators.reader import read
 
 from .conftest import rows
 
@@ -316,3 +317,12 @@ namespace P.Q {
     used = {r.variable for r in Flow(code).dfg_nodes.collect() if r.op == "use"}
     assert {"a", "foos", "x"} <= used
     assert rows(table_of_all(facts, lambda c: c.methods).select("language", "name")) == [("csharp", "F"), ("java", "add")]
+
+
+def test_parts_in_deep_nesting_are_no_longer_than_others():
+    deep = "class V { int m(int a) {" + "if (a > 1) {" * 200 + "a = 2;" + "}" * 200 + "return a; } }"
+    parts = list(read(deep))
+    assert len(parts) == 204
+    assert max(len(part[12]) for part in parts) == 1
+    mixed = "class V { void m() { while (a) { if (b) { while (c) { do { d(); } while (e); } } } } }"
+    assert [list(part[12]) for part in read(mixed) if part[4] == "d()"] == [["while", "if", "do"]]
