@@ -1,7 +1,7 @@
 """Control flow and data flow of every method, from the tree of parts.
 
-No join is needed for control flow: each part carries what its enclosing parts and siblings say (windows inside one
-file), and the edges of a statement follow from its own row.
+No join is needed for control flow: each part carries what its siblings (windows inside one file) and its enclosing parts
+(``enclosing``) say, and the edges of a statement follow from its own row.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from . import lexer
+from . import enclosing, lexer
+from .enclosing import LOOPS
 from .facts import ASSIGNMENT, LOCAL, PREFIX, CodeFacts, plain_type, statement_kind
 from .graph import dfg_metrics, graph_counts, link_def_use, one_edge_per_pair
 from .lexer import LEFT, NAME, RIGHT, WORD, kind_is
@@ -21,8 +22,6 @@ ENTRY, EXIT = 0, 1
 # Parts whose body the graph does not enter.
 OPAQUE = ("do", "synchronized")
 CONTINUES = ("elseif", "else", "catch", "finally")
-LOOPS = ("while", "for")
-TARGET_TYPE = "struct<node:bigint,catches:array<bigint>>"
 LABEL_ORDER = ("loop", "true", "false", "exception")
 
 # Names that are not variables (fixed values).
@@ -117,7 +116,11 @@ class Flow:
 
     def _placed(self) -> DataFrame:
         """Steps with what their siblings say: chain of if or try, next statement, first child."""
-        rows = self.steps.select("file_id", "method_ord", "parent_ord", "ord", "level", "kind", "node", "is_node", "text", "mask", "filled")
+        case_value = F.trim(F.regexp_extract("text", r"(?s)^case\b(.*):$", 1))
+        rows = self.steps.select(
+            "file_id", "method_ord", "parent_ord", "ord", "level", "kind", "node", "is_node", "filled",
+            F.col("mask").rlike(r"^(?:return|throw)\b").alias("leaves_method"),
+            F.when(kind_is("default"), F.lit("default")).when(kind_is("case"), F.concat(F.lit("case:"), case_value)).alias("case_label"))
         # catches and finally of each chain of siblings
         siblings = Window.partitionBy("file_id", "method_ord", "parent_ord").orderBy("ord")
         rows = rows.withColumn("chain", F.sum((~kind_is(*CONTINUES)).cast("int")).over(
@@ -126,18 +129,10 @@ class Flow:
         rows = rows.withColumn("catches", F.sort_array(F.collect_list(F.when(kind_is("catch"), F.col("node"))).over(chain)))
         rows = rows.withColumn("finally", F.max(F.when(kind_is("finally"), F.col("node"))).over(chain))
         # the first node at or below a part; the tries on the way down lend their catches
-        rows = lexer.with_ancestors(rows, F.struct(
-            "ord", "level", "kind", "node", "catches", "finally"), "anc")
+        rows = lexer.by_file(enclosing.entries(rows))
         order = Window.partitionBy("file_id", "method_ord").orderBy("ord")
         rows = rows.withColumn("first", F.row_number().over(order) == 1)
-        # nearest following values are last values in descending order, which one pass finds
-        onward = Window.partitionBy("file_id", "method_ord").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
-        rows = rows.withColumn("below", F.last(F.when(F.col("is_node"), F.struct("node", "anc")), ignorenulls=True).over(onward))
-        passed = F.filter(F.col("below.anc"), lambda a: a["ord"] >= F.col("ord"))
-        lent = F.flatten(F.transform(passed, lambda a: F.when(a["kind"] == "try", a["catches"]).otherwise(no_catches())))
-        entry = F.when(F.col("is_node"), target(F.col("node"), F.when(kind_is("try"), F.col("catches")).otherwise(no_catches()))).otherwise(
-            target(F.col("below.node"), lent))
-        rows = rows.withColumn("entry", entry.cast(TARGET_TYPE)).drop("below")
+        # the nearest following value is the last value in descending order, which one pass finds
         later = Window.partitionBy("file_id", "method_ord", "parent_ord").orderBy(F.desc("ord")).rowsBetween(
             Window.unboundedPreceding, -1)
         plain = ~kind_is(*CONTINUES, *lexer.CASES)
@@ -154,25 +149,7 @@ class Flow:
         rows = rows.withColumn("else_child", F.when(
             F.col("follow_up.kind") == "else", F.lead("child").over(siblings)))
         # where control goes after a part, unless an enclosing part decides
-        own = F.struct("ord", "kind", "node", "next", "finally")
-        rows = lexer.with_ancestors(rows, own, "outer")
-        inner = F.filter("outer", lambda a: a["ord"] > F.col("method_ord"))
-        rows = rows.withColumn("climb", F.concat(F.array(own), F.reverse(inner)))
-
-        def after(part: Column, index: Column) -> Column:
-            parent = F.try_element_at("climb", index + 2)
-            leaves = part["kind"].isin("try", "catch") & part["finally"].isNotNull()
-            return (
-                F.when(leaves, self._goal(target(part["finally"]), ""))
-                .when(part["next"].isNotNull(), self._goal(part["next"], ""))
-                .when(parent["kind"].isin(*LOOPS), self._goal(target(parent["node"]), "loop"))
-            )
-
-        follow = F.coalesce(
-            F.try_element_at(F.filter(F.transform("climb", after), lambda t: t.isNotNull()), F.lit(1)),
-            self._goal(target(F.lit(EXIT)), ""))
-        rows = rows.withColumn("follow", follow)
-        parent = F.try_element_at("climb", F.lit(2))
+        rows = enclosing.follows(rows, EXIT)
 
         def go(to: Column, label: Column | str) -> Column:
             name = F.lit(label) if isinstance(label, str) else label
@@ -184,18 +161,15 @@ class Flow:
         def into(child: Column, label: str) -> Column:
             return F.when(child.isNotNull(), go(child, label)).otherwise(leave(label))
 
-        leaves_method = F.col("mask").rlike(r"^(?:return|throw)\b")
-        plain = F.when(leaves_method, go(target(F.lit(EXIT)), "")).otherwise(leave(""))
+        plain = F.when(F.col("leaves_method"), go(target(F.lit(EXIT)), "")).otherwise(leave(""))
         otherwise = (
             F.when(F.col("follow_up.kind") == "elseif", go(F.col("follow_up.entry"), "false"))
             .when(F.col("follow_up.kind") == "else", into(F.col("else_child"), "false"))
             .otherwise(leave("false"))
         )
         loop_body = F.when(F.col("child").isNotNull(), go(F.col("child"), "true")).otherwise(go(target(F.col("node")), "loop"))
-        case_value = F.trim(F.regexp_extract("text", r"(?s)^case\b(.*):$", 1))
-        case_label = F.when(kind_is("default"), F.lit("default")).otherwise(F.concat(F.lit("case:"), case_value))
         from_switch = F.struct(
-            parent["node"].alias("src"), F.col("node").alias("dst"), case_label.alias("label"), no_catches().alias("catches"))
+            F.col("parent_node").alias("src"), F.col("node").alias("dst"), F.col("case_label").alias("label"), no_catches().alias("catches"))
         edges = (
             F.when(kind_is("if", "elseif"), F.array(into(F.col("child"), "true"), otherwise))
             .when(kind_is(*LOOPS), F.array(loop_body, leave("false")))
@@ -220,10 +194,6 @@ class Flow:
             "file_id", "method_ord", F.lit(ENTRY).cast("long").alias("src"), F.lit(EXIT).cast("long").alias("dst"),
             F.lit("").alias("label")))
 
-    @staticmethod
-    def _goal(to: Column, label: str) -> Column:
-        return F.struct(to.cast(TARGET_TYPE).alias("to"), F.lit(label).alias("label"))
-
     @cached_property
     def cfg_metrics(self) -> DataFrame:
         """Size and complexity of each method's graph.

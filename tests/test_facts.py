@@ -326,3 +326,13 @@ def test_parts_in_deep_nesting_are_no_longer_than_others():
     assert max(len(part[12]) for part in parts) == 1
     mixed = "class V { void m() { while (a) { if (b) { while (c) { do { d(); } while (e); } } } } }"
     assert [list(part[12]) for part in read(mixed) if part[4] == "d()"] == [["while", "if", "do"]]
+
+
+def test_flow_keeps_no_row_per_enclosing_part(spark):
+    depth = 120
+    deep = "class V { int m(int a) {" + "if (a > 1) {" * depth + "a = 2;" + "}" * depth + "return a; } }"
+    edges = Flow(code(spark, deep)).cfg_edges
+    assert "Generate explode(sequence(" not in edges._jdf.queryExecution().optimizedPlan().toString()
+    want = [(0, 2, ""), *((i, i + 1, "true") for i in range(2, depth + 2)), *((i, depth + 3, "false") for i in range(2, depth + 2)),
+            (depth + 2, depth + 3, ""), (depth + 3, 1, "")]
+    assert rows(edges, "src", "dst", "label") == sorted(want, key=repr)
