@@ -1,8 +1,10 @@
 """Hand-derived facts of small sources."""
 
+from codefacts.operators import reader
 from codefacts.operators.facts import CodeFacts, import_map, resolve_types
 from codefacts.operators.flow import Flow
 from codefacts.operators.graphview import ast_elements
+from codefacts.operators.language import JAVA
 from codefacts.operators.reader import read
 
 from .conftest import rows
@@ -336,3 +338,17 @@ def test_flow_keeps_no_row_per_enclosing_part(spark):
     want = [(0, 2, ""), *((i, i + 1, "true") for i in range(2, depth + 2)), *((i, depth + 3, "false") for i in range(2, depth + 2)),
             (depth + 2, depth + 3, ""), (depth + 3, 1, "")]
     assert rows(edges, "src", "dst", "label") == sorted(want, key=repr)
+
+
+def test_plain_segments_are_read_at_once(monkeypatch):
+    """Only segments with literals, comments or parentheses that don't close go token by token."""
+    known, seen = reader._patterns(JAVA), []
+    monkeypatch.setattr(known, "token", lambda text, at, step=known.token: seen.append(at) or step(text, at))
+    assert len(list(read(CART))) == 15 and not seen
+    body = 'a = f(b, (c));  d\t= {1, g("x;")}; /* } */ e("{"); while (((((((((h))))))))) k(); for (int i = 0; i < 2; i++) { m(i ); }'
+    parts = list(read("class A { void n() {" + body + "} }"))
+    assert seen and [part[4] for part in parts[2:]] == [
+        "a = f(b, (c))", 'd = {1, g("x;")}', 'e("{")', "while (((((((((h)))))))))", "k()", "for (int i = 0; i < 2; i++)", "m(i )"]
+    assert parts[5][5] == "while ((((((\ue000\ue000\ue000h\ue001\ue001\ue001))))))"
+    # a parenthesis that is never opened is forgiven until the next one closes it
+    assert [part[4] for part in read("class A { x = ); int a; f(b; c) ; }")][1:] == ["x = )", "int a", "f(b", "c)"]
