@@ -39,8 +39,15 @@ def union_kinds(kinds: dict[str, DataFrame]) -> DataFrame:
 
 def plain_type(text: Column) -> Column:
     """Type text in one form: no blanks but one after each comma and around words."""
+    # most types are one word, which stays as it is
+    bare = text.rlike(rf"^[{WORD}]*$")
     tight = F.regexp_replace(F.trim(lexer.unmarked(text)), r"\s*([<>\[\].?&])\s*", "$1")
-    return F.regexp_replace(F.regexp_replace(tight, r"\s*,\s*", ", "), rf"\?(?=[{WORD}])", "? ")
+    return F.when(bare, text).otherwise(F.regexp_replace(F.regexp_replace(tight, r"\s*,\s*", ", "), rf"\?(?=[{WORD}])", "? "))
+
+
+def base_type(simple: Column) -> Column:
+    """A type without its arguments and array marks."""
+    return F.substring_index(F.substring_index(simple, "<", 1), "[", 1)
 
 
 def resolve_type(simple: Column, imports: Column, package: Column, language: Language = JAVA) -> Column:
@@ -49,7 +56,7 @@ def resolve_type(simple: Column, imports: Column, package: Column, language: Lan
     ``imports`` is the file's map from simple to full name. Order: import, lower-case names as they are, well-known
     types, the same package, and else the name itself. The first and third drop generics and array marks.
     """
-    base = F.regexp_extract(simple, r"^[^<\[]*", 0)
+    base = base_type(simple)
     imported = F.try_element_at(imports, base)
     return (
         F.when(imported.isNotNull(), imported)
@@ -62,7 +69,7 @@ def resolve_type(simple: Column, imports: Column, package: Column, language: Lan
 
 def resolve_types(refs: DataFrame, imports: DataFrame, packages: DataFrame) -> DataFrame:
     """References ``(file_id, type_simple)`` with ``type_fqn``, by joins on the file."""
-    base = F.regexp_extract("type_simple", r"^[^<\[]*", 0)
+    base = base_type(F.col("type_simple"))
     names = imports.select("file_id", F.col("simple_name").alias("_base"), F.col("path").alias("_path"))
     joined = refs.withColumn("_base", base).join(names, ["file_id", "_base"], "left").join(
         packages.select("file_id", "package"), "file_id", "left"
@@ -217,7 +224,7 @@ class CodeFacts:
     def _members(self, owner_kinds: tuple[str, ...]) -> DataFrame:
         rows = self._declared(self.tree.filter(
             F.col("member") & (F.col("kind") == "plain") & F.col("owner_kind").isin(*owner_kinds)))
-        owners = self._headers.select("file_id", F.col("ord").alias("owner_ord"), F.col("fqn").alias("owner_fqn"))
+        owners = self.types.select("file_id", F.col("ord").alias("owner_ord"), F.col("fqn").alias("owner_fqn"))
         context = self.files.select("file_id", "path", "package", "import_map", "total_lines")
         return rows.join(owners, ["file_id", "owner_ord"]).join(context, "file_id")
 

@@ -1,7 +1,9 @@
 """Hand-derived facts of small sources."""
 
+from pyspark.sql import functions as F
+
 from codefacts.operators import reader
-from codefacts.operators.facts import CodeFacts, import_map, resolve_types
+from codefacts.operators.facts import CodeFacts, base_type, import_map, plain_type, resolve_types
 from codefacts.operators.flow import Flow
 from codefacts.operators.graphview import ast_elements
 from codefacts.operators.language import JAVA
@@ -352,3 +354,9 @@ def test_plain_segments_are_read_at_once(monkeypatch):
     assert parts[5][5] == "while ((((((\ue000\ue000\ue000h\ue001\ue001\ue001))))))"
     # a parenthesis that is never opened is forgiven until the next one closes it
     assert [part[4] for part in read("class A { x = ); int a; f(b; c) ; }")][1:] == ["x = )", "int a", "f(b", "c)"]
+
+
+def test_types_as_written(spark):
+    df = spark.createDataFrame([("int",), ("Map < String,List<A> > [ ]",), ("A[]",), (None,), ("",), ("Set<?extends B>",), (" C ",)], "t string")
+    assert [tuple(r) for r in df.select(plain_type(F.col("t")), base_type(F.col("t"))).collect()] == [
+        ("int", "int"), ("Map<String, List<A>>[]", "Map "), ("A[]", "A"), (None, None), ("", ""), ("Set<? extends B>", "Set"), ("C", " C ")]
