@@ -202,7 +202,9 @@ class CodeFacts:
         """Type headers with their name and full name."""
         head = rf"(?s)(?:^|[\s)\]])({'|'.join(self.language.types)})\s+({NAME})"
         rows = self._declared(self.tree.filter(F.col("kind").isin(*TYPES))).join(self.files.select("file_id", "package", "total_lines"), "file_id")
-        return rows.withColumn("name", F.regexp_extract("rest", head, 2)).withColumn("fqn", keys.fqn(F.col("package"), F.col("name")))
+        return rows.withColumn("name", F.regexp_extract("rest", head, 2)).select(
+            "file_id", "ord", "kind", "line", "rest", "modifiers", "annotations", "total_lines", "name",
+            keys.fqn(F.col("package"), F.col("name")).alias("fqn"))
 
     @cached_property
     def types(self) -> DataFrame:
@@ -224,7 +226,7 @@ class CodeFacts:
     def _members(self, owner_kinds: tuple[str, ...]) -> DataFrame:
         rows = self._declared(self.tree.filter(
             F.col("member") & (F.col("kind") == "plain") & F.col("owner_kind").isin(*owner_kinds)))
-        owners = self.types.select("file_id", F.col("ord").alias("owner_ord"), F.col("fqn").alias("owner_fqn"))
+        owners = self._headers.select("file_id", F.col("ord").alias("owner_ord"), F.col("fqn").alias("owner_fqn"))
         context = self.files.select("file_id", "path", "package", "import_map", "total_lines")
         return rows.join(owners, ["file_id", "owner_ord"]).join(context, "file_id")
 
@@ -311,6 +313,8 @@ class CodeFacts:
 
         Within a type the order is the type, its fields, then each method followed by its parameters.
         """
+        # types, fields, methods and the owners below all ask for the headers
+        self._headers = self.keep(self._headers, "headers")
         packages = self.packages.select("file_id", "package")
         names = F.transform("annotations", lambda a: a["name"]).alias("annotations")
         place = F.when(F.col("kind") == "class", 0).when(F.col("kind") == "interface", 1).otherwise(2)
@@ -318,7 +322,7 @@ class CodeFacts:
             "file_id", F.col("kind").alias("type"), "name", F.coalesce("package", F.lit("default")).alias("scope"),
             F.lit(None).cast("string").alias("data_type"), F.col("line_start").alias("line"), "modifiers", names,
             F.struct(place, F.col("ord"), F.lit(0), F.col("ord"), F.lit(0)).alias("at"))
-        owners = self.types.select("file_id", F.col("ord").alias("owner_ord"), place.alias("place"))
+        owners = self._headers.select("file_id", F.col("ord").alias("owner_ord"), place.alias("place"))
         fields = self.fields.join(owners, ["file_id", "owner_ord"]).select(
             "file_id", F.lit("field").alias("type"), "name", F.col("owner_fqn").alias("scope"),
             F.col("type_simple").alias("data_type"), F.col("line_start").alias("line"), "modifiers", names,

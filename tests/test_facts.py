@@ -356,6 +356,14 @@ def test_plain_segments_are_read_at_once(monkeypatch):
     assert [part[4] for part in read("class A { x = ); int a; f(b; c) ; }")][1:] == ["x = )", "int a", "f(b", "c)"]
 
 
+def test_symbols_read_headers_once(spark):
+    kept = []
+    facts = CodeFacts(spark.createDataFrame([("r", "f", "A.java", CART)], "repo_id string, file_id string, path string, content string"),
+                      keep=lambda df, name: kept.append(name) or df)
+    assert [r.name for r in facts.symbols.orderBy("n").collect()] == ["Cart", "total", "names", "add", "qty", "name"]
+    assert kept.count("headers") == 1 and "headers" in kept
+
+
 def test_types_as_written(spark):
     df = spark.createDataFrame([("int",), ("Map < String,List<A> > [ ]",), ("A[]",), (None,), ("",), ("Set<?extends B>",), (" C ",)], "t string")
     assert [tuple(r) for r in df.select(plain_type(F.col("t")), base_type(F.col("t"))).collect()] == [
