@@ -268,7 +268,8 @@ def code_symbols(spark: SparkSession, folder: str) -> DataFrame:
  FROM sym GROUP BY ALL""")
 def code_scope_members(spark: SparkSession, folder: str) -> DataFrame:
     symbols = facts(spark, folder).symbols.withColumn("scope", F.concat_ws(" ", F.col("file_id").cast("string"), "scope"))
-    return scope_members(symbols).withColumn("symbol_ids", F.array_join("symbol_ids", ","))
+    # a scope is no longer than its file
+    return scope_members(symbols, bounded=True).withColumn("symbol_ids", F.array_join("symbol_ids", ","))
 
 
 @query("code_type_names", f"""WITH {P} SELECT file_id, v.type_simple, CASE v.fqn WHEN 'pkg' THEN pkg || '.Foo' ELSE v.fqn END AS type_fqn, pkg AS package

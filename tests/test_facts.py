@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from codefacts.operators import reader
+from codefacts.operators import ordering, reader
 from codefacts.operators.facts import CodeFacts, base_type, import_map, plain_type, resolve_types
 from codefacts.operators.flow import Flow
+from codefacts.operators.graph import scope_members
 from codefacts.operators.graphview import ast_elements
 from codefacts.operators.language import JAVA
 from codefacts.operators.reader import read
@@ -364,6 +365,17 @@ def test_symbols_read_headers_once(spark):
     assert kept.count("headers") == 1 and "headers" in kept
 
 
+def test_members_of_a_scope_need_no_swept_table(spark, monkeypatch):
+    from codefacts.plans import code_queries
+
+    monkeypatch.setattr(ordering, "_swept", None)
+    monkeypatch.setattr(code_queries, "facts", lambda spark, folder: code(spark, CART))
+    found = code_queries.code_scope_members(spark, "")
+    assert rows(found.select(F.split("scope", " ")[1], "page", F.size(F.split("symbol_ids", ",")))) == [("a.b", 0, 1), ("a.b.Cart", 0, 3), ("a.b.Cart.add", 0, 2)]
+    symbols = spark.createDataFrame([("s", n, f"i{n}") for n in range(5)], "scope string, n int, symbol_id string")
+    assert rows(scope_members(symbols, bounded=True, page_size=2), "page", "symbol_ids") == [(0, ["i0", "i1"]), (1, ["i2", "i3"]), (2, ["i4"])]
+
+
 def test_types_as_written(spark):
     df = spark.createDataFrame([("int",), ("Map < String,List<A> > [ ]",), ("A[]",), (None,), ("",), ("Set<?extends B>",), (" C ",)], "t string")
     assert [tuple(r) for r in df.select(plain_type(F.col("t")), base_type(F.col("t"))).collect()] == [
