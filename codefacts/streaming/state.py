@@ -23,6 +23,8 @@ PARTIAL = (
 )
 TERMINAL = ("completed", "failed")
 STRETCH = "first_heartbeat_at long, finished_at long, heartbeats long"
+#: What is open of a run: when its timer fires, in milliseconds, and the columns of its stretches.
+OPEN = "timer long, " + STRETCH.replace(" long", " array<long>")
 
 
 def with_state_store(spark: SparkSession) -> None:
@@ -102,6 +104,13 @@ def merged_runs(partials: DataFrame) -> DataFrame:
 
 def join_stretch(stretches: list[tuple], at: int, gap: int) -> None:
     """Add a heartbeat to sorted stretches that are more than ``gap`` apart."""
+    if not stretches or at > stretches[-1][1] + gap:
+        stretches.append((at, at, 1))
+        return
+    if at >= stretches[-1][0]:  # times mostly rise, and then only the last stretch changes
+        first, last, n = stretches[-1]
+        stretches[-1] = (first, max(last, at), n + 1)
+        return
     i = bisect_right(stretches, at, key=lambda s: s[0])
     first, last, n = at, at, 1
     if i < len(stretches) and stretches[i][0] - at <= gap:
@@ -117,7 +126,9 @@ def join_stretch(stretches: list[tuple], at: int, gap: int) -> None:
 class Silences(StatefulProcessor):
     """Stretches of heartbeats of a run; a timer per run reports a stretch once nothing can join it any more.
 
-    The state holds the stretches that are open (rows may come out of order, so there can be two), and goes with the last.
+    The state holds the stretches that are open (rows may come out of order, so there can be two), and goes with the last. It
+    is one value with a list per column and the time of the timer, since every call and every row of a state variable crosses
+    to Spark by itself.
     """
 
     def __init__(self, seconds: int = STALE_SECONDS):
@@ -125,25 +136,35 @@ class Silences(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", STRETCH)
+        self.open = handle.getValueState("open", OPEN)
+
+    def _state(self) -> tuple[int | None, list[tuple]]:
+        state = self.open.get()
+        return (None, []) if state is None else (state[0], list(zip(*state[1:], strict=True)))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        stretches = [tuple(s) for s in self.open.get()] if self.open.exists() else []
+        timer, stretches = self._state()
         for r in rows:  # a busy run's rows are never a list, only its stretches are
             join_stretch(stretches, r.at, self.gap)
-        return self._report(key, stretches, timerValues)
+        return self._report(key, stretches, timerValues, timer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        return self._report(key, [tuple(s) for s in self.open.get()] if self.open.exists() else [], timerValues)
+        return self._report(key, self._state()[1], timerValues, None)
 
-    def _report(self, key, stretches: list[tuple], timers) -> Iterator[Row]:
+    def _report(self, key, stretches: list[tuple], timers, timer: int | None) -> Iterator[Row]:
         now = timers.getCurrentWatermarkInMs() * 1000
         over = [s for s in stretches if s[1] + self.gap < now]
         left = stretches[len(over):]
         if left:
-            self.open.put(left)
-            _replace_timer(self.handle, (left[0][1] + self.gap) // 1000 + 1)
+            at = (left[0][1] + self.gap) // 1000 + 1
+            if at != timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(at)
+            self.open.update((at, *(list(c) for c in zip(*left, strict=True))))
         else:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
             self.open.clear()
         return iter([self.row(*key, *s) for s in over])
 
@@ -153,9 +174,9 @@ class Silences(StatefulProcessor):
 
 def open_stretches(spark: SparkSession, checkpoint: str, key: str) -> DataFrame:
     """The stretches a finished query still holds, from its state store."""
-    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "open").option(
-        "flattenCollectionTypes", "true").load()
-    return stretch_times(state.select(F.col(f"key.{key}").alias(key), "list_element.*"))
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "open").load()
+    columns = F.arrays_zip(*(F.col(f"value.{c.split()[0]}") for c in STRETCH.split(", ")))
+    return stretch_times(state.select(F.col(f"key.{key}").alias(key), F.inline(columns)))
 
 
 def stretch_times(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from codefacts.sources import files as sources
 from codefacts.sources.json_facts import explode_ast
 from codefacts.streaming import runs, sinks
 from codefacts.streaming import sources as arriving
+from codefacts.streaming.state import Silences, join_stretch
 
 from .conftest import rows
 
@@ -100,6 +101,59 @@ def test_silences_of_rows_out_of_order(spark, tmp_path):
         ("c", at(700), at(700), 1)], key=repr)
 
 
+def test_silences_make_few_calls_to_the_state():
+    """One read, one write and a timer that moves only when the first stretch does, however many stretches are open."""
+    calls, held = [], {}
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            return calls.append("get") or held.get("state")
+
+        def update(self, state):
+            calls.append("update")
+            held["state"] = state
+
+        def clear(self):
+            calls.append("clear")
+            held.clear()
+
+        def registerTimer(self, at):
+            calls.append(("timer", at))
+
+        def deleteTimer(self, at):
+            calls.append(("no timer", at))
+
+    class At:
+        def __init__(self, now):
+            self.now = now
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    def seen(beats, now):
+        calls.clear()
+        return [tuple(r) for r in fold.handleInputRows(("a",), [type("R", (), {"at": s * 1_000_000}) for s in beats], At(now))]
+
+    fold = Silences(10)
+    fold.init(Handle())
+    assert seen([100 * n for n in range(50, 0, -1)], 0) == [] and calls == ["get", ("timer", 110_001), "update"]
+    assert seen([105, 205], 0) == [] and calls == ["get", ("no timer", 110_001), ("timer", 115_001), "update"]
+    assert seen([5000], 0) == [] and calls == ["get", "update"]
+    calls.clear()
+    out = [tuple(r) for r in fold.handleExpiredTimer(("a",), At(230_000), None)]
+    assert out == [("a", 100_000_000, 105_000_000, 2), ("a", 200_000_000, 205_000_000, 2)] and calls == ["get", ("timer", 310_001), "update"]
+    calls.clear()
+    out = [tuple(r) for r in fold.handleExpiredTimer(("a",), At(9_000_000), None)]
+    assert len(out) == 48 and out[-1] == ("a", 5_000_000_000, 5_000_000_000, 2) and calls == ["get", "clear"]
+    stretches = []
+    for at in (50, 9, 70, 60, 20, 10, 85):
+        join_stretch(stretches, at, 10)
+    assert stretches == [(9, 20, 3), (50, 70, 3), (85, 85, 1)]
+
+
 def test_state_of_silent_runs_goes(spark, tmp_path):
     """Each file has runs of its own, hours after the last file's; a run that comes back after its state went is merged."""
     data = [(f * 10 + n % 10, T + dt.timedelta(hours=f, seconds=n), f * 20 + n, ("running", "completed")[n // 10], f"m{n}") for f in range(6) for n in range(20)]
