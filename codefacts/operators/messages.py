@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ..functions.text import icontains, truncate_marked
-from .ordering import neighbour, paged_lists, positions, with_group_count
+from .ordering import differs, neighbour, paged_lists, positions, with_group_count
 
 MAX_RESULTS = 50  # fixed value: longest slice
 MAX_CONTENT = 500  # fixed value: characters of a shortened message
@@ -82,13 +87,41 @@ def branch_points(lineage: DataFrame) -> DataFrame:
     )
 
 
+def _packed(keys: list[str], order: str, text: str):
+    """Neighbouring rows of one key as one row with two lists, within a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            new = np.zeros(n, bool)
+            new[0] = True
+            for k in keys:
+                column = batch.column(k)
+                new[1:] |= differs(column.slice(0, n - 1), column.slice(1))
+            at = np.flatnonzero(new)
+            ends = pa.array(np.append(at, n), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, batch.column(c)) for c in (order, text)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(at)) for k in keys), *lists], [*keys, "_orders", "_texts"])
+
+    return run
+
+
 def assemble_messages(tokens: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
-    """Join the streamed pieces of each message in order. A group is one message, as long as its own text."""
-    pieces = F.sort_array(F.collect_list(F.struct(F.col(order), F.col(text))))
-    return tokens.groupBy(*keys).agg(
-        F.array_join(F.transform(pieces, lambda p: p[text]), "").alias("content"),
-        F.count("*").alias("pieces"),
-    )
+    """Join the streamed pieces of each message in order. A group is one message, as long as its own text.
+
+    Pieces that arrive side by side travel as lists: a row per piece would take many times its text in sorts and shuffles.
+    """
+    rows = tokens.select(*keys, order, text)
+    kinds = {f.name: f.dataType for f in rows.schema}
+    schema = StructType([*(StructField(k, kinds[k]) for k in keys), StructField("_orders", ArrayType(kinds[order])), StructField("_texts", ArrayType(kinds[text]))])
+    packed = rows.mapInArrow(_packed(keys, order, text), schema)
+    lists = packed.groupBy(*keys).agg(F.collect_list(F.struct("_orders", "_texts")).alias("_lists"))
+    zipped = F.transform("_lists", lambda x: F.zip_with(x["_orders"], x["_texts"], lambda o, t: F.struct(o.alias("o"), t.alias("t"))))
+    pieces = lists.select(*keys, F.sort_array(F.flatten(zipped)).alias("_pieces"))
+    return pieces.select(
+        *keys, F.array_join(F.transform("_pieces", lambda p: p["t"]), "").alias("content"), F.size("_pieces").cast("long").alias("pieces"))
 
 
 def tool_calls(events: DataFrame) -> DataFrame:

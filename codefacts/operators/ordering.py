@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 
-def _differs(a: pa.Array, b: pa.Array) -> np.ndarray:
+def differs(a: pa.Array, b: pa.Array) -> np.ndarray:
     """Where two arrays differ; nulls are equal to each other."""
     unequal = pc.fill_null(pc.not_equal(a, b), False)
     return pc.or_(unequal, pc.xor(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
@@ -41,8 +41,8 @@ def _sweep(keys: list[str], values: list[str]):
             at, new = np.arange(n), np.zeros(n, bool)
             for k in keys:
                 column = batch.column(k)
-                new[1:] |= _differs(column.slice(0, n - 1), column.slice(1))
-                new[0] |= not begun or bool(_differs(before[k], column.slice(0, 1))[0])
+                new[1:] |= differs(column.slice(0, n - 1), column.slice(1))
+                new[0] |= not begun or bool(differs(before[k], column.slice(0, 1))[0])
             new[0] |= not begun
             start = np.maximum.accumulate(np.where(new, at, -1))  # -1: the key of the batch before goes on
             rank = np.where(start >= 0, at - start, at + count)

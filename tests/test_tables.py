@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,6 +24,16 @@ def test_message_slices(spark):
     assert cut(said, start=3, limit=1, full_content=True) == [(3, 4, "o" * 512)]
 
 
+def test_assembled_pieces_travel_as_lists(spark):
+    """A row per run of neighbours, not per piece; pieces out of order, repeated or null come out as one by one."""
+    batch = pa.RecordBatch.from_pydict({"m": [1, 1, None, None, 1], "n": [0, 1, 0, 1, 2], "t": list("abcde")})
+    packed = list(messages._packed(["m"], "n", "t")(iter([batch, batch.slice(0, 0)])))
+    assert [b.to_pydict() for b in packed] == [{"m": [1, None, 1], "_orders": [[0, 1], [0, 1], [2]], "_texts": [["a", "b"], ["c", "d"], ["e"]]}]
+    data = [(1, 2, "c"), (2, 0, "x"), (1, 0, "a"), (None, 1, "q"), (1, 1, "b"), (1, 1, "a"), (1, None, "z"), (2, 1, None), (None, 0, "p")]
+    df = spark.createDataFrame(data, "m int, n int, t string").repartition(3)
+    assert rows(messages.assemble_messages(df, ["m"], "n", "t")) == sorted([(1, "zaabc", 5), (2, "x", 2), (None, "pq", 2)], key=repr)
+
+
 def test_keep_first(spark):
     df = spark.createDataFrame([("rye", "x", 4), ("oat", "y", 2), ("rye", "z", 1), ("oat", "w", 9), ("bun", "v", 3)], "path string, file_id string, n int")
     assert rows(messages.dedupe_first(df, ["path"], ["n"])) == [("bun", "v", 3), ("oat", "y", 2), ("rye", "z", 1)]
