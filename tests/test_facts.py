@@ -357,6 +357,21 @@ def test_plain_segments_are_read_at_once(monkeypatch):
     assert [part[4] for part in read("class A { x = ); int a; f(b; c) ; }")][1:] == ["x = )", "int a", "f(b", "c)"]
 
 
+def test_what_is_rare_is_looked_for_where_it_can_be(monkeypatch):
+    """The rest of a segment behind a comment is one match, and headers of types are searched where their words stand."""
+    known, steps, headers = reader._patterns(JAVA), [], []
+    monkeypatch.setattr(known, "token", lambda text, at, step=known.token: steps.append(at) or step(text, at))
+    monkeypatch.setattr(known, "type", lambda mask, search=known.type: headers.append(mask) or search(mask))
+    body = "".join(f"\n/** why;\n{{ */\tint  m{i}(int a) // {{\n throws X {{ /* c */ return a; }}" for i in range(20))
+    parts = list(read("// c\n@A class C {" + body + "\n/* d */ int[] x = { 1, /* e */ 2 }; }"))
+    assert [(p[1], p[2], p[3], p[4], p[6]) for p in parts] == [(0, "class", True, "@A class C", 2)] + [
+        row for i in range(20) for row in (
+            (1, "plain", True, f"int m{i}(int a) throws X", 4 + 3 * i), (2, "plain", False, "return a", 5 + 3 * i))
+    ] + [(1, "plain", False, "int[] x = { 1, 2 }", 63)]
+    assert headers == [p for p in headers if "class" in p] and len(headers) == 1
+    assert sum(at < len("// c\n@A class C {" + body) for at in steps) == 1 + 10 * 20  # 14 of each method before
+
+
 def test_symbols_read_headers_once(spark):
     kept = []
     facts = CodeFacts(spark.createDataFrame([("r", "f", "A.java", CART)], "repo_id string, file_id string, path string, content string"),
